@@ -4,7 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .mixing import mix_documents
+from .sharding import shard_documents
 from .substring_dedup import substring_dedup
+from .token_files import token_digest
+from .topk import exact_top_k
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,8 +19,30 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents"), window=35)
 
 
+def op2_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_top_k(table(spark, sf_dir, "embeddings"), k=10, scale=1024, every=100)
+
+
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_documents(table(spark, sf_dir, "documents"), n_shards=24)
+
+
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_digest(table(spark, sf_dir, "documents"), tokenizer=str(public_tokenizers.path("word_bpe_49k.json")), end_id=1)
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_documents(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_exact_topk": op2_exact_topk,
+    "op3_sharding": op3_sharding,
+    "op5_token_files": op5_token_files,
+    "op6_mixing": op6_mixing,
 }
 
 SQL = {
@@ -32,5 +58,27 @@ kept AS (SELECT w.doc_id, len(w) AS n_words, coalesce(n, 0) AS n_removed, coales
   CASE WHEN n IS NULL THEN w WHEN n = len(w) THEN [] ELSE list_transform(list_filter(range(1, len(w) + 1), lambda x: NOT list_contains(gone.p, x)), lambda x: w[x]) END AS k
   FROM w LEFT JOIN gone USING (doc_id))
 SELECT doc_id, n_words::BIGINT AS n_words, n_removed::BIGINT AS n_removed, sha256(coalesce(array_to_string(k, ' '), '')) AS kept_sha256, n_spans::BIGINT AS n_spans FROM kept
+""",
+    "op2_exact_topk": """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, v.vec_id, list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * v.v[i]))::BIGINT AS score FROM v AS q, v WHERE q.vec_id % 100 = 0 AND v.vec_id <> q.vec_id),
+r AS (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
+""",
+    "op6_mixing": """
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size,
+  greatest(coalesce(1 - length(regexp_replace(text, '[\\p{L}\\s]+', '', 'g')) / nullif(length(text), 0)::DOUBLE, 0), 0.001) AS q,
+  md5(concat_ws('|', 'mix', doc_id::VARCHAR, md5(coalesce(text, '')))) AS digest FROM documents),
+t AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+w AS (SELECT *, row_number() OVER (ORDER BY source IS NULL, source) - 1 AS i FROM t),
+c AS (SELECT *, (i % 3 + 1)::DOUBLE AS wt, (3 * source_size)::DOUBLE AS cap FROM w),
+l AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY cap / wt, i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(wt) OVER (ORDER BY cap / wt, i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS lv FROM c),
+f AS (SELECT arg_min(lv, {'r': cap / wt, 'i': i}) AS lv FROM l WHERE lv <= cap / wt),
+p AS (SELECT source, source_size, least(cap, f.lv * wt) AS target FROM l, f),
+k AS (SELECT doc_id, size, source_size, target, p.source, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS e,
+  coalesce(sum(size) OVER (PARTITION BY p.source ORDER BY -ln((('0x' || substr(digest, 1, 12))::BIGINT + 0.5::DOUBLE) / 281474976710656) / q, size, digest ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source)
+SELECT doc_id, size, source_size, target, (size * (e + CASE WHEN before + size / 2 <= target - e * source_size THEN 1 ELSE 0 END))::BIGINT AS taken FROM k
 """,
 }
