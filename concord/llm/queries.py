@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .mixing import mix_documents
+from .quality import quality_scores
 from .sharding import shard_documents
 from .substring_dedup import substring_dedup
 from .token_files import token_digest
@@ -37,12 +38,17 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_documents(table(spark, sf_dir, "documents"))
 
 
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.3, folds=5)
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_exact_topk": op2_exact_topk,
     "op3_sharding": op3_sharding,
     "op5_token_files": op5_token_files,
     "op6_mixing": op6_mixing,
+    "op8_quality_classifier": op8_quality_classifier,
 }
 
 SQL = {
