@@ -97,3 +97,58 @@ def answered(keys: np.ndarray, table: pa.Table, phase: int, kind: type) -> np.nd
             a, z = np.searchsorted(bucket, b), np.searchsorted(bucket, b, "right")
             out[a:z] = np.unpackbits(np.frombuffer(raw, np.uint8), count=z - a).astype(bool) if kind is bool else np.frombuffer(raw, kind)
     return out
+
+
+#: A fingerprint of 96 bits: two independent hashes, and whether the chunk holds it more than once.
+PAIR = np.dtype([("h", "<u8"), ("g", "<u4")])
+
+
+def pair_bucket(h: np.ndarray, n_buckets: int) -> np.ndarray:
+    return (h >> np.uint64(40)) % np.uint64(n_buckets)
+
+
+def distinct_pairs(h: np.ndarray, g: np.ndarray, n_buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct fingerprints sorted by bucket, whether each occurs more than once, and each input's place among them."""
+    order = np.lexsort((g, h, pair_bucket(h, n_buckets)))
+    pairs = np.empty(len(h), dtype=PAIR)
+    pairs["h"], pairs["g"] = h[order], g[order]
+    new = np.ones(len(h), dtype=bool)
+    new[1:] = pairs[1:] != pairs[:-1]
+    group = np.cumsum(new) - 1
+    inverse = np.empty(len(h), dtype=np.int64)
+    inverse[order] = group
+    out = pairs[new]
+    return out, np.bincount(group, minlength=len(out)) > 1, inverse
+
+
+def pair_keys(pairs: np.ndarray, n_buckets: int) -> np.ndarray:
+    """Keys with the fingerprints' buckets, for answered()."""
+    return pair_bucket(pairs["h"], n_buckets) << np.uint64(32)
+
+
+def pair_messages(chunk: int, pairs: np.ndarray, many: np.ndarray, n_buckets: int) -> pa.Table:
+    bucket = pair_bucket(pairs["h"], n_buckets).astype(np.int64)
+    cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
+    ends = np.append(cuts[1:], len(pairs))
+    return pa.table({
+        "bucket": pa.array(bucket[cuts]),
+        "chunk": pa.array(np.full(len(cuts), chunk, dtype=np.int64)),
+        "keys": pa.array([pairs[a:b].tobytes() for a, b in zip(cuts, ends, strict=True)], pa.binary()),
+        "facts": pa.array([many[a:b].tobytes() for a, b in zip(cuts, ends, strict=True)], pa.binary()),
+    })
+
+
+def repeated_pairs(table: pa.Table, phase: int) -> pa.Table:
+    """Answer a bucket's pair_messages: which fingerprints occur more than once in the corpus."""
+    raw = table.column("keys").to_pylist()
+    pairs = np.frombuffer(b"".join(raw), PAIR)
+    many = np.frombuffer(b"".join(table.column("facts").to_pylist()), bool)
+    order = np.lexsort((pairs["g"], pairs["h"]))
+    ranked = pairs[order]
+    new = np.ones(len(ranked), dtype=bool)
+    new[1:] = ranked[1:] != ranked[:-1]
+    group = np.cumsum(new) - 1
+    repeated = (np.bincount(group) > 1) | (np.bincount(group, many[order]) > 0)
+    answer = np.empty(len(ranked), dtype=bool)
+    answer[order] = repeated[group]
+    return replies(table, answer, np.cumsum([len(x) // PAIR.itemsize for x in raw]), phase)

@@ -8,6 +8,7 @@ from .mixing import mix_documents
 from .quality import quality_scores
 from .sharding import shard_documents
 from .substring_dedup import substring_dedup
+from .suffix_dedup import suffix_dedup
 from .token_files import token_digest
 from .topk import exact_top_k
 
@@ -42,6 +43,10 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.3, folds=5)
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup(table(spark, sf_dir, "documents"), width=400)
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_exact_topk": op2_exact_topk,
@@ -49,6 +54,7 @@ QUERIES = {
     "op5_token_files": op5_token_files,
     "op6_mixing": op6_mixing,
     "op8_quality_classifier": op8_quality_classifier,
+    "op9_suffix_dedup": op9_suffix_dedup,
 }
 
 SQL = {

@@ -13,8 +13,6 @@ from pyspark.sql import functions as F
 from . import exchange as X
 from .hashing import BASES, covered, window_hashes, words_of
 
-_PAIR = np.dtype([("h", "<u8"), ("g", "<u4"), ("many", "u1")])
-
 
 def substring_dedup(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = 35, chunk_bytes: int = 3 << 20, bucket_keys: int = 1_000_000, keep_text: bool = False
@@ -26,10 +24,10 @@ def substring_dedup(
     rolling B-word window of every document probes the index (32-bit remainders
     within buckets: a filter that may pass too much, never too little).  A hit is
     extended to exact repeats group by group rather than pair by pair: all
-    `window`-word windows that reach through a block that another place probed,
-    and themselves hold a hit, are counted by 96-bit fingerprints of their words;
-    what is counted twice is repeated, and overlapping repeats merge into maximal
-    runs.  n copies so cost n entries, not n * n pairs.
+    `window`-word windows around a block that another place probed are counted by
+    96-bit fingerprints of their words; what is counted twice is repeated, and
+    overlapping repeats merge into maximal runs.  n copies so cost n entries, not
+    n * n pairs.
 
     Returns a row for each input row: id, n_words, n_removed, kept_sha256, n_spans
     (maximal removed runs), and with keep_text the kept words joined by one space.
@@ -84,53 +82,16 @@ def substring_dedup(
         g = window_hashes(words.hashes(BASES[1]), window, BASES[0])
         return starts, h[starts], (g[starts] >> np.uint64(32)).astype(np.uint32)
 
-    def distinct(h, g):
-        pairs = np.empty(len(h), dtype=_PAIR)
-        order = np.lexsort((g, h, (h >> np.uint64(40)) % np.uint64(n_buckets)))
-        pairs["h"], pairs["g"] = h[order], g[order]
-        new = np.ones(len(h), dtype=bool)
-        new[1:] = (pairs["h"][1:] != pairs["h"][:-1]) | (pairs["g"][1:] != pairs["g"][:-1])
-        group = np.cumsum(new) - 1
-        inverse = np.empty(len(h), dtype=np.int64)
-        inverse[order] = group
-        out = pairs[new]
-        out["many"] = np.bincount(group, minlength=len(out)) > 1
-        return out, inverse
-
     def extend(key, table, right):
-        words = words_of(table.column("text"))
-        _, h, g = candidates(words, right)
-        pairs, _ = distinct(h, g)
-        bucket = ((pairs["h"] >> np.uint64(40)) % np.uint64(n_buckets)).astype(np.int64)
-        cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
-        ends = np.append(cuts[1:], len(pairs))
-        return pa.table({
-            "bucket": pa.array(bucket[cuts]),
-            "chunk": pa.array(np.full(len(cuts), key[0].as_py(), dtype=np.int64)),
-            "keys": pa.array([pairs[["h", "g"]][a:b].astype([("h", "<u8"), ("g", "<u4")]).tobytes() for a, b in zip(cuts, ends, strict=True)], pa.binary()),
-            "facts": pa.array([pairs["many"][a:b].tobytes() for a, b in zip(cuts, ends, strict=True)], pa.binary()),
-        })
-
-    def confirm(key, table):
-        raw = table.column("keys").to_pylist()
-        pairs = np.frombuffer(b"".join(raw), np.dtype([("h", "<u8"), ("g", "<u4")]))
-        many = np.frombuffer(b"".join(table.column("facts").to_pylist()), np.uint8)
-        order = np.lexsort((pairs["g"], pairs["h"]))
-        h, g = pairs["h"][order], pairs["g"][order]
-        new = np.ones(len(h), dtype=bool)
-        new[1:] = (h[1:] != h[:-1]) | (g[1:] != g[:-1])
-        group = np.cumsum(new) - 1
-        repeated = (np.bincount(group) > 1) | (np.bincount(group, many[order]) > 0)
-        answer = np.empty(len(h), dtype=bool)
-        answer[order] = repeated[group]
-        return X.replies(table, answer, np.cumsum([len(x) // 12 for x in raw]), 2)
+        _, h, g = candidates(words_of(table.column("text")), right)
+        pairs, many, _ = X.distinct_pairs(h, g, n_buckets)
+        return X.pair_messages(key[0].as_py(), pairs, many, n_buckets)
 
     def remove(key, table, right):
         words = words_of(table.column("text"))
         starts, h, g = candidates(words, right)
-        pairs, inverse = distinct(h, g)
-        fake = ((pairs["h"] >> np.uint64(40)) % np.uint64(n_buckets)) << np.uint64(32)
-        gone = covered(starts[X.answered(fake, right, 2, bool)[inverse]], window, len(words.start))
+        pairs, _, inverse = X.distinct_pairs(h, g, n_buckets)
+        gone = covered(starts[X.answered(X.pair_keys(pairs, n_buckets), right, 2, bool)[inverse]], window, len(words.start))
         first = words.first
         # adjoining words of two documents are two runs
         begins = gone & ~np.concatenate(([False], gone[:-1]))
@@ -152,7 +113,7 @@ def substring_dedup(
         return pa.table(out)
 
     first = chunks.groupBy("chunk").applyInArrow(ask, X.MESSAGE).groupBy("bucket").applyInArrow(probe, X.REPLY)
-    second = chunks.groupBy("chunk").cogroup(first.groupBy("chunk")).applyInArrow(extend, X.MESSAGE).groupBy("bucket").applyInArrow(confirm, X.REPLY)
+    second = chunks.groupBy("chunk").cogroup(first.groupBy("chunk")).applyInArrow(extend, X.MESSAGE).groupBy("bucket").applyInArrow(lambda key, table: X.repeated_pairs(table, 2), X.REPLY)
     schema = f"{id_col} long, n_words long, n_removed long, kept_sha256 string, n_spans long" + ", kept_text string" * keep_text
     return chunks.groupBy("chunk").cogroup(first.unionAll(second).groupBy("chunk")).applyInArrow(remove, schema)
 
