@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .mixing import mix_documents
+from .near_dedup import near_duplicates
 from .quality import quality_scores
 from .sharding import shard_documents
 from .substring_dedup import substring_dedup
@@ -39,6 +40,10 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_documents(table(spark, sf_dir, "documents"))
 
 
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.3, folds=5)
 
@@ -53,6 +58,7 @@ QUERIES = {
     "op3_sharding": op3_sharding,
     "op5_token_files": op5_token_files,
     "op6_mixing": op6_mixing,
+    "op7_near_dedup": op7_near_dedup,
     "op8_quality_classifier": op8_quality_classifier,
     "op9_suffix_dedup": op9_suffix_dedup,
 }
