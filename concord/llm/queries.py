@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .decontamination import contamination
 from .mixing import mix_documents
 from .near_dedup import near_duplicates
+from .pii import personal_data
 from .quality import quality_scores
 from .sharding import shard_documents
 from .substring_dedup import substring_dedup
@@ -30,6 +33,11 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"), n_shards=24)
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "contaminated", F.array_sort(F.array_distinct("hits.item_id")).alias("item_ids"), F.array_max("hits.similarity").alias("similarity"))
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -52,15 +60,21 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(table(spark, sf_dir, "documents"), width=400)
 
 
+def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_exact_topk": op2_exact_topk,
     "op3_sharding": op3_sharding,
+    "op4_decontamination": op4_decontamination,
     "op5_token_files": op5_token_files,
     "op6_mixing": op6_mixing,
     "op7_near_dedup": op7_near_dedup,
     "op8_quality_classifier": op8_quality_classifier,
     "op9_suffix_dedup": op9_suffix_dedup,
+    "op10_personal_data": op10_personal_data,
 }
 
 SQL = {
