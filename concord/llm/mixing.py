@@ -53,7 +53,7 @@ def mix_sources(
     rows_per_cell: int = 50_000,
     min_cells: int = 96,
 ) -> DataFrame:
-    """Add size, source_size, target and taken (long: units of size that the mix takes of the row, repeats counted).
+    """Add size, source_size, target, times (int: how often the mix takes the row) and taken (long: size times that).
 
     A source whose target is e times its size, plus a rest, gives e complete epochs,
     and then a weighted sample without replacement of the rest: every document has
@@ -70,12 +70,12 @@ def mix_sources(
     Null sizes are 0; quality below 0.001 or null counts as 0.001.  Null sources are a source,
     the last.  Rows that agree in key share u; ties go by size, so equal rows cannot
     be told apart.  Rows of size 0 take 0.  Empty tables give empty results.  Other
-    columns stay; size, source_size, target and taken replace columns so named.
+    columns stay; size, source_size, target, times and taken replace columns so named.
     """
     rows = docs.withColumns({"_size": F.coalesce(size.cast("long"), F.lit(0)), "_quality": F.greatest(F.coalesce(quality.cast("double"), F.lit(0.001)), F.lit(0.001))})
     digest = F.md5(F.concat_ws("|", F.lit(seed), key.cast("string")))
     u = (F.conv(F.substring("_digest", 1, 12), 16, 10).cast("double") + 0.5) / float(1 << 48)
-    rows = rows.withColumn("_digest", digest).withColumn("_key", -F.log(u) / F.col("_quality")).drop("size", "source_size", "target", "taken")
+    rows = rows.withColumn("_digest", digest).withColumn("_key", -F.log(u) / F.col("_quality")).drop("size", "source_size", "target", "times", "taken")
     totals = rows.groupBy(F.col(source_col).alias("source")).agg(F.sum("_size").alias("source_size"), F.count(F.lit(1)).alias("_n"), F.avg("_quality").alias("_mean"))
     n_sources, largest = totals.agg(F.count(F.lit(1)), F.coalesce(F.max("_n"), F.lit(0))).first()
     cells = max(min_cells, math.ceil(largest / rows_per_cell))
@@ -97,8 +97,8 @@ def mix_sources(
     ranked = placed.withColumn("_inner", F.coalesce(F.sum("_size").over(inner), F.lit(0)))
     summed = ranked.join(small(sums, n_sources * cells), F.col(source_col).eqNullSafe(F.col("_source")) & (F.col("_cell") == F.col("_c")))
     before = F.col("_base") + F.col("_inner")
-    taken = F.col("_size") * (F.col("_epochs") + F.when(before + F.col("_size") / 2 <= F.col("_rest"), 1).otherwise(0))
-    return summed.withColumns({"taken": taken.cast("long"), "size": F.col("_size")}).drop("_size", "_quality", "_digest", "_key", "_mean", "_epochs", "_rest", "_cell", "_inner", "_source", "_c", "_base")
+    times = F.col("_epochs") + F.when(before + F.col("_size") / 2 <= F.col("_rest"), 1).otherwise(0)
+    return summed.withColumns({"times": times.cast("int"), "taken": (F.col("_size") * times).cast("long"), "size": F.col("_size")}).drop("_size", "_quality", "_digest", "_key", "_mean", "_epochs", "_rest", "_cell", "_inner", "_source", "_c", "_base")
 
 
 def mix_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = "mix") -> DataFrame:
@@ -106,3 +106,10 @@ def mix_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     slim = docs.select(F.col(id_col), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("_words"), letter_share(F.col(text_col)).alias("_letters"), F.md5(F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8")).alias("_md5"))
     mixed = mix_sources(slim, size=F.col("_words"), quality=F.col("_letters"), key=F.concat_ws("|", F.col(id_col).cast("string"), F.col("_md5")), seed=seed)
     return mixed.select(id_col, "size", "source_size", "target", "taken")
+
+
+def mixed_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = "mix") -> DataFrame:
+    """The mix itself: every document as often as it is taken, with its own columns; documents without words as often as their source's epochs and draw say."""
+    key = F.concat_ws("|", F.col(id_col).cast("string"), F.md5(F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8")))
+    mixed = mix_sources(docs, size=n_words(F.col(text_col)), quality=letter_share(F.col(text_col)), key=key, source_col=source_col, seed=seed)
+    return mixed.where(F.col("times") > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*docs.columns)

@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .hashing import SEPARATOR, text_bytes, words_of
 
@@ -79,22 +80,23 @@ def votes(x: np.ndarray, known: np.ndarray, labels: np.ndarray, k: int, sharpnes
     return np.clip((weight * labels[near]).sum(1) / weight.sum(1), 0, 1)
 
 
-def quality_scores(
+def with_quality(
     docs: DataFrame,
     labels: DataFrame,
     *,
     id_col: str = "doc_id",
     text_col: str = "text",
     label_col: str = "quality",
+    score_col: str = "score",
+    keep: list[str] | None = None,
     per_label: int = 2000,
     rank: int = 64,
     k: int = 15,
     sharpness: float = 24.0,
     shape_weight: float = 0.6,
-    threshold: float = 0.3,
     folds: int = 5,
 ) -> DataFrame:
-    """id, held_out, score (0 to 1, higher: label 1 likelier), predicted (1 if score >= threshold) for every row.
+    """Add score_col (double, 0 to 1, higher: label 1 likelier) to every row; keep: the columns to return beside it, all by default.
 
     Terms are hashed byte trigrams of the whole text (TF-IDF; document frequencies
     count all documents) and its shape: steps of its length, of shares of capitals,
@@ -105,14 +107,16 @@ def quality_scores(
     (truncated SVD) and is broadcast in it: at most 2 * per_label * rank floats.
     Every document is projected, compared with all labelled vectors by exact cosine
     products in blocks, and its k nearest vote, weighted by cosine ** sharpness.
-    Nothing but the text enters a score; no text is shuffled.
+    Nothing but the text enters a score, and no text is shuffled.
 
     Null and empty texts have the shape of an empty text and a score like any other.
     Without usable labels every score is 0.5.  Labels other than 0 and 1 or of null
-    ids are ignored; several labels of one id all count.  Rows that repeat an id are scored one by one.
+    ids are ignored; several labels of one id all count.  Rows that repeat an id are
+    scored one by one.  A column named score_col is replaced.
     """
     spark = docs.sparkSession
-    slim = docs.select(F.col(id_col), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
+    keep = [c for c in (docs.columns if keep is None else keep) if c != score_col]
+    slim = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
     fine = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y")).where(F.col("_y").isin(0, 1) & F.col("_id").isNotNull() & ~held_out(F.col("_id"), folds))
     sample = [r for y in (0, 1) for r in fine.where(F.col("_y") == y).orderBy(F.xxhash64("_id"), "_id").limit(per_label).collect()]
 
@@ -141,7 +145,7 @@ def quality_scores(
         df = np.array([table.get(t, 0) for t in range(TERMS)])
         idf = np.log((1 + table.get(TERMS, 0)) / (1 + df)) + 1
         ids = spark.createDataFrame([(r["_id"], r["_y"]) for r in sample], "_id long, _y int")
-        learnt = slim.join(F.broadcast(ids), F.col(id_col) == F.col("_id")).select("_text", "_y").mapInArrow(features, "y int, terms binary, tf binary, marks binary").collect()  # at most 2 * per_label rows, and rows that repeat their ids
+        learnt = slim.join(F.broadcast(ids), "_id").select("_text", "_y").mapInArrow(features, "y int, terms binary, tf binary, marks binary").collect()  # at most 2 * per_label rows, and rows that repeat their ids
         if learnt:
             counts, shape = np.zeros((len(learnt), TERMS), dtype=np.float32), np.zeros((len(learnt), DIMS - TERMS), dtype=np.float32)
             for i, r in enumerate(learnt):
@@ -162,8 +166,13 @@ def quality_scores(
                 else:
                     idf, space, known, y = model.value
                     s = votes(unit(vectors(*term_counts(cut.column("_text")), idf, shape_weight) @ space), known, y, k, sharpness).astype(np.float64)
-                yield pa.RecordBatch.from_arrays([cut.column(id_col), pa.array(s)], [id_col, "score"])
+                yield pa.RecordBatch.from_arrays([*(cut.column(c) for c in keep), pa.array(s)], [*keep, score_col])
 
-    kind = dict(slim.dtypes)[id_col]
-    scored = slim.mapInArrow(score, f"{id_col} {kind}, score double")
+    whole = docs.select(*keep, F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
+    return whole.mapInArrow(score, StructType([*docs.select(*keep).schema.fields, StructField(score_col, DoubleType())]))
+
+
+def quality_scores(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", threshold: float = 0.3, folds: int = 5, **options) -> DataFrame:
+    """id, held_out, score, predicted (1 if score >= threshold) for every row; options: see with_quality."""
+    scored = with_quality(docs, labels, id_col=id_col, folds=folds, keep=[id_col], **options)
     return scored.select(id_col, held_out(F.col(id_col), folds).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
