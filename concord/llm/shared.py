@@ -7,6 +7,7 @@ import uuid
 from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -26,6 +27,17 @@ def local(path: str) -> str:
     return parsed.path
 
 
+def few(df: DataFrame, rows: int, most: int = 200_000) -> DataFrame:
+    """df, which has `rows` rows of two or three short keys at most, marked for a broadcast if these are not over `most` (some 20 MB)."""
+    return F.broadcast(df) if rows <= most else df
+
+
+def rows_for(df: DataFrame, rows: int, each: int = 50_000) -> DataFrame:
+    """df, of `rows` rows at most, in no more partitions than there are `each` rows; larger tables stay as they are dealt."""
+    n = -(-rows // each) or 1
+    return df.coalesce(max(6, n)) if n < 64 else df
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a table in the shared folder, read again: later steps don't compute it anew, and lost executors take nothing with them."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
