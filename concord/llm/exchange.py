@@ -62,7 +62,7 @@ def messages(chunk: int, keys: np.ndarray, facts: np.ndarray) -> pa.Table:
     """One row for each bucket that has keys; keys: sorted and distinct, from routed(); facts: an array with a row for each key."""
     bucket = (keys >> np.uint64(32)).astype(np.int64)
     cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
-    ends = np.append(cuts[1:], len(keys))
+    ends = np.append(cuts[1:], len(keys))[: len(cuts)]  # none if there are no keys
     return pa.table({
         "bucket": pa.array(bucket[cuts]),
         "chunk": pa.array(np.full(len(cuts), chunk, dtype=np.int64)),
@@ -129,7 +129,7 @@ def pair_keys(pairs: np.ndarray, n_buckets: int) -> np.ndarray:
 def pair_messages(chunk: int, pairs: np.ndarray, many: np.ndarray, n_buckets: int) -> pa.Table:
     bucket = pair_bucket(pairs["h"], n_buckets).astype(np.int64)
     cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
-    ends = np.append(cuts[1:], len(pairs))
+    ends = np.append(cuts[1:], len(pairs))[: len(cuts)]
     return pa.table({
         "bucket": pa.array(bucket[cuts]),
         "chunk": pa.array(np.full(len(cuts), chunk, dtype=np.int64)),
