@@ -117,9 +117,9 @@ def classed_texts(
     task each: there every pair of texts of different components that may be
     a link by the samples' estimate is verified from the sets, and texts that are linked become
     one component, so that a group of alike texts takes few comparisons.  Only links leave the task.
-    Buckets of over `block` texts or block_shingles shingles are split by their texts' other bands,
-    so that what is alike stays together, and above that by a hash, another one for each
-    bucket, with the bucket's first text in all parts.
+    Buckets of over `block` texts or block_shingles shingles are dealt, at any size, as all
+    pairs of bounded parts, save those inside the one component that holds most of the bucket's
+    texts: sharing a bucket is enough to be compared.  A pair is compared in the first band it shares.
 
     Null and empty texts have no shingles and are like equal texts only.  Texts of fewer than
     shingle_words words are one shingle.  Null ids count as the least id.
@@ -232,27 +232,20 @@ def classed_texts(
     sizes = written(sizes.groupBy("size", "volume", "head", "tail", "content").agg(F.min(F.struct("band", "key")).alias("bucket")), "buckets")
     twos = sizes.where(F.col("size") == 2).select(F.col("head").alias("a"), F.col("tail").alias("b"))
     more = sizes.where(F.col("size") > 2).select(F.col("bucket.band").alias("band"), F.col("bucket.key").alias("key"), "bucket", "size", "volume", "head")
-    members = banded.join(more, ["band", "key"]).select("bucket", "size", "volume", "head", "digest", "shingles", "samples", "keys")
+    members = banded.join(more, ["band", "key"]).select("bucket", "size", "volume", "head", "digest", "shingles", "samples")
     fits = (F.col("size") <= block) & (F.col("volume") <= block_shingles)
-    small = members.where(fits).select(F.xxhash64("bucket").alias("block"), "digest", "samples")
+    small = members.where(fits).select(F.xxhash64("bucket").alias("block"), F.col("bucket.band").alias("band"), F.lit(-1).alias("side"), "digest", "samples")
     large = members.where(~fits)
-    finer = large.select("bucket", "digest", "shingles", "samples", F.posexplode("keys").alias("other", "again")).where(F.col("other") != F.col("bucket.band"))
-    other = F.struct(F.col("other").alias("band"), F.col("again").alias("key"))
-    finer = finer.select(F.xxhash64(F.least("bucket", other), F.greatest("bucket", other)).alias("block"), "digest", "shingles", "samples").distinct()
-    counts = finer.groupBy("block").agg(F.count(F.lit(1)).alias("size"), volume, F.min(F.struct("digest", "samples")).alias("first")).where(F.col("size") > 1)
-    finer = finer.join(counts, "block").select("block", "digest", "samples", "first", F.ceil(F.greatest(F.col("size") / block, F.col("volume") / block_shingles)).alias("parts"))
-    split = finer.select(F.xxhash64("block", F.pmod(F.xxhash64("digest", "block"), F.col("parts"))).alias("block"), "digest", "samples", "first")
-    heads = split.groupBy("block").agg(F.min("first").alias("first")).select("block", "first.digest", "first.samples")
+    small, large = written(small, "blocks"), written(large, "large")
     # each text of large buckets meets the first of their first texts at once
     stars = large.groupBy("digest").agg(F.min("head").alias("head")).where(F.col("digest") != F.col("head")).select(F.col("head").alias("a"), F.col("digest").alias("b"))
-    blocks = written(small.unionAll(split.select("block", "digest", "samples")).unionAll(heads).distinct(), "blocks")
     start = written(twos.unionAll(stars).distinct(), "pairs")
-    wanted = blocks.select("digest").unionAll(start.select(F.explode(F.array("a", "b")).alias("digest"))).distinct().join(texts.select("digest", "chunk"), "digest")
+    wanted = small.select("digest").unionAll(large.select("digest")).unionAll(start.select(F.explode(F.array("a", "b")).alias("digest"))).distinct().join(texts.select("digest", "chunk"), "digest")
     told = signed.where(F.col("codes").isNotNull()).select("chunk", "digest", "codes").unionAll(wanted.select("chunk", "digest", F.lit(None).cast("binary").alias("codes")))
     found = written(chunks.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(sets, "digest binary, shingles binary, weights binary"), "sets")
 
-    def block_links(component, samples, shingles, weights):
-        """Links of a block between texts of different components, until what is linked is one component."""
+    def block_links(band, side, component, samples, shingles, weights):
+        """Links of a block between texts of different components, until what is linked is one component; of two sides (0, 1; else -1) only across, and only of pairs that share no band before this."""
         n = len(component)
         own: dict[bytes, int] = {}
         group = np.array([own.setdefault(c, len(own)) for c in component])
@@ -265,9 +258,13 @@ def classed_texts(
         total = np.add.reduceat(weight, cuts[:-1], dtype=np.float64)
         own_weight = np.zeros(len(known), dtype=np.float32)
         links = []
+        side = np.array(side)
+        earlier = x[:, : band[0] * rows].reshape(n, band[0], rows)
         for i in range(n - 1):
             agree = (x[i + 1 :] == x[i]).sum(axis=1)
-            asks = np.flatnonzero((agree >= least) & (group[i + 1 :] != group[i]))
+            asks = np.flatnonzero((agree >= least) & (group[i + 1 :] != group[i]) & ((side[i + 1 :] != side[i]) | (side[i] < 0)))
+            if band[0]:
+                asks = asks[~(earlier[asks + i + 1] == earlier[i]).all(axis=2).any(axis=1)]
             asks = asks[np.argsort(-agree[asks], kind="stable")] + i + 1
             mine = slice(cuts[i], cuts[i + 1])
             own_weight[place[mine]] = weight[mine]
@@ -292,7 +289,7 @@ def classed_texts(
         table = table.sort_by([("block", "ascending"), ("digest", "ascending")])
         cuts = [0, *(np.flatnonzero(np.diff(table.column("block").to_numpy())) + 1).tolist(), len(table)]
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            digest, *columns = (table.column(c)[a:b].to_pylist() for c in ("digest", "component", "samples", "shingles", "weights"))
+            digest, *columns = (table.column(c)[a:b].to_pylist() for c in ("digest", "band", "side", "component", "samples", "shingles", "weights"))
             links.update((digest[i], digest[j]) for i, j in block_links(*columns))
         return pa.table({"a": pa.array([a for a, _ in links], pa.binary()), "b": pa.array([b for _, b in links], pa.binary())})
 
@@ -307,14 +304,32 @@ def classed_texts(
     checked = written(start.join(left, "a").join(right, "b").select("a", "b", "sa", "wa", "sb", "wb").mapInArrow(verify, "a binary, b binary, similarity double"), "checked")
     links = checked.where(F.col("similarity") >= threshold).select("a", "b")
     components = written(connected_components(links), "components")
+    n_nodes = components.count()
+
+    def with_component(df):
+        return df.join(few(components.withColumnRenamed("node", "digest"), n_nodes), "digest", "left").withColumn("component", F.coalesce("component", "digest"))
+
     # blocks that hold more than one component
-    state = blocks.join(few(components.withColumnRenamed("node", "digest"), components.count()), "digest", "left").withColumn("component", F.coalesce("component", "digest"))
-    state = written(state, "state")
+    state = written(with_component(small), "state")
     open_blocks = state.groupBy("block").agg(F.min("component").alias("c"), F.max("component").alias("d")).where(F.col("c") != F.col("d")).select("block")
-    live = written(state.join(open_blocks, "block"), "live")
+    columns = ("block", "band", "side", "digest", "component", "samples")
+    # large buckets: parts of the component with most texts, and of the rest; all pairs of parts but those of the former among themselves
+    large = written(with_component(large), "large")
+    shares = large.groupBy("bucket", "size", "volume", "component").agg(F.count(F.lit(1)).alias("n"), F.sum("shingles").alias("v"))
+    shares = shares.groupBy("bucket", "size", "volume").agg(F.max(F.struct("n", "component", "v")).alias("main")).where(F.col("main.n") < F.col("size"))
+    parts = lambda n, v: F.ceil(F.greatest(n / block, 2 * v / block_shingles)).cast("int")  # noqa: E731  # two parts' shingles are within a block's
+    n_large = large.select("bucket").distinct().count()
+    shares = shares.select("bucket", F.col("main.component").alias("main"), parts(F.col("size") - F.col("main.n"), F.col("volume") - F.col("main.v")).alias("r"), parts(F.col("main.n"), F.col("main.v")).alias("m"))
+    own = F.pmod(F.xxhash64("digest", "bucket"), F.when(F.col("component") == F.col("main"), F.col("m")).otherwise(F.col("r"))).cast("int")
+    dealt = large.join(few(shares, n_large), "bucket").withColumn("own", F.when(F.col("component") == F.col("main"), F.col("r")).otherwise(0) + own)
+    others = F.sequence(F.lit(0), F.when(F.col("own") < F.col("r"), F.col("r") + F.col("m")).otherwise(F.col("r")) - 1)
+    dealt = dealt.withColumn("other", F.explode(others)).withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other"))
+    side = F.when(F.col("own") == F.col("other"), -1).otherwise((F.col("own") > F.col("other")).cast("int"))
+    dealt = dealt.select(F.xxhash64("bucket", "low", "high").alias("block"), F.col("bucket.band").alias("band"), side.alias("side"), "digest", "component", "samples")
+    live = written(state.join(open_blocks, "block").select(*columns).unionAll(dealt.select(*columns)), "live")
     size = found.agg(F.coalesce(F.avg(F.octet_length("shingles") + F.octet_length("weights")), F.lit(0))).first()[0]
     n_parts = max(256, math.ceil(live.count() * (size + 200) / part_bytes))
-    dealt = live.join(found, "digest").select(F.pmod("block", F.lit(n_parts)).alias("part"), "block", "digest", "component", "samples", "shingles", "weights")
+    dealt = live.join(found, "digest").select(F.pmod("block", F.lit(n_parts)).alias("part"), "block", "band", "side", "digest", "component", "samples", "shingles", "weights")
     new = written(dealt.groupBy("part").applyInArrow(link, "a binary, b binary").distinct(), "links")
     joins = new.count()
     if joins:

@@ -180,6 +180,35 @@ def test_large_buckets_are_split(spark):
     assert got == {100, 1}
 
 
+def families(n=90, own=5, twin=2):
+    """Pairs of texts that are linked to each other; other pairs, and both with most heads, agree in many samples without a link."""
+    rng = random.Random(12)
+    base, out = [f"w{i}" for i in range(300)], []
+    for f in range(n):
+        one = list(base)
+        for k, i in enumerate(rng.sample(range(10, 290, 6), own)):
+            one[i] = f"a{f}x{k}"
+        two = list(one)
+        for k, i in enumerate(rng.sample(range(7, 290, 6), twin)):
+            two[i] = f"b{f}x{k}"
+        out += [" ".join(one), " ".join(two)]
+    return out
+
+
+def near_classes(df, **options):
+    out = {}
+    for r in near_dedup.near_duplicates(df, **options).collect():
+        out.setdefault(r["class_id"], set()).add(-1 if r["doc_id"] is None else r["doc_id"])
+    return sorted(map(sorted, out.values()))
+
+
+def test_parts_of_large_buckets_all_meet(spark):
+    df = frame(spark, families(90, 4, 4)).cache()
+    want = near_classes(df)
+    assert sum(len(c) == 2 for c in want) >= 60
+    assert near_classes(df, block=2) == want
+
+
 def test_benchmark_passages_are_found(spark):
     rng = random.Random(9)
     prose = lambda n: " ".join(f"t{rng.randrange(3000)}" for _ in range(n))
