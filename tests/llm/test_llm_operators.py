@@ -209,6 +209,11 @@ def test_parts_of_large_buckets_all_meet(spark):
     assert near_classes(df, block=2) == want
 
 
+def test_one_band_suffices_at_every_size(spark):
+    df = frame(spark, families()).cache()
+    assert near_classes(df, bands=1, block=8) == near_classes(df, bands=1)
+
+
 def test_benchmark_passages_are_found(spark):
     rng = random.Random(9)
     prose = lambda n: " ".join(f"t{rng.randrange(3000)}" for _ in range(n))
