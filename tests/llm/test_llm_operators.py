@@ -105,6 +105,24 @@ def test_shards_have_exact_sizes(spark, docs):
     assert sharding.shard_documents(docs.limit(0), n_shards=5).isEmpty()
 
 
+def test_copies_spread_over_shards(spark):
+    df = spark.createDataFrame([(i,) for i in range(200) for _ in range(3)] + [(1000,)] * 300, "doc_id long")
+    for options in ({}, {"min_blocks": 1}):  # one key above an average block, and none
+        seen = []
+        for parts in (2, 5):
+            rows = sharding.shard_uniformly(df.repartition(parts), n_shards=5, key=F.col("doc_id"), **options).select("doc_id", "shard", "slot").collect()
+            seen.append(sorted(tuple(r) for r in rows))
+        assert seen[0] == seen[1]
+        by = {}
+        for i, shard, _ in seen[0]:
+            by.setdefault(i, []).append(shard)
+        assert {i: len(s) for i, s in by.items()} == {**dict.fromkeys(range(200), 3), 1000: 300}
+        assert all(35 <= by[1000].count(s) <= 85 for s in range(5))
+        assert sum(len(set(s)) == 1 for s in by.values()) <= 25  # 8 are expected
+        for s in range(5):
+            assert sorted(slot for _, shard, slot in seen[0] if shard == s) == list(range(180))
+
+
 def test_hypergeometric_matrix_adds_up():
     m = sharding.communication_matrix([7, 0, 5, 20], [8, 8, 8, 8], 3)
     assert [sum(r) for r in m] == [7, 0, 5, 20] and [sum(c) for c in zip(*m, strict=True)] == [8] * 4
