@@ -158,11 +158,11 @@ def contamination(
     one after the other, whatever its size; documents stay where they are, and are
     read once for each block.  Null and empty texts, on either side, hold nothing.
     Items shorter than a shingle are one shingle of their words and match windows of as many words exactly.
-    Items whose id is null are ignored.  Repeated items are items.  Columns of docs are
+    Items whose id is null are items, and item_id is null in their hits.  Repeated items are items.  Columns of docs are
     kept; contaminated and hits replace columns so named.
     """
     spark = docs.sparkSession
-    items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.coalesce(F.col(item_text_col).cast("string"), F.lit("")).alias("text")).where(F.col("item").isNotNull())
+    items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.coalesce(F.col(item_text_col).cast("string"), F.lit("")).alias("text"))
     total = items.agg(F.coalesce(F.sum(F.octet_length("text") + 16), F.lit(0))).first()[0]
     n_blocks = max(1, math.ceil(total / block_bytes))
     rows = docs.drop("contaminated", "hits")
@@ -172,7 +172,8 @@ def contamination(
         sent = spark.sparkContext.broadcast(([r["item"] for r in part], [r["text"] for r in part]))
 
         def find(batches, sent=sent):
-            index = BenchmarkIndex(*sent.value, shingle_words, radius)
+            ids, texts = sent.value
+            index = BenchmarkIndex(list(range(len(ids))), texts, shingle_words, radius)  # places, as ids may be null
             names = [n for n, _ in _FIELDS]
             arrow = pa.struct([(n, {"bigint": pa.int64(), "double": pa.float64(), "int": pa.int32()}[k]) for n, k in _FIELDS])
             tiny = sorted({n for _, n, _ in index.items if n < shingle_words})
@@ -187,7 +188,8 @@ def contamination(
                         for n in tiny:
                             own = {int(index.short(words, first + i, n)[0]): i for i in range(last - first - n, -1, -1)}
                             found += [(int(index.ids[i]), own[int(x[0])], n, 1.0, 0) for i, m, x in index.items if m == n and int(x[0]) in own]
-                        out.append([dict(zip(names, f, strict=True)) for f in sorted(found)])
+                        named = sorted(((ids[i], *f) for i, *f in found), key=lambda f: (f[0] is not None, f[0] or 0, *f[1:]))
+                        out.append([dict(zip(names, f, strict=True)) for f in named])
                     yield pa.RecordBatch.from_arrays([*cut.columns, pa.array(out, pa.list_(arrow))], [*cut.schema.names, "_found"])
 
         source = rows if hits is None else hits

@@ -245,6 +245,13 @@ def test_benchmark_passages_are_found(spark):
     assert decontamination.contamination(frame(spark, values), bench.limit(0)).where("contaminated").isEmpty()
 
 
+def test_items_of_null_id_are_found(spark):
+    bench = spark.createDataFrame([(None, "a b c d e f"), (None, "x y"), (5, "k l m n o p"), (None, None)], "item_id long, text string")
+    values = ["q a b c d e f q", "k l m n o p x y", "nothing", None]
+    got = {r["doc_id"]: (r["contaminated"], [h["item_id"] for h in r["hits"]]) for r in decontamination.contamination(frame(spark, values), bench).collect()}
+    assert got == {0: (True, [None]), 1: (True, [None, 5]), 2: (False, []), 3: (False, [])}
+
+
 def test_quality_on_held_out_rows(spark):
     docs, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     scored = quality.quality_scores(docs, labels).join(labels, "doc_id").where("held_out").toPandas()
