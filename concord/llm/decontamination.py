@@ -11,13 +11,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StructField, StructType
 
-from .hashing import BASES, mix64, window_hashes, words_of
+from .hashing import FIXED, mix64, words_of
+from .shared import nested
 
 _FIELDS = (("item_id", "bigint"), ("first_word", "bigint"), ("n_words", "bigint"), ("similarity", "double"), ("distance", "int"))
 _HITS = ArrayType(StructType([StructField(n, {"bigint": LongType(), "double": DoubleType(), "int": IntegerType()}[k]) for n, k in _FIELDS]))
 _BITS = 64
 _BLOCKS = 4
 _WIDTH = _BITS // _BLOCKS
+_STRETCH = 8192
 
 
 def shingle_bits(hashes: np.ndarray) -> np.ndarray:
@@ -35,113 +37,202 @@ def neighbours(width: int, radius: int) -> np.ndarray:
     return np.array([sum(1 << i for i in c) for r in range(radius + 1) for c in combinations(range(width), r)], dtype=np.uint32)
 
 
-class BenchmarkIndex:
-    """A block of benchmark items: shingles and weights, fingerprints, and for each of 4 blocks of 16 bits which items have it within `block_radius` bits.
+def short_hashes(single: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of runs of n words, fewer than a shingle has, from the words' hashes."""
+    return mix64(FIXED.windows(single, n) ^ np.uint64(n % 8 << 61))
 
-    Two fingerprints within 4 * block_radius + 3 bits are within block_radius in at least
-    one block, so the tables miss none of these.
+
+def built_index(texts: list[str], size: int) -> dict[str, np.ndarray]:
+    """The index of a block of benchmark items as arrays, about five times the texts' bytes: built once, broadcast, and used as it is (see Index).
+
+    Items (those with words): item, its place among texts; words, its number of words; bags from cut[i]
+    to cut[i + 1], its shingles.  Shingles: all that occur, sorted; weights; for each the lengths of
+    the items that hold it.  prints: items' fingerprints; for each block of bits the items in order of
+    its value there, the distinct values, and where each begins.
     """
+    words = words_of(pa.array(texts, pa.string()))
+    counts, single = np.diff(words.first), words.hashes()
+    rolling = mix64(FIXED.windows(single, size))
+    item = np.flatnonzero(counts)
+    bags = [rolling[a : a + n - size + 1] if n >= size else short_hashes(single[a : a + n], n) for a, n in zip(words.first[item].tolist(), counts[item].tolist(), strict=True)]
+    none = np.empty(0, np.uint64)
+    bag, cut = np.concatenate([none, *bags]), np.cumsum([0, *map(len, bags)])
+    owner = np.repeat(np.arange(len(item)), np.diff(cut))
+    shingles, place = np.unique(bag, return_inverse=True)
+    held = np.unique(place * max(1, len(item)) + owner)
+    df = np.bincount(held // max(1, len(item)), minlength=len(shingles))
+    weights = np.log1p(max(1, len(item)) / np.maximum(df, 1))
+    longest = int(counts.max(initial=0)) + 1
+    lengths = np.unique(place * longest + counts[item][owner])
+    out = {"item": item, "words": counts[item], "bags": bag, "cut": cut, "shingles": shingles, "weights": weights, "lengths": lengths % longest, "lengths_cut": np.searchsorted(lengths // longest, np.arange(len(shingles) + 1))}
+    prints = np.array([simhash((shingle_bits(b) * weights[place[a:z], None]).sum(0)[None, :])[0] for b, a, z in zip(bags, cut[:-1], cut[1:], strict=True)], dtype=np.uint64)
+    out["prints"] = prints
+    for b in range(_BLOCKS):
+        part = (prints >> np.uint64(b * _WIDTH) & np.uint64((1 << _WIDTH) - 1)).astype(np.uint32)
+        order = np.argsort(part, kind="stable")
+        values, first = np.unique(part[order], return_index=True)
+        out |= {f"order{b}": order, f"values{b}": values, f"first{b}": np.append(first, len(order))}
+    return out
+
 
-    def __init__(self, ids: list[int], texts: list[str], shingle_words: int, radius: int):
-        self.size, self.radius = shingle_words, radius
-        words = words_of(pa.array(texts, pa.string()))
-        self.ids, counts = np.array(ids, dtype=np.int64), np.diff(words.first)
-        h = self.hashes(words)
-        self.items = []
-        for i, (a, n) in enumerate(zip(words.first[:-1], counts, strict=True)):
-            if n:
-                own = h[a : a + max(1, n - shingle_words + 1)] if n >= shingle_words else self.short(words, a, n)
-                self.items.append((i, int(n), own))
-        shingles, df = np.unique(np.concatenate([np.unique(x) for _, _, x in self.items]) if self.items else np.empty(0, np.uint64), return_counts=True)
-        self.shingles, self.weight = shingles, np.log1p(max(1, len(self.items)) / np.maximum(df, 1))
-        self.unseen = math.log1p(max(1, len(self.items)))
-        self.prints = simhash(np.array([(shingle_bits(x) * self.weights(x)[:, None]).sum(0) for _, _, x in self.items])) if self.items else np.empty(0, np.uint64)
-        near = neighbours(_WIDTH, radius // _BLOCKS)
-        self.tables = []
-        for b in range(_BLOCKS):
-            part = (self.prints >> np.uint64(b * _WIDTH)).astype(np.uint32) & np.uint32((1 << _WIDTH) - 1)
-            keys = (part[:, None] ^ near[None, :]).ravel()
-            order = np.argsort(keys, kind="stable")
-            items = np.repeat(np.arange(len(part)), len(near))[order]
-            self.tables.append((np.searchsorted(keys[order], np.arange((1 << _WIDTH) + 1)), items))
-        self.lengths = {}
-        for j, (_, n, _) in enumerate(self.items):
-            self.lengths.setdefault(n, set()).add(j)
-        self.by_shingle = {}
-        for j, (_, _, x) in enumerate(self.items):
-            for s in set(x.tolist()):
-                self.by_shingle.setdefault(s, []).append(j)
-
-    def short(self, words, a, n):
-        """A text of fewer words than a shingle is one shingle."""
-        single = words.hashes(BASES[2])[a : a + n]
-        return mix64(np.bitwise_xor.reduce(mix64(single + np.arange(n, dtype=np.uint64)), keepdims=True))
-
-    def hashes(self, words) -> np.ndarray:
-        return window_hashes(words.hashes(), self.size, BASES[1])
-
-    def weights(self, hashes: np.ndarray) -> np.ndarray:
-        if not len(self.shingles):
-            return np.full(len(hashes), self.unseen)
-        at = np.minimum(np.searchsorted(self.shingles, hashes), len(self.shingles) - 1)
-        return np.where(self.shingles[at] == hashes, self.weight[at], self.unseen)
+class Index:
+    """Search in the arrays of built_index."""
+
+    def __init__(self, arrays: dict[str, np.ndarray], size: int, radius: int):
+        self.size, self.radius = size, radius
+        for name in ("item", "words", "bags", "cut", "shingles", "weights", "lengths", "lengths_cut", "prints"):
+            setattr(self, name, arrays[name])
+        self.blocks = [(arrays[f"order{b}"], arrays[f"values{b}"], arrays[f"first{b}"]) for b in range(_BLOCKS)]
+        self.near = neighbours(_WIDTH, radius // _BLOCKS)
+        self.unseen = math.log1p(max(1, len(self.item)))
+        self.tiny = {}
+        for j in np.flatnonzero(self.words < size).tolist():
+            self.tiny.setdefault(int(self.words[j]), {}).setdefault(int(self.bags[self.cut[j]]), []).append(j)
+
+    def known(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places among shingles, and whether they are there."""
+        at = np.minimum(np.searchsorted(self.shingles, hashes), max(len(self.shingles) - 1, 0))
+        return at, self.shingles[at] == hashes if len(self.shingles) else np.zeros(len(hashes), bool)
+
+    def weigh(self, hashes: np.ndarray) -> np.ndarray:
+        at, known = self.known(hashes)
+        return np.where(known, self.weights[at], self.unseen) if len(self.shingles) else np.full(len(hashes), self.unseen)
 
     def similarity(self, item: np.ndarray, window: np.ndarray) -> float:
         """Weighted Jaccard similarity of two bags of shingles."""
         a, n = np.unique(item, return_counts=True)
         b, m = np.unique(window, return_counts=True)
         _, i, j = np.intersect1d(a, b, assume_unique=True, return_indices=True)
-        both = (np.minimum(n[i], m[j]) * self.weights(a[i])).sum()
-        return float(both / ((n * self.weights(a)).sum() + (m * self.weights(b)).sum() - both))
+        both = (np.minimum(n[i], m[j]) * self.weigh(a[i])).sum()
+        return float(both / ((n * self.weigh(a)).sum() + (m * self.weigh(b)).sum() - both))
+
+    def within(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of fingerprint and item within the radius.
 
-    def search(self, hashes: np.ndarray, n_words: int, threshold: float) -> list[tuple[int, int, int, float, int]]:
-        """Best window of each item that a text of n_words words holds: item, first word, length, similarity, distance.
+        Fingerprints within 4 * r + 3 bits are within r bits in at least one of 4 blocks.  For each
+        block's value the items near it are found from the patterns of up to r bits, or from
+        the distinct values there are, whichever are fewer; both give the same.
+        """
+        pairs = []
+        for b, (order, values, first) in enumerate(self.blocks):
+            part, at = np.unique((prints >> np.uint64(b * _WIDTH) & np.uint64((1 << _WIDTH) - 1)).astype(np.uint32), return_inverse=True)
+            for a in range(0, len(part), 256):
+                own = part[a : a + 256, None]
+                if len(values) <= len(self.near):
+                    who, value = np.nonzero(np.bitwise_count(own ^ values[None, :]) <= self.radius // _BLOCKS)
+                else:
+                    probe = own ^ self.near[None, :]
+                    place = np.minimum(np.searchsorted(values, probe), len(values) - 1)
+                    who, hit = np.nonzero(values[place] == probe)
+                    value = place[who, hit]
+                begin, many = first[value], first[value + 1] - first[value]
+                items = order[np.arange(many.sum()) + np.repeat(begin - (np.cumsum(many) - many), many)]
+                # from distinct values back to fingerprints
+                groups = np.repeat(who + a, many)
+                by = np.argsort(at, kind="stable")
+                start = np.searchsorted(at[by], np.arange(len(part) + 1))
+                size = start[groups + 1] - start[groups]
+                window = by[np.arange(size.sum()) + np.repeat(start[groups] - (np.cumsum(size) - size), size)]
+                pairs.append(window * len(self.prints) + np.repeat(items, size))
+        pair = np.unique(np.concatenate(pairs))
+        window, item = pair // len(self.prints), pair % len(self.prints)
+        fits = np.bitwise_count(prints[window] ^ self.prints[item]) <= self.radius
+        return window[fits], item[fits]
+
+    def search(self, hashes: np.ndarray, n_words: int, threshold: float) -> list[tuple]:
+        """Best window of each item that a text of n_words words holds: item, first word, length, similarity, distance; hashes: of its shingles.
 
         Windows that share no shingle with an item of their length have similarity 0
         and are not fingerprinted; all others are.
         """
-        at = np.minimum(np.searchsorted(self.shingles, hashes), max(len(self.shingles) - 1, 0))
-        known = np.flatnonzero(self.shingles[at] == hashes) if len(self.shingles) else at[:0]
-        starts: dict[int, set[int]] = {}
-        for p in known.tolist():
-            for j in self.by_shingle[int(hashes[p])]:
-                n = self.items[j][1]
-                span = max(1, n - self.size + 1)
-                starts.setdefault(n, set()).update(range(max(0, p - span + 1), min(p, n_words - n) + 1))
+        place, known = self.known(hashes)
+        at = np.flatnonzero(known)
+        if not len(at):
+            return []
+        begin, many = self.lengths_cut[place[at]], np.diff(self.lengths_cut)[place[at]]
+        length = self.lengths[np.arange(many.sum()) + np.repeat(begin - (np.cumsum(many) - many), many)]
+        at = np.repeat(at, many)
         best: dict[int, tuple] = {}
-        for n, places in starts.items():
-            span = max(1, n - self.size + 1)
-            first = np.array(sorted(places), dtype=np.int64)
-            if not len(first):
-                continue
-            low, high = int(first[0]), int(first[-1]) + span
-            h = hashes[low:high]
-            total = np.zeros((len(h) + 1, _BITS))
-            np.cumsum(shingle_bits(h) * self.weights(h)[:, None], axis=0, out=total[1:])
-            prints = simhash(total[first - low + span] - total[first - low])
-            pairs = []
-            for b, (cut, items) in enumerate(self.tables):
-                part = ((prints >> np.uint64(b * _WIDTH)) & np.uint64((1 << _WIDTH) - 1)).astype(np.int64)
-                size = cut[part + 1] - cut[part]
-                who = np.repeat(np.arange(len(first)), size)
-                offset = np.arange(len(who)) - np.repeat(np.cumsum(size) - size, size)
-                pairs.append(who * len(self.items) + items[np.repeat(cut[part], size) + offset])
-            pair = np.unique(np.concatenate(pairs))
-            window, item = pair // len(self.items), pair % len(self.items)
-            fits = np.isin(item, list(self.lengths[n]))
-            window, item = window[fits], item[fits]
-            distance = np.bitwise_count(prints[window] ^ self.prints[item]).astype(int)
-            for w, j, d in zip(window[distance <= self.radius].tolist(), item[distance <= self.radius].tolist(), distance[distance <= self.radius].tolist(), strict=True):
-                if j in best and best[j][3] >= 1:
-                    continue
-                s = self.similarity(self.items[j][2], hashes[first[w] : first[w] + span])
-                if s >= threshold and (j not in best or s > best[j][3]):
-                    best[j] = (int(self.ids[self.items[j][0]]), int(first[w]), n, s, int(d))
+        for n in np.unique(length[length >= self.size]).tolist():
+            span = n - self.size + 1
+            shared = at[length == n]
+            low, high = np.maximum(shared - span + 1, 0), np.minimum(shared, n_words - n) + 1
+            low, high = low[high > low], high[high > low]
+            open_ = np.bincount(low, minlength=len(hashes) + 1) - np.bincount(high, minlength=len(hashes) + 1)
+            starts = np.flatnonzero(np.cumsum(open_) > 0)
+            # windows a stretch at a time, so that a long text takes no more memory
+            for first in np.split(starts, np.flatnonzero(np.diff(starts // _STRETCH)) + 1) if len(starts) else ():
+                self._search(hashes, first, n, span, threshold, best)
         return sorted(best.values())
 
+    def _search(self, hashes, first, n, span, threshold, best) -> None:
+        low = int(first[0])
+        h = hashes[low : int(first[-1]) + span]
+        total = np.zeros((len(h) + 1, _BITS))
+        np.cumsum(shingle_bits(h) * self.weigh(h)[:, None], axis=0, out=total[1:])
+        prints = simhash(total[first - low + span] - total[first - low])
+        window, item = self.within(prints)
+        fits = self.words[item] == n
+        window, item = window[fits], item[fits]
+        distance = np.bitwise_count(prints[window] ^ self.prints[item])
+        for w, j, d in zip(window.tolist(), item.tolist(), distance.tolist(), strict=True):
+            if j in best and best[j][3] >= 1:
+                continue
+            s = self.similarity(self.bags[self.cut[j] : self.cut[j + 1]], hashes[first[w] : first[w] + span])
+            if s >= threshold and (j not in best or s > best[j][3]):
+                best[j] = (int(self.item[j]), int(first[w]), n, s, int(d))
+
+    def search_all(self, column, threshold: float) -> list[list[tuple]]:
+        """search() for each text of a column, items shorter than a shingle included: these match runs of as many words exactly."""
+        words = words_of(column)
+        single = words.hashes()
+        h = mix64(FIXED.windows(single, self.size))
+        left = words.left()
+        found = [self.search(h[a : max(a, z - self.size + 1)], z - a, threshold) if z - a >= self.size else [] for a, z in zip(words.first[:-1].tolist(), words.first[1:].tolist(), strict=True)]
+        for n, items in self.tiny.items():
+            runs = short_hashes(single, n)
+            hit = np.flatnonzero(np.isin(runs, np.array(list(items), np.uint64)) & (left[: len(runs)] >= n))
+            seen = set()
+            for p, doc in zip(hit.tolist(), (np.searchsorted(words.first, hit, "right") - 1).tolist(), strict=True):
+                for j in items[int(runs[p])]:
+                    if (doc, j) not in seen:
+                        seen.add((doc, j))
+                        found[doc].append((int(self.item[j]), int(p - words.first[doc]), n, 1.0, 0))
+        return found
+
+
+def _with_hits(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str, item_text_col: str, shingle_words: int, threshold: float, radius: int, block_bytes: int) -> DataFrame:
+    """row (the whole row of docs) and hits."""
+    spark = docs.sparkSession
+    items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.coalesce(F.col(item_text_col).cast("string"), F.lit("")).alias("text"))
+    total = items.agg(F.coalesce(F.sum(F.octet_length("text") + 16), F.lit(0))).first()[0]
+    n_blocks = max(1, math.ceil(total / block_bytes))
+    marked = nested(docs, text=F.coalesce(F.col(text_col).cast("string"), F.lit("")), hits=F.array().cast(_HITS))
+    names = [n for n, _ in _FIELDS]
+    arrow = pa.struct([(n, {"bigint": pa.int64(), "double": pa.float64(), "int": pa.int32()}[k]) for n, k in _FIELDS])
+    for b in range(n_blocks):
+        part = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(n_blocks)) == b).orderBy("item", "text").collect()  # about block_bytes
+        sent = spark.sparkContext.broadcast(([r["item"] for r in part], built_index([r["text"] for r in part], shingle_words)))
+
+        def find(batches, sent=sent):
+            ids, arrays = sent.value
+            index = Index(arrays, shingle_words, radius)
+            for batch in batches:
+                for a in range(0, batch.num_rows, 256):
+                    cut = batch.slice(a, 256)
+                    out = []
+                    for found in index.search_all(cut.column("text"), threshold):
+                        hits = sorted(((ids[i], *f) for i, *f in found), key=lambda f: (f[0] is not None, f[0] or 0, *f[1:]))  # places, as ids may be null
+                        out.append([dict(zip(names, f, strict=True)) for f in hits])
+                    yield pa.RecordBatch.from_arrays([*cut.columns, pa.array(out, pa.list_(arrow))], [*cut.schema.names, "found"])
+
+        marked = marked.mapInArrow(find, StructType([*marked.schema.fields, StructField("found", _HITS)]))
+        marked = marked.select("row", "text", F.concat("hits", "found").alias("hits"))
+    return marked.select("row", "hits")
+
 
 def contamination(
-    docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", shingle_words: int = 5, threshold: float = 0.8, radius: int = 19, block_bytes: int = 8 << 20
+    docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", shingle_words: int = 5, threshold: float = 0.8, radius: int = 19, block_bytes: int = 8 << 20
 ) -> DataFrame:
     """Add contaminated (boolean) and hits (array of item_id, first_word, n_words, similarity, distance: the best window of each item) to every row.
 
@@ -155,44 +246,20 @@ def contamination(
     fingerprints differ in about 9.5 bits, so 19 leaves out about one in a thousand.
 
     The benchmark goes to all tasks in blocks of items of about block_bytes of text,
-    one after the other, whatever its size; documents stay where they are, and are
+    one after the other, whatever its size: the driver builds each block's index, some five times
+    its texts' bytes, and broadcasts it.  Documents stay where they are, and are
     read once for each block.  Null and empty texts, on either side, hold nothing.
     Items shorter than a shingle are one shingle of their words and match windows of as many words exactly.
     Items whose id is null are items, and item_id is null in their hits.  Repeated items are items.  Columns of docs are
     kept; contaminated and hits replace columns so named.
     """
-    spark = docs.sparkSession
-    items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.coalesce(F.col(item_text_col).cast("string"), F.lit("")).alias("text"))
-    total = items.agg(F.coalesce(F.sum(F.octet_length("text") + 16), F.lit(0))).first()[0]
-    n_blocks = max(1, math.ceil(total / block_bytes))
-    rows = docs.drop("contaminated", "hits")
-    hits = None
-    for b in range(n_blocks):
-        part = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(n_blocks)) == b).orderBy("item", "text").collect()  # about block_bytes
-        sent = spark.sparkContext.broadcast(([r["item"] for r in part], [r["text"] for r in part]))
+    told = _with_hits(docs, benchmark, text_col, item_col, item_text_col, shingle_words, threshold, radius, block_bytes)
+    kept = [f"row.`{c}`" for c in docs.columns if c not in ("contaminated", "hits")]
+    return told.select(*kept, "hits", (F.size("hits") > 0).alias("contaminated"))
 
-        def find(batches, sent=sent):
-            ids, texts = sent.value
-            index = BenchmarkIndex(list(range(len(ids))), texts, shingle_words, radius)  # places, as ids may be null
-            names = [n for n, _ in _FIELDS]
-            arrow = pa.struct([(n, {"bigint": pa.int64(), "double": pa.float64(), "int": pa.int32()}[k]) for n, k in _FIELDS])
-            tiny = sorted({n for _, n, _ in index.items if n < shingle_words})
-            for batch in batches:
-                for a in range(0, batch.num_rows, 256):
-                    cut = batch.slice(a, 256)
-                    words = words_of(cut.column(text_col))
-                    h = index.hashes(words)
-                    out = []
-                    for first, last in zip(words.first[:-1].tolist(), words.first[1:].tolist(), strict=True):
-                        found = index.search(h[first : max(first, last - shingle_words + 1)], last - first, threshold) if last - first >= shingle_words else []
-                        for n in tiny:
-                            own = {int(index.short(words, first + i, n)[0]): i for i in range(last - first - n, -1, -1)}
-                            found += [(int(index.ids[i]), own[int(x[0])], n, 1.0, 0) for i, m, x in index.items if m == n and int(x[0]) in own]
-                        named = sorted(((ids[i], *f) for i, *f in found), key=lambda f: (f[0] is not None, f[0] or 0, *f[1:]))
-                        out.append([dict(zip(names, f, strict=True)) for f in named])
-                    yield pa.RecordBatch.from_arrays([*cut.columns, pa.array(out, pa.list_(arrow))], [*cut.schema.names, "_found"])
-
-        source = rows if hits is None else hits
-        marked = source.mapInArrow(find, StructType([*source.schema.fields, StructField("_found", _HITS)]))
-        hits = marked.withColumn("hits", F.concat("hits", "_found") if "hits" in marked.columns else F.col("_found")).drop("_found")
-    return hits.withColumn("contaminated", F.size("hits") > 0)
+
+def without_benchmark(
+    docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", shingle_words: int = 5, threshold: float = 0.8, radius: int = 19, block_bytes: int = 8 << 20
+) -> DataFrame:
+    """The rows of docs that hold no item, with the columns of docs and no others; see contamination."""
+    return _with_hits(docs, benchmark, text_col, item_col, item_text_col, shingle_words, threshold, radius, block_bytes).where(F.size("hits") == 0).select("row.*")

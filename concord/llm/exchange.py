@@ -11,23 +11,42 @@ chunk by a cogroup, where the documents meet it.
 
 Both counts grow with the input: chunks hold a bounded number of bytes, buckets
 a bounded number of keys, so a bucket's keys stay sparse in 32 bits at any size.
-A key that a third of all documents hold costs one entry for each chunk, as a
-chunk combines its own copies first.  All of it is recomputed from the input if
-an executor is lost; nothing depends on the order of rows.
+As there is a message for each pair of them, both bounds grow as the square root of
+inputs above 30 GB (see plan()), up to 16 times: at 100 TB a message still holds
+some 8 keys.  A key that a third of all documents hold costs one entry for each
+chunk, as a chunk combines its own copies first; rows that agree in id and text and
+would overfill a chunk go as two rows with a count (see in_chunks()).  All of it is
+recomputed from the input if an executor is lost; nothing depends on the order of rows.
 """
 
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, GroupedData
 from pyspark.sql import functions as F
 
+from .hashing import PRIME
+from .shared import few
+
 MESSAGE = "bucket long, chunk long, keys binary, facts binary"
 REPLY = "chunk long, bucket long, phase int, reply binary"
 _LOW = np.uint64(0xFFFFFFFF)
+_PART_BYTES = 64 << 20
+
+
+@dataclass(frozen=True)
+class Plan:
+    """How a corpus is dealt: its rows and bytes, numbers of chunks and buckets, and tasks that hold chunks."""
+
+    rows: int
+    total: int
+    n_chunks: int
+    n_buckets: int
+    n_parts: int
 
 
 def text_total(docs: DataFrame, text: Column) -> tuple[int, int]:
@@ -36,11 +55,51 @@ def text_total(docs: DataFrame, text: Column) -> tuple[int, int]:
     return int(n), int(size)
 
 
-def in_chunks(docs: DataFrame, id_col: str, text_col: str, total: int, chunk_bytes: int) -> DataFrame:
-    """chunk, id, text (null texts empty); chunks of about chunk_bytes, dealt by a hash of id and text."""
-    n = max(1, math.ceil(total / chunk_bytes))
+def plan(docs: DataFrame, rows: int, total: int, *, chunk_bytes: int, keys: float, bucket_keys: int, row_bytes: int = 40) -> Plan:
+    """keys: an estimate of the corpus's distinct keys."""
+    grown = min(16.0, max(1.0, math.sqrt(total / 30e9)))
+    size = total + row_bytes * rows
+    n_parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / _PART_BYTES))
+    return Plan(rows, total, max(1, math.ceil(size / (chunk_bytes * grown))), max(1, math.ceil(keys / (bucket_keys * grown))), n_parts)
+
+
+def by_chunk(df: DataFrame, p: Plan) -> GroupedData:
+    """df grouped by chunk, in as many partitions as the corpus asks for, or as the session has, if that is more."""
+    if p.n_parts > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        df = df.repartition(p.n_parts, "chunk")
+    return df.groupBy("chunk")
+
+
+def in_chunks(docs: DataFrame, id_col: str, text_col: str, *, chunk_bytes: int, keys_per_byte: float, bucket_keys: int, row_bytes: int = 40) -> tuple[DataFrame, Plan]:
+    """chunk, id, text (null texts empty), copies; and the plan. Chunks are dealt by a hash of id and text.
+
+    Rows that agree in id and text meet in one chunk.  Where they would overfill
+    it, they go as two rows, of which one stands for itself and one for all others
+    (copies): a string of theirs occurs more than once either way, and results of equal rows are equal.
+    """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return docs.select(F.pmod(F.xxhash64(F.col(id_col), text), F.lit(n)).alias("chunk"), F.col(id_col).cast("long").alias("id"), text.alias("text"))
+    slim = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"))
+    same = F.xxhash64("id", "text")
+    counts = slim.groupBy(same.alias("same")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("size"))
+    large = (F.col("n") > 2) & (F.col("size") + row_bytes * F.col("n") > chunk_bytes)
+    rows, total, n_large = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("size"), F.lit(0)), F.count_if(large)).first()
+    p = plan(docs, rows, total, chunk_bytes=chunk_bytes, keys=total * keys_per_byte + rows, bucket_keys=bucket_keys, row_bytes=row_bytes)
+    one = F.lit(1).cast("long")
+    if n_large:  # at most one for each chunk
+        hot = few(counts.where(large).select("same"), n_large)
+        told = slim.withColumn("same", same)
+        twice = told.join(hot, "same", "left_semi").groupBy("id", "text").agg(F.count(F.lit(1)).alias("n"))
+        slim = told.join(hot, "same", "left_anti").select("id", "text", one.alias("copies"))
+        slim = slim.unionAll(twice.select("id", "text", F.explode(F.when(F.col("n") > 1, F.array(one, F.col("n") - 1)).otherwise(F.array(one)))))
+    else:
+        slim = slim.withColumn("copies", one)
+    return slim.select(F.pmod(same, F.lit(p.n_chunks)).alias("chunk"), "id", "text", "copies"), p
+
+
+def each_copy(results: DataFrame) -> DataFrame:
+    """A row for every copy of in_chunks()."""
+    times = F.when(F.col("copies") > 1, F.sequence(F.lit(1).cast("long"), "copies")).otherwise(F.array(F.lit(1).cast("long")))
+    return results.withColumn("copies", F.explode(times)).drop("copies")
 
 
 def routed(hashes: np.ndarray, n_buckets: int) -> np.ndarray:
@@ -99,17 +158,17 @@ def answered(keys: np.ndarray, table: pa.Table, phase: int, kind: type) -> np.nd
     return out
 
 
-#: A fingerprint of 96 bits: two independent hashes, and whether the chunk holds it more than once.
-PAIR = np.dtype([("h", "<u8"), ("g", "<u4")])
+#: A fingerprint of 122 bits: two hashes modulo 2**61 - 1 with bases drawn independently.
+PAIR = np.dtype([("h", "<u8"), ("g", "<u8")])
 
 
 def pair_bucket(h: np.ndarray, n_buckets: int) -> np.ndarray:
-    return (h >> np.uint64(40)) % np.uint64(n_buckets)
+    return h // np.uint64(PRIME // n_buckets + 1)  # in order of h
 
 
 def distinct_pairs(h: np.ndarray, g: np.ndarray, n_buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct fingerprints sorted by bucket, whether each occurs more than once, and each input's place among them."""
-    order = np.lexsort((g, h, pair_bucket(h, n_buckets)))
+    """Distinct fingerprints sorted, and so by bucket, whether each occurs more than once, and each input's place among them."""
+    order = np.lexsort((g, h))
     pairs = np.empty(len(h), dtype=PAIR)
     pairs["h"], pairs["g"] = h[order], g[order]
     new = np.ones(len(h), dtype=bool)

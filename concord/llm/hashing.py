@@ -2,19 +2,30 @@
 
 All functions work on whole columns at once: the UTF-8 bytes of every text of a
 column lie end to end in one buffer, and documents are told apart by offsets.
-Hashes are polynomials modulo 2**64 with odd bases, so a window's hash comes
-from two prefix sums and a power of the base's inverse.
+
+Words and windows of words are hashed by polynomials modulo the prime 2**61 - 1 whose
+bases are drawn at random (Family).  Two different sequences of n values agree
+for at most n of the 2**61 bases, whatever the sequences are.  gram_hashes is a faster
+polynomial modulo 2**64, for which sequences can be built that agree under every base:
+it only chooses places, and never decides that two strings are equal.
 """
 
 from __future__ import annotations
 
+import hashlib
+import random
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 
-BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)
+PRIME = (1 << 61) - 1
+_P = np.uint64(PRIME)
+_S31, _S30, _S61 = np.uint64(31), np.uint64(30), np.uint64(61)
+_M31, _M30 = np.uint64((1 << 31) - 1), np.uint64((1 << 30) - 1)
 _M64 = (1 << 64) - 1
+_LANE = 7  # bytes of a word that make one value
+_LANES = 16
 #: Space, and tab to carriage return: what separates words.
 SEPARATOR = np.isin(np.arange(256), [32, *range(9, 14)])
 
@@ -29,36 +40,94 @@ def mix64(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def powers(base: int, n: int) -> np.ndarray:
-    """base**0 to base**(n-1), modulo 2**64."""
-    out = np.full(max(n, 1), base & _M64, dtype=np.uint64)
-    out[0] = 1
-    return np.cumprod(out, dtype=np.uint64)[:n]
-
+def reduced(x: np.ndarray) -> np.ndarray:
+    """64-bit integers modulo 2**61 - 1."""
+    x = (x & _P) + (x >> _S61)
+    return np.where(x >= _P, x - _P, x)
 
-def _prefix(values: np.ndarray, base: int) -> np.ndarray:
-    out = np.zeros(len(values) + 1, dtype=np.uint64)
-    np.cumsum(values * powers(base, len(values)), out=out[1:])
-    return out
 
+def times(a: np.ndarray, factor: int) -> np.ndarray:
+    """a * factor modulo 2**61 - 1; a below it.
 
-def slice_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int) -> np.ndarray:
-    """Hashes of values[starts[i]:ends[i]] for every i, independent of the position."""
-    total = _prefix(values, base)
-    return mix64((total[ends] - total[starts]) * powers(pow(base, -1, 1 << 64), len(values) + 1)[starts])
+    With halves of 30 and 31 bits, 2**62 is 2 and 2**61 is 1, so all parts fit 64 bits.
+    """
+    factor %= PRIME
+    high, low = np.uint64(factor >> 31), np.uint64(factor & ((1 << 31) - 1))
+    a_high, a_low = a >> _S31, a & _M31
+    middle = a_high * low
+    middle += a_low * high
+    a_high *= high << np.uint64(1)
+    a_low *= low
+    a_low += a_high
+    a_low += middle >> _S30
+    middle &= _M30
+    middle <<= _S31
+    a_low += middle
+    return reduced(a_low)
 
 
 def window_hashes(values: np.ndarray, width: int, base: int) -> np.ndarray:
-    """Hashes of values[i:i+width] for every i that has so many values."""
+    """Hashes below 2**61 - 1 of values[i:i+width] (values below it) for every i that has so many values.
+
+    Windows of twice the width come from two halves, and windows of any width from those of the powers of two in it.
+    """
     n = len(values) - width + 1
     if n <= 0:
         return np.empty(0, dtype=np.uint64)
-    total = _prefix(values, base)
+    out, have, part, size = None, 0, values, 1
+    while True:
+        if width & size:
+            if out is None:
+                out = part
+            else:
+                m = min(len(out), len(part) - have)
+                out = reduced(times(out[:m], pow(base, size, PRIME)) + part[have : have + m])
+            have += size
+        if have == width:
+            return out[:n]
+        part = reduced(times(part[:-size], pow(base, size, PRIME)) + part[size:])
+        size *= 2
+
+
+def gram_hashes(data: np.ndarray, width: int, base: int = 0x9E3779B97F4A7C15) -> np.ndarray:
+    """64-bit hashes of all strings of `width` bytes, from prefix sums modulo 2**64: to choose places by, not to tell strings apart."""
+    n = len(data) - width + 1
+    if n <= 0:
+        return np.empty(0, dtype=np.uint64)
+    total = np.zeros(len(data) + 1, dtype=np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _powers(base, len(data)), out=total[1:])
     out = total[width:] - total[:-width]
-    out *= powers(pow(base, -1, 1 << 64), n)
+    out *= _powers(pow(base, -1, 1 << 64), n)
     return mix64(out)
 
 
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(max(n, 1), base & _M64, dtype=np.uint64)
+    out[0] = 1
+    return np.cumprod(out, dtype=np.uint64)[:n]
+
+
+@dataclass(frozen=True)
+class Family:
+    """Bases of hashes of words and of windows of words."""
+
+    word: int
+    window: int
+
+    @classmethod
+    def drawn(cls, seed: int | None = None) -> Family:
+        """From a seed where results must not change between runs; else from the system's random source."""
+        rng = random.SystemRandom() if seed is None else random.Random(seed)
+        return cls(rng.randrange(1 << 32, PRIME), rng.randrange(1 << 32, PRIME))
+
+    def windows(self, words: np.ndarray, width: int) -> np.ndarray:
+        return window_hashes(words, width, self.window)
+
+
+#: For hashes that must be the same in every run.
+FIXED = Family.drawn(1)
+
+
 def text_bytes(column) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column laid end to end, and each row's offset (one more than rows). Null is empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -89,8 +158,24 @@ class Words:
     first: np.ndarray  # of documents + 1
     byte_is_word: np.ndarray
 
-    def hashes(self, base: int = BASES[0]) -> np.ndarray:
-        return slice_hashes(self.data.astype(np.uint64) + np.uint64(1), self.start, self.end, base)
+    def hashes(self, family: Family = FIXED) -> np.ndarray:
+        """A hash below 2**61 - 1 of each word: a polynomial of its pieces of 7 bytes and its length; words of over 112 bytes by BLAKE2."""
+        size = self.end - self.start
+        out = size.astype(np.uint64)
+        padded = np.concatenate((self.data, np.zeros(8, np.uint8)))
+        values = np.ndarray(len(self.data) + 1, "<u8", padded, strides=(1,))
+        at = np.arange(len(size))
+        for lane in range(_LANES):
+            rest = size[at] - lane * _LANE
+            at, rest = at[rest > 0], rest[rest > 0]
+            if not len(at):
+                break
+            keep = np.uint64(_M64) >> (np.uint64(64) - np.uint64(8) * np.minimum(rest, _LANE).astype(np.uint64))
+            out[at] = reduced(times(out[at], family.word) + (values[self.start[at] + lane * _LANE] & keep))
+        for i in np.flatnonzero(size > _LANE * _LANES).tolist():
+            raw = hashlib.blake2b(self.data[self.start[i] : self.end[i]].tobytes(), digest_size=8, key=family.word.to_bytes(8, "little")).digest()
+            out[i] = int.from_bytes(raw, "little") % PRIME
+        return reduced(times(out, family.word))
 
     def positions(self) -> np.ndarray:
         """Each word's place in its own document."""

@@ -7,13 +7,13 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import exchange as X
 from .components import connected_components
-from .hashing import BASES, mix64, window_hashes, words_of
-from .shared import few, rows_for, written
+from .hashing import FIXED, mix64, words_of
+from .shared import few, nested, rows_for, written
 
 _SLOT_BITS = 14
 _SLOTS = 1 << _SLOT_BITS
@@ -24,7 +24,8 @@ _NO_ID = -(1 << 63)
 def shingles(column, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct shingles of each text in order of hash: text number, hash, and how often; a text of fewer than `size` words has its words as one shingle."""
     words = words_of(column)
-    h = window_hashes(words.hashes(), size, BASES[1])
+    single = words.hashes()
+    h = mix64(FIXED.windows(single, size))
     at = np.flatnonzero(words.left()[: len(h)] >= size)
     per = np.diff(words.first)
     counts = np.where(per >= size, per - size + 1, per > 0)
@@ -33,8 +34,8 @@ def shingles(column, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     hashes[np.repeat(per >= size, counts)] = h[at]
     short = np.flatnonzero((per > 0) & (per < size))
     if len(short):
-        single = words.hashes(BASES[2])
-        hashes[cuts[short]] = [int(mix64(np.bitwise_xor.reduce(mix64(single[a:b] + np.arange(b - a, dtype=np.uint64)), keepdims=True))[0]) for a, b in zip(words.first[short], words.first[short + 1], strict=True)]
+        whole = [FIXED.windows(single[a:b], b - a)[0] ^ np.uint64((b - a) % 8 << 61) for a, b in zip(words.first[short].tolist(), words.first[short + 1].tolist(), strict=True)]
+        hashes[cuts[short]] = mix64(np.array(whole, dtype=np.uint64))
     for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
         hashes[a:b].sort()
     doc = np.repeat(np.arange(len(per)), counts)
@@ -101,12 +102,15 @@ def classed_texts(
     part_bytes: int = 8 << 20,
     seed: int = 7,
 ) -> DataFrame:
-    """For every distinct text: digest (MD5), first (id and digest of its class's first row), class_size (rows), n_links (verified links to other texts).
+    """For every distinct text: digest (MD5), first (id and digest of its class's first row), class_size (rows).
 
     A text is a weighted set of shingles of shingle_words words: how often the shingle
     occurs in it times 1 + idf_share * ln(1 + N / df) / ln(1 + N), df counted over all
     documents (in chunks and buckets, see exchange.py; stored to an eighth of a power
-    of two).  Texts are linked if their weighted Jaccard similarity, computed from the
+    of two; shingles of a bucket that agree in 32 bits, one in some thousands, share a count).
+    Rarity gets a share of the weight only: under plain TF-IDF the few shingles that an edit
+    makes unique would outweigh all those that many copies share, and copies of a text that
+    is copied thousands of times would fall apart.  Texts are linked if their weighted Jaccard similarity, computed from the
     sets, is at least threshold.  Classes are connected components of links and of equal texts.
 
     Equal texts are one node throughout.  Candidates share a band of `rows` of
@@ -125,20 +129,22 @@ def classed_texts(
     shingle_words words are one shingle.  Null ids count as the least id.
     Repeated rows are equal texts.  An empty table has no classes.
     """
-    n_docs, total = X.text_total(docs, F.col(text_col))
-    chunks = X.in_chunks(docs, id_col, text_col, total + 40 * n_docs, chunk_bytes).withColumn("id", F.coalesce("id", F.lit(_NO_ID)))
-    n_buckets = max(1, math.ceil((total / 6 + n_docs) / bucket_keys))
+    chunks, plan = X.in_chunks(docs, id_col, text_col, chunk_bytes=chunk_bytes, keys_per_byte=1 / 6, bucket_keys=bucket_keys)
+    chunks = chunks.withColumn("id", F.coalesce("id", F.lit(_NO_ID)))
+    n_docs, n_buckets = plan.rows, plan.n_buckets
+    by_chunk = lambda df: X.by_chunk(df, plan)
     log_n = math.log1p(max(n_docs, 1))
 
     def ask(key, table):
-        _, hashes, _ = shingles(table.column("text"), shingle_words)
-        keys, times = np.unique(X.routed(hashes, n_buckets), return_counts=True)
-        return X.messages(key[0].as_py(), keys, np.minimum(times, 60_000).astype("<u2"))
+        doc, hashes, _ = shingles(table.column("text"), shingle_words)
+        keys, inverse = np.unique(X.routed(hashes, n_buckets), return_inverse=True)
+        times = np.bincount(inverse, table.column("copies").to_numpy()[doc], len(keys))
+        return X.messages(key[0].as_py(), keys, times.astype("<u8"))
 
     def count(key, table):
         keys, ends, facts = X.bucket_keys(table)
         _, inverse = np.unique(keys, return_inverse=True)
-        df = np.bincount(inverse, np.frombuffer(b"".join(facts), "<u2"))
+        df = np.bincount(inverse, np.frombuffer(b"".join(facts), "<u8"))
         return X.replies(table, np.minimum(np.round(8 * np.log2(np.maximum(df, 1))), 255).astype(np.uint8)[inverse], ends, 1)
 
     factor = (1 + idf_share * np.log1p(n_docs / 2.0 ** (np.arange(256) / 8)) / log_n).astype(np.float32)  # of each answer
@@ -157,13 +163,13 @@ def classed_texts(
         """A chunk's distinct texts, the least id and number of rows of each."""
         own: dict[bytes, int] = {}
         least, times = [], []
-        for i, (d, x) in enumerate(zip(digests_of(table.column("text")), table.column("id").to_pylist(), strict=True)):
+        for i, (d, x, n) in enumerate(zip(digests_of(table.column("text")), table.column("id").to_pylist(), table.column("copies").to_pylist(), strict=True)):
             j = own.setdefault(d, len(own))
             if j == len(least):
                 least.append((i, x))
-                times.append(1)
+                times.append(n)
             else:
-                times[j] += 1
+                times[j] += n
                 if x < least[j][1]:
                     least[j] = (least[j][0], x)
         return list(own), least, times
@@ -183,7 +189,7 @@ def classed_texts(
         for b in range(bands):
             h = np.full(len(digests), b + 1, dtype=np.uint64)
             for i in range(b * rows, (b + 1) * rows):
-                h = mix64(h ^ samples[:, i].astype(np.uint64) * np.uint64(BASES[0]))
+                h = mix64(h ^ samples[:, i].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
             keys[:, b] = h
         signed = keys.view(np.int64)
         # and one row more, with the answers: the sets of candidates are weighed by them later
@@ -206,21 +212,15 @@ def classed_texts(
         codes = next(c for c in right.column("codes").to_pylist() if c is not None)
         column = table.column("text").take(pa.array([i for i, _ in least], pa.int64()))
         doc, hashes, weight, _ = weighed(column, lambda _: np.frombuffer(codes, np.uint8))
-        small = (hashes >> np.uint64(32)).astype("<u4")  # sorted as the hashes are
-        new = np.ones(len(doc), dtype=bool)
-        new[1:] = (doc[1:] != doc[:-1]) | (small[1:] != small[:-1])
-        # shingles of a text that agree in these 32 bits count as one of their weights' sum
-        at = np.flatnonzero(new)
-        doc, small, weight = doc[at], small[at], np.add.reduceat(weight, at).astype("<f4") if len(at) else weight.astype("<f4")
         cuts = np.searchsorted(doc, np.arange(len(digests) + 1)).tolist()
         return pa.table({
             "digest": pa.array([digests[j] for j in pick], pa.binary()),
-            "shingles": pa.array([small[cuts[j] : cuts[j + 1]].tobytes() for j in pick], pa.binary()),
+            "shingles": pa.array([hashes[cuts[j] : cuts[j + 1]].tobytes() for j in pick], pa.binary()),
             "weights": pa.array([weight[cuts[j] : cuts[j + 1]].tobytes() for j in pick], pa.binary()),
         })
 
-    frequencies = chunks.groupBy("chunk").applyInArrow(ask, X.MESSAGE).groupBy("bucket").applyInArrow(count, X.REPLY)
-    signed = written(chunks.groupBy("chunk").cogroup(frequencies.groupBy("chunk")).applyInArrow(sign, _TEXT), "signed")
+    frequencies = by_chunk(chunks).applyInArrow(ask, X.MESSAGE).groupBy("bucket").applyInArrow(count, X.REPLY)
+    signed = written(by_chunk(chunks).cogroup(by_chunk(frequencies)).applyInArrow(sign, _TEXT), "signed")
     texts = signed.where(F.col("digest").isNotNull()).groupBy("digest")
     texts = written(texts.agg(F.min("id").alias("id"), F.sum("n").alias("n"), F.min("chunk").alias("chunk"), F.first("size").alias("shingles"), F.first("keys").alias("keys"), F.first("samples").alias("samples")), "texts")
 
@@ -232,7 +232,7 @@ def classed_texts(
     sizes = written(sizes.groupBy("size", "volume", "head", "tail", "content").agg(F.min(F.struct("band", "key")).alias("bucket")), "buckets")
     twos = sizes.where(F.col("size") == 2).select(F.col("head").alias("a"), F.col("tail").alias("b"))
     more = sizes.where(F.col("size") > 2).select(F.col("bucket.band").alias("band"), F.col("bucket.key").alias("key"), "bucket", "size", "volume", "head")
-    members = banded.join(more, ["band", "key"]).select("bucket", "size", "volume", "head", "digest", "shingles", "samples")
+    members = banded.join(few(more, more.count()), ["band", "key"]).select("bucket", "size", "volume", "head", "digest", "shingles", "samples")
     fits = (F.col("size") <= block) & (F.col("volume") <= block_shingles)
     small = members.where(fits).select(F.xxhash64("bucket").alias("block"), F.col("bucket.band").alias("band"), F.lit(-1).alias("side"), "digest", "samples")
     large = members.where(~fits)
@@ -242,7 +242,7 @@ def classed_texts(
     start = written(twos.unionAll(stars).distinct(), "pairs")
     wanted = small.select("digest").unionAll(large.select("digest")).unionAll(start.select(F.explode(F.array("a", "b")).alias("digest"))).distinct().join(texts.select("digest", "chunk"), "digest")
     told = signed.where(F.col("codes").isNotNull()).select("chunk", "digest", "codes").unionAll(wanted.select("chunk", "digest", F.lit(None).cast("binary").alias("codes")))
-    found = written(chunks.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(sets, "digest binary, shingles binary, weights binary"), "sets")
+    found = written(by_chunk(chunks).cogroup(by_chunk(told)).applyInArrow(sets, "digest binary, shingles binary, weights binary"), "sets")
 
     def block_links(band, side, component, samples, shingles, weights):
         """Links of a block between texts of different components, until what is linked is one component; of two sides (0, 1; else -1) only across, and only of pairs that share no band before this."""
@@ -252,8 +252,8 @@ def classed_texts(
         x = np.frombuffer(b"".join(samples), np.uint32).reshape(n, -1)
         # a pair at the threshold agrees in fewer samples with a probability under 0.001
         least = max(1, math.floor(x.shape[1] * threshold - 3.2 * math.sqrt(x.shape[1] * threshold * (1 - threshold))))
-        cuts = np.cumsum([0, *(len(b) // 4 for b in shingles)])
-        known, place = np.unique(np.frombuffer(b"".join(shingles), "<u4"), return_inverse=True)
+        cuts = np.cumsum([0, *(len(b) // 8 for b in shingles)])
+        known, place = np.unique(np.frombuffer(b"".join(shingles), "<u8"), return_inverse=True)
         weight = np.frombuffer(b"".join(weights), "<f4")
         total = np.add.reduceat(weight, cuts[:-1], dtype=np.float64)
         own_weight = np.zeros(len(known), dtype=np.float32)
@@ -296,7 +296,7 @@ def classed_texts(
     def verify(batches):
         for batch in batches:
             cols = [batch.column(c).to_pylist() for c in ("sa", "wa", "sb", "wb")]
-            similar = [weighted_jaccard((np.frombuffer(a, "<u4"), np.frombuffer(w, "<f4")), (np.frombuffer(b, "<u4"), np.frombuffer(v, "<f4"))) for a, w, b, v in zip(*cols, strict=True)]
+            similar = [weighted_jaccard((np.frombuffer(a, "<u8"), np.frombuffer(w, "<f4")), (np.frombuffer(b, "<u8"), np.frombuffer(v, "<f4"))) for a, w, b, v in zip(*cols, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(similar, pa.float64())], ["a", "b", "similarity"])
 
     left = found.select(F.col("digest").alias("a"), F.col("shingles").alias("sa"), F.col("weights").alias("wa"))
@@ -340,12 +340,10 @@ def classed_texts(
         merged = written(rows_for(connected_components(ends, a="ca", b="cb"), 2 * joins), "merged")
         nodes = components.unionAll(ends.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("ca").alias("component")), F.struct(F.col("b").alias("node"), F.col("cb").alias("component")))).alias("x")).select("x.*")).distinct()
         components = written(nodes.join(few(merged.select(F.col("node").alias("component"), F.col("component").alias("to")), 2 * joins), "component", "left").select("node", F.coalesce("to", "component").alias("component")), "components")
-    links = links.unionAll(new).distinct()
-    degree = links.select(F.explode(F.array("a", "b")).alias("digest")).groupBy("digest").agg(F.count(F.lit(1)).alias("n_links"))
-    classed = texts.select("digest", "id", "n").join(components.withColumnRenamed("node", "digest"), "digest", "left").join(degree, "digest", "left")
+    classed = texts.select("digest", "id", "n").join(components.withColumnRenamed("node", "digest"), "digest", "left")
     classed = classed.withColumn("component", F.coalesce("component", "digest"))
     whole = written(classed.groupBy("component").agg(F.min(F.struct("id", "digest")).alias("first"), F.sum("n").alias("class_size")), "classes")
-    return written(classed.join(whole, "component").select("digest", "first", "class_size", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")), "classed")
+    return written(classed.join(whole, "component").select("digest", "first", "class_size"), "classed")
 
 
 def _digest(text_col: str):
@@ -353,10 +351,10 @@ def _digest(text_col: str):
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """id, class_id (least id of its class), class_size, n_links (verified links of its text to other texts) for every row; options: see classed_texts."""
+    """id, class_id (least id of its class), class_size (rows) for every row; options: see classed_texts."""
     classed = classed_texts(docs, id_col=id_col, text_col=text_col, **options)
     named = docs.select(F.col(id_col), _digest(text_col).alias("digest"))
-    return named.join(classed, "digest", "left").select(id_col, F.nullif("first.id", F.lit(_NO_ID)).alias("class_id"), "class_size", "n_links")
+    return named.join(classed, "digest", "left").select(id_col, F.nullif("first.id", F.lit(_NO_ID)).alias("class_id"), "class_size")
 
 
 def first_of_class(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = 1_000_000, **options) -> DataFrame:
@@ -365,14 +363,19 @@ def first_of_class(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     Texts stay where they are if the list of what goes has at most broadcast_rows rows of some 40 bytes: it is broadcast then.
     """
     classed = classed_texts(docs, id_col=id_col, text_col=text_col, **options)
-    own = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("_id"), _digest(text_col).alias("_digest"))
-    own = own.groupBy("_id", "_digest").agg(F.count(F.lit(1)).alias("_times"))
-    told = written(own.join(classed, own["_digest"] == classed["digest"]).select("_id", "_digest", "_times", ((F.col("first.id") == F.col("_id")) & (F.col("first.digest") == F.col("_digest"))).alias("_stays")), "told")
-    gone = told.where(~F.col("_stays")).select("_id", "_digest")
+    own = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("id"), _digest(text_col).alias("digest"))
+    own = own.groupBy("id", "digest").agg(F.count(F.lit(1)).alias("times"))
+    stays = (F.col("first.id") == F.col("id")) & (F.col("first.digest") == F.col("digest"))
+    told = written(own.join(classed, "digest").select("id", "digest", "times", stays.alias("stays")), "told")
+    named = nested(docs, id=F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)), digest=_digest(text_col))
+    gone = told.where(~F.col("stays")).select("id", "digest")
     gone = F.broadcast(gone) if gone.count() <= broadcast_rows else gone
-    marked = docs.withColumns({"_id": F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)), "_digest": _digest(text_col)})
-    kept = marked.join(gone, ["_id", "_digest"], "left_anti")
-    if told.where(F.col("_stays") & (F.col("_times") > 1)).isEmpty():
-        return kept.drop("_id", "_digest")
-    rank = Window.partitionBy("_id", "_digest").orderBy(F.xxhash64(*[c for c in docs.columns]))
-    return kept.withColumn("_rank", F.row_number().over(rank)).where(F.col("_rank") == 1).drop("_id", "_digest", "_rank")
+    kept = named.join(gone, ["id", "digest"], "left_anti")
+    many = told.where(F.col("stays") & (F.col("times") > 1)).select("id", "digest")
+    n_many = many.count()
+    if n_many:
+        # equal in id and text: combined within tasks before they are shuffled, so no task gets all of them
+        many = few(many, n_many)
+        one = kept.join(many, ["id", "digest"], "left_semi").groupBy("id", "digest").agg(F.min_by("row", F.xxhash64(F.to_json("row"))).alias("row"))
+        kept = kept.join(many, ["id", "digest"], "left_anti").select("row").unionAll(one.select("row"))
+    return kept.select("row.*")

@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from urllib.parse import urlparse
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -27,6 +27,11 @@ def local(path: str) -> str:
     return parsed.path
 
 
+def nested(docs: DataFrame, only: list[str] | None = None, /, **columns: Column) -> DataFrame:
+    """Rows whole (or the columns `only` of them) in one column, row, beside columns of an operator's own: no name in docs can clash with those. row.* gives them back."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in only or docs.columns]).alias("row"), *[c.alias(name) for name, c in columns.items()])
+
+
 def few(df: DataFrame, rows: int, most: int = 200_000) -> DataFrame:
     """df, which has `rows` rows of two or three short keys at most, marked for a broadcast if these are not over `most` (some 20 MB)."""
     return F.broadcast(df) if rows <= most else df

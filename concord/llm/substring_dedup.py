@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import math
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import exchange as X
-from .hashing import BASES, covered, window_hashes, words_of
+from .hashing import Family, covered, mix64, words_of
 
 
 def substring_dedup(
@@ -25,9 +24,11 @@ def substring_dedup(
     within buckets: a filter that may pass too much, never too little).  A hit is
     extended to exact repeats group by group rather than pair by pair: all
     `window`-word windows around a block that another place probed are counted by
-    96-bit fingerprints of their words; what is counted twice is repeated, and
+    fingerprints of their words; what is counted twice is repeated, and
     overlapping repeats merge into maximal runs.  n copies so cost n entries, not
-    n * n pairs.
+    n * n pairs.  A fingerprint is two polynomials modulo 2**61 - 1 whose bases are drawn
+    anew for each call: whatever the texts, two different windows agree with a
+    probability under 2**-110, so no text can be made for which they do.
 
     Returns a row for each input row: id, n_words, n_removed, kept_sha256, n_spans
     (maximal removed runs), and with keep_text the kept words joined by one space.
@@ -36,23 +37,28 @@ def substring_dedup(
     other columns are left out.
     """
     block = (window + 1) // 2
-    rows, total = X.text_total(docs, F.col(text_col))
-    chunks = X.in_chunks(docs, id_col, text_col, total + 40 * rows, chunk_bytes)
-    n_buckets = max(1, math.ceil((total / 6 + rows) / bucket_keys))
+    chunks, plan = X.in_chunks(docs, id_col, text_col, chunk_bytes=chunk_bytes, keys_per_byte=1 / 6, bucket_keys=bucket_keys)
+    n_buckets = plan.n_buckets
+    one, two = Family.drawn(), Family.drawn()
 
     def anchors(words):
         """Of every rolling block of the column's documents: its first word, routed hash, and whether it is a fixed block."""
-        h = window_hashes(words.hashes(), block, BASES[1])
+        h = mix64(one.windows(words.hashes(one), block))
         at = np.flatnonzero(words.left()[: len(h)] >= block) if len(h) else np.empty(0, np.int64)
         fixed = words.positions()[at] % block == 0
         return at, X.routed(h[at], n_buckets), fixed
 
+    def copied(words, table, at):
+        """Which of the words at these places are of rows that stand for several."""
+        return np.repeat(table.column("copies").to_numpy() > 1, np.diff(words.first))[at]
+
     def ask(key, table):
         words = words_of(table.column("text"))
-        _, keys, fixed = anchors(words)
+        at, keys, fixed = anchors(words)
         own, inverse, times = np.unique(keys, return_inverse=True, return_counts=True)
         facts = (times > 1).astype(np.uint8) * 2
         facts[inverse[fixed]] |= 1
+        facts[inverse[copied(words, table, at)]] |= 2
         return X.messages(key[0].as_py(), own, facts)
 
     def probe(key, table):
@@ -77,14 +83,13 @@ def substring_dedup(
         # blocks wholly inside a window start within its first window - block + 1 words
         inside = reach[starts + window - block] - np.where(starts > 0, reach[starts - 1], 0)
         starts = starts[inside > 0]
-        base = words.hashes()
-        h = window_hashes(base, window, BASES[2])
-        g = window_hashes(words.hashes(BASES[1]), window, BASES[0])
-        return starts, h[starts], (g[starts] >> np.uint64(32)).astype(np.uint32)
+        return starts, one.windows(words.hashes(one), window)[starts], two.windows(words.hashes(two), window)[starts]
 
     def extend(key, table, right):
-        _, h, g = candidates(words_of(table.column("text")), right)
-        pairs, many, _ = X.distinct_pairs(h, g, n_buckets)
+        words = words_of(table.column("text"))
+        starts, h, g = candidates(words, right)
+        pairs, many, inverse = X.distinct_pairs(h, g, n_buckets)
+        many[inverse[copied(words, table, starts)]] = True
         return X.pair_messages(key[0].as_py(), pairs, many, n_buckets)
 
     def remove(key, table, right):
@@ -102,20 +107,23 @@ def substring_dedup(
         text, at = joined(words.data[words.byte_is_word], lens, kept, first)
         parts = [text[a:b].tobytes() for a, b in zip(at[:-1], np.maximum(at[1:] - 1, at[:-1]), strict=True)]
         out = {
-            id_col: table.column("id"),
+            "id": table.column("id"),
             "n_words": pa.array(np.diff(first).astype(np.int64)),
             "n_removed": pa.array(count(gone).astype(np.int64)),
             "kept_sha256": pa.array([hashlib.sha256(p).hexdigest() for p in parts], pa.string()),
             "n_spans": pa.array(count(begins).astype(np.int64)),
+            "copies": table.column("copies"),
         }
         if keep_text:
             out["kept_text"] = pa.array([p.decode("utf-8", "replace") for p in parts], pa.string())
         return pa.table(out)
 
-    first = chunks.groupBy("chunk").applyInArrow(ask, X.MESSAGE).groupBy("bucket").applyInArrow(probe, X.REPLY)
-    second = chunks.groupBy("chunk").cogroup(first.groupBy("chunk")).applyInArrow(extend, X.MESSAGE).groupBy("bucket").applyInArrow(lambda key, table: X.repeated_pairs(table, 2), X.REPLY)
-    schema = f"{id_col} long, n_words long, n_removed long, kept_sha256 string, n_spans long" + ", kept_text string" * keep_text
-    return chunks.groupBy("chunk").cogroup(first.unionAll(second).groupBy("chunk")).applyInArrow(remove, schema)
+    grouped = lambda df: X.by_chunk(df, plan)
+    first = grouped(chunks).applyInArrow(ask, X.MESSAGE).groupBy("bucket").applyInArrow(probe, X.REPLY)
+    second = grouped(chunks).cogroup(grouped(first)).applyInArrow(extend, X.MESSAGE).groupBy("bucket").applyInArrow(lambda key, table: X.repeated_pairs(table, 2), X.REPLY)
+    schema = "id long, n_words long, n_removed long, kept_sha256 string, n_spans long, copies long" + ", kept_text string" * keep_text
+    out = grouped(chunks).cogroup(grouped(first.unionAll(second))).applyInArrow(remove, schema)
+    return X.each_copy(out).withColumnRenamed("id", id_col)
 
 
 def joined(word_bytes: np.ndarray, lens: np.ndarray, kept: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

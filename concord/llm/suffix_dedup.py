@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import exchange as X
-from .hashing import BASES, covered, text_bytes, window_hashes
+from .hashing import Family, covered, gram_hashes, text_bytes
 
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 _FOUND = "bucket long, chunk long, keys binary, facts binary, piece binary, digest binary, left int, windows int, copies int"
@@ -113,15 +113,15 @@ def suffix_dedup(
     """
     if gram + sample - 1 > width:
         raise ValueError("a string must hold a run of grams")
-    rows, total = X.text_total(docs, F.col(text_col))
-    chunks = X.in_chunks(docs, id_col, text_col, total + 60 * rows, chunk_bytes)
-    n_buckets = max(1, math.ceil((total + 60 * rows) / bucket_bytes))
+    chunks, plan = X.in_chunks(docs, id_col, text_col, chunk_bytes=chunk_bytes, keys_per_byte=1.0, bucket_keys=bucket_bytes, row_bytes=60)
+    n_buckets = plan.n_buckets
+    one, two = Family.drawn(), Family.drawn()
     runs_in_width = width - (gram + sample - 1) + 1
 
     def least(data, offs):
         """Hashes of grams; of each run of grams its least hash; whether that run lies in one document; the document of each byte."""
         doc = np.repeat(np.arange(len(offs) - 1, dtype=np.int32), np.diff(offs))
-        grams = window_hashes(data.astype(np.uint64) + np.uint64(1), gram, BASES[0])
+        grams = gram_hashes(data, gram)
         runs = sliding_min(grams, sample)
         span = gram + sample - 2
         return grams, runs, doc[span : span + len(runs)] == doc[: len(runs)], doc
@@ -199,7 +199,7 @@ def suffix_dedup(
 
     def fingerprints(data, start):
         wide = data.astype(np.uint64) + np.uint64(1)
-        return window_hashes(wide, width, BASES[1])[start], (window_hashes(wide, width, BASES[2])[start] >> np.uint64(32)).astype(np.uint32)
+        return one.windows(wide, width)[start], two.windows(wide, width)[start]
 
     def deal(key, table, right):
         chunk = key[0].as_py()
