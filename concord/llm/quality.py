@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .hashing import SEPARATOR, text_bytes, words_of
+from .shared import nested
 
 TERMS = 4096
 _STEPS = 8
@@ -52,18 +53,38 @@ def term_counts(column, with_shape: bool = True) -> tuple[np.ndarray, np.ndarray
 
 
 def vectors(counts: np.ndarray, shape: np.ndarray, idf: np.ndarray, shape_weight: float) -> np.ndarray:
-    x = np.log1p(counts) * idf
+    x = np.log1p(counts, dtype=np.float32)
+    x *= idf.astype(np.float32)
     x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-    return np.hstack([x, shape * shape_weight]).astype(np.float32)
+    return np.hstack([x, (shape * shape_weight).astype(np.float32)])
 
 
-def latent_space(x: np.ndarray, rank: int, seed: int = 5, rounds: int = 6) -> np.ndarray:
+class Learnt:
+    """Features of labelled texts as packed rows; blocks of dense vectors are made when they are used, so few are in memory."""
+
+    def __init__(self, rows: list, idf: np.ndarray, shape_weight: float):
+        self.rows, self.idf, self.shape_weight = rows, idf, shape_weight
+
+    def blocks(self):
+        for a in range(0, len(self.rows), _ROWS):
+            part = self.rows[a : a + _ROWS]
+            counts, shape = np.zeros((len(part), TERMS), dtype=np.float32), np.zeros((len(part), DIMS - TERMS), dtype=np.float32)
+            for i, r in enumerate(part):
+                counts[i, np.frombuffer(r["terms"], "<u2")] = np.frombuffer(r["tf"], "<f4")
+                shape[i, np.frombuffer(r["marks"], "<u2")] = 1
+            yield vectors(counts, shape, self.idf, self.shape_weight)
+
+    def times(self, basis: np.ndarray) -> np.ndarray:
+        return np.concatenate([x @ basis for x in self.blocks()])
+
+
+def latent_space(x: Learnt, rank: int, seed: int = 5, rounds: int = 6) -> np.ndarray:
     """The leading right singular vectors of x as columns, by subspace iteration."""
-    rank = max(1, min(rank, *x.shape))
-    basis = np.random.default_rng(seed).standard_normal((x.shape[1], min(rank + 16, x.shape[1]))).astype(np.float32)
+    rank = max(1, min(rank, len(x.rows), DIMS))
+    basis = np.random.default_rng(seed).standard_normal((DIMS, min(rank + 16, DIMS))).astype(np.float32)
     for _ in range(rounds):
-        basis, _ = np.linalg.qr(x.T @ (x @ basis))
-    _, _, v = np.linalg.svd(x @ basis, full_matrices=False)
+        basis, _ = np.linalg.qr(sum(b.T @ (b @ basis) for b in x.blocks()))
+    _, _, v = np.linalg.svd(x.times(basis), full_matrices=False)
     return (basis @ v.T)[:, :rank].astype(np.float32)
 
 
@@ -80,14 +101,13 @@ def votes(x: np.ndarray, known: np.ndarray, labels: np.ndarray, k: int, sharpnes
     return np.clip((weight * labels[near]).sum(1) / weight.sum(1), 0, 1)
 
 
-def with_quality(
+def scored_rows(
     docs: DataFrame,
     labels: DataFrame,
     *,
     id_col: str = "doc_id",
     text_col: str = "text",
     label_col: str = "quality",
-    score_col: str = "score",
     keep: list[str] | None = None,
     per_label: int = 2000,
     rank: int = 64,
@@ -96,7 +116,7 @@ def with_quality(
     shape_weight: float = 0.6,
     folds: int = 5,
 ) -> DataFrame:
-    """Add score_col (double, 0 to 1, higher: label 1 likelier) to every row; keep: the columns to return beside it, all by default.
+    """row (the columns keep of docs, all by default, as one struct) and score (double, 0 to 1, higher: label 1 likelier) for every row.
 
     Terms are hashed byte trigrams of the whole text (TF-IDF; document frequencies
     count all documents) and its shape: steps of its length, of shares of capitals,
@@ -111,13 +131,12 @@ def with_quality(
 
     Null and empty texts have the shape of an empty text and a score like any other.
     Without usable labels every score is 0.5.  Labels other than 0 and 1 or of null
-    ids are ignored; several labels of one id all count.  Rows that repeat an id are
-    scored one by one.  A column named score_col is replaced.
+    ids are ignored; an id with both labels counts for both, and of rows that repeat a
+    labelled id one text is learnt from.  Rows that repeat an id are scored one by one.  Extra columns may have any names.
     """
     spark = docs.sparkSession
-    keep = [c for c in (docs.columns if keep is None else keep) if c != score_col]
     slim = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
-    fine = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y")).where(F.col("_y").isin(0, 1) & F.col("_id").isNotNull() & ~held_out(F.col("_id"), folds))
+    fine = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y")).where(F.col("_y").isin(0, 1) & F.col("_id").isNotNull() & ~held_out(F.col("_id"), folds)).distinct()
     sample = [r for y in (0, 1) for r in fine.where(F.col("_y") == y).orderBy(F.xxhash64("_id"), "_id").limit(per_label).collect()]
 
     def frequencies(batches):
@@ -145,17 +164,14 @@ def with_quality(
         df = np.array([table.get(t, 0) for t in range(TERMS)])
         idf = np.log((1 + table.get(TERMS, 0)) / (1 + df)) + 1
         ids = spark.createDataFrame([(r["_id"], r["_y"]) for r in sample], "_id long, _y int")
-        learnt = slim.join(F.broadcast(ids), "_id").select("_text", "_y").mapInArrow(features, "y int, terms binary, tf binary, marks binary").collect()  # at most 2 * per_label rows, and rows that repeat their ids
+        # one text for each id and label, that of least hash: at most 2 * per_label rows, however often an id repeats
+        texts = slim.join(F.broadcast(ids), "_id").groupBy("_id", "_y").agg(F.min_by("_text", F.xxhash64("_text")).alias("_text"))
+        learnt = texts.select("_text", "_y").mapInArrow(features, "y int, terms binary, tf binary, marks binary").collect()
         if learnt:
-            counts, shape = np.zeros((len(learnt), TERMS), dtype=np.float32), np.zeros((len(learnt), DIMS - TERMS), dtype=np.float32)
-            for i, r in enumerate(learnt):
-                counts[i, np.frombuffer(r["terms"], "<u2")] = np.frombuffer(r["tf"], "<f4")
-                shape[i, np.frombuffer(r["marks"], "<u2")] = 1
-            y = np.array([r["y"] for r in learnt], dtype=np.float32)
-            x = vectors(counts, shape, idf, shape_weight)
-            order = np.lexsort((y, x @ np.random.default_rng(1).standard_normal(x.shape[1])))  # rows come in any order; scores must not
-            space = latent_space(x[order], rank)
-            model = spark.sparkContext.broadcast((idf, space, unit(x[order] @ space), y[order]))
+            learnt.sort(key=lambda r: (r["terms"], r["tf"], r["marks"], r["y"]))  # rows come in any order; scores must not
+            x = Learnt(learnt, idf, shape_weight)
+            space = latent_space(x, rank)
+            model = spark.sparkContext.broadcast((idf, space, unit(x.times(space)), np.array([r["y"] for r in learnt], dtype=np.float32)))
 
     def score(batches):
         for batch in batches:
@@ -166,13 +182,24 @@ def with_quality(
                 else:
                     idf, space, known, y = model.value
                     s = votes(unit(vectors(*term_counts(cut.column("_text")), idf, shape_weight) @ space), known, y, k, sharpness).astype(np.float64)
-                yield pa.RecordBatch.from_arrays([*(cut.column(c) for c in keep), pa.array(s)], [*keep, score_col])
+                yield pa.RecordBatch.from_arrays([cut.column("row"), pa.array(s)], ["row", "score"])
+
+    whole = nested(docs, keep, _text=F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    return whole.mapInArrow(score, StructType([whole.schema["row"], StructField("score", DoubleType())]))
+
+
+def with_quality(docs: DataFrame, labels: DataFrame, *, score_col: str = "score", **options) -> DataFrame:
+    """docs with score_col, in place of a column of that name; options: see scored_rows."""
+    kept = [f"row.`{c}`" for c in docs.columns if c != score_col]
+    return scored_rows(docs, labels, **options).select(*kept, F.col("score").alias(score_col))
+
 
-    whole = docs.select(*keep, F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
-    return whole.mapInArrow(score, StructType([*docs.select(*keep).schema.fields, StructField(score_col, DoubleType())]))
+def good_documents(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.3, **options) -> DataFrame:
+    """The rows of docs that score at least threshold, with the columns of docs and no others; options: see scored_rows."""
+    return scored_rows(docs, labels, **options).where(F.col("score") >= threshold).select("row.*")
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", threshold: float = 0.3, folds: int = 5, **options) -> DataFrame:
-    """id, held_out, score, predicted (1 if score >= threshold) for every row; options: see with_quality."""
-    scored = with_quality(docs, labels, id_col=id_col, folds=folds, keep=[id_col], **options)
+    """id, held_out, score, predicted (1 if score >= threshold) for every row; options: see scored_rows."""
+    scored = scored_rows(docs, labels, id_col=id_col, folds=folds, keep=[id_col], **options).select(F.col(f"row.`{id_col}`"), "score")
     return scored.select(id_col, held_out(F.col(id_col), folds).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
