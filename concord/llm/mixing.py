@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import nested, written
+
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -40,7 +42,7 @@ def source_targets(sources: DataFrame, *, weights: tuple[float, ...], max_epochs
     return found.select("source", "source_size", F.least("_cap", F.coalesce(F.col("_found._level") * F.col("_w"), F.col("_cap"))).alias("target"))
 
 
-def mix_sources(
+def mixed_rows(
     docs: DataFrame,
     *,
     size: Column,
@@ -53,7 +55,7 @@ def mix_sources(
     rows_per_cell: int = 50_000,
     min_cells: int = 96,
 ) -> DataFrame:
-    """Add size, source_size, target, times (int: how often the mix takes the row) and taken (long: size times that).
+    """row (the row of docs as a struct), size, source_size, target, times (int: how often the mix takes the row) and taken (long: size times that).
 
     A source whose target is e times its size, plus a rest, gives e complete epochs,
     and then a weighted sample without replacement of the rest: every document has
@@ -69,14 +71,18 @@ def mix_sources(
 
     Null sizes are 0; quality below 0.001 or null counts as 0.001.  Null sources are a source,
     the last.  Rows that agree in key share u; ties go by size, so equal rows cannot
-    be told apart.  Rows of size 0 take 0.  Empty tables give empty results.  Other
-    columns stay; size, source_size, target, times and taken replace columns so named.
+    be told apart.  Rows of size 0 take 0.  Empty tables give empty results.  Extra columns
+    may have any names.
     """
-    rows = docs.withColumns({"_size": F.coalesce(size.cast("long"), F.lit(0)), "_quality": F.greatest(F.coalesce(quality.cast("double"), F.lit(0.001)), F.lit(0.001))})
-    digest = F.md5(F.concat_ws("|", F.lit(seed), key.cast("string")))
+    rows = nested(
+        docs, _source=F.col(source_col), _size=F.coalesce(size.cast("long"), F.lit(0)), _quality=F.greatest(F.coalesce(quality.cast("double"), F.lit(0.001)), F.lit(0.001)),
+        _digest=F.md5(F.concat_ws("|", F.lit(seed), key.cast("string"))),
+    )
     u = (F.conv(F.substring("_digest", 1, 12), 16, 10).cast("double") + 0.5) / float(1 << 48)
-    rows = rows.withColumn("_digest", digest).withColumn("_key", -F.log(u) / F.col("_quality")).drop("size", "source_size", "target", "times", "taken")
-    totals = rows.groupBy(F.col(source_col).alias("source")).agg(F.sum("_size").alias("source_size"), F.count(F.lit(1)).alias("_n"), F.avg("_quality").alias("_mean"))
+    rows = rows.withColumn("_key", -F.log(u) / F.col("_quality"))
+    # sizes, qualities and digests of all rows: texts are measured here once, and once more when rows are placed
+    measured = written(rows.drop("row"), "measured")
+    totals = measured.groupBy(F.col("_source").alias("source")).agg(F.sum("_size").alias("source_size"), F.count(F.lit(1)).alias("_n"), F.avg("_quality").alias("_mean"))
     n_sources, largest = totals.agg(F.count(F.lit(1)), F.coalesce(F.max("_n"), F.lit(0))).first()
     cells = max(min_cells, math.ceil(largest / rows_per_cell))
     # both small tables are broadcast only below a checked number of rows of under 100 bytes
@@ -86,30 +92,40 @@ def mix_sources(
         plan.join(totals.select(F.col("source").alias("_s"), "_mean"), F.col("source").eqNullSafe(F.col("_s")))
         .withColumn("_epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0))
         .withColumn("_rest", F.col("target") - F.col("_epochs") * F.col("source_size"))
-        .select(F.col("source").alias("_source"), "source_size", "target", "_mean", "_epochs", "_rest")
+        .select(F.col("source").alias("_s"), "source_size", "target", "_mean", "_epochs", "_rest")
     )
-    joined = rows.join(small(plan, n_sources), F.col(source_col).eqNullSafe(F.col("_source"))).drop("_source")
-    # 1 - exp(-key * mean) is near uniform, so cells are near even; any monotone function gives the same sample
-    placed = joined.withColumn("_cell", F.least(F.floor((1 - F.exp(-F.col("_key") * F.col("_mean"))) * cells), F.lit(cells - 1)).cast("int"))
-    sums = placed.groupBy(F.col(source_col).alias("_source"), F.col("_cell").alias("_c")).agg(F.sum("_size").alias("_sum"))
-    sums = sums.withColumn("_base", F.coalesce(F.sum("_sum").over(Window.partitionBy("_source").orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_sum")
-    inner = Window.partitionBy(source_col, "_cell").orderBy("_key", "_size", "_digest").rowsBetween(Window.unboundedPreceding, -1)
+
+    def in_cells(df):
+        # 1 - exp(-key * mean) is near uniform, so cells are near even; any monotone function gives the same sample
+        cell = F.least(F.floor((1 - F.exp(-F.col("_key") * F.col("_mean"))) * cells), F.lit(cells - 1)).cast("int")
+        return df.join(small(plan, n_sources), F.col("_source").eqNullSafe(F.col("_s"))).drop("_s").withColumn("_cell", cell)
+
+    placed = in_cells(rows)
+    sums = in_cells(measured).groupBy(F.col("_source").alias("_s"), F.col("_cell").alias("_c")).agg(F.sum("_size").alias("_sum"))
+    sums = sums.withColumn("_base", F.coalesce(F.sum("_sum").over(Window.partitionBy("_s").orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_sum")
+    inner = Window.partitionBy("_source", "_cell").orderBy("_key", "_size", "_digest").rowsBetween(Window.unboundedPreceding, -1)
     ranked = placed.withColumn("_inner", F.coalesce(F.sum("_size").over(inner), F.lit(0)))
-    summed = ranked.join(small(sums, n_sources * cells), F.col(source_col).eqNullSafe(F.col("_source")) & (F.col("_cell") == F.col("_c")))
+    summed = ranked.join(small(sums, n_sources * cells), F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_cell") == F.col("_c")))
     before = F.col("_base") + F.col("_inner")
     times = F.col("_epochs") + F.when(before + F.col("_size") / 2 <= F.col("_rest"), 1).otherwise(0)
-    return summed.withColumns({"times": times.cast("int"), "taken": (F.col("_size") * times).cast("long"), "size": F.col("_size")}).drop("_size", "_quality", "_digest", "_key", "_mean", "_epochs", "_rest", "_cell", "_inner", "_source", "_c", "_base")
+    return summed.withColumn("times", times.cast("int")).select("row", F.col("_size").alias("size"), "source_size", "target", "times", (F.col("_size") * F.col("times")).cast("long").alias("taken"))
+
+
+def mix_sources(docs: DataFrame, **options) -> DataFrame:
+    """docs with size, source_size, target, times and taken, in place of columns so named; options: see mixed_rows."""
+    kept = [f"row.`{c}`" for c in docs.columns if c not in ("size", "source_size", "target", "times", "taken")]
+    return mixed_rows(docs, **options).select(*kept, "size", "source_size", "target", "times", "taken")
 
 
 def mix_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = "mix") -> DataFrame:
     """Digest of a mix of documents by numbers of words; quality is the share of letters."""
     slim = docs.select(F.col(id_col), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("_words"), letter_share(F.col(text_col)).alias("_letters"), F.md5(F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8")).alias("_md5"))
-    mixed = mix_sources(slim, size=F.col("_words"), quality=F.col("_letters"), key=F.concat_ws("|", F.col(id_col).cast("string"), F.col("_md5")), seed=seed)
+    mixed = mix_sources(written(slim, "sizes"), size=F.col("_words"), quality=F.col("_letters"), key=F.concat_ws("|", F.col(id_col).cast("string"), F.col("_md5")), seed=seed)
     return mixed.select(id_col, "size", "source_size", "target", "taken")
 
 
 def mixed_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = "mix") -> DataFrame:
     """The mix itself: every document as often as it is taken, with its own columns; documents without words as often as their source's epochs and draw say."""
     key = F.concat_ws("|", F.col(id_col).cast("string"), F.md5(F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8")))
-    mixed = mix_sources(docs, size=n_words(F.col(text_col)), quality=letter_share(F.col(text_col)), key=key, source_col=source_col, seed=seed)
-    return mixed.where(F.col("times") > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*docs.columns)
+    mixed = mixed_rows(docs, size=n_words(F.col(text_col)), quality=letter_share(F.col(text_col)), key=key, source_col=source_col, seed=seed)
+    return mixed.where(F.col("times") > 0).select("row", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*")

@@ -8,7 +8,7 @@ import random
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import few, nested, written
 
 
 def _log_choose(n: int, k: int) -> float:
@@ -80,31 +80,35 @@ def shard_uniformly(docs: DataFrame, *, n_shards: int, key: Column, seed: int =
     rows go to blocks by number.  Rows of other keys are numbered within their block.
     A null key is a key.  An empty table gives an empty result.  Columns of the
     input are kept; shard and slot replace columns of those names.
+
+    The driver holds one row of n_shards numbers for each rows_per_block rows: at 20 billion
+    rows and 24 shards 400,000 rows, under 100 MB.  Small tables are broadcast only
+    below a checked number of rows (see few()).
     """
     spark = docs.sparkSession
-    rows = docs.drop("shard", "slot").withColumn("_h", F.xxhash64(F.lit(seed), key))
-    n = docs.count()
+    rows = nested(docs, _h=F.xxhash64(F.lit(seed), key))
+    keys = written(rows.groupBy("_h").agg(F.count(F.lit(1)).alias("count")), "keys")
+    n = keys.agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]
     n_blocks = max(min_blocks, math.ceil(n / rows_per_block))
     n_cells = math.ceil(n_blocks / n_shards)
     limit = max(1, n // n_blocks)
     block = lambda *of: F.pmod(F.xxhash64(*of), F.lit(n_blocks)).cast("int").alias("_block")
-    keys = rows.groupBy("_h").count()
     hot = [tuple(r) for r in keys.where(F.col("count") > limit).collect()]  # fewer than 2 * n_blocks rows
     sums = keys.where(F.col("count") <= limit).groupBy(block("_h")).agg(F.sum("count").alias("count"))
     rows = rows.withColumn("_number", F.lit(None).cast("long"))
     if hot:
-        hot = spark.createDataFrame(hot, "_h long, _times long")
+        n_hot, hot = len(hot), spark.createDataFrame(hot, "_h long, _times long")
         spans = hot.withColumn("_from", F.explode(F.sequence(F.lit(0), F.col("_times") - 1, F.lit(rows_per_block)))).repartition("_h", "_from")
         numbers = spans.select("_h", F.explode(F.sequence("_from", F.least(F.col("_from") + rows_per_block, F.col("_times")) - 1)).alias("_number"))
         sums = sums.unionAll(numbers.groupBy(block("_h", "_number")).count())
         # written, so that every step sees the same salts
         salt = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.ceil(F.col("_times") / limit))
-        salted = written(rows.drop("_number").join(F.broadcast(hot), "_h").withColumn("_salt", salt).drop("_times"), "salted")
+        salted = written(rows.drop("_number").join(few(hot, n_hot), "_h").withColumn("_salt", salt).drop("_times"), "salted")
         bases = Window.partitionBy("_h").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
         bases = salted.groupBy("_h", "_salt").count().select("_h", "_salt", F.coalesce(F.sum("count").over(bases), F.lit(0)).alias("_before"))  # under 4 * n_blocks rows
-        numbered = salted.withColumn("_number", F.row_number().over(Window.partitionBy("_h", "_salt").orderBy("_h")) - 1).join(F.broadcast(bases), ["_h", "_salt"])
+        numbered = salted.withColumn("_number", F.row_number().over(Window.partitionBy("_h", "_salt").orderBy("_h")) - 1).join(few(bases, 4 * n_blocks), ["_h", "_salt"])
         numbered = numbered.withColumn("_number", F.col("_before") + F.col("_number"))
-        rows = rows.join(F.broadcast(hot), "_h", "left_anti").unionByName(numbered.select(*rows.columns))
+        rows = rows.join(few(hot, n_hot), "_h", "left_anti").unionByName(numbered.select(*rows.columns))
     rows = rows.withColumn("_block", F.when(F.col("_number").isNull(), block("_h")).otherwise(block("_h", "_number")))
     counts = {r["_block"]: r["count"] for r in sums.groupBy("_block").agg(F.sum("count").alias("count")).collect()}  # n_blocks rows at most
     sizes = [n // n_shards + (s < n % n_shards) for s in range(n_shards)]
@@ -115,7 +119,7 @@ def shard_uniformly(docs: DataFrame, *, n_shards: int, key: Column, seed: int =
     placed = (
         rows.withColumn("_mixed", F.xxhash64("_h", F.coalesce("_number", F.row_number().over(same) - 1)))
         .withColumn("_rank", F.row_number().over(local) - 1)
-        .join(F.broadcast(cuts), "_block")  # n_blocks rows of n_shards numbers: 24 bytes for each 50,000 rows and shard
+        .join(few(cuts, n_blocks * n_shards // 2), "_block")  # n_blocks rows of n_shards numbers
         .withColumn("shard", F.size(F.filter("_cuts", lambda c: c <= F.col("_rank"))).cast("int"))
         .drop("_cuts", "_rank", "_block", "_number")
         .withColumn("_again", F.xxhash64(F.lit(seed + 1), "_mixed"))
@@ -125,7 +129,8 @@ def shard_uniformly(docs: DataFrame, *, n_shards: int, key: Column, seed: int =
     ranked = placed.withColumn("_place", F.row_number().over(cell.orderBy("_again")) - 1)
     before = Window.partitionBy("shard").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
     bases = placed.groupBy("shard", "_cell").count().select("shard", "_cell", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_base"))
-    return ranked.join(F.broadcast(bases), ["shard", "_cell"]).withColumn("slot", F.col("_base") + F.col("_place")).drop("_h", "_mixed", "_again", "_cell", "_place", "_base")
+    kept = [f"row.`{c}`" for c in docs.columns if c not in ("shard", "slot")]
+    return ranked.join(few(bases, n_cells * n_shards), ["shard", "_cell"]).select(*kept, "shard", (F.col("_base") + F.col("_place")).alias("slot"))
 
 
 def shard_documents(docs: DataFrame, *, n_shards: int = 24, id_col: str = "doc_id", text_col: str = "text", seed: int = 17) -> DataFrame:
