@@ -9,10 +9,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from concord.llm.decontamination import contamination
+from concord.llm.decontamination import without_benchmark
 from concord.llm.mixing import mixed_documents
 from concord.llm.near_dedup import first_of_class
-from concord.llm.quality import with_quality
+from concord.llm.quality import good_documents
 from concord.llm.sharding import shard_uniformly
 from concord.llm.shared import written
 
@@ -24,7 +24,7 @@ SHARDS = 24
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents whose text scores below QUALITY."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return with_quality(docs, labels, score_col="_score").where(F.col("_score") >= QUALITY).select(*docs.columns)
+    return good_documents(docs, labels, threshold=QUALITY)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +34,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that hold an item of the benchmark."""
-    return contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where(~F.col("contaminated")).select(*docs.columns)
+    return without_benchmark(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
