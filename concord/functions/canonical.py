@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import math
+import re
 import unicodedata
 from datetime import UTC, datetime
 from decimal import Decimal
@@ -20,8 +21,12 @@ from pyspark.sql.types import StringType
 
 _NOT_ASCII = r"[^\x00-\x7F]"
 _EDGES = r"(?s)\A[ \t\n\r\f\x0B]+|[ \t\n\r\f\x0B]+\z"
-_INSTANT = r"\A[0-9]{4}-[0-9]{2}-[0-9]{2}[Tt ][0-9]{2}:[0-9]{2}:[0-9]{2}(\.[0-9]+)?([Zz]|[+-][0-9]{2}:[0-9]{2})\z"
+#: A whole instant with an offset, in one grammar for columns (Java) and for JSON (Python, fullmatch).
+_INSTANT = r"([0-9]{4}-[0-9]{2}-[0-9]{2})[Tt ]([0-9]{2}:[0-9]{2}:[0-9]{2}(?:\.[0-9]+)?)(?:[Zz]|([+-])([0-9]{2}):?([0-9]{2}))"
+_WHITE = " \t\n\r\f\v"
 MAX_DEPTH = 64
+#: Fields whose arrays are sets; fixed values. All others keep their order.
+UNORDERED = ("asset_links", "classifications", "dataset_refs", "glossary_term_refs", "owners", "stewards", "tags", "term_relations")
 
 
 @F.pandas_udf(StringType())
@@ -65,8 +70,22 @@ def instant_text(ts: Column) -> Column:
 def canonical_string(text: Column) -> Column:
     """Composed, LF line ends, stripped; instants with an offset as UTC milliseconds. Null stays null, and is not the empty text."""
     plain = stripped(F.regexp_replace(nfc(text), "\r\n?", "\n"))
-    instant = F.when(plain.rlike(_INSTANT), F.try_to_timestamp(F.upper(plain)))
-    return F.coalesce(instant_text(instant), plain)
+    return F.coalesce(instant_text(instant_of(plain)), plain)
+
+
+def instant_of(text: Column) -> Column:
+    """The instant that the whole text says, with its offset (Z, +02:00 or +0200); null for any other text, and for local times."""
+    part = lambda i: F.regexp_extract(text, rf"\A{_INSTANT}\z", i)
+    local = F.try_to_timestamp(F.concat(part(1), F.lit("T"), part(2), F.lit("Z")))
+    hours, minutes = part(4).try_cast("int"), part(5).try_cast("int")
+    offset = F.coalesce(F.when(part(3) == "-", -1).otherwise(1) * (hours * 60 + minutes), F.lit(0))
+    fits = text.rlike(rf"\A{_INSTANT}\z") & F.coalesce(hours * 60 + minutes < 24 * 60, F.lit(True))
+    return F.when(fits, F.timestamp_micros(F.unix_micros(local) - offset.cast("long") * 60_000_000))
+
+
+def instant_of_millis(millis: Column) -> Column:
+    """An instant from milliseconds since 1970."""
+    return F.timestamp_millis(millis.cast("long"))
 
 
 def checksum(canonical: Column) -> Column:
@@ -80,55 +99,87 @@ def sorted_multiset(items: Column) -> Column:
 
 
 def number_text(x: Column) -> Column:
-    """A number as JSON has it: whole doubles as integers, no negative zero. NaN and infinities raise."""
-    whole = (x == F.floor(x)) & (F.abs(x) < 1e15)
-    bad = F.isnan(x) | (F.abs(x) == float("inf"))
-    return F.when(bad, F.raise_error(F.lit("not a finite number")).cast("string")).when(whole, x.cast("long").cast("string")).otherwise(x.cast("string"))
+    """A double as canonical JSON has it: whole ones as integers with all their digits, no negative zero, others with the fewest digits that tell them apart.
 
-
-def _walk(value, sort: bool, depth: int):
+    NaN, infinities and magnitudes from 2**126 raise.
+    """
+    x = x.cast("double")
+    size = F.abs(x)
+    high = F.floor(size / 2.0**63)
+    # a whole double of 2**63 or more is high * 2**63 + low without rounding
+    big = high.try_cast("decimal(20,0)") * F.lit(Decimal(2**63)).try_cast("decimal(19,0)") + (size - high * 2.0**63).try_cast("decimal(19,0)")
+    big = F.concat(F.when(x < 0, "-").otherwise(""), big.try_cast("decimal(38,0)").cast("string"))
+    plain = F.regexp_replace(x.try_cast("decimal(38,21)").cast("string"), r"\.?0+\z", "")
+    tiny = F.regexp_replace(F.regexp_replace(x.cast("string"), r"(\.0)?E-([0-9])\z", "e-0$2"), r"(\.0)?E-([0-9]{2,})\z", "e-$2")
+    bad = F.isnan(x) | (size >= 2.0**126)
+    text = F.when(bad, F.raise_error(F.lit("not a finite number of a usual size")).cast("string"))
+    text = text.when((x == F.floor(x)) & (size < 2.0**63), x.try_cast("long").cast("string")).when(x == F.floor(x), big)
+    return text.when(size >= 1e-4, plain).otherwise(tiny)
+
+
+def ordered(field: Column) -> Column:
+    """Whether the order of a field's arrays counts; names may be in camel case."""
+    return ~F.lower(F.regexp_replace(field, r"(?<!\A)(?=[A-Z])", "_")).isin(*UNORDERED)
+
+
+def _walk(value, sort: bool, depth: int, canonical: bool = True):
     if depth > MAX_DEPTH:
         raise ValueError("nested too deeply")
     if isinstance(value, str):
-        text = unicodedata.normalize("NFC", value).replace("\r\n", "\n").replace("\r", "\n").strip(" \t\n\r\f\v")
+        if not canonical:
+            return value
+        text = unicodedata.normalize("NFC", value).replace("\r\n", "\n").replace("\r", "\n").strip(_WHITE)
         return _instant(text) or text
-    if isinstance(value, Decimal):
-        if not value.is_finite():
+    if isinstance(value, float):
+        if not math.isfinite(value):
             raise ValueError("not a finite number")
-        return int(value) if value == value.to_integral_value() else float(value)
-    if isinstance(value, float) and not math.isfinite(value):
-        raise ValueError("not a finite number")
+        return int(value) if canonical and value.is_integer() else value
     if isinstance(value, dict):
         out = {}
         for k, v in value.items():
-            name = _walk(k, sort, depth)
+            name = unicodedata.normalize("NFC", k).strip(_WHITE) if canonical else k
             if name in out:
                 raise ValueError(f"two keys become {name!r}")
-            out[name] = _walk(v, sort, depth + 1)
+            out[name] = _walk(v, sort, depth + 1, canonical)
         return out
     if isinstance(value, list):
-        items = [_walk(v, sort, depth + 1) for v in value]
-        return sorted(items, key=_dump) if sort else items
+        items = [_walk(v, sort, depth + 1, canonical) for v in value]
+        return sorted(items, key=_dump) if sort and canonical else items
     return value
 
 
 def _instant(text: str) -> str | None:
-    if len(text) < 20 or text[4] != "-" or text[10] not in "Tt ":
+    if not re.fullmatch(_INSTANT, text):
         return None
     try:
         at = datetime.fromisoformat(text.upper())
-    except ValueError:
+        return f"{(at := at.astimezone(UTC)).year:04d}-{at:%m-%dT%H:%M:%S}.{at.microsecond // 1000:03d}Z"
+    except (ValueError, OverflowError):
         return None
-    return None if at.tzinfo is None else f"{at.astimezone(UTC):%Y-%m-%dT%H:%M:%S}.{at.microsecond // 1000:03d}Z"
 
 
 def _dump(value) -> str:
     return json.dumps(value, ensure_ascii=False, sort_keys=True, separators=(",", ":"))
 
 
+def faithful_json_text(text: str | None) -> str | None:
+    """JSON text as it is to be written: compact, everything else untouched; what canonical_json refuses is refused, but for keys that only become equal."""
+    return None if text is None else json.dumps(_walk(json.loads(text), False, 0, canonical=False), ensure_ascii=False, separators=(",", ":"))
+
+
 def canonical_json_text(text: str | None, sort_arrays: bool = False) -> str | None:
     """One JSON text in canonical form; see canonical_json."""
-    return None if text is None else _dump(_walk(json.loads(text, parse_float=Decimal, parse_int=int, parse_constant=float), sort_arrays, 0))
+    return None if text is None else _dump(_walk(json.loads(text), sort_arrays, 0))
+
+
+def faithful_json(text: Column) -> Column:
+    """JSON text as it is to be written, beside canonical_json, which is only compared; see faithful_json_text."""
+
+    @F.pandas_udf(StringType())
+    def faithful(texts: pd.Series) -> pd.Series:
+        return texts.map(faithful_json_text)
+
+    return faithful(text)
 
 
 def canonical_json(text: Column, *, sort_arrays: bool = False) -> Column:

@@ -2,17 +2,28 @@
 
 from __future__ import annotations
 
+import json
 import re
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Forms of owners, and keys whose values are secrets.
 EMAIL = r"\A[^@\s]+@[^@\s]+\.[^@\s]+\z"
 UUID = r"(?i)\A[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}\z"
 VIEWS = ("VIEW", "MATERIALIZED_VIEW")
 TABLES = ("MANAGED", "EXTERNAL", "FOREIGN", "STREAMING_TABLE", "MANAGED_SHALLOW_CLONE", "EXTERNAL_SHALLOW_CLONE")
-_GLOB = re.compile(r"[A-Za-z0-9_*?\[\]!-]+")
+_GLOB = re.compile(r"[A-Za-z0-9_*?\[\]!]+")
+#: What makes a key secret, and how its value is shown; fixed values.
+SECRET_KEY = r"token|password|passwd|secret|api[_-]?key|authorization|private[_-]?key|credential|access[_-]?key|refresh[_-]?token"
+REDACTED = "***REDACTED***"
+#: White space of all of Unicode, for a class; and values of secret keys, and credentials, in a syntax that Java and RE2 share.
+_SPACE = r"\s\x0B\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+_QUOTED = r""""[^"\\]*(?:\\.[^"\\]*)*"|'[^'\\]*(?:\\.[^'\\]*)*'"""
+KEYED = rf"""(?is)((?:{SECRET_KEY})[A-Za-z0-9_-]*["']?[{_SPACE}]*[=:][{_SPACE}]*)(?:{_QUOTED}|(?:(?:bearer|basic)[{_SPACE}]+)?[^{_SPACE},;]+)"""
+CREDENTIAL = rf"(?i)(^|[^A-Za-z0-9_])(bearer|basic)[{_SPACE}]+[^{_SPACE}]+"
 
 
 def glob_regex(pattern: str) -> str:
@@ -97,9 +108,44 @@ def tag_values(tags: Column) -> Column:
 
 
 def redacted(text: Column) -> Column:
-    """Text without values of secret keys and without credentials of authorization headers."""
-    keyed = F.regexp_replace(text, r"(?i)\b([a-z0-9_-]*(?:password|passwd|secret|token|api[_-]?key|authorization)[a-z0-9_-]*)(\"?\s*[=:]\s*\"?)[^\s\",;]+", "$1$2***REDACTED***")
-    return F.regexp_replace(keyed, r"(?i)\b(bearer|basic) +[A-Za-z0-9._~+/=-]+", "$1 ***REDACTED***")
+    """Text without values of secret keys (key=value, key: value, "key": "value") and without what follows bearer or basic.
+
+    A value in quotes goes up to its closing quote, any other up to white space, a comma or a semicolon.
+    """
+    return redacted_text(F.regexp_replace(text, KEYED, f"$1{REDACTED}"))
+
+
+def redacted_map(values: Column) -> Column:
+    """A map of texts: values of secret keys replaced, credentials in other values too."""
+    return F.transform_values(values, lambda k, v: F.when(k.rlike(f"(?i){SECRET_KEY}"), F.lit(REDACTED)).otherwise(redacted_text(v)))
+
+
+def redacted_text(text: Column) -> Column:
+    """Text without what follows bearer or basic; keys don't count."""
+    return F.regexp_replace(text, CREDENTIAL, f"$1$2 {REDACTED}")
+
+
+def redacted_json_text(text: str | None) -> str | None:
+    """JSON text with every secret key's value replaced, of whatever type and at any depth, and credentials in all other strings."""
+
+    def walk(value):
+        if isinstance(value, str):
+            return re.sub(r"(?i)\b(bearer|basic)\s+\S+", rf"\1 {REDACTED}", value)
+        if isinstance(value, dict):
+            return {k: REDACTED if re.search(SECRET_KEY, k, re.IGNORECASE) else walk(v) for k, v in value.items()}
+        return [walk(v) for v in value] if isinstance(value, list) else value
+
+    return None if text is None else json.dumps(walk(json.loads(text)), ensure_ascii=False, separators=(",", ":"))
+
+
+def redacted_json(text: Column) -> Column:
+    """See redacted_json_text; text that isn't JSON raises."""
+
+    @F.pandas_udf(StringType())
+    def redact(texts: pd.Series) -> pd.Series:
+        return texts.map(redacted_json_text)
+
+    return redact(text)
 
 
 def email_domain(email: Column) -> Column:
@@ -110,12 +156,55 @@ def snake(name: Column) -> Column:
     return F.lower(F.regexp_replace(name, r"(?<=[a-z0-9])([A-Z])", "_$1"))
 
 
+def slug(name: Column, fallback: str = "item", most: int = 80) -> Column:
+    """Lower case, runs of other than a-z and 0-9 as one dash, at most `most` characters; nothing left: the fallback."""
+    text = F.trim(F.regexp_replace(F.lower(name), r"[^a-z0-9]+", "-"), F.lit("-"))
+    return F.coalesce(F.nullif(F.rtrim(F.substring(text, 1, most), F.lit("-")), F.lit("")), F.lit(fallback))
+
+
+def endpoint_key(endpoint: Column) -> Column:
+    """An endpoint's name as part of a setting's name: upper case, other characters as underscores. Nothing left raises."""
+    text = F.upper(F.trim(F.regexp_replace(F.trim(endpoint), r"[^A-Za-z0-9]+", "_"), F.lit("_")))
+    return F.when(text == "", F.raise_error(F.lit("an endpoint needs a letter or digit")).cast("string")).otherwise(text)
+
+
+def jitter(cadence_s: Column) -> Column:
+    """The most by which a start may be delayed: a tenth of the cadence, 60 seconds at most."""
+    return F.least(cadence_s * 0.1, F.lit(60.0))
+
+
 def cursor(at: Column, key: Column) -> Column:
     """A page cursor: URL-safe base64 of instant|key."""
     raw = F.base64(F.encode(F.concat_ws("|", F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), key.cast("string")), "UTF-8"))
     return F.translate(raw, "+/", "-_")
 
 
+def cursor_parts(text: Column) -> Column:
+    """A cursor's instant and key as a struct, null if it can't be read."""
+    raw = F.try_to_binary(F.translate(text, "-_", "+/"), F.lit("base64"))
+    plain = F.decode(raw, "UTF-8")
+    at = F.try_to_timestamp(F.substring_index(plain, "|", 1))
+    key = F.regexp_extract(plain, r"(?s)\A[^|]*\|(.+)\z", 1)
+    return F.when(at.isNotNull() & (key != ""), F.struct(at.alias("at"), key.alias("key")))
+
+
+def merged(first: Column, *others: Column) -> Column:
+    """Maps merged; of a key that several have the first map's value counts. Null maps are empty."""
+    out = F.coalesce(first, F.create_map().cast("map<string,string>"))
+    for m in others:
+        out = _first_wins(out, F.coalesce(m, F.create_map().cast("map<string,string>")))
+    return out
+
+
+def _first_wins(a: Column, b: Column) -> Column:
+    return F.map_concat(a, F.map_filter(b, lambda k, v: ~F.map_contains_key(a, k)))
+
+
+def secondary_keys(keys: Column) -> Column:
+    """A map of keys without those that are null or blank."""
+    return F.map_filter(keys, lambda k, v: v.isNotNull() & (F.trim(v) != ""))
+
+
 def some_of(items: Column, most: int = 5) -> Column:
     """At most `most` items, then how many more."""
     more = F.size(items) - most

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .manifests import supported_or_raise
+
+#: Reasons that hold a position back; fixed values.
 HELD = ("no_source_envelopes", "unconfirmed_target_binding", "no_target_binding", "capability_refused", "target_not_found", "conflict_unresolved")
 
 
@@ -12,29 +15,31 @@ def changed_fields(source: DataFrame, stored: DataFrame, key: str) -> DataFrame:
     """Fields of source whose checksum isn't the stored one (missing or null counts as changed): key, field, value, checksum, previous, revision if stored has it."""
     revision = F.col("revision") if "revision" in stored.columns else F.lit(None).cast("string")
     old = stored.select(key, "field", F.col("value").alias("previous"), F.col("checksum").alias("old"), revision.alias("revision"))
-    new = source.select(key, "field", "value", "checksum")
+    new = source.select(key, *[c for c in ("entity_type",) if c in source.columns], "field", "value", "checksum")
     differs = F.col("old").isNull() | ~F.col("checksum").eqNullSafe(F.col("old"))
     return new.join(old, [key, "field"], "left").where(differs).drop("old")
 
 
 def field_diff(changed: DataFrame, manifest: DataFrame) -> DataFrame:
-    """Add action (patch, replace or drop) and reason to changed fields, by the target's manifest: field, mode (rw, ro, na), partial_update, path_allowed (null: no paths declared).
+    """Add action (patch, replace or drop) and reason to changed fields (entity_type, field, ...) by the target's manifest; see manifests.py.
 
-    The manifest is a dimension of some dozens of rows, one for each field a connector declares.
+    An entity type that the manifest doesn't support raises.
     """
-    m = F.broadcast(manifest.select("field", "mode", "partial_update", "path_allowed"))
-    reason = (
-        F.when(F.col("mode").isNull(), "undeclared").when(F.col("mode") == "ro", "read_only").when(F.col("mode") == "na", "not_applicable").when(F.col("path_allowed") == F.lit(False), "no_update_path")
-    )
-    out = changed.join(m, "field", "left").withColumn("reason", reason)
+    m = manifest.select("entity_type", "field", "mode", "partial_update", "path_allowed")
+    out = supported_or_raise(changed, manifest).join(m, ["entity_type", "field"], "left")
+    reason = F.when(F.col("mode").isNull(), "undeclared").when(F.col("mode") == "ro", "read_only").when(F.col("mode") == "na", "not_applicable")
+    reason = reason.when(F.col("path_allowed") == F.lit(False), "no_update_path")
     action = F.when(F.col("reason").isNotNull(), "drop").when(F.col("partial_update"), "patch").otherwise("replace")
-    return out.withColumn("action", action).drop("mode", "partial_update", "path_allowed")
+    return out.withColumn("reason", reason).withColumn("action", action).drop("mode", "partial_update", "path_allowed")
 
 
 def diff_summary(diff: DataFrame, key: str, cap: int) -> DataFrame:
-    """key, operations, requests (operations / cap, rounded up), expected_revision (the only one of changed fields, else null), ambiguous_revision."""
-    kept = diff.where("action <> 'drop'").groupBy(key).agg(F.count(F.lit(1)).alias("operations"), F.array_sort(F.collect_set("revision")).alias("r"))
-    return kept.select(key, "operations", F.ceil(F.col("operations") / cap).alias("requests"), F.when(F.size("r") == 1, F.get("r", F.lit(0))).alias("expected_revision"), (F.size("r") > 1).alias("ambiguous_revision"))
+    """key, operations, requests (operations / cap, rounded up), exceeds_cap, expected_revision (the only one of changed fields, else null), ambiguous_revision."""
+    least, most = F.col("_least"), F.col("_most")
+    kept = diff.where("action <> 'drop'").groupBy(key).agg(F.count(F.lit(1)).alias("operations"), F.min("revision").alias("_least"), F.max("revision").alias("_most"))
+    ambiguous = F.coalesce(least < most, F.lit(False))
+    n = F.col("operations")
+    return kept.select(key, n, F.ceil(n / cap).alias("requests"), (n > cap).alias("exceeds_cap"), F.when(least == most, least).alias("expected_revision"), ambiguous.alias("ambiguous_revision"))
 
 
 def withheld(diff: DataFrame, live: DataFrame, stored: DataFrame, key: str, mode: Column, *, activation_opt_in: bool = False) -> DataFrame:
@@ -100,9 +105,10 @@ def committable(pages: DataFrame, by: list[str], page: str, terminal: str, mark:
 
 
 def last_change(changes: DataFrame, key: list[str], order: list[str]) -> DataFrame:
-    """Of several changes of one object only the last is planned: no row but it, with n_changes."""
-    w = Window.partitionBy(*key)
-    return changes.withColumn("n_changes", F.count(F.lit(1)).over(w)).withColumn("_r", F.row_number().over(w.orderBy(*[F.col(c).desc() for c in order]))).where("_r = 1").drop("_r")
+    """Of several changes of one object only the last is planned: no row but it, with n_changes. An aggregate, so frequent keys are combined first."""
+    rest = [c for c in changes.columns if c not in key]
+    last = changes.groupBy(*key).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("_last"), F.count(F.lit(1)).alias("n_changes"))
+    return last.select(*[c if c in key else F.col(f"_last.`{c}`") for c in changes.columns], "n_changes")
 
 
 def activation(status: Column, *, opt_in: bool, managed_space: Column) -> Column:

@@ -57,10 +57,23 @@ def duplicates(rows: DataFrame, key: list[str]) -> DataFrame:
 
 
 def upsert(stored: DataFrame, changes: DataFrame, key: list[str], order: list[str]) -> DataFrame:
-    """stored with the last of changes for each key in place of its row; both have the same columns."""
-    w = Window.partitionBy(*key).orderBy(F.col("_new").desc(), *[F.col(c).desc() for c in order])
+    """stored with the last of changes for each key in place of its row; both have the same columns. An aggregate, so frequent keys are combined first."""
     both = stored.withColumn("_new", F.lit(0)).unionByName(changes.withColumn("_new", F.lit(1)))
-    return both.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r", "_new")
+    rest = [c for c in stored.columns if c not in key]
+    last = both.groupBy(*key).agg(F.max_by(F.struct(*rest), F.struct("_new", *order)).alias("_last"))
+    return last.select(*[c if c in key else F.col(f"_last.`{c}`") for c in stored.columns])
+
+
+def advanced(watermarks: DataFrame, runs: DataFrame) -> DataFrame:
+    """Watermarks (pair, endpoint, entity_type, token, status, run_at) after runs: the latest run of each counts; a null token keeps the one there was."""
+    key = ["pair", "endpoint", "entity_type"]
+    last = runs.groupBy(*key).agg(F.max_by(F.struct("token", "status", "run_at"), "run_at").alias("_new"))
+    old = watermarks.select(*key, F.struct("token", "status", "run_at").alias("_old"))
+    both = old.join(last, key, "full_outer")
+    newer = F.col("_old").isNull() | (F.col("_new.run_at") >= F.col("_old.run_at"))
+    pick = lambda c: F.when(F.col("_new").isNotNull() & newer, F.col(f"_new.{c}")).otherwise(F.col(f"_old.{c}")).alias(c)
+    token = F.when(F.col("_new").isNotNull() & newer, F.coalesce("_new.token", "_old.token")).otherwise(F.col("_old.token")).alias("token")
+    return both.select(*key, token, pick("status"), pick("run_at"))
 
 
 def conflicts(bindings: DataFrame, key: list[str], owner: str) -> DataFrame:
@@ -91,6 +104,33 @@ def record_missing(log: DataFrame, sightings: DataFrame, key: str) -> DataFrame:
     )
 
 
+def record_orphans(log: DataFrame, sightings: DataFrame, key: list[str]) -> DataFrame:
+    """record_missing with hints: native_key and last_seen_at of the latest sighting that has them, else what the log has. sightings: key, at, native_key, last_seen_at."""
+    latest = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("at"))).alias(f"_{c}")
+    new = sightings.groupBy(*key).agg(F.min("at").alias("_lo"), F.max("at").alias("_hi"), latest("native_key"), latest("last_seen_at"))
+    both = log.join(new, key, "full_outer")
+    return both.select(
+        *key, F.coalesce("_native_key", "native_key").alias("native_key"), F.coalesce("_last_seen_at", "last_seen_at").alias("last_seen_at"),
+        F.coalesce("first_missing_at", "_lo").alias("first_missing_at"), F.coalesce(F.greatest("last_missing_at", "_hi"), "_hi", "last_missing_at").alias("last_missing_at"),
+        F.when(F.col("_hi").isNull(), F.col("resolved_at")).alias("resolved_at"),
+    )
+
+
+def resolved(log: DataFrame, seen: DataFrame, key: list[str], now: Column) -> DataFrame:
+    """The log with resolved_at and last_seen_at set to now for open orphans that were seen again."""
+    again = seen.select(*key).distinct().withColumn("_again", F.lit(True))
+    both = log.join(again, key, "left")
+    hit = F.coalesce("_again", F.lit(False)) & F.col("resolved_at").isNull()
+    return both.withColumns({"resolved_at": F.when(hit, now).otherwise(F.col("resolved_at")), "last_seen_at": F.when(hit, now).otherwise(F.col("last_seen_at"))}).drop("_again")
+
+
+def rechecked(log: DataFrame, bindings: DataFrame, presence: DataFrame, key: list[str]) -> DataFrame:
+    """key, finding of open orphans that have a binding: resolved, still_missing, or inconclusive where the check failed or wasn't made."""
+    open_ = log.where(F.col("resolved_at").isNull()).select(*key).join(bindings.select(*key), key, "left_semi")
+    told = open_.join(presence.select(*key, "here"), key, "left")
+    return told.select(*key, F.when(F.col("here").isNull(), "inconclusive").when(F.col("here"), "resolved").otherwise("still_missing").alias("finding"))
+
+
 def orphan_digest(log: DataFrame, by: str, now: Column) -> DataFrame:
     """by, n_open, n_tentative (seen missing once), n_confirmed, longest_s: open orphans only."""
     open_ = log.where(F.col("resolved_at").isNull())
@@ -101,11 +141,11 @@ def orphan_digest(log: DataFrame, by: str, now: Column) -> DataFrame:
 
 
 def run_issues(items: DataFrame, orphan_log: DataFrame, unresolved: DataFrame) -> DataFrame:
-    """Items with kind (dataset_refs, owners, orphan, other), their sorted unresolved fields, and first_missing_at of orphans.
+    """Items with kind (dataset_refs, owners, orphan, other), their sorted unresolved fields (as many as an entity has at most), and first_missing_at of orphans.
 
     Orphans join on the whole key, entity type included.
     """
-    fields = unresolved.groupBy("item_id").agg(F.array_sort(F.collect_list("field")).alias("fields"))
+    fields = unresolved.groupBy("item_id").agg(F.array_sort(F.collect_set("field")).alias("fields"))
     log = orphan_log.select("neutral_id", "endpoint", "entity_type", "first_missing_at")
     out = items.join(fields, "item_id", "left").join(log, ["neutral_id", "endpoint", "entity_type"], "left")
     kind = F.when(F.array_contains("fields", "dataset_refs"), "dataset_refs").when(F.array_contains("fields", "owners"), "owners").when(F.col("outcome") == "orphaned", "orphan").otherwise("other")
@@ -130,7 +170,7 @@ def ready(tasks: DataFrame) -> DataFrame:
 
 def violations(pairs: DataFrame, endpoints: DataFrame) -> DataFrame:
     """pair, problem of every pair whose source or target is missing, disabled, the same, or has the wrong role; all problems of a pair are told."""
-    e = F.broadcast(endpoints)  # configuration: some dozens of rows
+    e = endpoints
     s, t = e.select(F.col("name").alias("source"), F.col("role").alias("sr"), F.col("enabled").alias("se")), e.select(F.col("name").alias("target"), F.col("role").alias("tr"), F.col("enabled").alias("te"))
     j = pairs.join(s, "source", "left").join(t, "target", "left")
     problems = F.array_compact(F.array(

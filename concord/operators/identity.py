@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 KEY = ("endpoint", "entity_type", "tenant_id", "native_key")
@@ -21,18 +21,20 @@ def counterpart(objects: DataFrame, bindings: DataFrame, endpoint: str) -> DataF
     return out.withColumn("target", state).withColumn("target_key", F.when(F.col("target") == "confirmed", F.col("_key"))).drop("_key", "confirmed")
 
 
-def propose(source: DataFrame, target: DataFrame, bound: DataFrame, name: str, by: list[str]) -> DataFrame:
-    """source_id, status (bound, proposed, ambiguous, unmatched), candidates (sorted target ids), n_candidates.
+def propose(source: DataFrame, target: DataFrame, bound: DataFrame, name: str, by: list[str], most: int = 20) -> DataFrame:
+    """source_id, status (bound, proposed, ambiguous, unmatched), candidates (the `most` least target ids in order), n_candidates (all of them).
 
     source, target: id, the normal name, and further key columns `by` (parent path, entity type);
     bound: source_id, target_id.  Bound targets are no candidates; an empty name matches nothing.
-    Candidates are grouped before the join, so a name that many have costs one row on each side.
+    Candidates are grouped before the join, so a name that many have costs one row on each side, and
+    cut to what a person can look at before they are listed.
     """
     free = target.join(bound.select(F.col("target_id").alias("id")), "id", "left_anti").where(F.col(name) != "")
-    grouped = free.groupBy(name, *by).agg(F.array_sort(F.collect_list("id")).alias("candidates"))
+    rank = F.row_number().over(Window.partitionBy(name, *by).orderBy("id"))
+    listed = free.withColumn("_r", rank).where(F.col("_r") <= most).groupBy(name, *by).agg(F.array_sort(F.collect_list("id")).alias("candidates"))
+    grouped = free.groupBy(name, *by).agg(F.count(F.lit(1)).cast("int").alias("_n")).join(listed, [name, *by])
     s = source.withColumnRenamed("id", "source_id").join(bound.select("source_id", F.lit(True).alias("_bound")).distinct(), "source_id", "left").join(grouped, [name, *by], "left")
-    n = F.when(F.col("_bound"), 0).otherwise(F.coalesce(F.size("candidates"), F.lit(0)))
-    n = F.greatest(n, F.lit(0))
+    n = F.when(F.col("_bound"), 0).otherwise(F.coalesce("_n", F.lit(0)))
     status = F.when(F.col("_bound"), "bound").when(F.col("n") == 0, "unmatched").when(F.col("n") == 1, "proposed").otherwise("ambiguous")
     return s.withColumn("n", n).select("source_id", status.alias("status"), F.when(F.col("n") > 0, F.col("candidates")).alias("candidates"), F.col("n").alias("n_candidates"))
 
@@ -54,6 +56,35 @@ def merge_review(fresh: DataFrame, reviewed: DataFrame) -> DataFrame:
     )
 
 
+def bound_after(bindings: DataFrame, new: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
+    """(bindings, refused) after new ones (KEY, neutral_id, confirmed), of which one row for an object and endpoint counts.
+
+    A native key that another object holds, before or among the new ones, is refused.  A
+    binding of the same object and endpoint moves to its new key; confirmed_at is set once and stays.
+    """
+    rest = ("endpoint", "entity_type", "neutral_id")
+    held = bindings.select(*KEY, F.col("neutral_id").alias("_holder"))
+    claims = new.groupBy(*KEY).agg(F.min("neutral_id").alias("_first"), F.max("neutral_id").alias("_last"))
+    asked = new.join(held, list(KEY), "left").join(claims, list(KEY))
+    refused = (F.col("_holder").isNotNull() & (F.col("_holder") != F.col("neutral_id"))) | (F.col("_first") < F.col("_last"))
+    fine = asked.where(~refused).groupBy(*rest).agg(F.max(F.struct("tenant_id", "native_key", "confirmed")).alias("_new"))
+    both = bindings.select(*rest, F.struct("tenant_id", "native_key", "confirmed_at").alias("_old")).join(fine, list(rest), "full_outer")
+    after = both.select(
+        *rest, *[F.coalesce(F.col(f"_new.{c}"), F.col(f"_old.{c}")).alias(c) for c in ("tenant_id", "native_key")],
+        F.coalesce("_old.confirmed_at", F.when(F.col("_new.confirmed"), now)).alias("confirmed_at"),
+    )
+    return after, asked.where(refused).select(*KEY, "neutral_id")
+
+
+def confirmed_after(bindings: DataFrame, refs: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
+    """(bindings, unknown): confirmed_at set for refs (neutral_id, endpoint, entity_type) where it was not; refs without a binding are told."""
+    on = ["neutral_id", "endpoint", "entity_type"]
+    asked = refs.select(*on).distinct()
+    after = bindings.join(asked.withColumn("_asked", F.lit(True)), on, "left")
+    at = F.coalesce("confirmed_at", F.when(F.col("_asked"), now))
+    return after.withColumn("confirmed_at", at).drop("_asked"), asked.join(bindings, on, "left_anti")
+
+
 def confirm(decisions: DataFrame, bindings: DataFrame) -> DataFrame:
     """Add result to decisions (neutral_id, target_key, status, chosen): bound, already_bound, conflict, needs_choice.
 

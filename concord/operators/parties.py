@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 
 def first_of(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
-    """The first row of each key in an order that has no ties."""
-    w = Window.partitionBy(*key).orderBy(*order)
-    return rows.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+    """The first row of each key in an order that has no ties: an aggregate, so a frequent key is combined before it is shuffled."""
+    rest = [c for c in rows.columns if c not in key]
+    first = rows.groupBy(*key).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_first"))
+    return first.select(*[c if c in key else F.col(f"_first.`{c}`") for c in rows.columns])
 
 
 def correlate(source: DataFrame, target: DataFrame) -> DataFrame:
@@ -40,11 +41,11 @@ def resolve_datasets(members: DataFrame, bindings: DataFrame, items: DataFrame)
 
 def resolve_owners(owners: DataFrame, users: DataFrame) -> DataFrame:
     """Owners (pos, email, role) with user_id and status (resolved, not_found, ambiguous, no_email) by distinct users of an address."""
-    ids = users.groupBy("email").agg(F.collect_set("user_id").alias("ids"))
+    ids = users.groupBy("email").agg(F.min("user_id").alias("_least"), F.max("user_id").alias("_most"))
     out = owners.join(ids, "email", "left")
-    n = F.size("ids")
-    status = F.when(F.col("email").isNull(), "no_email").when(n > 1, "ambiguous").when(n == 1, "resolved").otherwise("not_found")
-    return out.withColumn("status", status).withColumn("user_id", F.when(F.col("status") == "resolved", F.get("ids", F.lit(0)))).drop("ids")
+    several = F.col("_least") < F.col("_most")
+    status = F.when(F.col("email").isNull(), "no_email").when(F.col("_least").isNull(), "not_found").when(several, "ambiguous").otherwise("resolved")
+    return out.withColumn("status", status).withColumn("user_id", F.when(F.col("status") == "resolved", F.col("_least"))).drop("_least", "_most")
 
 
 def best_role(entries: DataFrame, user: str, role: str, pos: str, priority: list[str]) -> DataFrame:
@@ -53,11 +54,19 @@ def best_role(entries: DataFrame, user: str, role: str, pos: str, priority: list
     return entries.groupBy(user).agg(F.min_by(role, F.struct(rank, F.col(pos))).alias("role"), F.min(pos).alias("first_pos"))
 
 
-def all_or_nothing(refs: DataFrame, bindings: DataFrame, by: str) -> DataFrame:
-    """by, all_bound, refs (distinct bound ids in order, null if any reference isn't bound), n_refs; refs: by, ref; bindings: ref, bound."""
+def all_or_nothing(refs: DataFrame, bindings: DataFrame, by: str, most: int = 100) -> DataFrame:
+    """by, all_bound, refs (the first `most` distinct bound ids in order, null if any reference isn't bound), n_bound (distinct), n_refs; refs: by, ref; bindings: ref, bound.
+
+    Ids are ranked and cut in tasks before lists are made, so no list grows with its key.
+    """
     joined = refs.join(bindings, "ref", "left")
-    out = joined.groupBy(by).agg(F.bool_and(F.col("bound").isNotNull()).alias("all_bound"), F.array_sort(F.collect_set("bound")).alias("ids"), F.count(F.lit(1)).alias("n_refs"))
-    return out.select(by, "all_bound", F.when(F.col("all_bound"), F.col("ids")).alias("refs"), "n_refs")
+    out = joined.groupBy(by).agg(F.bool_and(F.col("bound").isNotNull()).alias("all_bound"), F.count(F.lit(1)).alias("n_refs"))
+    distinct = joined.where(F.col("bound").isNotNull()).select(by, "bound").distinct()
+    rank = F.row_number().over(Window.partitionBy(by).orderBy("bound"))
+    first = distinct.withColumn("_r", rank).where(F.col("_r") <= most).groupBy(by).agg(F.array_sort(F.collect_list("bound")).alias("ids"))
+    counted = distinct.groupBy(by).agg(F.count(F.lit(1)).alias("n_bound")).join(first, by)
+    listed = F.when(F.col("all_bound"), F.col("ids"))
+    return out.join(counted, by, "left").select(by, "all_bound", listed.alias("refs"), F.coalesce("n_bound", F.lit(0)).alias("n_bound"), "n_refs")
 
 
 def capped(ids, most: int = 100):

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.canonical import checksum
+from ..functions.canonical import UNORDERED, canonical_json, checksum, faithful_json
 
 
 def snapshot_changes(fresh: DataFrame, before: DataFrame, key: str, sum_col: str = "checksum") -> DataFrame:
@@ -20,11 +22,40 @@ def snapshot_changes(fresh: DataFrame, before: DataFrame, key: str, sum_col: str
     return both.withColumn("change", change).where("change is not null").select(F.col("k").alias(key), "change", F.col("now").alias("checksum"), "was")
 
 
+def multiset_digest(item: Column) -> Column:
+    """An aggregate: SHA-256 of how many items (texts) there are and of four sums of 60 bits of their SHA-256 each.
+
+    Equal multisets have equal digests whatever their order, and partial sums combine, so no list is
+    made however many items a group has.
+    """
+    h = F.sha2(item, 256)
+    sums = [F.coalesce(F.sum(F.conv(F.substring(h, 1 + 15 * i, 15), 16, 10).cast("decimal(20,0)")), F.lit(0)).cast("string") for i in range(4)]
+    return F.sha2(F.concat_ws("|", F.count(item).cast("string"), *sums), 256)
+
+
 def membership_fingerprint(parents: DataFrame, members: DataFrame, key: str, member: str, payload: Column) -> DataFrame:
-    """key, n_members, fingerprint: of the parent's payload and its members' sorted ids; parents without members have an empty list."""
-    listed = members.groupBy(key).agg(F.array_join(F.array_sort(F.collect_list(F.col(member).cast("string"))), ",").alias("ids"), F.count(F.lit(1)).alias("n"))
+    """key, n_members, fingerprint: of the parent's payload and the multiset of its members' ids; parents without members have the digest of none."""
+    listed = members.groupBy(key).agg(multiset_digest(F.col(member).cast("string")).alias("ids"), F.count(F.lit(1)).alias("n"))
     joined = parents.select(key, payload.alias("payload")).join(listed, key, "left")
-    return joined.select(key, F.coalesce("n", F.lit(0)).alias("n_members"), checksum(F.concat_ws("|", "payload", F.coalesce("ids", F.lit("")))).alias("fingerprint"))
+    none = F.sha2(F.lit("0|0|0|0|0"), 256)
+    return joined.select(key, F.coalesce("n", F.lit(0)).alias("n_members"), checksum(F.concat_ws("|", "payload", F.coalesce("ids", none))).alias("fingerprint"))
+
+
+def json_envelopes(entities: DataFrame, key: str, fields: dict[str, Column], **provenance: Column) -> DataFrame:
+    """key, field, value (faithful JSON, what is written), canonical, checksum, and provenance columns: a row for each field given as JSON text.
+
+    The order of arrays counts or not by the field's name.  Provenance: source_endpoint, revision, last_modified_at and the like.
+    """
+    parts = F.array(*[
+        F.struct(F.lit(name).alias("field"), faithful_json(text).alias("value"), canonical_json(text, sort_arrays=order_free(name)).alias("canonical")) for name, text in fields.items()
+    ])
+    rows = entities.select(key, *[c.alias(n) for n, c in provenance.items()], F.inline(parts))
+    return rows.withColumn("checksum", checksum(F.col("canonical")))
+
+
+def order_free(field: str) -> bool:
+    """Whether a field's arrays are sets; see canonical.ordered for columns."""
+    return re.sub(r"(?<!^)(?=[A-Z])", "_", field).lower() in UNORDERED
 
 
 def envelopes(entities: DataFrame, key: str, fields: dict[str, Column]) -> DataFrame:
@@ -34,8 +65,8 @@ def envelopes(entities: DataFrame, key: str, fields: dict[str, Column]) -> DataF
 
 
 def set_fingerprint(items: DataFrame, by: str, line: Column) -> DataFrame:
-    """by, n, fingerprint: SHA-256 of the group's sorted lines, whatever their order."""
-    return items.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list(line)), "\n"), 256).alias("fingerprint"))
+    """by, n, fingerprint: the multiset digest of the group's lines."""
+    return items.groupBy(by).agg(F.count(F.lit(1)).alias("n"), multiset_digest(line).alias("fingerprint"))
 
 
 def reconcile(have: DataFrame, want: DataFrame, key: str, fingerprint: str) -> DataFrame:

@@ -47,6 +47,16 @@ def _s(c: str) -> Column:
     return F.col(c).cast("string")
 
 
+def digest_sql(x: str) -> str:
+    """The multiset digest of texts x as SQL."""
+    sums = ", ".join(f"coalesce(sum(('0x' || substr(sha256({x}), {1 + 15 * i}, 15))::BIGINT), 0)::VARCHAR" for i in range(4))
+    return f"sha256(concat_ws('|', count({x})::VARCHAR, {sums}))"
+
+
+def sql_text(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
 def _order_sum(status: Column) -> Column:
     return C.checksum(F.concat_ws("|", status, "o_orderpriority"))
 
@@ -63,9 +73,9 @@ def snapshot_change_feed(t: Tables) -> DataFrame:
     return snapshots.snapshot_changes(fresh, before, "o_orderkey")
 
 
-@query("""
-WITH m AS (SELECT l_orderkey, count(*) AS n, string_agg(l_partkey::VARCHAR, ',' ORDER BY l_partkey::VARCHAR) AS ids FROM lineitem GROUP BY 1)
-SELECT o_orderkey AS l_orderkey, coalesce(n, 0) AS n_members, 'sha256:' || sha256(o_orderstatus || '|' || coalesce(ids, '')) AS fingerprint FROM orders LEFT JOIN m ON o_orderkey = l_orderkey
+@query(f"""
+WITH m AS (SELECT l_orderkey, count(*) AS n, {digest_sql("l_partkey::VARCHAR")} AS ids FROM lineitem GROUP BY 1)
+SELECT o_orderkey AS l_orderkey, coalesce(n, 0) AS n_members, 'sha256:' || sha256(o_orderstatus || '|' || coalesce(ids, sha256('0|0|0|0|0'))) AS fingerprint FROM orders LEFT JOIN m ON o_orderkey = l_orderkey
 """)
 def membership_fingerprint(t: Tables) -> DataFrame:
     return snapshots.membership_fingerprint(t.orders.withColumnRenamed("o_orderkey", "l_orderkey"), t.lineitem, "l_orderkey", "l_partkey", F.col("o_orderstatus"))
@@ -96,11 +106,11 @@ def canonical_text_checksum(t: Tables) -> DataFrame:
     return c.select("doc_id", F.length("c").alias("n"), C.checksum(F.col("c")).alias("checksum"))
 
 
-@query("""SELECT l_orderkey, 'sha256:' || sha256(string_agg(trim(l_returnflag || '=' || l_linestatus), ',' ORDER BY l_returnflag || '=' || l_linestatus)) AS checksum FROM lineitem GROUP BY 1""")
+@query("""SELECT l_orderkey, l_linenumber, 'sha256:' || sha256(array_to_string(list_sort(['flag=' || l_returnflag, 'status=' || l_linestatus, l_shipdate::DATE::VARCHAR]), ',')) AS checksum FROM lineitem""")
 def tagset_checksum_order_free(t: Tables) -> DataFrame:
-    tagged = t.lineitem.select("l_orderkey", C.canonical_string(F.concat_ws("=", "l_returnflag", "l_linestatus")).alias("tag"))
-    tags = tagged.groupBy("l_orderkey").agg(F.collect_list("tag").alias("tags"))
-    return tags.select("l_orderkey", C.checksum(F.array_join(C.sorted_multiset(F.col("tags")), ",")).alias("checksum"))
+    tags = [F.concat_ws("=", F.lit("status"), "l_linestatus"), F.date_format("l_shipdate", "yyyy-MM-dd"), F.concat_ws("=", F.lit("flag"), "l_returnflag")]
+    listed = F.array_join(C.sorted_multiset(F.array(*[C.stripped(x) for x in tags])), ",")
+    return t.lineitem.select("l_orderkey", "l_linenumber", C.checksum(listed).alias("checksum"))
 
 
 def _stored(df: DataFrame) -> DataFrame:
@@ -120,11 +130,12 @@ x AS (SELECT d.*, CASE WHEN mode IS NULL THEN 'undeclared' WHEN mode = 'ro' THEN
 
 
 def _manifest(t: Tables) -> DataFrame:
-    return t.spark.createDataFrame([("name", "rw", True, None), ("segment", "rw", False, None), ("nation", "ro", True, None)], "field string, mode string, partial_update boolean, path_allowed boolean")
+    return t.spark.createDataFrame([("name", "rw", True, None), ("segment", "rw", False, None), ("nation", "ro", True, None)], "field string, mode string, partial_update boolean, path_allowed boolean").select(F.lit("dataset").alias("entity_type"), F.lit(True).alias("supported"), "*")
 
 
 def _diff(t: Tables) -> DataFrame:
-    return diffs.field_diff(diffs.changed_fields(_customer_fields(t.customer), _stored(t.customer), "c_custkey"), _manifest(t))
+    source = _customer_fields(t.customer).withColumn("entity_type", F.lit("dataset"))
+    return diffs.field_diff(diffs.changed_fields(source, _stored(t.customer), "c_custkey"), _manifest(t))
 
 
 @query(f"WITH {_CHANGED} SELECT c_custkey, field, value, previous, action, reason FROM x")
@@ -132,10 +143,10 @@ def field_diff_minimal(t: Tables) -> DataFrame:
     return _diff(t).select("c_custkey", "field", "value", "previous", "action", "reason")
 
 
-@query(f"""WITH {_CHANGED} SELECT c_custkey, count(*) AS operations, ceil(count(*) / 1.0)::BIGINT AS requests, CASE WHEN count(DISTINCT revision) = 1 THEN min(revision) END AS expected_revision, count(DISTINCT revision) > 1 AS ambiguous_revision
+@query(f"""WITH {_CHANGED} SELECT c_custkey, count(*) AS operations, ceil(count(*) / 2.0)::BIGINT AS requests, count(*) > 2 AS exceeds_cap, CASE WHEN count(DISTINCT revision) = 1 THEN min(revision) END AS expected_revision, count(DISTINCT revision) > 1 AS ambiguous_revision
 FROM x WHERE action <> 'drop' GROUP BY 1""")
 def diff_expected_revision(t: Tables) -> DataFrame:
-    return diffs.diff_summary(_diff(t), "c_custkey", 1)
+    return diffs.diff_summary(_diff(t), "c_custkey", 2)
 
 
 @query(f"""WITH {_CHANGED}, l AS (SELECT c_custkey, field, CASE WHEN c_custkey % 6 = 0 THEN 'edited' ELSE checksum END AS live FROM o WHERE c_custkey % 10 <> 3)
@@ -154,16 +165,18 @@ def activation_gate(t: Tables) -> DataFrame:
 
 
 _FACTS = """SELECT o_orderpriority AS run, CASE WHEN o_orderkey % 23 = 0 THEN 'filtered' WHEN o_orderkey % 19 = 0 AND o_orderkey % 2 = 0 THEN 'skipped' WHEN o_orderkey % 19 = 0 THEN 'orphaned' WHEN o_orderkey % 29 = 0 THEN 'skipped'
- WHEN o_orderkey % 7 = 0 THEN 'skipped' WHEN o_orderkey % 5 = 0 THEN 'created' WHEN o_orderstatus = 'F' THEN 'unchanged' WHEN o_orderkey % 31 = 0 THEN 'skipped' WHEN o_orderkey % 37 = 0 THEN 'skipped' WHEN o_orderkey % 41 = 0 THEN 'no_op' ELSE 'written' END AS outcome,
- o_orderkey % 23 <> 0 AND o_orderkey % 19 <> 0 AND (o_orderkey % 29 = 0 OR o_orderkey % 7 = 0 OR (o_orderkey % 5 <> 0 AND o_orderstatus <> 'F' AND o_orderkey % 31 <> 0 AND o_orderkey % 37 = 0)) AS holds FROM orders"""
+ WHEN o_orderkey % 7 = 0 THEN 'skipped' WHEN o_orderkey % 5 = 0 AND o_orderpriority = '5-LOW' THEN 'skipped' WHEN o_orderkey % 5 = 0 THEN 'created' WHEN o_orderstatus = 'F' THEN 'unchanged' WHEN o_totalprice < 60000 THEN 'skipped'
+ WHEN o_totalprice < 200000 THEN 'skipped' WHEN o_totalprice < 250000 THEN 'no_op' ELSE 'written' END AS outcome,
+ o_orderkey % 23 <> 0 AND o_orderkey % 19 <> 0 AND (o_orderkey % 29 = 0 OR o_orderkey % 7 = 0 OR (o_orderkey % 5 = 0 AND o_orderpriority = '5-LOW') OR (o_orderkey % 5 <> 0 AND o_orderstatus <> 'F' AND o_totalprice >= 60000 AND o_totalprice < 200000)) AS holds FROM orders"""
 
 
 @query(f"""SELECT run, {", ".join(f"count(*) FILTER (WHERE outcome = '{o}') AS n_{o}" for o in diffs.OUTCOMES)}, count(*) FILTER (WHERE outcome IN ('created', 'written')) AS writes, count(*) FILTER (WHERE holds) AS held FROM ({_FACTS}) GROUP BY 1""")
 def outcome_ladder_report(t: Tables) -> DataFrame:
-    k = F.col("o_orderkey")
+    k, price = F.col("o_orderkey"), F.col("o_totalprice")
     facts = {
-        "selected": k % 23 != 0, "deleted": k % 19 == 0, "bound": k % 2 != 0, "has_envelopes": k % 29 != 0, "target": F.when(k % 7 == 0, "unconfirmed").when(k % 5 == 0, "none").otherwise("confirmed"), "creatable": F.lit(True),
-        "has_changes": F.col("o_orderstatus") != "F", "all_withheld": k % 31 == 0, "reply": F.when(k % 37 == 0, "conflict").when(k % 41 == 0, "no_op").otherwise("written"),
+        "selected": k % 23 != 0, "deleted": k % 19 == 0, "bound": k % 2 != 0, "has_envelopes": k % 29 != 0, "target": F.when(k % 7 == 0, "unconfirmed").when(k % 5 == 0, "none").otherwise("confirmed"), "creatable": F.col("o_orderpriority") != "5-LOW",
+        "has_changes": F.col("o_orderstatus") != "F", "all_withheld": price < 60000,
+        "reply": F.when(price < 100000, "conflict").when(price < 150000, "not_found").when(price < 200000, "refused").when(price < 250000, "no_op").otherwise("written"),
     }
     records = t.orders.select(F.col("o_orderpriority").alias("run"), diffs.outcome(facts, create=True, dry_run=False).alias("o")).select("run", "o.*")
     return diffs.outcome_counts(records, ["run"])
@@ -186,7 +199,7 @@ def committable_offset(t: Tables) -> DataFrame:
 
 
 SCHEMA_RULES = [
-    Rule("all-asia", 0, "object", "include", "glob", "ASIA.*"), Rule("teens", 1, "object", "include", "glob", "*.NATION_1?"), Rule("not-17", 2, "object", "exclude", "glob", "*.NATION_[!0-6]*"),
+    Rule("all-asia", 0, "object", "include", "glob", "ASIA.*"), Rule("teens", 1, "object", "include", "glob", "*.NATION_1?"), Rule("not-17", 2, "object", "exclude", "glob", "*.NATION_[!0123456]*"),
     Rule("africa", 3, "object", "include", "glob", "AF*.NATION_*"), Rule("not-20", 4, "object", "exclude", "glob", "AFRICA.NATION_20"),
 ]
 _GLOB_CASE = """list_filter([{'i': 'all-asia', 'd': 'include', 'm': regexp_full_match(n, 'ASIA[.][^.]*')}, {'i': 'teens', 'd': 'include', 'm': regexp_full_match(n, '[^.]*[.]NATION_1.')},
@@ -195,7 +208,7 @@ _SCHEMAS = f"""SELECT n_nationkey, n, {_GLOB_CASE} AS m FROM (SELECT n_nationkey
 
 
 def _schemas(t: Tables) -> DataFrame:
-    joined = t.nation.join(F.broadcast(t.region), F.col("n_regionkey") == F.col("r_regionkey"))  # five regions
+    joined = t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey"))
     return joined.select("n_nationkey", F.concat_ws(".", "r_name", "n_name").alias("n"))
 
 
@@ -234,7 +247,7 @@ FROM ({_SCHEMAS}) s LEFT JOIN {_OVER} AS a(k, d) ON s.n_nationkey::VARCHAR = a.k
 
 
 def _decided(t: Tables) -> DataFrame:
-    return selection.decide(_schemas(t), SCHEMA_RULES, scope="object", name=F.col("n"), **_unknown(), overrides=F.broadcast(_overrides(t)), id_col="n_nationkey")
+    return selection.decide(_schemas(t), SCHEMA_RULES, scope="object", name=F.col("n"), **_unknown(), overrides=_overrides(t), id_col="n_nationkey")
 
 
 @query(_DECIDED)
@@ -243,15 +256,18 @@ def override_priority(t: Tables) -> DataFrame:
 
 
 def _customers(t: Tables) -> DataFrame:
-    named = t.customer.join(F.broadcast(_schemas(t)), F.col("c_nationkey") == F.col("n_nationkey"))
-    rules = [Rule("out-5", 0, "dataset", "exclude", "glob", "*.*.*5"), Rule("in-55", 1, "dataset", "include", "glob", "*.*.*55")]
+    named = t.customer.join(_schemas(t), F.col("c_nationkey") == F.col("n_nationkey"))
+    rules = [Rule("out-5", 0, "dataset", "exclude", "glob", "*.*.*5"), Rule("in-55", 1, "dataset", "include", "glob", "*.*.*55"), Rule("rich", 2, "dataset", "exclude", "tag", "class=rich")]
     full = F.concat_ws(".", "n", F.regexp_replace("c_name", "#", "_"))
-    sets = selection.decide(named, rules, scope="dataset", name=full, **_unknown(), overrides=F.broadcast(_overrides(t)), id_col="c_custkey")
-    return selection.compose(sets, F.broadcast(_decided(t)), "n")
+    tag = F.struct(F.lit("class").alias("key"), F.when(F.col("c_acctbal") > 9000, "rich").otherwise("other").alias("value"))
+    tags = F.when(F.col("c_custkey") % 4 != 0, F.array(tag))
+    sets = selection.decide(named, rules, scope="dataset", name=full, tags=tags, owners=_unknown()["owners"], overrides=_overrides(t), id_col="c_custkey")
+    return selection.compose(sets, _decided(t), "n")
 
 
-_COMPOSED = f"""SELECT c_custkey, n, CASE WHEN p.decision = 'exclude' THEN false WHEN c_custkey = 0 THEN false WHEN c_name LIKE '%55' THEN true WHEN c_name LIKE '%5' THEN false ELSE true END AS selected,
-CASE WHEN p.decision = 'exclude' THEN 'parent' WHEN c_custkey = 0 THEN 'override' WHEN c_name LIKE '%5' THEN 'rule' ELSE 'inherited' END AS via FROM customer JOIN ({_DECIDED}) p ON c_nationkey = n_nationkey"""
+_RICH = "c_custkey % 4 <> 0 AND c_acctbal > 9000"
+_COMPOSED = f"""SELECT c_custkey, n, CASE WHEN p.decision = 'exclude' THEN false WHEN c_custkey = 0 THEN false WHEN {_RICH} THEN false WHEN c_name LIKE '%55' THEN true WHEN c_name LIKE '%5' THEN false ELSE true END AS selected,
+CASE WHEN p.decision = 'exclude' THEN 'parent' WHEN c_custkey = 0 THEN 'override' WHEN {_RICH} OR c_name LIKE '%5' THEN 'rule' ELSE 'inherited' END AS via, c_custkey % 4 = 0 AND c_custkey <> 0 AS unknown FROM customer JOIN ({_DECIDED}) p ON c_nationkey = n_nationkey"""
 
 
 @query(f"SELECT c_custkey, selected, via FROM ({_COMPOSED})")
@@ -259,16 +275,16 @@ def dataset_inherits_parent(t: Tables) -> DataFrame:
     return _customers(t).select("c_custkey", "selected", "via")
 
 
-@query(f"SELECT split_part(n, '.', 1) AS scope, count(*) AS total, count(*) FILTER (WHERE selected) AS included, count(*) FILTER (WHERE NOT selected) AS excluded, 0::BIGINT AS n_undetermined FROM ({_COMPOSED}) GROUP BY 1")
+@query(f"SELECT split_part(n, '.', 1) AS scope, count(*) AS total, count(*) FILTER (WHERE selected) AS included, count(*) FILTER (WHERE NOT selected) AS excluded, count(*) FILTER (WHERE unknown) AS n_undetermined FROM ({_COMPOSED}) GROUP BY 1")
 def preview_tally(t: Tables) -> DataFrame:
     return selection.tally(_customers(t), F.substring_index("n", ".", 1), F.col("selected"))
 
 
 @query("""
 WITH s AS (SELECT c_custkey AS id, 'obj ' || (c_custkey % 400)::VARCHAR AS n, c_nationkey % 5 AS p FROM customer), c AS (SELECT s_suppkey AS id, 'obj ' || (s_suppkey * 7 % 450)::VARCHAR AS n, s_nationkey % 5 AS p FROM supplier),
-b AS (SELECT id AS sid, id + 1 AS tid FROM s WHERE id % 50 = 0), g AS (SELECT n, p, list_sort(list(id)) AS l FROM c WHERE id NOT IN (SELECT tid FROM b) GROUP BY 1, 2),
-j AS (SELECT s.id, l, b.sid IS NOT NULL AS bound, CASE WHEN b.sid IS NOT NULL OR l IS NULL THEN 0 ELSE len(l) END AS k FROM s LEFT JOIN g USING (n, p) LEFT JOIN b ON b.sid = s.id)
-SELECT id AS source_id, CASE WHEN bound THEN 'bound' WHEN k = 0 THEN 'unmatched' WHEN k = 1 THEN 'proposed' ELSE 'ambiguous' END AS status, CASE WHEN k > 0 THEN array_to_string(l, ',') END AS candidates, k::INTEGER AS n_candidates FROM j
+b AS (SELECT id AS sid, id + 1 AS tid FROM s WHERE id % 50 = 0), g AS (SELECT n, p, list_sort(list(id)) AS l, count(*) AS c FROM c WHERE id NOT IN (SELECT tid FROM b) GROUP BY 1, 2),
+j AS (SELECT s.id, l, b.sid IS NOT NULL AS bound, CASE WHEN b.sid IS NOT NULL OR l IS NULL THEN 0 ELSE c END AS k FROM s LEFT JOIN g USING (n, p) LEFT JOIN b ON b.sid = s.id)
+SELECT id AS source_id, CASE WHEN bound THEN 'bound' WHEN k = 0 THEN 'unmatched' WHEN k = 1 THEN 'proposed' ELSE 'ambiguous' END AS status, CASE WHEN k > 0 THEN array_to_string(l[1:20], ',') END AS candidates, k::INTEGER AS n_candidates FROM j
 """)
 def natural_key_bootstrap(t: Tables) -> DataFrame:
     name = lambda k: C.normal_name(F.concat(F.lit("  OBJ "), k.cast("string"), F.lit(" ")))
@@ -279,7 +295,7 @@ def natural_key_bootstrap(t: Tables) -> DataFrame:
     return out.withColumn("candidates", F.array_join(F.transform("candidates", lambda x: x.cast("string")), ","))
 
 
-@query("SELECT p_name, count(*) AS n, sha256(string_agg(p_partkey::VARCHAR || '|' || p_brand, chr(10) ORDER BY p_partkey::VARCHAR || '|' || p_brand)) AS fingerprint FROM part GROUP BY 1")
+@query(f"""SELECT p_name, count(*) AS n, {digest_sql("(p_partkey::VARCHAR || '|' || p_brand)")} AS fingerprint FROM part GROUP BY 1""")
 def candidate_fingerprint(t: Tables) -> DataFrame:
     return snapshots.set_fingerprint(t.part, "p_name", F.concat_ws("|", _s("p_partkey"), "p_brand"))
 
@@ -310,16 +326,16 @@ def confirm_review(t: Tables) -> DataFrame:
 
 
 @query("""
-WITH o AS (SELECT c_custkey, c_custkey % 500 AS nk, c_nationkey % 5 AS tenant FROM customer), b AS (SELECT c_custkey AS nk, c_nationkey % 5 AS tenant, 'n' || c_custkey::VARCHAR AS nid FROM customer WHERE c_custkey < 500),
-r AS (SELECT c_custkey, nid FROM o LEFT JOIN b USING (nk, tenant)), tg AS (SELECT 'n' || c_custkey::VARCHAR AS nid, c_custkey * 2 AS tk, c_custkey % 3 <> 0 AS confirmed FROM customer WHERE c_custkey % 2 = 0)
+WITH o AS (SELECT c_custkey, c_custkey - c_custkey % 3 AS nk, c_nationkey % 5 AS tenant FROM customer), b AS (SELECT c_custkey AS nk, c_nationkey % 5 AS tenant, 'n' || c_custkey::VARCHAR AS nid FROM customer WHERE c_custkey % 3 = 0),
+r AS (SELECT c_custkey, nid FROM o LEFT JOIN b USING (nk, tenant)), tg AS (SELECT 'n' || c_custkey::VARCHAR AS nid, c_custkey * 2 AS tk, c_acctbal > 3000 AS confirmed FROM customer WHERE c_custkey % 2 = 0)
 SELECT c_custkey, r.nid AS neutral_id, CASE WHEN tk IS NULL THEN 'none' WHEN confirmed THEN 'confirmed' ELSE 'unconfirmed' END AS target, CASE WHEN confirmed THEN tk END AS target_key FROM r LEFT JOIN tg ON r.nid = tg.nid
 """)
 def identity_resolve_tenant(t: Tables) -> DataFrame:
     k, tenant = F.col("c_custkey"), F.col("c_nationkey") % 5
     fixed = [F.lit("source").alias("endpoint"), F.lit("dataset").alias("entity_type")]
-    objects = t.customer.select(k, *fixed, tenant.alias("tenant_id"), (k % 500).alias("native_key"))
-    bindings = t.customer.where(k < 500).select(*fixed, tenant.alias("tenant_id"), k.alias("native_key"), F.concat(F.lit("n"), k.cast("string")).alias("neutral_id"))
-    targets = t.customer.where(k % 2 == 0).select(F.lit("target").alias("endpoint"), fixed[1], F.concat(F.lit("n"), k.cast("string")).alias("neutral_id"), (k * 2).alias("native_key"), (k % 3 != 0).alias("confirmed"))
+    objects = t.customer.select(k, *fixed, tenant.alias("tenant_id"), (k - k % 3).alias("native_key"))
+    bindings = t.customer.where(k % 3 == 0).select(*fixed, tenant.alias("tenant_id"), k.alias("native_key"), F.concat(F.lit("n"), k.cast("string")).alias("neutral_id"))
+    targets = t.customer.where(k % 2 == 0).select(F.lit("target").alias("endpoint"), fixed[1], F.concat(F.lit("n"), k.cast("string")).alias("neutral_id"), (k * 2).alias("native_key"), (F.col("c_acctbal") > 3000).alias("confirmed"))
     resolved = identity.resolve(objects, bindings).drop("endpoint", "native_key")
     return identity.counterpart(resolved, targets, "target").select("c_custkey", "neutral_id", "target", "target_key")
 
@@ -370,7 +386,7 @@ def owner_best_role(t: Tables) -> DataFrame:
     return parties.best_role(t.events, "user_id", "event_type", "event_id", _PRIORITY)
 
 
-@query("""SELECT l_orderkey, bool_and(l_partkey % 20 <> 0) AS all_bound, CASE WHEN bool_and(l_partkey % 20 <> 0) THEN array_to_string(list_sort(list(DISTINCT p_partkey * 10)), ',') END AS refs, count(*) AS n_refs FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1""")
+@query("""SELECT l_orderkey, bool_and(l_partkey % 20 <> 0) AS all_bound, CASE WHEN bool_and(l_partkey % 20 <> 0) THEN array_to_string(list_sort(list(DISTINCT p_partkey * 10))[1:100], ',') END AS refs, count(DISTINCT CASE WHEN p_partkey % 20 <> 0 THEN p_partkey END) AS n_bound, count(*) AS n_refs FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1""")
 def refs_all_or_nothing(t: Tables) -> DataFrame:
     refs = t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey"), "left_semi").select("l_orderkey", F.col("l_partkey").alias("ref"))
     bound = t.part.where("p_partkey % 20 <> 0").select(F.col("p_partkey").alias("ref"), (F.col("p_partkey") * 10).alias("bound"))
@@ -378,9 +394,10 @@ def refs_all_or_nothing(t: Tables) -> DataFrame:
     return out.withColumn("refs", F.array_join(F.transform("refs", lambda x: x.cast("string")), ","))
 
 
-@query("""SELECT s_suppkey, CASE WHEN t IS NULL THEN 0 ELSE len(t) END AS n_tags, coalesce(array_to_string(t, ','), '') AS tags FROM supplier LEFT JOIN (SELECT l_suppkey, list_sort(list(DISTINCT l_returnflag || '=' || l_linestatus)) AS t FROM lineitem WHERE l_quantity > 48 AND l_discount < 0.02 GROUP BY 1) ON s_suppkey = l_suppkey""")
+@query("""SELECT s_suppkey, CASE WHEN t IS NULL THEN 0 ELSE len(t) END AS n_tags, coalesce(array_to_string(t, ','), '') AS tags FROM supplier LEFT JOIN (SELECT l_suppkey, list_sort(list(DISTINCT l_returnflag || '=' || l_linestatus)) AS t FROM lineitem WHERE l_suppkey % 7 <> 0 GROUP BY 1) ON s_suppkey = l_suppkey""")
 def tags_available_vs_empty(t: Tables) -> DataFrame:
-    rows = t.lineitem.where("l_quantity > 48 AND l_discount < 0.02").select(F.lit("main").alias("catalog_name"), _s("l_suppkey").alias("schema_name"), F.col("l_returnflag").alias("tag_name"), F.col("l_linestatus").alias("tag_value")).distinct()
+    schema = F.when(F.col("l_suppkey") % 7 == 0, "elsewhere").otherwise(_s("l_suppkey"))  # every seventh supplier has no tags
+    rows = t.lineitem.select(F.lit("main").alias("catalog_name"), schema.alias("schema_name"), F.col("l_returnflag").alias("tag_name"), F.col("l_linestatus").alias("tag_value"))
     tags = catalogs.tags_of(t.spark, rows, "schema_tags", "main")
     out = catalogs.with_tags(t.supplier.withColumn("full_name", F.concat_ws(".", F.lit("main"), _s("s_suppkey"))), tags)
     return out.select("s_suppkey", F.size("tags").cast("long").alias("n_tags"), F.array_join(T.tag_values(F.col("tags")), ",").alias("tags"))
@@ -440,12 +457,12 @@ def run_issues_join(t: Tables) -> DataFrame:
 
 
 @query("""
-WITH b AS (SELECT event_id, user_id, event_type, 0 AS n FROM events WHERE event_id % 2 = 0 UNION ALL SELECT event_id, user_id, event_type, 1 FROM events WHERE event_id % 3 = 0)
+WITH b AS (SELECT event_id, user_id, event_type, 0 AS n FROM events WHERE ts < TIMESTAMP '2024-01-20' UNION ALL SELECT event_id, user_id, event_type, 1 FROM events WHERE ts >= TIMESTAMP '2024-01-20')
 SELECT user_id, arg_max(event_type, {'n': n, 'e': event_id}) AS event_type, arg_max(event_id, {'n': n, 'e': event_id}) AS event_id FROM b GROUP BY 1
 """)
 def upsert_latest(t: Tables) -> DataFrame:
-    rows = t.events.select("user_id", "event_type", "event_id")
-    return history.upsert(rows.where("event_id % 2 = 0"), rows.where("event_id % 3 = 0"), ["user_id"], ["event_id"])
+    rows = lambda when: t.events.where(f"ts {when} TIMESTAMP '2024-01-20'").select("user_id", "event_type", "event_id")
+    return history.upsert(rows("<"), rows(">="), ["user_id"], ["event_id"])
 
 
 @query("""
@@ -477,7 +494,7 @@ def semi_bound_refs(t: Tables) -> DataFrame:
     return t.customer.select("c_custkey").join(t.orders.where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_semi")
 
 
-@query(r"""SELECT doc_id, sha256(regexp_replace(regexp_replace(coalesce(text, ''), '(?i)\b([a-z0-9_-]*(?:password|passwd|secret|token|api[_-]?key|authorization)[a-z0-9_-]*)("?\s*[=:]\s*"?)[^\s",;]+', '\1\2***REDACTED***', 'g'), '(?i)\b(bearer|basic) +[A-Za-z0-9._~+/=-]+', '\1 ***REDACTED***', 'g')) AS digest FROM documents""")
+@query(f"""SELECT doc_id, sha256(regexp_replace(regexp_replace(coalesce(text, ''), {sql_text(T.KEYED)}, '\\1{T.REDACTED}', 'g'), {sql_text(T.CREDENTIAL)}, '\\1\\2 {T.REDACTED}', 'g')) AS digest FROM documents""")
 def redact_secrets_text(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.sha2(T.redacted(F.coalesce("text", F.lit(""))), 256).alias("digest"))
 
@@ -541,13 +558,26 @@ SELECT k AS key, CASE WHEN k % 23 = 0 THEN 'filtered' WHEN k % 19 = 0 THEN 'orph
 CASE WHEN k % 23 = 0 THEN 'not_selected' WHEN k % 19 = 0 THEN NULL WHEN k % 13 = 0 THEN 'no_target_binding' WHEN nc = 0 THEN NULL WHEN nw = 0 THEN 'nothing_to_write' END AS reason, nc AS n_changes, nw AS n_writes FROM c
 """)
 def cycle_plan(t: Tables) -> DataFrame:
+    return _cycle(t)[0].select("key", "outcome", "reason", "n_changes", "n_writes")
+
+
+def _cycle(t: Tables) -> tuple[DataFrame, DataFrame]:
     k = F.col("key")
     keyed = lambda df: df.withColumnRenamed("c_custkey", "key")
     stored = keyed(_stored(t.customer))
     live = stored.withColumn("checksum", F.when(k % 6 == 0, "edited").otherwise(F.col("checksum")))
-    changes = keyed(t.customer.select("c_custkey")).select("key", (k % 23 != 0).alias("selected"), (k % 19 == 0).alias("deleted"), F.lit(True).alias("bound"), F.when(k % 13 == 0, "none").otherwise("confirmed").alias("target"))
-    records, _ = plan_cycle(changes, keyed(_customer_fields(t.customer)), stored, live, _manifest(t), Options(preserve=("name",)))
-    return records.select("key", "outcome", "reason", "n_changes", "n_writes")
+    changes = keyed(t.customer.select("c_custkey")).select("key", F.lit("dataset").alias("entity_type"), (k % 23 != 0).alias("selected"), (k % 19 == 0).alias("deleted"), F.lit(True).alias("bound"), F.when(k % 13 == 0, "none").otherwise("confirmed").alias("target"))
+    source = keyed(_customer_fields(t.customer)).withColumn("entity_type", F.lit("dataset"))
+    return plan_cycle(changes, source, stored, live, _manifest(t), Options(preserve=("name",)))
+
+
+_CYCLE = f"""{_CHANGED}, l AS (SELECT c_custkey, field, CASE WHEN c_custkey % 6 = 0 THEN 'edited' ELSE checksum END AS live FROM o), w AS (SELECT x.*, x.field = 'name' AND x.old IS NOT NULL AND live <> x.old AS held FROM x LEFT JOIN l USING (c_custkey, field)),
+v AS (SELECT * FROM w WHERE action <> 'drop' AND NOT coalesce(held, false) AND c_custkey % 23 <> 0 AND c_custkey % 19 <> 0 AND c_custkey % 13 <> 0)"""
+
+
+@query(f"WITH {_CYCLE} SELECT c_custkey AS key, field, action, value, previous, checksum, revision FROM v")
+def cycle_writes(t: Tables) -> DataFrame:
+    return _cycle(t)[1]
 
 
 @query("SELECT min(p_partkey) AS p_partkey, sha256(p_name || '|' || p_brand) AS digest FROM part WHERE p_partkey % 2 = 0 AND NOT EXISTS (SELECT 1 FROM part q WHERE q.p_partkey % 2 = 1 AND q.p_name = part.p_name AND q.p_brand = part.p_brand) GROUP BY p_name, p_brand")

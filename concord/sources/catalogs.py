@@ -23,18 +23,20 @@ def key_state(document: Column, key: str) -> Column:
     return F.when(v.isNull(), "absent").when(F.is_variant_null(v), "null").when(F.trim(text) == "", "empty").otherwise("value")
 
 
-def tags_of(spark: SparkSession, rows: DataFrame, table: str, catalog: str, schemas: list[str] | None = None) -> DataFrame:
-    """Tags of a catalog's schemas or tables, in one scan: full_name, tags in order of name and value.
+def tags_of(spark: SparkSession, rows: DataFrame, table: str, catalog: str | list[str], schemas: list[str] | None = None) -> DataFrame:
+    """Tags of one or several catalogs' schemas or tables, in one scan: full_name, tags in order of name and value.
 
-    rows: an information-schema table.  Identifiers are checked, values are bound.
+    rows: an information-schema table.  Identifiers are checked, values are bound.  An object has at most a few dozen tags.
     """
-    if not catalog.replace("_", "").isalnum() or not catalog.isascii():
-        raise ValueError(f"{catalog!r} is no identifier")
-    rows.createOrReplaceTempView("concord_tag_rows")
+    names = [catalog] if isinstance(catalog, str) else catalog
+    for c in names:
+        if not c.replace("_", "").isalnum() or not c.isascii():
+            raise ValueError(f"{c!r} is no identifier")
     parts = "catalog_name, schema_name" + ", table_name" * (table == "table_tags")
-    where = "catalog_name = :catalog" + (" AND array_contains(:schemas, schema_name)" if schemas is not None else "")
-    args = {"catalog": catalog} | ({"schemas": F.array(*[F.lit(s) for s in schemas])} if schemas is not None else {})
-    found = spark.sql(f"SELECT concat_ws('.', {parts}) AS full_name, tag_name, tag_value FROM concord_tag_rows WHERE {where}", args=args)
+    args = {f"c{i}": c for i, c in enumerate(names)} | {f"s{i}": s for i, s in enumerate(schemas or [])}
+    one_of = lambda column, p, n: f"{column} IN ({', '.join(f':{p}{i}' for i in range(n))})" if n else "false"
+    where = one_of("catalog_name", "c", len(names)) + (" AND " + one_of("schema_name", "s", len(schemas)) if schemas is not None else "")
+    found = spark.sql(f"SELECT DISTINCT concat_ws('.', {parts}) AS full_name, tag_name, tag_value FROM {{rows}} WHERE {where}", args=args, rows=rows)
     tag = F.struct(F.col("tag_name").alias("key"), F.col("tag_value").alias("value"))
     return found.groupBy("full_name").agg(F.array_sort(F.collect_list(tag)).alias("tags"))
 

@@ -1,10 +1,13 @@
 """Values that mean the same have the same checksum; others don't."""
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
 from concord.functions import canonical as C
 from concord.functions import text as T
+from concord.operators import snapshots
 
 CLASSES = [
     ["", "  ", "\n\t", "\r\n\v\f"],
@@ -15,7 +18,7 @@ CLASSES = [
     ["é", "é"],
     ["ﬁ"],
     ["fi"],
-    ["2024-05-01T10:00:00Z", "2024-05-01T12:00:00+02:00", "2024-05-01T10:00:00.000400Z", "2024-05-01t10:00:00z"],
+    ["2024-05-01T10:00:00Z", "2024-05-01T12:00:00+02:00", "2024-05-01T10:00:00.000400Z", "2024-05-01t10:00:00z", "2024-05-01 12:00:00.0+0200", "2024-04-30 10:01:00-2359"],
     ["2024-05-01T10:00:00.001Z"],
     ["2024-05-01T10:00:00"],
     ["2024-05-01"],
@@ -32,6 +35,54 @@ def test_canonical_strings(spark):
     assert len(set.union(*by.values())) == len(CLASSES)
 
 
+ODD_INSTANTS = [
+    "2024-05-01T25:00:00Z", "2024-02-30T10:00:00Z", "2024-05-01T10:00:00+24:00", "2024-05-01T10:00:00+02:60", "2024-05-01T10:00:00 Z", "x2024-05-01T10:00:00Z", "2024-05-01T10:00:00Z\n", "2024-05-01T10:00Z", "0999-05-01T10:00:00.9999999+00:00",
+    "2024-05-01T10:00:00.1+01:00", "2024-05-01T10:00:00.1234567-0130", "2024-05-01T23:59:59.9999Z",
+]
+
+
+def test_columns_and_json_agree(spark):
+    given = [v for group in CLASSES for v in group] + ODD_INSTANTS
+    got = spark.createDataFrame([(v,) for v in given], "v string").select("v", C.canonical_string(F.col("v")).alias("c")).collect()
+    assert [(r["v"], r["c"]) for r in got] == [(v, json.loads(C.canonical_json_text(json.dumps(v)))) for v in given]
+
+
+def test_numbers_as_json(spark):
+    given = [0.0, -0.0, 1.0, -1.5, 0.1, 1e-4, 5e-4, 9.999e-5, 2.5e-300, 1.25e-10, 12345678.25, 4503599627370497.5, 1e15, 1e22, 1e23, 2.0**63, -(2.0**63), 2.0**70, 1.7e37, 123456789012345680.0, 1 / 3]
+    got = spark.createDataFrame([(x,) for x in given], "x double").select(C.number_text(F.col("x"))).collect()
+    assert [r[0] for r in got] == [C.canonical_json_text(json.dumps(x)) for x in given]
+    assert [C.canonical_json_text(json.dumps(x)) for x in (1e23, -0.0)] == ["99999999999999991611392", "0"]
+
+
+def test_keys_are_no_instants_and_writing_changes_nothing():
+    text = '{" 2024-05-01T12:00:00+02:00 ": [2.0, " b ", 1], "a": null}'
+    assert C.canonical_json_text(text, True) == '{"2024-05-01T12:00:00+02:00":["b",1,2],"a":null}'
+    assert C.faithful_json_text(text) == '{" 2024-05-01T12:00:00+02:00 ":[2.0," b ",1],"a":null}'
+    with pytest.raises(ValueError):
+        C.faithful_json_text("[NaN]")
+
+
+def test_order_of_arrays_by_field(spark):
+    names = ["tags", "dataset_refs", "datasetRefs", "columns", "customAttributes", "TermRelations"]
+    got = spark.createDataFrame([(n,) for n in names], "n string").select(C.ordered(F.col("n"))).collect()
+    assert [r[0] for r in got] == [False, False, False, True, True, False] == [not snapshots.order_free(n) for n in names]
+
+
+SECRETS = [
+    ("Bearer\tabc.def x", "Bearer ***REDACTED*** x"), ("say Bearer abc!secret.", "say Bearer ***REDACTED***"), ('password: "two words" x', "password: ***REDACTED*** x"), ("a=1; apiKey = 'x;\\' y'; b", "a=1; apiKey = ***REDACTED***; b"),
+    ("Authorization: Basic dXNl x", "Authorization: ***REDACTED*** x"), ('{"client_secret": "a\\"b", "n": 1}', '{"client_secret": ***REDACTED***, "n": 1}'), ("private_key=k, access-key:v", "private_key=***REDACTED***, access-key:***REDACTED***"),
+    ("forebearer z", "forebearer z"), ("no secrets here", "no secrets here"), ("credential\u00a0=\u00a0q", "credential\u00a0=\u00a0***REDACTED***"), ("", ""),
+]
+
+
+def test_secrets_are_redacted(spark):
+    got = spark.createDataFrame([(a,) for a, _ in SECRETS], "t string").select(T.redacted(F.col("t"))).collect()
+    assert [r[0] for r in got] == [b for _, b in SECRETS]
+    long = "token" * 20_000 + "=" + "x" * 100_000
+    assert spark.createDataFrame([(long,)], "t string").select(T.redacted(F.col("t"))).first()[0].endswith("=***REDACTED***")
+    assert T.redacted_json_text('{"a":{"Refresh-Token":{"x":1}},"b":["basic Zm9v!"]}') == '{"a":{"Refresh-Token":"***REDACTED***"},"b":["basic ***REDACTED***"]}'
+
+
 JSON = [
     ['{"a":1,"b":[1,2]}', '{"b":[1.0,2e0],"a":1.000}', '{ "b" : [1,2], "a" : 1 }'],
     ['{"a":"1","b":[1,2]}'],
@@ -71,14 +122,14 @@ def test_globs_follow_fnmatch(spark):
     from fnmatch import fnmatchcase
 
     names = ["a.b", "a.b\n", "A.b", "a.b.c", "ax.b", "a-.b", "x[.b", "a.", None]
-    patterns = ["a.b", "a*.b", "?.b", "[ab].b", "[!a].b", "*.*", "a[-x].b"]
+    patterns = ["a.b", "a*.b", "?.b", "[ab].b", "[!a].b", "*.*", "a[xyz].b"]
     df = spark.createDataFrame([(n,) for n in names], "n string").select("n", *[T.glob_matches(F.col("n"), p).alias(str(i)) for i, p in enumerate(patterns)])
     for r in df.collect():
         for i, p in enumerate(patterns):
             n = r["n"]
             want = None if n is None else n.count(".") == 1 and all(fnmatchcase(x, y) for x, y in zip(n.split("."), p.split("."), strict=True))
             assert r[str(i)] == want, (n, p)
-    for bad in ("a", "a.b.c", "a b.c", ".b"):
+    for bad in ("a", "a.b.c", "a b.c", ".b", "a-b.c", "[a-c].b"):
         with pytest.raises(ValueError):
             T.check_glob(bad, 2)
 
@@ -93,3 +144,14 @@ def test_small_conversions(spark):
     ).first()
     assert list(got) == ["view", "table", "other", "steward", "api_key=***REDACTED*** x Bearer ***REDACTED***", "data_product_ref", "c.d", "b.c", "0, 1, 2, 3, 4 and 2 more"]
     assert T.literal_catalogs(["b.x", "a*.y", "b.z", "c.*"]) == ["b", "c"]
+
+
+def test_slugs_keys_and_cursors(spark):
+    got = spark.range(1).select(
+        T.slug(F.lit(" Ä Über--uns! ")), T.slug(F.lit("***")), T.slug(F.lit("ab " * 60)), T.endpoint_key(F.lit(" my-end.point ")), T.cursor_parts(F.lit("%%%")), T.cursor_parts(F.lit("YWJj")),
+        T.cursor_parts(T.cursor(F.lit("2024-05-01 10:00:00.5").cast("timestamp"), F.lit("k|1"))), T.jitter(F.lit(900.0)), T.jitter(F.lit(50.0)),
+    ).first()
+    assert list(got)[:6] == ["ber-uns", "item", "-".join(["ab"] * 27)[:80].rstrip("-"), "MY_END_POINT", None, None]
+    assert (got[6]["at"].microsecond, got[6]["key"], got[7], got[8]) == (500000, "k|1", 60.0, 5.0)
+    with pytest.raises(Exception, match="letter or digit"):
+        spark.range(1).select(T.endpoint_key(F.lit("--"))).collect()
