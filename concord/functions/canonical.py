@@ -12,7 +12,6 @@ import math
 import re
 import unicodedata
 from datetime import UTC, datetime
-from decimal import Decimal
 
 import pandas as pd
 from pyspark.sql import Column
@@ -105,15 +104,17 @@ def number_text(x: Column) -> Column:
     """
     x = x.cast("double")
     size = F.abs(x)
-    high = F.floor(size / 2.0**63)
-    # a whole double of 2**63 or more is high * 2**63 + low without rounding
-    big = high.try_cast("decimal(20,0)") * F.lit(Decimal(2**63)).try_cast("decimal(19,0)") + (size - high * 2.0**63).try_cast("decimal(19,0)")
+    # a whole double of 2**63 or more is high * 2**63 + low, both of them longs, without rounding
+    high = (size / 2.0**63).try_cast("long")
+    low = (size - high.cast("double") * 2.0**63).try_cast("long")
+    big = F.try_add(F.try_multiply(high.try_cast("decimal(19,0)"), F.lit(str(2**63)).cast("decimal(19,0)")), low.try_cast("decimal(19,0)"))
     big = F.concat(F.when(x < 0, "-").otherwise(""), big.try_cast("decimal(38,0)").cast("string"))
     plain = F.regexp_replace(x.try_cast("decimal(38,21)").cast("string"), r"\.?0+\z", "")
     tiny = F.regexp_replace(F.regexp_replace(x.cast("string"), r"(\.0)?E-([0-9])\z", "e-0$2"), r"(\.0)?E-([0-9]{2,})\z", "e-$2")
     bad = F.isnan(x) | (size >= 2.0**126)
     text = F.when(bad, F.raise_error(F.lit("not a finite number of a usual size")).cast("string"))
-    text = text.when((x == F.floor(x)) & (size < 2.0**63), x.try_cast("long").cast("string")).when(x == F.floor(x), big)
+    whole = (size >= 2.0**53) | (x == F.floor(x))
+    text = text.when(whole & (size < 2.0**63), x.try_cast("long").cast("string")).when(whole, big)
     return text.when(size >= 1e-4, plain).otherwise(tiny)
 
 
