@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import hashlib
 import random
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +26,9 @@ _M31, _M30 = np.uint64((1 << 31) - 1), np.uint64((1 << 30) - 1)
 _M64 = (1 << 64) - 1
 _LANE = 7  # bytes of a word that make one value
 _LANES = 16
+_BLOCK = 1 << 14
+#: Which bits of eight bytes hold the first 0 to 7 of them.
+_KEPT = np.array([(1 << 8 * i) - 1 for i in range(8)], dtype=np.uint64)
 #: Space, and tab to carriage return: what separates words.
 SEPARATOR = np.isin(np.arange(256), [32, *range(9, 14)])
 
@@ -42,14 +45,22 @@ def mix64(h: np.ndarray) -> np.ndarray:
 
 def reduced(x: np.ndarray) -> np.ndarray:
     """64-bit integers modulo 2**61 - 1."""
-    x = (x & _P) + (x >> _S61)
-    return np.where(x >= _P, x - _P, x)
+    x = _folded(x)
+    x[x >= _P] -= _P
+    return x
+
+
+def _folded(x: np.ndarray) -> np.ndarray:
+    """The same modulo 2**61 - 1, but for at most 7 above 2**61: small enough to go on with."""
+    out = x & _P
+    out += x >> _S61
+    return out
 
 
 def times(a: np.ndarray, factor: int) -> np.ndarray:
-    """a * factor modulo 2**61 - 1; a below it.
+    """a * factor modulo 2**61 - 1, folded; a folded.
 
-    With halves of 30 and 31 bits, 2**62 is 2 and 2**61 is 1, so all parts fit 64 bits.
+    With halves of 30 and 31 bits, 2**62 is 2 and 2**61 is 1, so all parts and their sum fit 64 bits.
     """
     factor %= PRIME
     high, low = np.uint64(factor >> 31), np.uint64(factor & ((1 << 31) - 1))
@@ -59,21 +70,33 @@ def times(a: np.ndarray, factor: int) -> np.ndarray:
     a_high *= high << np.uint64(1)
     a_low *= low
     a_low += a_high
-    a_low += middle >> _S30
+    np.right_shift(middle, _S30, out=a_high)
+    a_low += a_high
     middle &= _M30
     middle <<= _S31
     a_low += middle
-    return reduced(a_low)
+    return _folded(a_low)
 
 
 def window_hashes(values: np.ndarray, width: int, base: int) -> np.ndarray:
     """Hashes below 2**61 - 1 of values[i:i+width] (values below it) for every i that has so many values.
 
     Windows of twice the width come from two halves, and windows of any width from those of the powers of two in it.
+    Done in blocks that stay in the processor's cache.
     """
     n = len(values) - width + 1
     if n <= 0:
         return np.empty(0, dtype=np.uint64)
+    out = np.empty(n, dtype=np.uint64)
+    step = max(_BLOCK, width)
+    for a in range(0, n, step):
+        b = min(n, a + step)
+        out[a:b] = _window_block(values[a : b + width - 1], width, base)
+    return out
+
+
+def _window_block(values: np.ndarray, width: int, base: int) -> np.ndarray:
+    n = len(values) - width + 1
     out, have, part, size = None, 0, values, 1
     while True:
         if width & size:
@@ -81,11 +104,15 @@ def window_hashes(values: np.ndarray, width: int, base: int) -> np.ndarray:
                 out = part
             else:
                 m = min(len(out), len(part) - have)
-                out = reduced(times(out[:m], pow(base, size, PRIME)) + part[have : have + m])
+                out = times(out[:m], pow(base, size, PRIME))
+                out += part[have : have + m]
+                out = _folded(out)
             have += size
         if have == width:
-            return out[:n]
-        part = reduced(times(part[:-size], pow(base, size, PRIME)) + part[size:])
+            return reduced(out[:n])
+        doubled = times(part[:-size], pow(base, size, PRIME))
+        doubled += part[size:]
+        part = _folded(doubled)
         size *= 2
 
 
@@ -157,25 +184,41 @@ class Words:
     end: np.ndarray
     first: np.ndarray  # of documents + 1
     byte_is_word: np.ndarray
+    _known: dict[int, np.ndarray] = field(default_factory=dict)  # hashes made before, by base
 
     def hashes(self, family: Family = FIXED) -> np.ndarray:
         """A hash below 2**61 - 1 of each word: a polynomial of its pieces of 7 bytes and its length; words of over 112 bytes by BLAKE2."""
-        size = self.end - self.start
-        out = size.astype(np.uint64)
+        known = self._known.get(family.word)
+        if known is None:
+            known = self._known[family.word] = self._hashed(family.word)
+        return known
+
+    def _hashed(self, base: int) -> np.ndarray:
         padded = np.concatenate((self.data, np.zeros(8, np.uint8)))
         values = np.ndarray(len(self.data) + 1, "<u8", padded, strides=(1,))
-        at = np.arange(len(size))
-        for lane in range(_LANES):
-            rest = size[at] - lane * _LANE
-            at, rest = at[rest > 0], rest[rest > 0]
-            if not len(at):
-                break
-            keep = np.uint64(_M64) >> (np.uint64(64) - np.uint64(8) * np.minimum(rest, _LANE).astype(np.uint64))
-            out[at] = reduced(times(out[at], family.word) + (values[self.start[at] + lane * _LANE] & keep))
+        size = self.end - self.start
+        out = np.empty(len(size), dtype=np.uint64)
+        for a in range(0, len(size), _BLOCK):
+            out[a : a + _BLOCK] = self._hashed_block(values, self.start[a : a + _BLOCK], size[a : a + _BLOCK], base)
         for i in np.flatnonzero(size > _LANE * _LANES).tolist():
-            raw = hashlib.blake2b(self.data[self.start[i] : self.end[i]].tobytes(), digest_size=8, key=family.word.to_bytes(8, "little")).digest()
+            raw = hashlib.blake2b(self.data[self.start[i] : self.end[i]].tobytes(), digest_size=8, key=base.to_bytes(8, "little")).digest()
             out[i] = int.from_bytes(raw, "little") % PRIME
-        return reduced(times(out, family.word))
+        return out
+
+    @staticmethod
+    def _hashed_block(values: np.ndarray, start: np.ndarray, size: np.ndarray, base: int) -> np.ndarray:
+        out = values[start] & _KEPT[np.minimum(size, _LANE)]
+        at = np.flatnonzero(size > _LANE)
+        for lane in range(1, _LANES):
+            if not len(at):
+                break
+            more = times(out[at], base)
+            more += values[start[at] + lane * _LANE] & _KEPT[np.minimum(size[at] - lane * _LANE, _LANE)]
+            out[at] = _folded(more)
+            at = at[size[at] > (lane + 1) * _LANE]
+        out = times(out, base)
+        out += size.astype(np.uint64)
+        return reduced(out)
 
     def positions(self) -> np.ndarray:
         """Each word's place in its own document."""

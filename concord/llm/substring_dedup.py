@@ -26,9 +26,10 @@ def substring_dedup(
     `window`-word windows around a block that another place probed are counted by
     fingerprints of their words; what is counted twice is repeated, and
     overlapping repeats merge into maximal runs.  n copies so cost n entries, not
-    n * n pairs.  A fingerprint is two polynomials modulo 2**61 - 1 whose bases are drawn
-    anew for each call: whatever the texts, two different windows agree with a
-    probability under 2**-110, so no text can be made for which they do.
+    n * n pairs.  Words are hashed by a polynomial modulo 2**61 - 1, and a fingerprint is two
+    such polynomials of the words' hashes, with three bases drawn anew for each call: no text can be made
+    for which different windows agree.  Whatever they are, two windows that differ in words do so
+    with a probability under 2**-56 (if all their different words have equal hashes), else under 2**-110.
 
     Returns a row for each input row: id, n_words, n_removed, kept_sha256, n_spans
     (maximal removed runs), and with keep_text the kept words joined by one space.
@@ -83,7 +84,7 @@ def substring_dedup(
         # blocks wholly inside a window start within its first window - block + 1 words
         inside = reach[starts + window - block] - np.where(starts > 0, reach[starts - 1], 0)
         starts = starts[inside > 0]
-        return starts, one.windows(words.hashes(one), window)[starts], two.windows(words.hashes(two), window)[starts]
+        return starts, one.windows(words.hashes(one), window)[starts], two.windows(words.hashes(one), window)[starts]
 
     def extend(key, table, right):
         words = words_of(table.column("text"))
