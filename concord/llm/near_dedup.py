@@ -97,7 +97,7 @@ def classed_texts(
     idf_share: float = 0.25,
     chunk_bytes: int = 3 << 20,
     bucket_keys: int = 1_000_000,
-    block: int = 2048,
+    block: int = 400,
     block_shingles: int = 4_000_000,
     part_bytes: int = 8 << 20,
     seed: int = 7,
