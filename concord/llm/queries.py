@@ -57,7 +57,8 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup(table(spark, sf_dir, "documents"), width=400)
+    # n_repeated, by a shorter string, also tells of repeated passages that are too short to be removed
+    return suffix_dedup(table(spark, sf_dir, "documents"), width=400, report=250)
 
 
 def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:

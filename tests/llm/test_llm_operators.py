@@ -57,20 +57,48 @@ def test_substring_dedup_removes_repeated_windows(spark, docs):
         assert Counter(tuple(r) for r in got.collect()) == want
 
 
+def covered_bytes(values, size):
+    seen = Counter(b[i : i + size] for b in values for i in range(len(b) - size + 1))
+    out = []
+    for b in values:
+        gone = [False] * len(b)
+        for p in range(len(b) - size + 1):
+            if seen[b[p : p + size]] > 1:
+                gone[p : p + size] = [True] * size
+        out.append(gone)
+    return out
+
+
 def test_suffix_dedup_removes_repeated_strings(spark, docs):
     values = [(t or "").encode() for t in texts()]
-    seen = Counter(b[i : i + 400] for b in values for i in range(len(b) - 399))
     want = Counter()
-    for i, b in enumerate(values):
-        gone = [False] * len(b)
-        for p in range(len(b) - 399):
-            if seen[b[p : p + 400]] > 1:
-                gone[p : p + 400] = [True] * 400
+    for i, (b, gone, short) in enumerate(zip(values, covered_bytes(values, 400), covered_bytes(values, 250), strict=True)):
         spans = sum(g and not (j and gone[j - 1]) for j, g in enumerate(gone))
-        want[(None if i == 7 else i, len(b), sum(gone), spans, hashlib.sha256(bytes(x for x, g in zip(b, gone, strict=True) if not g)).hexdigest())] += 1
-    for options in ({}, {"chunk_bytes": 3000, "bucket_bytes": 4000}, {"hot_anchor": 1}):
-        got = suffix_dedup.suffix_dedup(docs, **options)
-        assert Counter(tuple(r) for r in got.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()) == want, options
+        want[(None if i == 7 else i, len(b), sum(gone), spans, hashlib.sha256(bytes(x for x, g in zip(b, gone, strict=True) if not g)).hexdigest(), sum(short))] += 1
+    columns = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+    for options in ({}, {"chunk_bytes": 3000, "bucket_bytes": 4000}, {"hot_anchor": 1}, {"hot_anchor": 3}, {"hot_anchor": 4, "chunk_bytes": 3000, "bucket_bytes": 4000}):
+        got = suffix_dedup.suffix_dedup(docs, report=250, **options)
+        assert Counter(tuple(r) for r in got.select(*columns, "n_repeated").collect()) == want, options
+    got = suffix_dedup.suffix_dedup(docs, hot_anchor=2)
+    assert got.columns == columns and Counter(tuple(r) for r in got.select(*columns).collect()) == Counter(k[:-1] for k in want.elements())
+
+
+def test_suffix_dedup_in_periodic_and_copied_texts(spark):
+    rng = random.Random(2)
+    unit = "".join(rng.choice("abcdef ") for _ in range(37))
+    phrase = ["".join(rng.choice("abcdefgh ") for _ in range(n)) for n in (60, 90, 150, 280, 320)]
+    mixed = [" ".join(rng.choice(phrase) for _ in range(rng.randint(1, 6))) for _ in range(60)]
+    values = [unit * 30, unit * 12 + "x", "y" + unit * 11, "z" * 900, "z" * 399, "z" * 400, *mixed, *[phrase[3] + str(i) + phrase[1] for i in range(40)]]
+    raw = [v.encode() for v in values]
+    want = sorted((i, sum(a), sum(b)) for i, (a, b) in enumerate(zip(covered_bytes(raw, 400), covered_bytes(raw, 250), strict=True)))
+    df = spark.createDataFrame(list(enumerate(values)), "doc_id long, text string")
+    for hot in (1000, 20, 1):
+        got = suffix_dedup.suffix_dedup(df, report=250, hot_anchor=hot).select("doc_id", "n_removed", "n_repeated").collect()
+        assert sorted(tuple(r) for r in got) == want, hot
+    # rows equal in id and text that would overfill a chunk
+    copies = spark.createDataFrame([(1, "q" * 10 + unit * 12)] * 50 + [(2, "q" * 9 + unit * 11)], "doc_id long, text string")
+    got = Counter(tuple(r) for r in suffix_dedup.suffix_dedup(copies, chunk_bytes=2000).select("doc_id", "n_bytes", "n_removed").collect())
+    assert got == Counter({(1, 454, 454): 50, (2, 416, 416): 1})
 
 
 def test_top_k_with_ties_and_odd_vectors(spark):
