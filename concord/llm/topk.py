@@ -5,12 +5,13 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .shared import written
+
 _LISTED = "query_id long, id long, low double"
 _ENTRY = "query_id long, id long, score long"
 
@@ -45,7 +46,7 @@ def exact_products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def exact_top_k(
-    vectors: DataFrame, *, queries: DataFrame | None = None, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 10, scale: int = 1024, every: int = 100, block: int = 1024, rows_per_node: int = 4096
+    vectors: DataFrame, *, queries: DataFrame | None = None, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 10, scale: int = 1024, every: int = 100, block_bytes: int = 32 << 20, tile: int = 1024, rows_per_node: int = 4096
 ) -> DataFrame:
     """Each query's k highest integer inner products with all other rows: query_id, rank, id, score.
 
@@ -53,17 +54,21 @@ def exact_top_k(
     is divisible by `every`; candidates are all rows with another id.  Ties go to
     the smaller id; rows that repeat an id and score fill one rank each.
 
-    Queries go in blocks of at most `block` vectors, each broadcast (block * dims * 8
-    bytes).  For a block, nodes are parts of the table of about rows_per_node rows:
+    Queries go in blocks of at most some block_bytes, each broadcast, and are multiplied with rows in tiles of `tile`
+    queries.  For a block, nodes are parts of the table of about rows_per_node rows:
 
     1. every node scores its rows in 32-bit floats, with a bound on what rounding can
        have changed, and lists the lower bounds of its best ceil(2 k / nodes) + 1 rows
        (k, if there are few nodes).  The k-th highest listed lower bound of a query is
-       a safe cutoff: k rows reach it, so no row below it can be an answer;
+       a safe cutoff: k rows reach it, so no row below it can be an answer.  Lists are cut
+       to k where they are made and again where they meet (a window's group limit);
     2. cutoffs, one number a query, are broadcast, and every node collects all rows
        whose upper bound reaches the cutoff: enough, and hardly more than k a query;
     3. what was collected is resolved exactly in integers, and ranked.
 
+    The table is scanned twice for each block, so twice in all up to block_bytes of queries; if there are
+    more blocks, each one's answers are written before the next begins.
+
     A query with fewer than k other rows has no cutoff and collects all.  Vectors
     that are null or hold null or non-finite components take no part; where lengths
     differ, missing components count 0.  Empty tables give an empty result.
@@ -76,10 +81,10 @@ def exact_top_k(
     dims = max(dims, more, 1)
     nodes = max(1, math.ceil(n / rows_per_node))
     per_list = min(k, math.ceil(2 * k / nodes) + 1)
-    n_blocks = max(1, math.ceil(n_asked / (block * 0.9)))  # hashed blocks are not quite even
+    n_blocks = max(1, math.ceil(1.1 * n_asked * dims * 8 / block_bytes))  # hashed blocks are not quite even
     dealt = rows.repartition(nodes, F.xxhash64("id", "v"))
-    answers = None
-    for b in range(n_blocks):
+
+    def answers(b: int) -> DataFrame:
         part = asked.where(F.pmod(F.xxhash64("id"), F.lit(n_blocks)) == b).toPandas()  # one block of the query set
         q_id = part["id"].to_numpy(np.int64)
         q = np.zeros((len(part), dims))
@@ -87,52 +92,53 @@ def exact_top_k(
             q[i, : len(v)] = v
         sent = spark.sparkContext.broadcast((q_id, q))
 
-        def bounds(batch, sent=sent):
-            """Float scores of a batch with all queries, and how far they may be off."""
+        def tiles(batch):
+            """Queries of a tile: their places, ids and vectors; the batch's ids and vectors; float scores, and how far these may be off."""
             q_id, q = sent.value
             x = _matrix(batch.column("v"), dims)
             ids = batch.column("id").to_numpy(zero_copy_only=False)
-            with np.errstate(over="ignore", invalid="ignore"):
-                score = (q.astype(np.float32) @ x.astype(np.float32).T).astype(np.float64)
-                slack = (dims + 4) * 2.0**-23 * np.outer(np.sqrt((q * q).sum(1)), np.sqrt((x * x).sum(1))) + 1
-                if not np.isfinite(score).all():
-                    score = q @ x.T
-            return q_id, q, ids, x, score, slack
-
-        def gather(batches, bounds=bounds):
-            best: dict[str, list[np.ndarray]] = {"q": [], "i": [], "s": []}
-            q_id = None
+            size = np.sqrt((x * x).sum(1))
+            for a in range(0, len(q), tile):
+                own = q[a : a + tile]
+                with np.errstate(over="ignore", invalid="ignore"):
+                    score = (own.astype(np.float32) @ x.astype(np.float32).T).astype(np.float64)
+                    slack = (dims + 4) * 2.0**-23 * np.outer(np.sqrt((own * own).sum(1)), size) + 1
+                    if not np.isfinite(score).all():
+                        score = own @ x.T
+                yield a, q_id[a : a + tile], own, ids, x, score, slack
+
+        def gather(batches):
             for batch in batches:
-                q_id, _, ids, _, score, slack = bounds(batch)
-                low = np.where(ids[None, :] == q_id[:, None], -np.inf, score - slack)
-                m = min(per_list, low.shape[1])
-                if not m:
-                    continue
-                at = np.argpartition(-low, m - 1, axis=1)[:, :m]
-                best["q"].append(np.repeat(q_id, m))
-                best["i"].append(ids[at].ravel())
-                best["s"].append(np.take_along_axis(low, at, 1).ravel())
-            if best["q"]:
-                frame = pd.DataFrame({k: np.concatenate(v) for k, v in best.items()})
-                frame = frame[frame["s"] > -np.inf].sort_values("s", ascending=False).groupby("q").head(per_list)
-                yield pa.RecordBatch.from_arrays([pa.array(frame["q"].to_numpy()), pa.array(frame["i"].to_numpy()), pa.array(frame["s"].to_numpy())], ["query_id", "id", "low"])
+                for _, q_id, _, ids, _, score, slack in tiles(batch):
+                    low = np.where(ids[None, :] == q_id[:, None], -np.inf, score - slack)
+                    m = min(per_list, low.shape[1])
+                    if m:
+                        at = np.argpartition(-low, m - 1, axis=1)[:, :m]
+                        best = np.take_along_axis(low, at, 1)
+                        fine = best > -np.inf
+                        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q_id, m)[fine.ravel()]), pa.array(ids[at][fine]), pa.array(best[fine])], ["query_id", "id", "low"])
 
         listed = dealt.mapInArrow(gather, _LISTED)
-        # the k-th highest lower bound of each query; lists are short, and partial lists are merged before the shuffle ends
-        cut = listed.groupBy("query_id").agg(F.sort_array(F.collect_list("low"), asc=False).alias("lows")).select("query_id", F.when(F.size("lows") >= k, F.get("lows", F.lit(k - 1))).alias("cut"))
-        cutoffs = {r["query_id"]: r["cut"] for r in cut.collect() if r["cut"] is not None}  # one number for each query of the block
+        place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("low").desc()))
+        cut = listed.withColumn("place", place).where(F.col("place") <= k).where(F.col("place") == k).select("query_id", "low")
+        cutoffs = {r["query_id"]: r["low"] for r in cut.collect()}  # one number for each query of the block
         cuts = spark.sparkContext.broadcast(np.array([cutoffs.get(int(i), -np.inf) for i in q_id]))
 
-        def collect(batches, bounds=bounds, cuts=cuts):
+        def collect(batches):
             for batch in batches:
-                q_id, q, ids, x, score, slack = bounds(batch)
-                i, j = np.nonzero((score + slack >= cuts.value[:, None]) & (ids[None, :] != q_id[:, None]))
-                most = max(1.0, np.abs(q).max(initial=0)) * max(1.0, np.abs(x).max(initial=0)) * dims
-                exact = np.einsum("ij,ij->i", q[i], x[j]).astype(np.int64) if most < 2**53 else np.array([exact_products(q[a : a + 1], x[c : c + 1])[0, 0] for a, c in zip(i, j, strict=True)], dtype=np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(q_id[i]), pa.array(ids[j]), pa.array(exact)], ["query_id", "id", "score"])
-
-        found = dealt.mapInArrow(collect, _ENTRY)
-        answers = found if answers is None else answers.unionAll(found)
-    best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
-    ranked = answers.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-    return ranked.select("query_id", F.col("rank").cast(T.IntegerType()).alias("rank"), F.col("id").alias(id_col), "score")
+                for a, q_id, q, ids, x, score, slack in tiles(batch):
+                    i, j = np.nonzero((score + slack >= cuts.value[a : a + len(q), None]) & (ids[None, :] != q_id[:, None]))
+                    most = max(1.0, np.abs(q).max(initial=0)) * max(1.0, np.abs(x).max(initial=0)) * dims
+                    exact = np.einsum("ij,ij->i", q[i], x[j]).astype(np.int64) if most < 2**53 else np.array([exact_products(q[a : a + 1], x[c : c + 1])[0, 0] for a, c in zip(i, j, strict=True)], dtype=np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(q_id[i]), pa.array(ids[j]), pa.array(exact)], ["query_id", "id", "score"])
+
+        best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
+        ranked = dealt.mapInArrow(collect, _ENTRY).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+        return ranked.select("query_id", F.col("rank").cast(T.IntegerType()).alias("rank"), F.col("id").alias(id_col), "score")
+
+    out = answers(0)
+    if n_blocks > 1:
+        out = written(out, "answers")
+        for b in range(1, n_blocks):
+            out = out.unionAll(written(answers(b), "answers"))
+    return out

@@ -114,7 +114,7 @@ def test_top_k_with_ties_and_odd_vectors(spark):
         if q % 100 == 0:
             ranked = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), i) for i, w in fine if i != q)
             want |= {(q, r + 1, i, -s) for r, (s, i) in enumerate(ranked[:10])}
-    for options in ({}, {"rows_per_node": 40, "block": 2}):
+    for options in ({}, {"rows_per_node": 40, "block_bytes": 64, "tile": 2}):
         assert {tuple(r) for r in topk.exact_top_k(df, **options).collect()} == want
     assert topk.exact_top_k(df.limit(0)).isEmpty()
 
