@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from . import exchange as X
 from .components import connected_components
 from .hashing import FIXED, mix64, words_of
-from .shared import few, nested, rows_for, written
+from .shared import few, nested, rows_for, scratch, written
 
 _SLOT_BITS = 14
 _SLOTS = 1 << _SLOT_BITS
@@ -129,6 +129,11 @@ def classed_texts(
     shingle_words words are one shingle.  Null ids count as the least id.
     Repeated rows are equal texts.  An empty table has no classes.
     """
+    with scratch(docs.sparkSession):
+        return _classed(docs, id_col=id_col, text_col=text_col, shingle_words=shingle_words, threshold=threshold, bands=bands, rows=rows, idf_share=idf_share, chunk_bytes=chunk_bytes, bucket_keys=bucket_keys, block=block, block_shingles=block_shingles, part_bytes=part_bytes, seed=seed)
+
+
+def _classed(docs: DataFrame, *, id_col, text_col, shingle_words, threshold, bands, rows, idf_share, chunk_bytes, bucket_keys, block, block_shingles, part_bytes, seed) -> DataFrame:
     chunks, plan = X.in_chunks(docs, id_col, text_col, chunk_bytes=chunk_bytes, keys_per_byte=1 / 6, bucket_keys=bucket_keys)
     chunks = chunks.withColumn("id", F.coalesce("id", F.lit(_NO_ID)))
     n_docs, n_buckets = plan.rows, plan.n_buckets
@@ -343,7 +348,7 @@ def classed_texts(
     classed = texts.select("digest", "id", "n").join(components.withColumnRenamed("node", "digest"), "digest", "left")
     classed = classed.withColumn("component", F.coalesce("component", "digest"))
     whole = written(classed.groupBy("component").agg(F.min(F.struct("id", "digest")).alias("first"), F.sum("n").alias("class_size")), "classes")
-    return written(classed.join(whole, "component").select("digest", "first", "class_size"), "classed")
+    return written(classed.join(whole, "component").select("digest", "first", "class_size"), "classed", keep=True)
 
 
 def _digest(text_col: str):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 from urllib.parse import urlparse
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,6 +15,8 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir; set here only where it is unset, as in tests."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="concord-"))
         found = spark.sparkContext.getCheckpointDir()
     return found
@@ -43,8 +46,37 @@ def rows_for(df: DataFrame, rows: int, each: int = 50_000) -> DataFrame:
     return df.coalesce(max(6, n)) if n < 64 else df
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder, read again: later steps don't compute it anew, and lost executors take nothing with them."""
+_open: list[list[str]] = []  # paths of tables written within each scratch() that is open, on the driver
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Tables that written() makes within are deleted at its end, but for those made with keep=True, which belong to the scratch() around it, if there is one."""
+    _open.append([])
+    try:
+        yield
+    finally:
+        for path in _open.pop():
+            forget(spark, path)
+
+
+def forget(spark: SparkSession, path: str) -> None:
+    """Delete a table in the shared folder; one that is gone already is no error."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """df as a table in the shared folder, read again, and its path: it stays until forget()."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def written(df: DataFrame, name: str, *, keep: bool = False) -> DataFrame:
+    """df as a table in the shared folder, read again: later steps don't compute it anew, and lost executors take nothing with them. keep: see scratch()."""
+    out, path = stored(df, name)
+    scopes = _open[:-1] if keep else _open
+    if scopes:
+        scopes[-1].append(path)
+    return out

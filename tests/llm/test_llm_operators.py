@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import os
 import random
 import re
 import zlib
@@ -35,7 +36,13 @@ def texts(seed=3):
 def frame(spark, values, extra=False):
     rows = [(None if i == 7 else i, t, "en", [None, "a", "b", "hot"][i % 4], None) for i, t in enumerate(values)]
     df = spark.createDataFrame(rows, SCHEMA).repartition(5)
-    return df.withColumns({c: F.lit("clash") for c in ("text_total", "chunk", "id", "shard", "slot", "hits", "score", "_text", "bucket", "size")}) if extra else df
+    return df.withColumns({c: F.lit("clash") for c in CLASHES}) if extra else df
+
+
+CLASHES = (
+    "text_total", "chunk", "id", "shard", "slot", "hits", "contaminated", "score", "_score", "_text", "bucket", "size", "source_size", "target", "times", "taken", "row", "copies", "_id", "_h", "_digest", "_source", "_size", "_key", "digest",
+    "found", "held_out", "_rank", "_cell", "v", "low", "query_id",
+)
 
 
 @pytest.fixture(scope="module")
@@ -325,18 +332,164 @@ def test_personal_data_keeps_base_spans(spark):
 
 @pytest.mark.parametrize("case", ["empty", "nulls", "clashing"])
 def test_odd_tables(spark, case):
-    df = frame(spark, ["a b c d e f", "a b c d e f", "", None, "x"], extra=case == "clashing")
-    df = df.limit(0) if case == "empty" else spark.createDataFrame([(None,) * 5] * 3, SCHEMA) if case == "nulls" else df
-    n = df.count()
-    labels = spark.createDataFrame([(0, 1, 0), (None, None, None)], "doc_id long, quality int, toxic int")
+    given = ["a b c d e f", "a b c d e f", "", None, "x", "mail a@b.org " + "long " * 30_000]
+    plain = frame(spark, given)
+    odd = plain.limit(0) if case == "empty" else spark.createDataFrame([(None,) * 5] * 3, SCHEMA) if case == "nulls" else frame(spark, given, extra=True)
+    n = odd.count()
+    labels = spark.createDataFrame([(0, 1, 0), (4, 0, 0), (4, 0, 1), (None, None, None)], "doc_id long, quality int, toxic int")
     bench = spark.createDataFrame([(0, "a b c d e f")], "item_id long, text string")
     import public_tokenizers
 
     path = str(public_tokenizers.path("word_bpe_49k.json"))
-    for out in (
-        substring_dedup.substring_dedup(df), suffix_dedup.suffix_dedup(df), sharding.shard_documents(df, n_shards=3), near_dedup.near_duplicates(df), decontamination.contamination(df, bench), mixing.mix_documents(df),
-        quality.quality_scores(df, labels), pii.personal_data(df), token_files.token_digest(df, tokenizer=path),
-    ):
-        assert out.count() == n
-    kept = near_dedup.first_of_class(df)
-    assert kept.columns == df.columns and kept.count() == (0 if n == 0 else 1 if case == "nulls" else 3)
+    operators = {
+        "op1": lambda df: substring_dedup.substring_dedup(df, window=5), "op9": lambda df: suffix_dedup.suffix_dedup(df, report=300), "op3": lambda df: sharding.shard_documents(df, n_shards=3), "op7": near_dedup.near_duplicates,
+        "op4": lambda df: decontamination.contamination(df, bench).select("doc_id", "contaminated", F.size("hits").alias("n")), "op6": mixing.mix_documents, "op8": lambda df: quality.quality_scores(df, labels), "op10": pii.personal_data,
+        "op5": lambda df: token_files.token_digest(df, tokenizer=path), "first": lambda df: near_dedup.first_of_class(df).select("doc_id", "text"), "clean": lambda df: decontamination.without_benchmark(df, bench).select("doc_id", "text"),
+        "good": lambda df: quality.good_documents(df, labels, threshold=0.0).select("doc_id", "text"), "mixed": lambda df: mixing.mixed_documents(df).select("doc_id", "text"), "shards": lambda df: sharding.shard_uniformly(df, n_shards=2, key=F.col("doc_id")).select("doc_id", "shard", "slot"),
+    }
+    results = {}
+    for name, operator in operators.items():
+        if name == "op7" and case == "clashing":
+            continue  # "first" goes the same way
+        results[name] = got = Counter(tuple(r) for r in operator(odd).collect())
+        if case == "clashing":  # columns of any name change nothing
+            assert got == Counter(tuple(r) for r in operator(plain).collect()), name
+        if name not in ("first", "clean", "mixed"):
+            assert sum(got.values()) == n, name
+    nothing = hashlib.sha256(b"").hexdigest()
+    if case == "nulls":
+        assert set(results["op1"]) == {(None, 0, 0, nothing, 0)} and set(results["op9"]) == {(None, 0, 0, 0, nothing, 0)}
+        assert set(results["op7"]) == {(None, None, 3)} and results["first"] == Counter({(None, None): 1})
+        assert set(results["op4"]) == {(None, False, 0)} and {r[-1] for r in results["op6"]} == {0}
+        assert sorted(results["op5"]) == [(None, i, 1, zlib.crc32((1).to_bytes(4, "little"))) for i in range(3)]
+        assert {r[1:7] for r in results["op10"]} == {(0, 0, 0, 0, nothing, "")} and {r[1] for r in results["op8"]} == {False}
+    if case == "clashing":
+        # stages give back what they were given, under every name
+        first = near_dedup.first_of_class(odd).cache()
+        for kept in (first, decontamination.without_benchmark(odd, bench), quality.good_documents(odd, labels, threshold=0.0), mixing.mixed_documents(odd)):
+            assert kept.columns == odd.columns and kept.select(*CLASHES).distinct().collect() == odd.select(*CLASHES).distinct().collect()
+        assert {r["doc_id"] for r in decontamination.without_benchmark(odd, bench).collect()} == {2, 3, 4, 5}
+        assert first.count() == 4  # one of the copies, empty and null are alike
+        assert sharding.shard_uniformly(odd, n_shards=2, key=F.col("doc_id")).columns == [*(c for c in odd.columns if c not in ("shard", "slot")), "shard", "slot"]
+
+
+def test_equal_rows_leave_one(spark):
+    df = spark.createDataFrame([(1, "same text here", i % 3) for i in range(30)] + [(None, "other", 0)] * 4, "doc_id long, text string, n int")
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in near_dedup.first_of_class(df).collect()) == [(0, "other"), (1, "same text here")]
+
+
+def thue_morse(n):
+    x = "a"
+    for _ in range(n):
+        x += x.translate(str.maketrans("ab", "ba"))
+    return x
+
+
+def test_no_hash_takes_different_words_for_equal(spark):
+    """Two words on which every polynomial modulo 2**64 agrees: the texts share no 35 words."""
+    one = thue_morse(10)
+    two = one.translate(str.maketrans("ab", "ba"))
+    words = [f"w{i}" for i in range(34)]
+    df = spark.createDataFrame([(1, " ".join([*words[:17], one, *words[17:]])), (2, " ".join([*words[:17], two, *words[17:]]))], "doc_id long, text string")
+    assert {r["n_removed"] for r in substring_dedup.substring_dedup(df).collect()} == {0}
+    same = df.unionAll(df.where("doc_id = 1").selectExpr("3L", "text"))
+    assert {r["doc_id"]: r["n_removed"] for r in substring_dedup.substring_dedup(same).collect()} == {1: 35, 2: 0, 3: 35}
+
+
+def test_hashes_are_polynomials_modulo_a_prime():
+    import numpy as np
+
+    from concord.llm import hashing
+
+    rng = random.Random(8)
+    values = np.array([rng.randrange(hashing.PRIME) for _ in range(900)] + [0, hashing.PRIME - 1], dtype=np.uint64)
+    for base in (2, hashing.PRIME - 1, rng.randrange(hashing.PRIME)):
+        assert hashing.reduced(hashing.times(values, base)).tolist() == [int(x) * base % hashing.PRIME for x in values]
+        for width in (1, 2, 3, 35, 400, 902, 903):
+            want = []
+            for i in range(len(values) - width + 1):
+                h = 0
+                for x in values[i : i + width].tolist():
+                    h = (h * base + x) % hashing.PRIME
+                want.append(h)
+            assert hashing.window_hashes(values, width, base).tolist() == want
+
+
+def test_rows_that_overfill_a_chunk(spark):
+    rows = [(1, "p q r s t " * 40)] * 60 + [(2, "p q r s t " * 3)] + [(None, "u v w x y z")] * 50
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter((r["doc_id"], r["n_words"], r["n_removed"]) for r in substring_dedup.substring_dedup(df, window=6, chunk_bytes=2000).collect())
+    assert got == Counter({(1, 200, 200): 60, (2, 15, 15): 1, (None, 6, 6): 50})
+    got = Counter(tuple(r) for r in near_dedup.near_duplicates(df, chunk_bytes=2000).collect())
+    assert got == Counter({(1, 1, 60): 60, (2, 2, 1): 1, (None, None, 50): 50})
+
+
+def test_shuffles_are_uniform(spark):
+    """Every row is as likely to come to every shard, and to the first half of its slots, and pairs of rows don't stay together."""
+    df = spark.range(96).withColumnRenamed("id", "doc_id")
+    shards, halves, together = Counter(), 0, 0
+    for seed in range(16):
+        at = {r["doc_id"]: (r["shard"], r["slot"]) for r in sharding.shard_uniformly(df, n_shards=4, key=F.col("doc_id"), seed=seed, min_blocks=8).collect()}
+        shards.update((i % 8, s) for i, (s, _) in at.items())
+        halves += sum(slot < 12 for i, (_, slot) in at.items() if i < 48)
+        together += sum(at[i][0] == at[i + 1][0] for i in range(95))
+    assert all(abs(n - 48) < 30 for n in shards.values()) and len(shards) == 32  # 6 is the deviation
+    assert abs(halves - 384) < 85 and abs(together - 16 * 23) < 85
+
+
+def all_links(values, threshold=0.8, idf_share=0.25):
+    """Pairs of different texts whose weighted Jaccard similarity, by all their shingles, is at least threshold."""
+    import numpy as np
+
+    distinct = list(dict.fromkeys(t or "" for t in values))
+    bags, names = [], {}
+    for t in distinct:
+        w = WORD.findall(t)
+        grams = Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else Counter([tuple(w)] if w else [])
+        bags.append({names.setdefault(g, len(names)): n for g, n in grams.items()})
+    of = Counter(t or "" for t in values)
+    df = np.zeros(len(names))
+    for t, b in zip(distinct, bags, strict=True):
+        df[list(b)] += of[t]
+    factor = 1 + idf_share * np.log1p(len(values) / 2.0 ** (np.round(8 * np.log2(np.maximum(df, 1))) / 8)) / np.log1p(len(values))
+    ids = [np.fromiter(b, np.int64, len(b)) for b in bags]
+    weights = [np.fromiter(b.values(), float, len(b)) * factor[i] for b, i in zip(bags, ids, strict=True)]
+    total = np.array([w.sum() for w in weights])
+    flat, owner, weight = np.concatenate(ids), np.repeat(np.arange(len(bags)), [len(b) for b in bags]), np.concatenate(weights)
+    order = np.argsort(flat, kind="stable")
+    flat, owner, weight = flat[order], owner[order], weight[order]
+    start = np.searchsorted(flat, np.arange(len(names) + 1))
+    links = set()
+    for i, (own, w) in enumerate(zip(ids, weights, strict=True)):
+        begin, size = start[own], start[own + 1] - start[own]
+        at = np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        both = np.bincount(owner[at], np.minimum(weight[at], np.repeat(w, size)), len(bags))
+        links.update((i, int(j)) for j in np.flatnonzero(both >= threshold * (total + total[i] - both)) if j > i)
+    return distinct, links
+
+
+def test_recall_against_all_pairs(spark):
+    """Both ends of nearly all links are in one class, and no class has ends that links don't join."""
+    table = spark.read.parquet(f"{os.environ.get('RECALL_SF_DIR', '/root/testdata/sf0.01')}/documents.parquet")
+    rows = table.select("doc_id", "text").collect()
+    distinct, links = all_links([r["text"] for r in rows])
+    class_of = {}
+    named = {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(table).collect()}
+    for r in rows:
+        class_of[r["text"] or ""] = named[r["doc_id"]]
+    found = sum(class_of[distinct[i]] == class_of[distinct[j]] for i, j in links)
+    print(f"{len(rows)} rows, {len(distinct)} texts, {len(links)} links, {found} found")
+    assert found >= 0.9 * len(links)
+    parent = list(range(len(distinct)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, j in links:
+        parent[root(i)] = root(j)
+    by = {}
+    for i, t in enumerate(distinct):
+        by.setdefault(class_of[t], set()).add(root(i))
+    assert all(len(x) == 1 for x in by.values())
