@@ -14,7 +14,7 @@ from concord.llm.mixing import mixed_documents
 from concord.llm.near_dedup import first_of_class
 from concord.llm.quality import good_documents
 from concord.llm.sharding import shard_uniformly
-from concord.llm.shared import written
+from concord.llm.shared import forget, scratch, stored
 
 #: Documents below this score go.
 QUALITY = 0.3
@@ -61,7 +61,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over documents; what is written on the way is deleted as soon as the next stage is written."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        with scratch(spark):
+            docs, path = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        if before:
+            forget(spark, before)
+        before = path
     return docs
