@@ -5,7 +5,9 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -23,17 +25,21 @@ _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _SPELT = re.compile(r"(?<![\w.])[A-Za-z0-9._%+-]{1,64} ?(?:\[at\]|\(at\)| at ) ?[A-Za-z0-9-]{1,63}(?: ?(?:\[dot\]|\(dot\)| dot ) ?[A-Za-z0-9-]{2,63}){1,3}(?!\w)")
 _NUMBER = re.compile(r"(?<![\w+.(-])\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}(?![\w-])")
 _KEY = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,128}(?![A-Za-z0-9+/_-])")
-_HEX = re.compile(r"[0-9a-f]+|[0-9A-F]+")
+#: How keys of some well-known services begin; fixed values.
+_ISSUED = re.compile(r"gh[pousr]_|github_pat_|glpat-|sk[-_]|pk_live_|rk_live_|xox[abprs]-|AKIA|ASIA|AIza|ya29|eyJ|hf_|npm_|dop_v1_")
 #: Gazetteers, fixed values: endings of mail domains, card issuers' first digits, countries' dialling codes, words that go with each kind.
-TOP_DOMAINS = frozenset("com org net edu gov io co de fr es it uk us eu ch at nl info biz example".split())
+TOP_DOMAINS = frozenset(
+    "com org net edu gov mil int info biz name pro io co ai app dev cloud tech online site shop blog xyz me tv cc example test "
+    "ac ad ae ar at au be bg br by ca ch cl cn cy cz de dk ee eg es eu fi fr gr hk hr hu id ie il in ir is it jp ke kr li lt lu lv ma mt mx my ng nl no nz pe ph pk pl pt ro rs ru sa se sg si sk th tr tw ua uk us uy ve vn za".split()
+)
 ISSUERS = ("34", "37", "36", "38", "4", "51", "52", "53", "54", "55", "6011", "62", "64", "65", "35", "22", "23", "24", "25", "26", "27")
 DIALLING = frozenset("1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 351 352 353 358 420 421".split())
 CUES = {
-    "email": ("mail", "contact", "write", "@"),
-    "ip": ("ip", "host", "server", "address", "ssh", "ping"),
-    "card": ("card", "visa", "credit", "iban", "pay", "karte", "tarjeta", "carte"),
-    "phone": ("call", "phone", "tel", "fax", "mobile", "ruf", "cell"),
-    "secret": ("token", "key", "secret", "password", "passwd", "pwd", "auth", "bearer", "credential"),
+    "email": ("mail", "contact", "write", "reach", "send", "from", "to:", "schreib", "correo", "courriel", "@"),
+    "ip": ("ip", "host", "server", "address", "addr", "ssh", "ping", "client", "peer", "node", "login"),
+    "card": ("card", "visa", "master", "amex", "credit", "debit", "iban", "pay", "karte", "tarjeta", "carte", "number", "no."),
+    "phone": ("call", "phone", "tel", "fax", "mobile", "ruf", "cell", "sms", "text me", "whatsapp", "handy", "móvil", "portable"),
+    "secret": ("token", "key", "secret", "password", "passwd", "pwd", "auth", "bearer", "credential", "session", "cookie", "sign", "clave", "schlüssel", "clé"),
 }
 _COMMON = ("rev", "commit", "sha", "md5", "digest", "version", "checksum", "hash")
 N_LABELERS = 5
@@ -82,7 +88,11 @@ def further_spans(text: str, has_digit: bool, base: list[tuple[int, int, str]])
     if has_digit:
         found += [(m.start(), m.end(), "phone") for m in _NUMBER.finditer(text)]
         found += [(m.start(), m.end(), "secret") for m in _KEY.finditer(text) if any("0" <= c <= "9" for c in m[0]) and any(c.isalpha() for c in m[0])]
-    return [s for s in found if not any(s[0] < b and a < s[1] for a, b, _ in base)]
+    # base spans come by start; of those that begin before a span's end the one that goes furthest decides
+    starts = [a for a, _, _ in base]
+    reach = list(accumulate((b for _, b, _ in base), max))
+    before = ((s, bisect_left(starts, s[1])) for s in found)
+    return [s for s, n in before if not n or reach[n - 1] <= s[0]]
 
 
 def entropy(text: str) -> float:
@@ -94,7 +104,8 @@ def votes(text: str, start: int, end: int, kind: str, is_base: bool) -> tuple[in
     """Five labelers: pattern, gazetteer, cue words before, form of the span, surroundings. 1: personal, -1: not, 0: no opinion."""
     span, before = text[start:end], text[max(0, start - 40) : start].lower()
     digits = "".join(c for c in span if "0" <= c <= "9")
-    pattern = 1 if is_base else {"secret": 1 if _HEX.fullmatch(span) and len(span) in (32, 40, 56, 64, 96, 128) else 0, "phone": 1, "email": 0}[kind]
+    # a hexadecimal key looks like any digest, so its pattern says nothing
+    pattern = 1 if is_base else {"secret": 1 if _ISSUED.match(span) else 0, "phone": 1, "email": 0}[kind]
     if kind == "email":
         listed = 1 if re.split(r"[^a-z0-9-]+", span.lower())[-1] in TOP_DOMAINS else -1
         form = 1 if is_base else -1 if re.search(r"[A-Za-z] at [A-Za-z]", span) and not re.search(r" dot |[\[(]", span) else 0
@@ -109,7 +120,7 @@ def votes(text: str, start: int, end: int, kind: str, is_base: bool) -> tuple[in
         form = 1 if re.search(r"[ ().-]", span) else 0
     else:
         listed = -1 if any(w in before[-16:] for w in _COMMON) else 0
-        form = 1 if entropy(span) >= 3.2 and len(digits) >= 4 else -1
+        form = 0 if entropy(span) >= 3.2 and len(digits) >= 4 else -1
     cue = 1 if any(w in before[-24:] for w in CUES[kind]) else 0
     after = text[end : end + 1]
     clean = (start == 0 or not text[start - 1].isalnum()) and (not after or not after.isalnum())
@@ -158,7 +169,7 @@ def reliabilities(patterns: list[tuple], counts: np.ndarray, rounds: int = 60) -
     return post
 
 
-def span_classifier(x: np.ndarray, target: np.ndarray, counts: np.ndarray, ridge: float = 1.0, rounds: int = 30) -> np.ndarray:
+def span_classifier(x: np.ndarray, target: np.ndarray, counts: np.ndarray, ridge: float = 0.3, rounds: int = 30) -> np.ndarray:
     """Logistic regression on posteriors, by Newton steps; a pattern weighs the logarithm of how often it occurs."""
     weight, w = np.log1p(counts), np.zeros(x.shape[1])
     for _ in range(rounds):
@@ -178,7 +189,7 @@ _DIGIT = re.compile("[0-9]")
 
 
 def personal_data(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", accept: float = 0.8) -> DataFrame:
-    """id, n_email, n_ip, n_card, n_phone (base spans), base_sha256 of the base spans, spans (base and added), n_added, for every row.
+    """id, n_email, n_ip, n_card, n_phone (base spans), base_sha256 of the base spans, spans (base and added), n_added, n_spans (all), for every row.
 
     Candidates are the base spans and further ones: addresses spelt out, numbers
     without a plus, keys.  Five labelers vote on each from its pattern, gazetteers,
@@ -224,7 +235,7 @@ def personal_data(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
         known: dict[tuple, bool] = {}
         for batch in batches:
             texts = batch.column("_text").to_pylist()
-            out = {k: [] for k in ("email", "ip", "card", "phone", "sha", "spans", "added")}
+            out = {k: [] for k in ("email", "ip", "card", "phone", "sha", "spans", "added", "all")}
             for text, digit in zip(texts, _digits(texts), strict=True):
                 base = base_spans(text, digit)
                 added = []
@@ -239,9 +250,10 @@ def personal_data(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
                 out["sha"].append(hashlib.sha256(write(base).encode()).hexdigest())
                 out["spans"].append(write(base + added))
                 out["added"].append(len(added))
+                out["all"].append(len(base) + len(added))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(id_col), *(pa.array(out[k], pa.int64()) for k in ("email", "ip", "card", "phone")), pa.array(out["sha"], pa.string()), pa.array(out["spans"], pa.string()), pa.array(out["added"], pa.int64())],
-                [id_col, "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added"],
+                [batch.column(id_col), *(pa.array(out[k], pa.int64()) for k in ("email", "ip", "card", "phone")), pa.array(out["sha"], pa.string()), pa.array(out["spans"], pa.string()), pa.array(out["added"], pa.int64()), pa.array(out["all"], pa.int64())],
+                [id_col, "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added", "n_spans"],
             )
 
-    return slim.mapInArrow(find, f"{id_col} {dict(slim.dtypes)[id_col]}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")
+    return slim.mapInArrow(find, f"{id_col} {dict(slim.dtypes)[id_col]}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long, n_spans long")

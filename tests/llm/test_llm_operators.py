@@ -330,6 +330,119 @@ def test_personal_data_keeps_base_spans(spark):
         assert [r[f"n_{k}"] for k in BASE] == [sum(s.startswith(k) for s in base) for k in BASE]
 
 
+def planted():
+    """Texts with what further labelers should find, and with what only looks like it; each with the spans to be added."""
+    rng = random.Random(6)
+    hexa = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    word = lambda: rng.choice(["anna", "lee", "kim", "omar", "lucia", "sven"])
+    prose = lambda: " ".join(rng.choice("the of and to in is that for it was on are with they be one had this from or by".split()) for _ in range(12))
+    out = []
+    for _ in range(60):
+        span = f"{word()}.{word()} [at] mail [dot] org"
+        out.append((f"{prose()}. contact: {span}, {prose()}", [("email", span)]))
+        span = f"({rng.randint(200, 989)}) {rng.randint(200, 989)}-{rng.randint(1000, 9999)}"
+        out.append((f"{prose()}. call {span} {prose()}", [("phone", span)]))
+        span = hexa(40)
+        out.append((f'{prose()} token = "{span}" {prose()}', [("secret", span)]))
+        out.append((f"{prose()} at {word()} dot the i {prose()}", []))
+        out.append((f"{prose()} commit {hexa(40)} {prose()}", []))
+        out.append((f"{prose()} sha {hexa(64)} version 2 {prose()}", []))
+        out.append((f"{prose()} aVeryLongIdentifierName{rng.randint(1, 9)}OfSomething {prose()}", []))
+    return out
+
+
+def test_added_spans_on_planted_texts(spark):
+    """Precision and recall of what the trained classifier adds."""
+    given = planted()
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(given)], "doc_id long, text string")
+    right = wrong = 0
+    for r in pii.personal_data(df).collect():
+        text, wanted = given[r["doc_id"]]
+        want = {f"{k}:{text.index(s)}:{text.index(s) + len(s)}" for k, s in wanted}
+        got = set(r["spans"].split(",")) - {""}
+        right += len(got & want)
+        wrong += len(got - want)
+        assert r["n_spans"] == len(got) == r["n_added"]
+    total = sum(len(w) for _, w in given)
+    print(f"recall {right / total:.3f}, precision {right / (right + wrong):.3f}")
+    assert right >= 0.9 * total and right >= 0.9 * (right + wrong)
+
+
+def test_reliabilities_follow_the_votes():
+    """A labeler that disagrees with all others at random is trusted less than they are."""
+    import numpy as np
+
+    rng = random.Random(3)
+    seen = Counter()
+    for _ in range(4000):
+        truth = 1 if rng.random() < 0.5 else -1
+        good = [truth if rng.random() < 0.9 else -truth for _ in range(4)]
+        seen[(*good, rng.choice((1, -1)))] += 1
+    patterns = [("phone", v, 16, False) for v in seen]
+    post = dict(zip(seen, pii.reliabilities(patterns, np.array(list(seen.values()))), strict=True))
+    assert post[(1, 1, 1, 1, -1)] > 0.95 > 0.05 > post[(-1, -1, -1, -1, 1)]
+    assert abs(post[(1, 1, -1, 1, 1)] - post[(1, 1, -1, 1, -1)]) < 0.2
+
+
+def test_quality_votes_against_a_loop():
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    x, known = quality.unit(rng.standard_normal((40, 8))), quality.unit(rng.standard_normal((30, 8)))
+    y = rng.integers(0, 2, 30).astype(float)
+    got = quality.votes(x, known, y, 7, 5.0)
+    for i in range(40):
+        near = sorted(range(30), key=lambda j: -float(x[i] @ known[j]))[:7]
+        w = [max(float(x[i] @ known[j]), 1e-6) ** 5.0 for j in near]
+        assert abs(got[i] - sum(a * y[j] for a, j in zip(w, near, strict=True)) / sum(w)) < 1e-9
+
+
+def test_windows_against_a_loop():
+    """Every window whose weighted similarity with an item is enough is found, as far as its fingerprint is within the radius."""
+    import numpy as np
+
+    rng = random.Random(4)
+    items = [" ".join(f"k{rng.randrange(60)}" for _ in range(n)) for n in (12, 12, 20, 31, 31)]
+    index = decontamination.Index(decontamination.built_index(items, 5), 5, 64)  # a radius that leaves nothing out
+    texts_ = []
+    for _ in range(60):
+        w = rng.choice(items).split()
+        for _ in range(rng.randint(0, 3)):
+            w[rng.randrange(len(w))] = "zz"
+        texts_.append(" ".join([f"k{rng.randrange(60)}" for _ in range(rng.randint(0, 9))] + w + ["tail"] * rng.randint(0, 4)))
+    grams = lambda w: Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
+    bags = [grams(t.split()) for t in items]
+    df = Counter(g for b in bags for g in b)
+    weigh = lambda g: math.log1p(len(items) / df[g]) if g in df else math.log1p(len(items))
+    import pyarrow as pa
+
+    for text, found in zip(texts_, index.search_all(pa.array(texts_), 0.8), strict=True):
+        want = {}
+        w = text.split()
+        for j, item in enumerate(items):
+            n = len(item.split())
+            for p in range(len(w) - n + 1):
+                b = grams(w[p : p + n])
+                both = sum(min(c, b[g]) * weigh(g) for g, c in bags[j].items())
+                total = sum(c * weigh(g) for g, c in bags[j].items()) + sum(c * weigh(g) for g, c in b.items()) - both
+                if both / total >= 0.8 and both / total > want.get(j, 0) + 1e-12:
+                    want[j] = both / total
+        assert {f[0]: round(f[3], 9) for f in found} == {j: round(v, 9) for j, v in want.items()}
+    # fingerprints within the radius are all found, by either way of probing
+    prints = np.array([rng.getrandbits(64) for _ in range(3000)], dtype=np.uint64)
+    arrays = decontamination.built_index(items, 5)
+    small = decontamination.Index(arrays, 5, 19)
+    for values in (len(small.near), 0):
+        probe = decontamination.Index(arrays, 5, 19)
+        if not values:
+            probe.near = probe.near.copy()
+            probe.blocks = [(o, np.append(v, np.arange(70_000, 73_000, dtype=v.dtype)), np.append(f, np.full(3000, f[-1]))) for o, v, f in probe.blocks]
+        near = np.concatenate([prints, arrays["prints"] ^ np.uint64(0b1011), arrays["prints"]])
+        a, b = probe.within(near)
+        want = {(i, j) for i, x in enumerate(near.tolist()) for j, y in enumerate(arrays["prints"].tolist()) if bin(x ^ y).count("1") <= 19}
+        assert set(zip(a.tolist(), b.tolist(), strict=True)) == want
+
+
 @pytest.mark.parametrize("case", ["empty", "nulls", "clashing"])
 def test_odd_tables(spark, case):
     given = ["a b c d e f", "a b c d e f", "", None, "x", "mail a@b.org " + "long " * 30_000]
