@@ -78,6 +78,17 @@ QUERIES = {
     "op10_personal_data": op10_personal_data,
 }
 
+
+
+def _spans_sql(name: str, width: int, among: str = "") -> str:
+    """Maximal runs [a, b) of bytes covered by strings of `width` bytes that start elsewhere as well, of documents in n (k, h: bytes, n: how many); among: repeated shorter strings, if these are known."""
+    starts = f"SELECT k, h, p FROM {among}_r JOIN n USING (k) WHERE p + {width} <= n" if among else f"SELECT k, h, unnest(range(0, n - {width - 1})) AS p FROM n WHERE n >= {width}"
+    return f"""{name}_h AS (SELECT k, p, md5_number(h[p + 1:p + {width}]) AS m FROM ({starts})),
+{name}_r AS (SELECT k, p FROM {name}_h WHERE m IN (SELECT m FROM {name}_h GROUP BY m HAVING count(*) > 1)),
+{name}_i AS (SELECT k, p, sum(first) OVER (PARTITION BY k ORDER BY p) AS g FROM (SELECT k, p, CASE WHEN p - lag(p) OVER (PARTITION BY k ORDER BY p) <= {width} THEN 0 ELSE 1 END AS first FROM {name}_r)),
+{name} AS (SELECT k, g, min(p) AS a, max(p) + {width} AS b FROM {name}_i GROUP BY 1, 2)"""
+
+
 SQL = {
     "op1_substring_dedup": """
 WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
@@ -98,6 +109,17 @@ WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DO
 s AS (SELECT q.vec_id AS query_id, v.vec_id, list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * v.v[i]))::BIGINT AS score FROM v AS q, v WHERE q.vec_id % 100 = 0 AND v.vec_id <> q.vec_id),
 r AS (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
+""",
+    "op9_suffix_dedup": f"""
+WITH n AS (SELECT doc_id, encode(coalesce(text, '')) AS h, octet_length(encode(coalesce(text, '')))::BIGINT AS n, row_number() OVER () AS k FROM documents),
+{_spans_sql("y", 250)},
+{_spans_sql("x", 400, "y")},
+parts AS (SELECT k, a AS place, CASE WHEN a > before THEN hex(h[before + 1:a]) ELSE '' END AS t FROM (SELECT k, a, h, coalesce(lag(b) OVER (PARTITION BY k ORDER BY a), 0) AS before FROM x JOIN n USING (k))
+  UNION ALL SELECT k, n, CASE WHEN n > last THEN hex(h[last + 1:n]) ELSE '' END FROM (SELECT k, max(b) AS last FROM x GROUP BY 1) JOIN n USING (k)),
+kept AS (SELECT k, string_agg(t, '' ORDER BY place) AS t FROM parts GROUP BY 1),
+gone AS (SELECT k, sum(b - a) AS c, count(*) AS s FROM x GROUP BY 1), told AS (SELECT k, sum(b - a) AS c FROM y GROUP BY 1)
+SELECT doc_id, n AS n_bytes, coalesce(gone.c, 0)::BIGINT AS n_removed, coalesce(gone.s, 0)::BIGINT AS n_spans, sha256(CASE WHEN kept.t IS NULL THEN h ELSE unhex(kept.t) END) AS kept_sha256, coalesce(told.c, 0)::BIGINT AS n_repeated
+FROM n LEFT JOIN gone USING (k) LEFT JOIN kept USING (k) LEFT JOIN told USING (k)
 """,
     "op6_mixing": """
 WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size,
