@@ -111,6 +111,7 @@ def last_change(changes: DataFrame, key: list[str], order: list[str]) -> DataFra
     return last.select(*[c if c in key else F.col(f"_last.`{c}`") for c in changes.columns], "n_changes")
 
 
-def activation(status: Column, *, opt_in: bool, managed_space: Column) -> Column:
-    """activate, or why not: gates in order status, opt-in, managed space."""
-    return F.when(~F.coalesce(F.lower(status) == "active", F.lit(False)), "none").when(F.lit(not opt_in), "not_opted_in").when(managed_space.isNull(), "no_managed_space").otherwise("activate")
+def activation(status: Column, *, opt_in: bool, managed_space: Column, supported: Column | None = None) -> Column:
+    """activate, or why not: gates in order status, opt-in, managed space, and whether the target can activate at all."""
+    gate = F.when(~F.coalesce(F.lower(status) == "active", F.lit(False)), "none").when(F.lit(not opt_in), "not_opted_in").when(managed_space.isNull(), "no_managed_space")
+    return (gate if supported is None else gate.when(~F.coalesce(supported, F.lit(False)), "unsupported")).otherwise("activate")

@@ -168,6 +168,12 @@ def ready(tasks: DataFrame) -> DataFrame:
     return tasks.join(met, "id", "left").select("id", ((F.col("status") == "pending") & F.coalesce("met", F.lit(True))).alias("ready"))
 
 
+def board(tasks: DataFrame) -> DataFrame:
+    """package, n_tasks, n_ready, next_ready (the ready task of least number) of tasks (id, number, package, status, deps)."""
+    told = tasks.join(ready(tasks), "id")
+    return told.groupBy("package").agg(F.count(F.lit(1)).alias("n_tasks"), F.count_if("ready").alias("n_ready"), F.min_by("id", F.when(F.col("ready"), F.col("number"))).alias("next_ready"))
+
+
 def violations(pairs: DataFrame, endpoints: DataFrame) -> DataFrame:
     """pair, problem of every pair whose source or target is missing, disabled, the same, or has the wrong role; all problems of a pair are told."""
     e = endpoints

@@ -74,6 +74,15 @@ def item_fields(items: DataFrame) -> DataFrame:
     return items.select("item_id", F.explode("unresolved").alias("field"))
 
 
+def issue_counts(runs: DataFrame, items: DataFrame, errors: DataFrame) -> DataFrame:
+    """run_id, issues_recorded (items and errors), has_issues, swept_stale (closed because its process was gone) for every run."""
+    found = items.groupBy("run_id").agg(F.count(F.lit(1)).alias("_items"))
+    failed = errors.groupBy("run_id").agg(F.count(F.lit(1)).alias("_errors"), F.bool_or(F.col("kind") == "RunReaped").alias("swept_stale"))
+    both = runs.select("run_id").join(found, "run_id", "left").join(failed, "run_id", "left")
+    n = F.coalesce("_items", F.lit(0)) + F.coalesce("_errors", F.lit(0))
+    return both.select("run_id", n.alias("issues_recorded"), (n > 0).alias("has_issues"), F.coalesce("swept_stale", F.lit(False)).alias("swept_stale"))
+
+
 def filtered(rows: DataFrame, **wanted: object) -> DataFrame:
     """Rows whose columns have the values given; None asks for nothing. Conditions reach the scan."""
     for column, value in wanted.items():

@@ -158,10 +158,10 @@ def manual_edit_withhold(t: Tables) -> DataFrame:
     return diffs.withheld(_diff(t), live, stored, "c_custkey", mode).select("c_custkey", "field", "withheld")
 
 
-@query("""SELECT o_orderkey, CASE WHEN o_orderstatus <> 'F' THEN 'none' WHEN o_orderkey % 3 = 0 THEN 'no_managed_space' ELSE 'activate' END AS gate FROM orders""")
+@query("""SELECT o_orderkey, CASE WHEN o_orderstatus <> 'F' THEN 'none' WHEN o_custkey % 3 = 0 THEN 'no_managed_space' WHEN o_totalprice < 100000 THEN 'unsupported' ELSE 'activate' END AS gate FROM orders""")
 def activation_gate(t: Tables) -> DataFrame:
     status = F.when(F.col("o_orderstatus") == "F", "ACTIVE").otherwise("draft")
-    return t.orders.select("o_orderkey", diffs.activation(status, opt_in=True, managed_space=F.when(F.col("o_orderkey") % 3 != 0, "space")).alias("gate"))
+    return t.orders.select("o_orderkey", diffs.activation(status, opt_in=True, managed_space=F.when(F.col("o_custkey") % 3 != 0, "space"), supported=F.col("o_totalprice") >= 100000).alias("gate"))
 
 
 _FACTS = """SELECT o_orderpriority AS run, CASE WHEN o_orderkey % 23 = 0 THEN 'filtered' WHEN o_orderkey % 19 = 0 AND o_orderkey % 2 = 0 THEN 'skipped' WHEN o_orderkey % 19 = 0 THEN 'orphaned' WHEN o_orderkey % 29 = 0 THEN 'skipped'

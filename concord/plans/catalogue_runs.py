@@ -342,3 +342,24 @@ def recheck_orphans(t: Tables) -> DataFrame:
 
 
 
+
+
+@query(f"""WITH {_ITEMS}, i2 AS (SELECT user_id, count(*) FILTER (WHERE h OR o IN ('orphaned', 'failed') OR len(u) > 0) AS a, count(*) FILTER (WHERE event_type = 'error') AS b, min(ts) AS lo FROM i GROUP BY 1), j AS (SELECT *, user_id % 7 <> 0 AND lo < TIMESTAMP '2024-01-01 03:00:00' AS swept FROM i2)
+SELECT user_id AS run_id, a + b + swept::BIGINT AS issues_recorded, a + b + swept::BIGINT > 0 AS has_issues, swept AS swept_stale FROM j""")
+def run_issue_counts(t: Tables) -> DataFrame:
+    given, records, errors = _run_tables(t)
+    begun = t.events.groupBy(F.col("user_id").alias("run_id")).agg(F.min(F.col("ts").cast("timestamp")).alias("started_at"))
+    after, reaped = runs.reaped(given.drop("started_at").join(begun, "run_id"), F.lit("2024-01-01 04:00:00").cast("timestamp"), older_than_s=3600)
+    return runs.issue_counts(after, runs.run_items(records, F.lit("src")), errors.select("run_id", "kind").unionByName(reaped.select("run_id", "kind")))
+
+
+@query("""
+WITH k AS (SELECT o_orderkey AS id, o_orderstatus AS s, o_orderpriority AS package FROM orders), d AS (SELECT id, unnest([id - 1, id + 2]) AS dep FROM k WHERE id % 2 = 0), m AS (SELECT d.id, bool_and(coalesce(k.s = 'F', false)) AS met FROM d LEFT JOIN k ON k.id = dep GROUP BY 1),
+r AS (SELECT k.*, s = 'O' AND coalesce(met, true) AS ready FROM k LEFT JOIN m USING (id))
+SELECT package, count(*) AS n_tasks, count(*) FILTER (WHERE ready) AS n_ready, max(id) FILTER (WHERE ready) AS next_ready FROM r GROUP BY 1
+""")
+def task_board(t: Tables) -> DataFrame:
+    k = F.col("o_orderkey")
+    status = F.when(F.col("o_orderstatus") == "O", "pending").when(F.col("o_orderstatus") == "F", "done").otherwise("active")
+    deps = F.when(k % 2 == 0, F.array(k - 1, k + 2)).otherwise(F.array().cast("array<bigint>"))
+    return history.board(t.orders.select(k.alias("id"), (-k).alias("number"), F.col("o_orderpriority").alias("package"), status.alias("status"), deps.alias("deps")))
