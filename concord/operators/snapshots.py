@@ -23,13 +23,14 @@ def snapshot_changes(fresh: DataFrame, before: DataFrame, key: str, sum_col: str
 
 
 def multiset_digest(item: Column) -> Column:
-    """An aggregate: SHA-256 of how many items (texts) there are and of four sums of 60 bits of their SHA-256 each.
+    """An aggregate: SHA-256 of how many items (texts) there are and of four sums, of halves of two 60-bit pieces of each item's SHA-256.
 
     Equal multisets have equal digests whatever their order, and partial sums combine, so no list is
-    made however many items a group has.
+    made however many items a group has. The sums fit 64 bits up to 2**33 items.
     """
     h = F.sha2(item, 256)
-    sums = [F.coalesce(F.sum(F.conv(F.substring(h, 1 + 15 * i, 15), 16, 10).cast("decimal(20,0)")), F.lit(0)).cast("string") for i in range(4)]
+    pieces = [F.conv(F.substring(h, 1 + 15 * i, 15), 16, 10).cast("long") for i in range(2)]
+    sums = [F.coalesce(F.sum(half), F.lit(0)).cast("string") for x in pieces for half in (x.bitwiseAND((1 << 30) - 1), F.shiftright(x, 30))]
     return F.sha2(F.concat_ws("|", F.count(item).cast("string"), *sums), 256)
 
 

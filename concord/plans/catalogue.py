@@ -49,7 +49,8 @@ def _s(c: str) -> Column:
 
 def digest_sql(x: str) -> str:
     """The multiset digest of texts x as SQL."""
-    sums = ", ".join(f"coalesce(sum(('0x' || substr(sha256({x}), {1 + 15 * i}, 15))::BIGINT), 0)::VARCHAR" for i in range(4))
+    pieces = [f"('0x' || substr(sha256({x}), {1 + 15 * i}, 15))::BIGINT" for i in range(2)]
+    sums = ", ".join(f"coalesce(sum({half}), 0)::VARCHAR" for p in pieces for half in (f"({p} & 1073741823)", f"({p} >> 30)"))
     return f"sha256(concat_ws('|', count({x})::VARCHAR, {sums}))"
 
 
