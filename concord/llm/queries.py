@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .decontamination import contamination
+from .hard_negatives import hard_negatives
 from .mixing import mix_documents
 from .near_dedup import near_duplicates
+from .ngram_join import ngram_components
 from .pii import personal_data
 from .quality import quality_scores
 from .sharding import shard_documents
@@ -15,6 +17,7 @@ from .substring_dedup import substring_dedup
 from .suffix_dedup import suffix_dedup
 from .token_files import token_digest
 from .topk import exact_top_k
+from .whitening import whitening_report
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,6 +68,19 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data(table(spark, sf_dir, "documents"))
 
 
+def op11_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_components(table(spark, sf_dir, "documents"), words=5, percent=80)
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening_report(table(spark, sf_dir, "embeddings"), scale=64, offset=1_000_000, components=32)
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.pmod("vec_id", F.lit(7)) == 0, F.pmod(F.col("label") + 1, F.lit(10))).otherwise(F.col("label"))
+    return hard_negatives(table(spark, sf_dir, "embeddings").withColumn("label", label), scale=256, every=100, positives=5, negatives=5, low_percent=80)
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_exact_topk": op2_exact_topk,
@@ -76,6 +92,9 @@ QUERIES = {
     "op8_quality_classifier": op8_quality_classifier,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_personal_data": op10_personal_data,
+    "op11_ngram_jaccard_join": op11_ngram_jaccard_join,
+    "op12_embedding_whitening": op12_embedding_whitening,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 
@@ -135,5 +154,23 @@ k AS (SELECT doc_id, size, source_size, target, p.source, CASE WHEN source_size
   coalesce(sum(size) OVER (PARTITION BY p.source ORDER BY -ln((('0x' || substr(digest, 1, 12))::BIGINT + 0.5::DOUBLE) / 281474976710656) / q, size, digest ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
   FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source)
 SELECT doc_id, size, source_size, target, (size * (e + CASE WHEN before + size / 2 <= target - e * source_size THEN 1 ELSE 0 END))::BIGINT AS taken FROM k
+""",
+    "op11_ngram_jaccard_join": """
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS k, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT k, md5_number(array_to_string(w[i:i + 4], ' ')) AS h FROM (SELECT k, w, unnest(range(1, greatest(2, len(w) - 3))) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT k, count(*) AS n FROM s GROUP BY k),
+o AS (SELECT x.k AS a, y.k AS b, count(*) AS o FROM s AS x JOIN s AS y ON x.h = y.h AND x.k <> y.k GROUP BY 1, 2),
+l AS (SELECT a, b FROM o JOIN n AS p ON p.k = a JOIN n AS q ON q.k = b WHERE 100 * o >= 80 * (p.n + q.n - o)),
+r AS (SELECT k AS a, k AS b FROM d UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
+SELECT e.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, min(f.doc_id) AS component_id FROM r JOIN d AS e ON e.k = r.a JOIN d AS f ON f.k = r.b LEFT JOIN n ON n.k = r.a GROUP BY r.a, e.doc_id, n.n
+""",
+    "op13_hard_negatives": """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, list_sum(list_transform(range(1, len(a.v) + 1), lambda i: a.v[i] * b.v[i]))::BIGINT AS score FROM v AS a, v AS b WHERE a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+n AS (SELECT p.*, vec_id AS negative_id, score AS negative_score, (row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, vec_id))::INTEGER AS rank
+  FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5
 """,
 }
