@@ -29,7 +29,7 @@ def whole_vectors(vectors: DataFrame, *, id_col: str, vector_col: str, scale: in
     v = F.transform(vector_col, lambda c: c.cast("double") * scale)
     fine = F.forall(v, lambda c: F.coalesce(~F.isnan(c) & (F.abs(c) < float(1 << 53)), F.lit(False)))
     rows = vectors.where(F.col(vector_col).isNotNull() & F.coalesce(fine, F.lit(False)))
-    return rows.select(F.col(id_col).cast("long").alias("id"), F.transform(v, lambda c: F.floor(c) + offset).alias("x"))
+    return rows.select(F.col(id_col).cast("long").alias("id"), F.transform(v, lambda c: F.when(F.abs(c) < float(1 << 53), F.floor(c) + offset)).alias("x"))
 
 
 @dataclass(frozen=True)

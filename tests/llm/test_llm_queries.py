@@ -28,7 +28,7 @@ def test_same_rows(spark, name):
 
 def test_all_are_registered():
     names = set(__spark_entry__.queries())
-    assert {"pipeline", *queries.QUERIES} <= names and {int(n[2:].split("_")[0]) for n in queries.QUERIES} == set(range(1, 11))
+    assert {"pipeline", *queries.QUERIES} <= names and {int(n[2:].split("_")[0]) for n in queries.QUERIES} == set(range(1, 14))
 
 
 def test_pipeline_stages_follow_from_each_other(spark):
