@@ -18,6 +18,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from .text import strip
+
 _NOT_ASCII = r"[^\x00-\x7F]"
 _EDGES = r"(?s)\A[ \t\n\r\f\x0B]+|[ \t\n\r\f\x0B]+\z"
 #: A whole instant with an offset, in one grammar for columns (Java) and for JSON (Python, fullmatch).
@@ -53,12 +55,12 @@ def casefolded(text: Column) -> Column:
 
 def normal_name(name: Column) -> Column:
     """For comparing names: composed, stripped, case folded."""
-    return casefolded(F.trim(nfc(name)))
+    return casefolded(strip(nfc(name)))
 
 
 def normal_email(email: Column) -> Column:
     """Stripped and case folded; blank is null."""
-    return F.nullif(casefolded(F.trim(email)), F.lit(""))
+    return F.nullif(casefolded(strip(email)), F.lit(""))
 
 
 def instant_text(ts: Column) -> Column:
@@ -97,25 +99,26 @@ def sorted_multiset(items: Column) -> Column:
     return F.array_sort(items)
 
 
+@F.pandas_udf(StringType())
+def _numbered(numbers: pd.Series) -> pd.Series:
+    return numbers.map(lambda x: None if pd.isna(x) else _dump(int(x) if x.is_integer() else x))
+
+
 def number_text(x: Column) -> Column:
     """A double as canonical JSON has it: whole ones as integers with all their digits, no negative zero, others with the fewest digits that tell them apart.
 
-    NaN, infinities and magnitudes from 2**126 raise.
+    Whole numbers below 2**53, and others from 0.0001 of at most 15 digits, which no
+    other double has, are built-in expressions; an Arrow UDF gets the rest.  NaN and infinities raise.
     """
     x = x.cast("double")
     size = F.abs(x)
-    # a whole double of 2**63 or more is high * 2**63 + low, both of them longs, without rounding
-    high = (size / 2.0**63).try_cast("long")
-    low = (size - high.cast("double") * 2.0**63).try_cast("long")
-    big = F.try_add(F.try_multiply(high.try_cast("decimal(19,0)"), F.lit(str(2**63)).cast("decimal(19,0)")), low.try_cast("decimal(19,0)"))
-    big = F.concat(F.when(x < 0, "-").otherwise(""), big.try_cast("decimal(38,0)").cast("string"))
-    plain = F.regexp_replace(x.try_cast("decimal(38,21)").cast("string"), r"\.?0+\z", "")
-    tiny = F.regexp_replace(F.regexp_replace(x.cast("string"), r"(\.0)?E-([0-9])\z", "e-0$2"), r"(\.0)?E-([0-9]{2,})\z", "e-$2")
-    bad = F.isnan(x) | (size >= 2.0**126)
-    text = F.when(bad, F.raise_error(F.lit("not a finite number of a usual size")).cast("string"))
-    whole = (size >= 2.0**53) | (x == F.floor(x))
-    text = text.when(whole & (size < 2.0**63), x.try_cast("long").cast("string")).when(whole, big)
-    return text.when(size >= 1e-4, plain).otherwise(tiny)
+    whole = (size < 2.0**53) & (x == F.floor(x))
+    plain = F.regexp_replace(F.when((size >= 1e-4) & (size < 2.0**53), x).try_cast("decimal(38,21)").cast("string"), r"\.?0+\z", "")
+    short = F.length(F.regexp_replace(plain, r"\A-?0?\.?0*|\.", "")) <= 15
+    bad = F.isnan(x) | (size == float("inf"))
+    text = F.when(bad, F.raise_error(F.lit("not a finite number")).cast("string"))
+    text = text.when(whole, x.try_cast("long").cast("string")).when(short, plain)
+    return text.otherwise(_numbered(F.when(~bad & ~whole & ~F.coalesce(short, F.lit(False)), x)))
 
 
 def ordered(field: Column) -> Column:

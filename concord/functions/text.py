@@ -20,10 +20,16 @@ _GLOB = re.compile(r"[A-Za-z0-9_*?\[\]!]+")
 SECRET_KEY = r"token|password|passwd|secret|api[_-]?key|authorization|private[_-]?key|credential|access[_-]?key|refresh[_-]?token"
 REDACTED = "***REDACTED***"
 #: White space of all of Unicode, for a class; and values of secret keys, and credentials, in a syntax that Java and RE2 share.
-_SPACE = r"\s\x0B\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+WHITE = r"\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 _QUOTED = r""""[^"\\]*(?:\\.[^"\\]*)*"|'[^'\\]*(?:\\.[^'\\]*)*'"""
-KEYED = rf"""(?is)((?:{SECRET_KEY})[A-Za-z0-9_-]*["']?[{_SPACE}]*[=:][{_SPACE}]*)(?:{_QUOTED}|(?:(?:bearer|basic)[{_SPACE}]+)?[^{_SPACE},;]+)"""
-CREDENTIAL = rf"(?i)(^|[^A-Za-z0-9_])(bearer|basic)[{_SPACE}]+[^{_SPACE}]+"
+#: A key may go on with a plural s, digits, or what a dash or underscore joins; a bracketed list is one value.
+KEYED = rf"""(?is)((?:{SECRET_KEY})(?:s|[0-9]+|[_-][A-Za-z0-9_-]*)?["']?[{WHITE}]*[=:][{WHITE}]*)(?:\[[^\]]*\]|{_QUOTED}|(?:(?:bearer|basic)[{WHITE}]+)?[^{WHITE},;]+)"""
+CREDENTIAL = rf"(?i)(^|[^A-Za-z0-9_])(bearer|basic)[{WHITE}]+[^{WHITE}]+"
+
+
+def strip(text: Column) -> Column:
+    """Without white space of any kind of Unicode's at the ends."""
+    return F.regexp_replace(text, rf"(?s)\A[{WHITE}]+|[{WHITE}]+\z", "")
 
 
 def glob_regex(pattern: str) -> str:
@@ -76,7 +82,7 @@ def literal_catalogs(patterns: list[str]) -> list[str]:
 def shaped(name: Column, segments: int) -> Column:
     """name if it has so many non-empty segments, else null: unknown."""
     parts = F.split(name, r"\.")
-    return F.when((F.size(parts) == segments) & F.forall(parts, lambda p: F.trim(p) != ""), name)
+    return F.when((F.size(parts) == segments) & F.forall(parts, lambda p: strip(p) != ""), name)
 
 
 def qualified_name(full_name: Column, native_key: Column, segments: int) -> Column:
@@ -85,7 +91,7 @@ def qualified_name(full_name: Column, native_key: Column, segments: int) -> Colu
 
 def owner_party(owner: Column, role: str = "owner") -> Column:
     """An owner's text as party_id, display_name, email, role: an address, an id or a name. Blank: null."""
-    t = F.trim(owner)
+    t = strip(owner)
     email, uid = t.rlike(EMAIL), t.rlike(UUID)
     return F.when(
         t != "",
@@ -98,7 +104,7 @@ def asset_type(table_type: Column) -> Column:
 
 
 def party_role(role: Column) -> Column:
-    r = F.lower(F.trim(role))
+    r = F.lower(strip(role))
     return F.when(r.contains("owner"), "owner").when(r.contains("steward"), "steward").when(r.contains("contact"), "contact").otherwise("other")
 
 
@@ -164,7 +170,7 @@ def slug(name: Column, fallback: str = "item", most: int = 80) -> Column:
 
 def endpoint_key(endpoint: Column) -> Column:
     """An endpoint's name as part of a setting's name: upper case, other characters as underscores. Nothing left raises."""
-    text = F.upper(F.trim(F.regexp_replace(F.trim(endpoint), r"[^A-Za-z0-9]+", "_"), F.lit("_")))
+    text = F.upper(F.trim(F.regexp_replace(strip(endpoint), r"[^A-Za-z0-9]+", "_"), F.lit("_")))
     return F.when(text == "", F.raise_error(F.lit("an endpoint needs a letter or digit")).cast("string")).otherwise(text)
 
 
@@ -202,7 +208,7 @@ def _first_wins(a: Column, b: Column) -> Column:
 
 def secondary_keys(keys: Column) -> Column:
     """A map of keys without those that are null or blank."""
-    return F.map_filter(keys, lambda k, v: v.isNotNull() & (F.trim(v) != ""))
+    return F.map_filter(keys, lambda k, v: v.isNotNull() & (strip(v) != ""))
 
 
 def some_of(items: Column, most: int = 5) -> Column:

@@ -9,6 +9,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import strip
+
 from .selection import rules_from_patterns
 
 
@@ -48,7 +50,7 @@ def first_import(generation: int, endpoints: DataFrame, pairs: DataFrame, patter
         endpoints, pairs, patterns = endpoints.limit(0), pairs.limit(0), patterns.limit(0)
     of = lambda key: F.count(F.lit(1)).over(Window.partitionBy(key))
     e = endpoints.withColumn("_n", of("name"))
-    e = e.withColumn("reason", F.when(F.col("_n") > 1, "doubled_name").when(F.coalesce(F.trim("connector"), F.lit("")) == "", "no_connector"))
+    e = e.withColumn("reason", F.when(F.col("_n") > 1, "doubled_name").when(F.coalesce(strip(F.col("connector")), F.lit("")) == "", "no_connector"))
     fine = e.where(F.col("reason").isNull()).select("name")
     side = lambda c: fine.select(F.col("name").alias(c), F.lit(True).alias(f"_{c}"))
     p = pairs.withColumn("_n", of("name")).join(side("source"), "source", "left").join(side("target"), "target", "left")
@@ -159,7 +161,7 @@ def assumptions(registry: DataFrame, *, component: str | None = None, status: st
     if status is not None:
         out = out.where(F.col("status") == status)
     if with_probe:
-        out = out.where(F.trim("probe") != "")
+        out = out.where(strip(F.col("probe")) != "")
     return out.where((F.col("status") == "unverified") & (F.col("severity") == "high")) if must_verify else out
 
 

@@ -11,13 +11,24 @@ from .manifests import supported_or_raise
 HELD = ("no_source_envelopes", "unconfirmed_target_binding", "no_target_binding", "capability_refused", "target_not_found", "conflict_unresolved")
 
 
+def _on(key: str, *sides: DataFrame) -> list[str]:
+    """What identifies a field: key, entity_type where all sides have it, and field."""
+    return [key, *(["entity_type"] if all("entity_type" in s.columns for s in sides) else []), "field"]
+
+
 def changed_fields(source: DataFrame, stored: DataFrame, key: str) -> DataFrame:
-    """Fields of source whose checksum isn't the stored one (missing or null counts as changed): key, field, value, checksum, previous, revision if stored has it."""
+    """Fields of source whose checksum isn't the stored one (missing or null counts as changed): key, entity_type, field, value, checksum, previous, revision if stored has it.
+
+    Objects of two entity types may have the same key, so where both sides have entity_type it belongs to the key.
+    A fresh value always has a checksum; one that hasn't raises.
+    """
+    on = _on(key, source, stored)
     revision = F.col("revision") if "revision" in stored.columns else F.lit(None).cast("string")
-    old = stored.select(key, "field", F.col("value").alias("previous"), F.col("checksum").alias("old"), revision.alias("revision"))
-    new = source.select(key, *[c for c in ("entity_type",) if c in source.columns], "field", "value", "checksum")
+    old = stored.select(*on, F.col("value").alias("previous"), F.col("checksum").alias("old"), revision.alias("revision"))
+    fresh = F.when(F.col("checksum").isNull(), F.raise_error(F.concat(F.lit("no checksum of fresh field "), "field")).cast("string")).otherwise(F.col("checksum"))
+    new = source.select(key, *[c for c in ("entity_type",) if c in source.columns], "field", "value", fresh.alias("checksum"))
     differs = F.col("old").isNull() | ~F.col("checksum").eqNullSafe(F.col("old"))
-    return new.join(old, [key, "field"], "left").where(differs).drop("old")
+    return new.join(old, on, "left").where(differs).drop("old")
 
 
 def field_diff(changed: DataFrame, manifest: DataFrame) -> DataFrame:
@@ -49,11 +60,12 @@ def withheld(diff: DataFrame, live: DataFrame, stored: DataFrame, key: str, mode
     stored, a field whose live checksum isn't the stored one was edited by hand and stays.
     A field that isn't live any more isn't withheld.
     """
-    now = live.select(key, "field", F.col("checksum").alias("live_sum"))
-    then = stored.select(key, "field", F.col("checksum").alias("stored_sum"))
+    on_live, on_stored = _on(key, diff, live), _on(key, diff, stored)
+    now = live.select(*on_live, F.col("checksum").alias("live_sum"))
+    then = stored.select(*on_stored, F.col("checksum").alias("stored_sum"))
     why = F.when((F.col("field") == "status") & F.lit(not activation_opt_in), "activation")
     why = why.when((mode == "preserve_local") & F.col("stored_sum").isNotNull() & F.col("live_sum").isNotNull() & ~F.col("live_sum").eqNullSafe(F.col("stored_sum")), "manual_edit")
-    return diff.join(now, [key, "field"], "left").join(then, [key, "field"], "left").withColumn("withheld", why).drop("live_sum", "stored_sum")
+    return diff.join(now, on_live, "left").join(then, on_stored, "left").withColumn("withheld", why).drop("live_sum", "stored_sum")
 
 
 def outcome(facts: dict[str, Column], *, create: bool, dry_run: bool) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import running
+
 #: Upper bounds of the cycle-duration histogram in seconds; fixed values.
 BUCKETS = (0.1, 0.5, 1, 2.5, 5, 10, 30, 60, 120, 300, 600, 1200)
 SEVERITY = ("ok", "skipped", "partial", "failed")
@@ -57,10 +59,10 @@ def duplicates(rows: DataFrame, key: list[str]) -> DataFrame:
 
 
 def upsert(stored: DataFrame, changes: DataFrame, key: list[str], order: list[str]) -> DataFrame:
-    """stored with the last of changes for each key in place of its row; both have the same columns. An aggregate, so frequent keys are combined first."""
+    """stored with the last of changes for each key in place of its row, unless that is later in order; of equal ones the change counts. Both have the same columns. An aggregate, so frequent keys are combined first."""
     both = stored.withColumn("_new", F.lit(0)).unionByName(changes.withColumn("_new", F.lit(1)))
     rest = [c for c in stored.columns if c not in key]
-    last = both.groupBy(*key).agg(F.max_by(F.struct(*rest), F.struct("_new", *order)).alias("_last"))
+    last = both.groupBy(*key).agg(F.max_by(F.struct(*rest), F.struct(*order, "_new")).alias("_last"))
     return last.select(*[c if c in key else F.col(f"_last.`{c}`") for c in stored.columns])
 
 
@@ -140,6 +142,18 @@ def orphan_digest(log: DataFrame, by: str, now: Column) -> DataFrame:
     )
 
 
+def orphan_advisories(log: DataFrame, now: Column, *, confirm_after_s: int = 0) -> DataFrame:
+    """Add confidence (tentative, confirmed), missing_for_s and checked_ago_s (whole seconds) to open orphans.
+
+    confirmed: seen missing again, at least confirm_after_s after the first time, and more than once.
+    """
+    seconds = lambda a, b: F.unix_seconds(a) - F.unix_seconds(b)
+    first, last = F.col("first_missing_at"), F.col("last_missing_at")
+    confirmed = (last > first) & (seconds(last, first) >= confirm_after_s)
+    open_ = log.where(F.col("resolved_at").isNull())
+    return open_.withColumns({"confidence": F.when(confirmed, "confirmed").otherwise("tentative"), "missing_for_s": seconds(now, first), "checked_ago_s": seconds(now, last)})
+
+
 def run_issues(items: DataFrame, orphan_log: DataFrame, unresolved: DataFrame) -> DataFrame:
     """Items with kind (dataset_refs, owners, orphan, other), their sorted unresolved fields (as many as an entity has at most), and first_missing_at of orphans.
 
@@ -188,6 +202,6 @@ def violations(pairs: DataFrame, endpoints: DataFrame) -> DataFrame:
 
 
 def within_limits(files: DataFrame, order: str, size: str, *, most_bytes: int, total_bytes: int) -> DataFrame:
-    """Files in order whose size and running total stay within limits; order has few rows, as files named by a person."""
-    w = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return files.where(F.col(size) <= most_bytes).withColumn("running", F.sum(size).over(w)).where(F.col("running") <= total_bytes)
+    """Files in order whose size and running total stay within limits, with their running total. Totals run within ranges of the order, from what the ranges before hold (see ranks.py)."""
+    own = files.where(F.col(size) <= most_bytes)
+    return running(own, [order], size, "running").where(F.col("running") <= total_bytes)

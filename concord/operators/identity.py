@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.lineage import checkpointed
+
 KEY = ("endpoint", "entity_type", "tenant_id", "native_key")
 
 
@@ -27,7 +29,7 @@ def propose(source: DataFrame, target: DataFrame, bound: DataFrame, name: str, b
     source, target: id, the normal name, and further key columns `by` (parent path, entity type);
     bound: source_id, target_id.  Bound targets are no candidates; an empty name matches nothing.
     Candidates are grouped before the join, so a name that many have costs one row on each side, and
-    cut to what a person can look at before they are listed.
+    cut to what a person can look at before they are listed; candidates() has every one as a row.
     """
     free = target.join(bound.select(F.col("target_id").alias("id")), "id", "left_anti").where(F.col(name) != "")
     rank = F.row_number().over(Window.partitionBy(name, *by).orderBy("id"))
@@ -39,6 +41,23 @@ def propose(source: DataFrame, target: DataFrame, bound: DataFrame, name: str, b
     return s.withColumn("n", n).select("source_id", status.alias("status"), F.when(F.col("n") > 0, F.col("candidates")).alias("candidates"), F.col("n").alias("n_candidates"))
 
 
+def candidates(source: DataFrame, target: DataFrame, bound: DataFrame, name: str, by: list[str]) -> DataFrame:
+    """source_id, target_id: every candidate of every source that isn't bound, whatever their number; what propose() lists the first of, and what chosen() checks."""
+    free = target.join(bound.select(F.col("target_id").alias("id")), "id", "left_anti").where(F.col(name) != "").withColumnRenamed("id", "target_id")
+    open_ = source.withColumnRenamed("id", "source_id").join(bound.select("source_id"), "source_id", "left_anti")
+    return open_.select("source_id", name, *by).join(free.select("target_id", name, *by), [name, *by]).select("source_id", "target_id")
+
+
+def chosen(choices: DataFrame, source: DataFrame, target: DataFrame, bound: DataFrame, name: str, by: list[str]) -> DataFrame:
+    """Add is_candidate to choices (source_id, target_id): whether the target is one of all candidates of the source. Only the chosen pairs are looked up, so no group is listed for it."""
+    ids = lambda df, c: df.withColumnRenamed("id", c)
+    free = ids(target, "target_id").join(bound.select("target_id"), "target_id", "left_anti").select("target_id", F.col(name).alias("_n"), F.struct(*by).alias("_b"))
+    open_ = ids(source, "source_id").join(bound.select("source_id"), "source_id", "left_anti").select("source_id", F.col(name).alias("_m"), F.struct(*by).alias("_c"))
+    both = choices.join(open_, "source_id", "left").join(free, "target_id", "left")
+    fits = (F.col("_n") == F.col("_m")) & (F.col("_n") != "") & (F.col("_b") == F.col("_c"))
+    return both.select(*choices.columns, F.coalesce(fits, F.lit(False)).alias("is_candidate"))
+
+
 def merge_review(fresh: DataFrame, reviewed: DataFrame) -> DataFrame:
     """proposal_id, fingerprint, decision, superseded: a decision lasts if the candidates are the same or it was applied; else it is pending again, and kept as superseded.
 
@@ -85,10 +104,17 @@ def confirmed_after(bindings: DataFrame, refs: DataFrame, now: Column) -> tuple[
     return after.withColumn("confirmed_at", at).drop("_asked"), asked.join(bindings, on, "left_anti")
 
 
-def confirm(decisions: DataFrame, bindings: DataFrame) -> DataFrame:
-    """Add result to decisions (neutral_id, target_key, status, chosen): bound, already_bound, conflict, needs_choice.
+def confirm(decisions: DataFrame, bindings: DataFrame, *, order: str = "neutral_id") -> DataFrame:
+    """Add result to decisions (neutral_id, target_key, status, chosen), which are taken one after the other by `order`: bound, already_bound, conflict, needs_choice.
+
+    bindings: neutral_id, native_key of the target endpoint.  An ambiguous proposal needs a
+    chosen candidate.  A target is given once: a decision that finds its object or its target bound, before
+    or by an earlier decision, is already_bound if both are the same, else a conflict.
 
-    bindings: neutral_id, native_key of the target endpoint.  An ambiguous proposal needs a chosen candidate.
+    What is bound before is one join.  Others go in rounds: of those that are left, each that is the first
+    for its object and for its target binds, and decides all others of that object or
+    target.  That gives what one after the other gives; a round decides all but chains of decisions
+    each of which waits for the one before, so most batches take two.
     """
     key = F.coalesce("chosen", F.when(F.col("status") == "proposed", F.col("target_key")))
     own = bindings.select("neutral_id", F.col("native_key").alias("_own"))
@@ -98,9 +124,25 @@ def confirm(decisions: DataFrame, bindings: DataFrame) -> DataFrame:
         F.when(F.col("_key").isNull(), "needs_choice")
         .when(F.col("_own").eqNullSafe(F.col("_key")), "already_bound")
         .when(F.col("_own").isNotNull() | F.col("_holder").isNotNull(), "conflict")
-        .otherwise("bound")
     )
-    return out.withColumn("result", result).drop("_key", "_own", "_holder")
+    columns = decisions.columns
+    state = checkpointed(out.select(F.struct(*columns).alias("row"), F.col("neutral_id").alias("n"), F.col("_key").alias("k"), F.struct(order, "neutral_id", "_key").alias("o"), result.alias("result")))
+    done = state.where(F.col("result").isNotNull())
+    left = state.where(F.col("result").isNull())
+    while not left.isEmpty():
+        first = lambda c: left.groupBy(c).agg(F.min("o").alias(f"_{c}"))  # noqa: B023, E731
+        asked = left.join(first("n"), "n").join(first("k"), "k")
+        wins = (F.col("o") == F.col("_n")) & (F.col("o") == F.col("_k"))
+        won = asked.where(wins).select("n", "k").distinct()
+        # a decision that was made twice binds once
+        again = F.row_number().over(Window.partitionBy("n", "k").orderBy(F.xxhash64("row"))) > 1
+        bound = asked.where(wins).withColumn("result", F.when(again, "already_bound").otherwise("bound"))
+        rest = asked.where(~wins).join(won.select("n", F.col("k").alias("_nk")), "n", "left").join(won.select("k", F.col("n").alias("_kn")), "k", "left")
+        rest = rest.withColumn("result", F.when(F.col("_nk") == F.col("k"), "already_bound").when(F.col("_nk").isNotNull() | F.col("_kn").isNotNull(), "conflict"))
+        now = checkpointed(bound.select(*state.columns).unionAll(rest.select(*state.columns)))
+        done = done.unionAll(now.where(F.col("result").isNotNull()))
+        left = now.where(F.col("result").isNull())
+    return done.select("row.*", "result")
 
 
 def neutral_id(endpoint: Column, entity_type: Column, tenant: Column, native_key: Column) -> Column:

@@ -17,7 +17,7 @@ def correlate(source: DataFrame, target: DataFrame) -> DataFrame:
     """email, source_party, target_party, role, side (both, source, target): parties (party, email, role, pos) matched by e-mail.
 
     The first party of an address counts on each side; the source's role wins.  Parties
-    without an address match nobody and are not returned here.
+    without an address match nobody; unmatched() returns them.
     """
     a = first_of(source.where(F.col("email").isNotNull()), ["email"], ["pos"]).select("email", F.col("party").alias("source_party"), F.col("role").alias("ra"))
     b = first_of(target.where(F.col("email").isNotNull()), ["email"], ["pos"]).select("email", F.col("party").alias("target_party"), F.col("role").alias("rb"))
@@ -25,6 +25,23 @@ def correlate(source: DataFrame, target: DataFrame) -> DataFrame:
     return a.join(b, "email", "full_outer").select("email", "source_party", "target_party", F.coalesce("ra", "rb").alias("role"), side.alias("side"))
 
 
+def unmatched(source: DataFrame, target: DataFrame) -> DataFrame:
+    """side, email, party, name, role, label, reason of parties (party, name, email, role, pos) that match nobody on the other side.
+
+    no_match: the first party of an address that the other side lacks.  no_email: parties without
+    an address, the first of those equal in name, id and role.  label names a party by the least that tells it: name, else id, else address.
+    """
+    label = F.coalesce("name", F.col("party").cast("string"), "email", F.lit("<unnamed>"))
+
+    def of(own: DataFrame, other: DataFrame, side: str) -> DataFrame:
+        addressed = first_of(own.where(F.col("email").isNotNull()), ["email"], ["pos"]).join(other.where(F.col("email").isNotNull()).select("email"), "email", "left_anti")
+        bare = first_of(own.where(F.col("email").isNull()), ["name", "party", "role"], ["pos"])
+        columns = [F.lit(side).alias("side"), "email", "party", "name", "role", label.alias("label")]
+        return addressed.select(*columns, F.lit("no_match").alias("reason")).unionByName(bare.select(*columns, F.lit("no_email").alias("reason")))
+
+    return of(source, target, "source").unionByName(of(target, source, "target"))
+
+
 def resolve_datasets(members: DataFrame, bindings: DataFrame, items: DataFrame) -> DataFrame:
     """member, target_id, how (binding, name), status (resolved, not_found, ambiguous) of members (member, name).
 
@@ -59,14 +76,11 @@ def all_or_nothing(refs: DataFrame, bindings: DataFrame, by: str, most: int = 10
 
     Ids are ranked and cut in tasks before lists are made, so no list grows with its key.
     """
-    joined = refs.join(bindings, "ref", "left")
-    out = joined.groupBy(by).agg(F.bool_and(F.col("bound").isNotNull()).alias("all_bound"), F.count(F.lit(1)).alias("n_refs"))
-    distinct = joined.where(F.col("bound").isNotNull()).select(by, "bound").distinct()
+    pairs = refs.join(bindings, "ref", "left").groupBy(by, "bound").agg(F.count(F.lit(1)).alias("n"))  # both branches take it from one exchange
+    out = pairs.groupBy(by).agg(F.bool_and(F.col("bound").isNotNull()).alias("all_bound"), F.count("bound").alias("n_bound"), F.sum("n").alias("n_refs"))
     rank = F.row_number().over(Window.partitionBy(by).orderBy("bound"))
-    first = distinct.withColumn("_r", rank).where(F.col("_r") <= most).groupBy(by).agg(F.array_sort(F.collect_list("bound")).alias("ids"))
-    counted = distinct.groupBy(by).agg(F.count(F.lit(1)).alias("n_bound")).join(first, by)
-    listed = F.when(F.col("all_bound"), F.col("ids"))
-    return out.join(counted, by, "left").select(by, "all_bound", listed.alias("refs"), F.coalesce("n_bound", F.lit(0)).alias("n_bound"), "n_refs")
+    first = pairs.where(F.col("bound").isNotNull()).select(by, "bound").withColumn("_r", rank).where(F.col("_r") <= most).groupBy(by).agg(F.array_sort(F.collect_list("bound")).alias("ids"))
+    return out.join(first, by, "left").select(by, "all_bound", F.when(F.col("all_bound"), F.col("ids")).alias("refs"), "n_bound", "n_refs")
 
 
 def capped(ids, most: int = 100):

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import strip
+
 #: Where a field goes in a target's document; fixed values.
 PATHS = {"name": "/name", "description": "/description", "documentation": "/readMe", "tags": "/tags", "dataset_refs": "/datasetIds", "owners": "/keyContacts"}
 TEXTS = ("name", "description", "documentation")
@@ -13,7 +15,7 @@ MAX_REFS = 100
 
 def filled(text: Column) -> Column:
     """text, or null if it is blank."""
-    return F.when(F.trim(text) != "", text)
+    return F.when(strip(text) != "", text)
 
 
 def create_bodies(products: DataFrame, space: str, key: str = "key") -> DataFrame:
@@ -96,3 +98,30 @@ def persisted(diff: DataFrame, replies: DataFrame, key: str = "key") -> DataFram
 def last_synced(envelopes: DataFrame, by: list[str]) -> DataFrame:
     """by, last_synced_at: the latest of an object's fields; null if none was ever synced."""
     return envelopes.groupBy(*by).agg(F.max("last_synced_at").alias("last_synced_at"))
+
+
+def after_conflict(sent: DataFrame, live: DataFrame, revisions: DataFrame, key: list[str]) -> DataFrame:
+    """Add action and revision to fields that were sent (key, field, value, checksum) and met a conflict.
+
+    live: the target as read again (key, field, checksum); revisions: its new revision (key, revision).
+    already: the target holds the value by now; resend: it doesn't, and goes again, guarded by the new revision;
+    unguarded: there is no revision to guard it with, so the conflict stays.  No field is added, and which side is right isn't decided here.
+    """
+    now = live.select(*key, "field", F.col("checksum").alias("_live"))
+    out = sent.join(now, [*key, "field"], "left").join(revisions.select(*key, "revision"), key, "left")
+    action = F.when(F.col("revision").isNull(), "unguarded").when(F.col("_live").eqNullSafe(F.col("checksum")), "already").otherwise("resend")
+    return out.withColumn("action", action).drop("_live")
+
+
+def recovered(replies: DataFrame, fields: DataFrame, retried: DataFrame, key: list[str]) -> DataFrame:
+    """key, outcome, revision, n_resent, n_already of every object that was sent: one recovery, never a second.
+
+    replies: key, reply; fields: after_conflict() of those that met a conflict; retried: the reply
+    to what went again (key, reply).  An object all of whose fields are there by now is a no-op under
+    its new revision; without a revision, or after another conflict, it is conflict_unresolved.
+    """
+    per = fields.groupBy(*key).agg(F.max("revision").alias("revision"), F.count_if(F.col("action") == "resend").alias("n_resent"), F.count_if(F.col("action") == "already").alias("n_already"))
+    out = replies.join(per, key, "left").join(retried.select(*key, F.col("reply").alias("_again")), key, "left").na.fill({"n_resent": 0, "n_already": 0})
+    met = F.col("reply") == "conflict"
+    solved = F.when(F.col("revision").isNull(), "conflict_unresolved").when(F.col("n_resent") == 0, "no_op").when(F.coalesce(F.col("_again"), F.lit("conflict")) == "conflict", "conflict_unresolved").otherwise(F.col("_again"))
+    return out.select(*key, F.when(met, solved).otherwise(F.col("reply")).alias("outcome"), "revision", "n_resent", "n_already")

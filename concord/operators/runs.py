@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import strip
+
 from .diffs import OUTCOMES
 from .history import SEVERITY, reportable
 
@@ -97,12 +99,17 @@ def proposals_of(proposals: DataFrame, *, status: str | None = None, decision: s
     return filtered(out, status=("proposed", "ambiguous"), decision="pending") if needs_human else out
 
 
+def held(records: DataFrame) -> DataFrame:
+    """Every record that holds the position back."""
+    return records.where("holds")
+
+
 def held_by(records: DataFrame, by: list[str], most: int = 20) -> DataFrame:
-    """by, n_held, held_by: records that hold the position back, how many, and the first `most` of their keys."""
-    held = records.where("holds")
+    """by, n_held, held_by: records that hold the position back, how many, and the first `most` of their keys; held() has all."""
+    rows = held(records)
     rank = F.row_number().over(Window.partitionBy(*by).orderBy("native_key"))
-    first = held.withColumn("_r", rank).where(F.col("_r") <= most).groupBy(*by).agg(F.array_sort(F.collect_list("native_key")).alias("held_by"))
-    return held.groupBy(*by).agg(F.count(F.lit(1)).alias("n_held")).join(first, by)
+    first = rows.withColumn("_r", rank).where(F.col("_r") <= most).groupBy(*by).agg(F.array_sort(F.collect_list("native_key")).alias("held_by"))
+    return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n_held")).join(first, by)
 
 
 def exit_code(runs: DataFrame) -> DataFrame:
@@ -119,7 +126,7 @@ def overall_health(components: DataFrame) -> DataFrame:
 
 def health_problems(components: DataFrame) -> DataFrame:
     """name, problem: reports that say something unknown, or are not healthy and don't say why."""
-    blank = F.coalesce(F.trim("reason"), F.lit("")) == ""
+    blank = F.coalesce(strip(F.col("reason")), F.lit("")) == ""
     problem = F.when(~F.coalesce(F.col("health").isin(*HEALTH), F.lit(False)), "unknown_health").when((F.col("health") != "healthy") & blank, "no_reason")
     return components.withColumn("problem", problem).where("problem is not null").select("name", "problem")
 

@@ -58,6 +58,17 @@ def match(rule: Rule, name: Column, tags: Column, owners: Column) -> Column:
     return F.when(fact.isNull(), "unavailable").when(hit, "match").otherwise("no_match")
 
 
+def overridden(candidates: DataFrame, overrides: DataFrame | None, *, scope: str, name: Column, id_col: str) -> DataFrame:
+    """Add _over: the decision of an override for the candidate's id, else for its name; null if there is none."""
+    if overrides is None:
+        return candidates.withColumn("_over", F.lit(None).cast("string"))
+    keyed = overrides.where(F.col("scope") == scope).select(F.col("key").alias("_key"), F.col("decision").alias("_o"))
+    by_id = keyed.select(F.col("_key").alias("_k1"), F.col("_o").alias("_o1"))
+    by_name = keyed.select(F.col("_key").alias("_k2"), F.col("_o").alias("_o2"))
+    found = candidates.withColumn("_name", name).join(by_id, F.col(id_col).cast("string") == F.col("_k1"), "left").join(by_name, F.col("_name") == F.col("_k2"), "left")
+    return found.withColumn("_over", F.coalesce("_o1", "_o2")).drop("_name", "_k1", "_k2", "_o1", "_o2")
+
+
 def decide(candidates: DataFrame, rules: list[Rule], *, scope: str, name: Column, tags: Column, owners: Column, overrides: DataFrame | None = None, id_col: str = "object_id") -> DataFrame:
     """Add decision, decided_by (override, rule, default), rule_id and undetermined (ids of rules whose fact is unknown, in order) to candidates of a scope.
 
@@ -65,16 +76,8 @@ def decide(candidates: DataFrame, rules: list[Rule], *, scope: str, name: Column
     shuffled for them.  overrides: key (an id, or a qualified name), decision, one row a key; the id is looked up first.
     """
     own = [r for r in check_rules(rules) if r.scope == scope]
-    found = candidates
-    over = F.lit(None).cast("string")
-    if overrides is not None:
-        keyed = overrides.where(F.col("scope") == scope).select(F.col("key").alias("_key"), F.col("decision").alias("_over"))
-        by_id = keyed.select(F.col("_key").alias("_k1"), F.col("_over").alias("_o1"))
-        by_name = keyed.select(F.col("_key").alias("_k2"), F.col("_over").alias("_o2"))
-        found = found.withColumn("_name", name).join(by_id, F.col(id_col).cast("string") == F.col("_k1"), "left").join(by_name, F.col("_name") == F.col("_k2"), "left")
-        over = F.coalesce("_o1", "_o2")
+    found = overridden(candidates, overrides, scope=scope, name=name, id_col=id_col)
     results = F.array(*[F.struct(F.lit(r.rule_id).alias("rule_id"), F.lit(r.decision).alias("decision"), match(r, name, tags, owners).alias("result")) for r in own]) if own else None
-    found = found.withColumn("_over", over)
     if results is None:
         hit, unknown = F.lit(None).cast("struct<rule_id:string,decision:string,result:string>"), F.array().cast("array<string>")
     else:
@@ -89,7 +92,7 @@ def decide(candidates: DataFrame, rules: list[Rule], *, scope: str, name: Column
         "rule_id": F.when(F.col("_over").isNull(), F.col("_hit.rule_id")),
         "undetermined": F.when(F.col("_over").isNull(), unknown).otherwise(F.array().cast("array<string>")),
     })
-    return out.drop("_name", "_k1", "_k2", "_o1", "_o2", "_over", "_results", "_hit")
+    return out.drop("_over", "_results", "_hit")
 
 
 def compose(datasets: DataFrame, parents: DataFrame, parent_key: str) -> DataFrame:

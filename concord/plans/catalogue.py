@@ -578,7 +578,7 @@ v AS (SELECT * FROM w WHERE action <> 'drop' AND NOT coalesce(held, false) AND c
 
 @query(f"WITH {_CYCLE} SELECT c_custkey AS key, field, action, value, previous, checksum, revision FROM v")
 def cycle_writes(t: Tables) -> DataFrame:
-    return _cycle(t)[1]
+    return _cycle(t)[1].drop("entity_type")
 
 
 @query("SELECT min(p_partkey) AS p_partkey, sha256(p_name || '|' || p_brand) AS digest FROM part WHERE p_partkey % 2 = 0 AND NOT EXISTS (SELECT 1 FROM part q WHERE q.p_partkey % 2 = 1 AND q.p_name = part.p_name AND q.p_brand = part.p_brand) GROUP BY p_name, p_brand")

@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import canonical as C
 from ..functions import text as T
-from ..operators import config, snapshots
-from ..operators.selection import Rule, rules_from_patterns
+from ..operators import config, ranks, rule_table, snapshots
 from ..sources import catalogs, reads
 from .catalogue import Tables, _s, query
 
@@ -182,13 +181,6 @@ def list_changed(t: Tables) -> DataFrame:
     return _listed(t)[0]
 
 
-@query(f"WITH a AS ({_FRESH}), b AS ({_OLD}), c AS (SELECT coalesce(a.key, b.key) AS key, a.key IS NULL AS d FROM a FULL JOIN b ON a.key = b.key WHERE a.checksum IS DISTINCT FROM b.checksum) SELECT key, row_number() OVER (ORDER BY d, key) AS place FROM c")
-def changes_in_order(t: Tables) -> DataFrame:
-    changes = _listed(t)[0]
-    # the same order as reads.in_order, with places, so that it can be compared
-    return changes.select("key", F.row_number().over(Window.orderBy(F.col("change") == "deleted", "key")).cast("long").alias("place"))
-
-
 @query("SELECT c_custkey AS native_key, CASE WHEN c_acctbal > 0 THEN 'dataset' ELSE 'data_product' END AS entity_type FROM customer WHERE c_mktsegment = 'BUILDING'")
 def target_listing(t: Tables) -> DataFrame:
     objects = t.customer.select(F.col("c_custkey").alias("native_key"), F.when(F.col("c_acctbal") > 0, "dataset").otherwise("data_product").alias("entity_type"), F.col("c_mktsegment").alias("placement"))
@@ -217,7 +209,7 @@ SELECT full_name, found, CASE WHEN found THEN coalesce(n, 0) ELSE 0 END AS n_dat
 def read_products(t: Tables) -> DataFrame:
     schemas, tables = _tree(t)
     refs = schemas.select(F.concat_ws(".", "catalog_name", "schema_name").alias("full_name")).unionAll(t.spark.createDataFrame([("gone.gone",)], "full_name string"))
-    out = reads.read_products(schemas, tables, refs, ["ASIA.*"], most=3)
+    out = reads.read_products(schemas, tables, refs, ["ASIA.*"], listed=3, most=1_000_000_000)
     return out.withColumn("datasets", F.array_join("datasets", ","))
 
 
@@ -261,7 +253,7 @@ def binding_point_read(t: Tables) -> DataFrame:
 
 @query("SELECT o_orderkey, o_totalprice, true AS more FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 50 OFFSET 100")
 def offset_page(t: Tables) -> DataFrame:
-    rows, more = reads.page(t.orders.select("o_orderkey", "o_totalprice", (-F.col("o_totalprice")).alias("down")), ["down", "o_orderkey"], 100, 50)
+    rows, more = ranks.page(t.orders.select("o_orderkey", "o_totalprice", (-F.col("o_totalprice")).alias("down")), ["down", "o_orderkey"], 100, 50)
     return rows.select("o_orderkey", "o_totalprice", F.lit(more).alias("more"))
 
 
@@ -348,10 +340,19 @@ def secrets_in_json(t: Tables) -> DataFrame:
     return t.events.select("event_id", redacted.alias("redacted"), T.redacted_map(m)["clientSecret"].alias("in_map"))
 
 
-@query("SELECT rule_id, ordinal, pattern FROM (VALUES ('pattern-0', 0, 'main.*'), ('pattern-1', 1, 'raw.[abc]*'), ('pattern-2', 2, 'main.*')) AS v(rule_id, ordinal, pattern)")
+@query("SELECT 'pattern-' || (row_number() OVER (ORDER BY p_partkey) - 1)::VARCHAR AS rule_id, (row_number() OVER (ORDER BY p_partkey) - 1)::INTEGER AS ordinal, p_type || '.' || p_name || '*' AS pattern FROM part")
 def rules_of_patterns(t: Tables) -> DataFrame:
-    rules: list[Rule] = rules_from_patterns(["main.*", "raw.[abc]*", "main.*"])
-    return t.spark.createDataFrame([(r.rule_id, r.ordinal, r.pattern) for r in rules], "rule_id string, ordinal int, pattern string")
+    return rule_table.rules_from_patterns(t.part.select("p_partkey", F.concat("p_type", F.lit("."), "p_name", F.lit("*")).alias("pattern")), "p_partkey").select("rule_id", "ordinal", "pattern")
+
+
+@query("SELECT p_type || '.' || p_name || CASE WHEN p_size % 2 = 0 THEN '*' ELSE '' END AS pattern, min(p_partkey)::INTEGER AS ordinal FROM part WHERE p_size % 3 <> 0 AND p_size % 5 <> 0 GROUP BY 1")
+def patterns_of_rules(t: Tables) -> DataFrame:
+    size = F.col("p_size")
+    rules = t.part.select(
+        F.col("p_partkey").cast("string").alias("rule_id"), F.col("p_partkey").cast("int").alias("ordinal"), F.lit("object").alias("scope"), F.when(size % 3 == 0, "exclude").otherwise("include").alias("decision"),
+        F.when(size % 5 == 0, "owner").otherwise("glob").alias("kind"), F.concat("p_type", F.lit("."), "p_name", F.when(size % 2 == 0, "*").otherwise("")).alias("pattern"),
+    )
+    return rule_table.patterns_from_rules(rules)
 
 
 @query("""

@@ -33,16 +33,16 @@ def plan_cycle(changes: DataFrame, source: DataFrame, stored: DataFrame, live: D
     for policy in options.policies:
         diff = policy(diff)
     kept = F.col("action") != "drop"
-    per = diff.groupBy("key").agg(F.count_if(kept).alias("n_changes"), F.count_if(kept & F.col("withheld").isNull()).alias("n_writes"), F.array_sort(F.collect_set(F.when(F.col("reason").isNotNull(), F.concat_ws(":", "field", "reason")))).alias("dropped"))
-    has = source.select("key").distinct().withColumn("has_envelopes", F.lit(True))
+    per = diff.groupBy("key", "entity_type").agg(F.count_if(kept).alias("n_changes"), F.count_if(kept & F.col("withheld").isNull()).alias("n_writes"), F.array_sort(F.collect_set(F.when(F.col("reason").isNotNull(), F.concat_ws(":", "field", "reason")))).alias("dropped"))
+    has = source.select("key", "entity_type").distinct().withColumn("has_envelopes", F.lit(True))
     can = manifest.groupBy("entity_type").agg(F.bool_or(F.col("supported") & (F.col("mode") == "rw")).alias("creatable"))
-    joined = changes.join(per, "key", "left").join(has, "key", "left").join(can, "entity_type", "left")
+    joined = changes.join(per, ["key", "entity_type"], "left").join(has, ["key", "entity_type"], "left").join(can, "entity_type", "left")
     joined = joined.na.fill({"n_changes": 0, "n_writes": 0, "has_envelopes": False, "creatable": False})
     reply = F.col("reply") if "reply" in changes.columns else F.lit("written")
     facts = {
         "selected": F.col("selected"), "deleted": F.col("deleted"), "bound": F.col("bound"), "has_envelopes": F.col("has_envelopes"), "target": F.col("target"), "creatable": F.col("creatable"),
         "has_changes": F.col("n_changes") > 0, "all_withheld": F.col("n_writes") == 0, "reply": reply,
     }
-    records = joined.withColumn("_o", outcome(facts, create=options.create, dry_run=options.dry_run)).select("key", "_o.*", (F.col("selected") & ~F.col("deleted")).alias("was_read"), "n_changes", "n_writes", "dropped")
-    writes = diff.where(kept & F.col("withheld").isNull()).join(records.where(F.col("outcome").isin("written", "created")).select("key"), "key", "left_semi")
-    return records, writes.select("key", "field", "action", "value", "previous", "checksum", "revision")
+    records = joined.withColumn("_o", outcome(facts, create=options.create, dry_run=options.dry_run)).select("key", "entity_type", "_o.*", (F.col("selected") & ~F.col("deleted")).alias("was_read"), "n_changes", "n_writes", "dropped")
+    writes = diff.where(kept & F.col("withheld").isNull()).join(records.where(F.col("outcome").isin("written", "created")).select("key", "entity_type"), ["key", "entity_type"], "left_semi")
+    return records, writes.select("key", "entity_type", "field", "action", "value", "previous", "checksum", "revision")

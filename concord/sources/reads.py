@@ -76,15 +76,28 @@ def read_entities(objects: DataFrame, refs: DataFrame, supported: Iterable[str])
     return asked.join(there, ["entity_type", "native_key"], "left").withColumn("found", F.coalesce("found", F.lit(False)))
 
 
-def read_products(schemas: DataFrame, tables: DataFrame, refs: DataFrame, patterns: list[str], most: int = 1000) -> DataFrame:
-    """Data products of referred schemas (full_name): found, n_datasets, and at most `most` of their tables' ids in order; schemas out of the patterns' scope aren't found."""
+def product_members(schemas: DataFrame, tables: DataFrame, refs: DataFrame, patterns: list[str]) -> DataFrame:
+    """full_name, table_id: every table of the referred schemas that lie in the patterns' scope, a row each."""
+    scope = matching_schemas(schemas, patterns).select(F.concat_ws(".", "catalog_name", "schema_name").alias("full_name"))
+    asked = refs.select("full_name").distinct().join(scope, "full_name", "left_semi")
+    return tables.select(F.concat_ws(".", "catalog_name", "schema_name").alias("full_name"), "table_id").join(asked, "full_name", "left_semi")
+
+
+def read_products(schemas: DataFrame, tables: DataFrame, refs: DataFrame, patterns: list[str], listed: int = 20, most: int | None = None) -> DataFrame:
+    """Data products of referred schemas (full_name): found, n_datasets, and the first `listed` of their tables' ids in order; product_members() has all as rows.
+
+    Schemas out of the patterns' scope aren't found.  A product of over `most` tables raises: nothing is cut off.
+    """
     scope = matching_schemas(schemas, patterns).withColumn("full_name", F.concat_ws(".", "catalog_name", "schema_name")).select("full_name", F.lit(True).alias("found"))
     asked = refs.join(scope, "full_name", "left").withColumn("found", F.coalesce("found", F.lit(False)))
     own = tables.select(F.concat_ws(".", "catalog_name", "schema_name").alias("full_name"), "table_id").join(asked.where("found").select("full_name"), "full_name", "left_semi")
     # the limit is taken in tasks before rows are shuffled (a window's group limit), so lists stay short
     rank = F.row_number().over(Window.partitionBy("full_name").orderBy("table_id"))
-    first = own.withColumn("_r", rank).where(F.col("_r") <= most).groupBy("full_name").agg(F.array_sort(F.collect_list("table_id")).alias("datasets"))
-    counted = own.groupBy("full_name").agg(F.count(F.lit(1)).alias("n_datasets")).join(first, "full_name")
+    first = own.withColumn("_r", rank).where(F.col("_r") <= listed).groupBy("full_name").agg(F.array_sort(F.collect_list("table_id")).alias("datasets"))
+    n = F.count(F.lit(1))
+    if most is not None:
+        n = F.when(n > most, F.raise_error(F.lit(f"a product of over {most} datasets")).cast("long")).otherwise(n)
+    counted = own.groupBy("full_name").agg(n.alias("n_datasets")).join(first, "full_name")
     out = asked.join(counted, "full_name", "left")
     return out.withColumns({"n_datasets": F.coalesce("n_datasets", F.lit(0)), "datasets": F.when(F.col("found"), F.coalesce("datasets", F.array().cast("array<string>")))})
 
@@ -107,17 +120,9 @@ def bindings_of(bindings: DataFrame, *, endpoint: str | None = None, entity_type
     return (bindings.where("confirmed") if confirmed_only else bindings).orderBy("endpoint", "entity_type", "tenant_id", "native_key")
 
 
-def page(rows: DataFrame, order: list[str], offset: int, size: int) -> tuple[DataFrame, bool]:
-    """(rows offset to offset + size in order, whether there are more)."""
-    probe = rows.orderBy(*order).offset(offset).limit(size + 1)
-    more = probe.count() > size
-    return probe.orderBy(*order).limit(size), more
-
-
 def examined(candidates: DataFrame, order: list[str], most: int) -> tuple[DataFrame, bool]:
-    """(the first `most` candidates in order, whether that cut any off): a preview looks at no more."""
-    probe = candidates.orderBy(*order).limit(most + 1)
-    return probe.orderBy(*order).limit(most), probe.count() > most
+    """(the first `most` candidates in order, whether that cut any off): a preview looks at no more. Whether there are more takes any `most` + 1 rows, in no order."""
+    return candidates.orderBy(*order).limit(most), candidates.limit(most + 1).count() > most
 
 
 def all_nodes(schemas: DataFrame, datasets: DataFrame) -> DataFrame:

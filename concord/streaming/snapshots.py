@@ -60,6 +60,8 @@ def follow(observed: DataFrame, state: State, checkpoint: str, *, stream: str =
             latest = last_change(taken.drop("terminal"), ["key"], ["seq"]).select("key", "checksum", "seq")
             touched = sorted(r[0] for r in bucketed(latest).select("bucket").distinct().collect())  # BUCKETS at most
             own = bucketed(before).where(F.col("bucket").isin(touched)).drop("bucket")
+            # a late observation doesn't undo what is stored
+            latest = latest.join(own.select("key", F.col("seq").alias("_s")), "key", "left").where(F.col("_s").isNull() | (F.col("seq") >= F.col("_s"))).drop("_s")
             seen = own.join(latest.select("key"), "key", "left_semi")
             gone = latest.where(F.col("checksum").isNull()).select("key")
             changes = snapshot_changes(latest.where(F.col("checksum").isNotNull()), seen, "key")

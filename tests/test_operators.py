@@ -8,7 +8,7 @@ from fnmatch import fnmatchcase
 import pytest
 from pyspark.sql import functions as F
 
-from concord.operators import config, diffs, history, identity, parties, payloads, runs, selection, snapshots
+from concord.operators import config, diffs, history, identity, parties, payloads, ranks, runs, selection, snapshots
 from concord.operators.selection import Rule
 from concord.plans.cycle import Options, plan_cycle
 from concord.plans.state import State
@@ -236,7 +236,7 @@ def test_reads(spark):
     assert (gone["change"], gone["tenant_id"], gone["full_name"]) == ("deleted", "t", "n")
     order = spark.createDataFrame([("b", "upsert"), ("a", "deleted"), ("a", "upsert")], "key string, change string")
     assert [tuple(r) for r in reads.in_order(order).collect()] == [("a", "upsert"), ("b", "upsert"), ("a", "deleted")]
-    assert reads.page(spark.range(5), ["id"], 3, 2)[1] is False and reads.page(spark.range(6), ["id"], 3, 2)[1] is True
+    assert ranks.page(spark.range(5), ["id"], 3, 2)[1] is False and ranks.page(spark.range(6), ["id"], 3, 2)[1] is True
     assert reads.matching_schemas(spark.createDataFrame([("a", "b")], "catalog_name string, schema_name string"), []).isEmpty()
     assert reads.tags_of_catalogs(spark, None, "schema_tags", ["a"]) is None
 

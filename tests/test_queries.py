@@ -6,7 +6,7 @@ import duckdb
 import pytest
 from conftest import SF
 
-from concord.plans import catalogue, catalogue_config, catalogue_runs  # noqa: F401  # each adds its queries
+from concord.plans import catalogue, catalogue_config, catalogue_runs, catalogue_sync  # noqa: F401  # each adds its queries
 from tools.compare import rows
 
 
