@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from .shared import nested, written
 
+#: Cells of one source at most, and how many bounds of cells lie side by side.
+MOST_CELLS, _STEP = 4096, 64
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -64,10 +66,11 @@ def mixed_rows(
     budget; the one that crosses it is taken if that comes nearer.  Documents are
     taken whole, so a source misses its target by half a document at most.
 
-    Prefix sums run in cells: a document's cell is a monotone function of its key, so
-    cells of a source follow one another, and a source that holds a third of all rows
-    spreads over at least min_cells of them.  Cells' totals are summed first (a small
-    table), then rows within cells.
+    Prefix sums run in cells, which are quantiles of a source's own keys, so cells are
+    near even whatever the qualities are, and a source that holds a third of all rows spreads
+    over at least a third of min_cells (the largest source has MOST_CELLS at most).  Cells' totals are summed first (a small
+    table), then rows within cells.  Rows that agree in key, and so in all that counts, have a cell of their own where they are many;
+    of over twice as many as a cell should have, each is numbered by salts, and has its prefix sum from its number: no window holds them all.
 
     Null sizes are 0; quality below 0.001 or null counts as 0.001.  Null sources are a source,
     the last.  Rows that agree in key share u; ties go by size, so equal rows cannot
@@ -82,30 +85,58 @@ def mixed_rows(
     rows = rows.withColumn("_key", -F.log(u) / F.col("_quality"))
     # sizes, qualities and digests of all rows: texts are measured here once, and once more when rows are placed
     measured = written(rows.drop("row"), "measured")
-    totals = measured.groupBy(F.col("_source").alias("source")).agg(F.sum("_size").alias("source_size"), F.count(F.lit(1)).alias("_n"), F.avg("_quality").alias("_mean"))
-    n_sources, largest = totals.agg(F.count(F.lit(1)), F.coalesce(F.max("_n"), F.lit(0))).first()
-    cells = max(min_cells, math.ceil(largest / rows_per_cell))
-    # both small tables are broadcast only below a checked number of rows of under 100 bytes
-    small = lambda df, n: F.broadcast(df) if n <= 100_000 else df
+    totals = measured.groupBy(F.col("_source").alias("source")).agg(F.sum("_size").alias("source_size"), F.count(F.lit(1)).alias("_n"))
+    n_sources, largest, n = totals.agg(F.count(F.lit(1)), F.coalesce(F.max("_n"), F.lit(0)), F.coalesce(F.sum("_n"), F.lit(0))).first()
+    per_cell = max(1, min(rows_per_cell, math.ceil(n / min_cells)))
+    cells = min(MOST_CELLS, math.ceil(largest / per_cell) or 1)
+    # small tables are broadcast only below a checked number of rows of under 100 bytes; all bounds of cells are n / per_cell + n_sources numbers at most
+    small = lambda df, rows: F.broadcast(df) if rows <= 100_000 else df
+    n_cells = 2 * (n // per_cell + n_sources + 1)
     plan = source_targets(totals.select("source", "source_size"), weights=weights, max_epochs=max_epochs)
+    quantiles = measured.groupBy(F.col("_source").alias("_q")).agg(F.count(F.lit(1)).alias("_n"), F.percentile_approx("_key", [i / cells for i in range(1, cells)] or [0.5], 4 * MOST_CELLS).alias("_all"))
+    # a source has a cell for each per_cell rows: of all quantiles every so manieth
+    own = F.least(F.lit(cells), F.ceil(F.col("_n") / per_cell))
+    bounds = F.array_distinct(F.transform(F.filter(F.sequence(F.lit(1).cast("long"), own - 1, F.lit(1).cast("long")), lambda i: i > 0), lambda i: F.get("_all", (F.floor(i * cells / own) - 1).cast("int"))))
+    quantiles = quantiles.select("_q", F.when(own > 1, bounds).otherwise(F.array().cast("array<double>")).alias("_bounds"))
+    parts = F.transform(F.sequence(F.lit(0), F.ceil(F.size("_bounds") / _STEP).cast("int")), lambda i: F.slice("_bounds", i * _STEP + 1, _STEP))
     plan = (
-        plan.join(totals.select(F.col("source").alias("_s"), "_mean"), F.col("source").eqNullSafe(F.col("_s")))
+        plan.join(quantiles, F.col("source").eqNullSafe(F.col("_q")))
         .withColumn("_epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0))
         .withColumn("_rest", F.col("target") - F.col("_epochs") * F.col("source_size"))
-        .select(F.col("source").alias("_s"), "source_size", "target", "_mean", "_epochs", "_rest")
+        .select(F.col("source").alias("_s"), "source_size", "target", "_epochs", "_rest", F.filter(parts, lambda p: F.size(p) > 0).alias("_parts"))
     )
+    plan = written(plan, "plan")
 
     def in_cells(df):
-        # 1 - exp(-key * mean) is near uniform, so cells are near even; any monotone function gives the same sample
-        cell = F.least(F.floor((1 - F.exp(-F.col("_key") * F.col("_mean"))) * cells), F.lit(cells - 1)).cast("int")
-        return df.join(small(plan, n_sources), F.col("_source").eqNullSafe(F.col("_s"))).drop("_s").withColumn("_cell", cell)
+        """Bounds below a key, doubled, and one more for keys that are a bound: those have a cell of their own. Any monotone function gives the same sample."""
+        df = df.join(small(plan, n_sources), F.col("_source").eqNullSafe(F.col("_s"))).drop("_s")
+        before = F.size(F.filter("_parts", lambda p: p[0] < F.col("_key"))) - 1
+        last = F.coalesce(F.get("_parts", F.greatest(F.col("_before"), F.lit(0))), F.array().cast("array<double>"))
+        below = F.when(F.col("_before") < 0, 0).otherwise(F.col("_before") * _STEP + F.size(F.filter(last, lambda b: b < F.col("_key"))))
+        at = F.exists(last, lambda b: b == F.col("_key")) | F.coalesce(F.get(F.get("_parts", F.col("_before") + 1), F.lit(0)) == F.col("_key"), F.lit(False))
+        return df.withColumn("_before", before).withColumn("_cell", 2 * below + at.cast("int")).drop("_before", "_parts")
 
     placed = in_cells(rows)
-    sums = in_cells(measured).groupBy(F.col("_source").alias("_s"), F.col("_cell").alias("_c")).agg(F.sum("_size").alias("_sum"))
+    celled = in_cells(measured).groupBy(F.col("_source").alias("_s"), F.col("_cell").alias("_c"))
+    sums = celled.agg(F.sum("_size").alias("_sum"), F.count(F.lit(1)).alias("_rows"), (F.min("_digest") == F.max("_digest")).alias("_equal"))
     sums = sums.withColumn("_base", F.coalesce(F.sum("_sum").over(Window.partitionBy("_s").orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_sum")
+    sums = written(sums, "cells")
+    hot = sums.where(F.col("_equal") & (F.col("_rows") > 2 * per_cell)).select("_s", "_c", "_rows")
+    same_cell = F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_cell") == F.col("_c"))
+    n_hot = hot.count()
+    spread = placed.join(small(hot, n_hot), same_cell, "left_anti") if n_hot else placed
     inner = Window.partitionBy("_source", "_cell").orderBy("_key", "_size", "_digest").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = placed.withColumn("_inner", F.coalesce(F.sum("_size").over(inner), F.lit(0)))
-    summed = ranked.join(small(sums, n_sources * cells), F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_cell") == F.col("_c")))
+    ranked = spread.withColumn("_inner", F.coalesce(F.sum("_size").over(inner), F.lit(0)))
+    if n_hot:
+        # written, so that every step sees the same salts
+        salt = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.ceil(F.col("_rows") / per_cell))
+        salted = written(placed.join(small(hot, n_hot), same_cell).withColumn("_salt", salt).drop("_s", "_c", "_rows"), "salted")
+        of_salt = salted.groupBy(F.col("_source").alias("_s"), F.col("_cell").alias("_c"), F.col("_salt").alias("_t")).agg(F.count(F.lit(1)).alias("_k"))
+        of_salt = of_salt.select("_s", "_c", "_t", F.coalesce(F.sum("_k").over(Window.partitionBy("_s", "_c").orderBy("_t").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_first"))
+        number = F.row_number().over(Window.partitionBy("_source", "_cell", "_salt").orderBy("_key")) - 1
+        numbered = salted.withColumn("_number", number).join(small(of_salt, 2 * n_cells), same_cell & (F.col("_salt") == F.col("_t")))
+        ranked = ranked.unionByName(numbered.withColumn("_inner", (F.col("_first") + F.col("_number")) * F.col("_size")).select(*ranked.columns))
+    summed = ranked.join(small(sums.drop("_rows", "_equal"), n_cells), same_cell)
     before = F.col("_base") + F.col("_inner")
     times = F.col("_epochs") + F.when(before + F.col("_size") / 2 <= F.col("_rest"), 1).otherwise(0)
     return summed.withColumn("times", times.cast("int")).select("row", F.col("_size").alias("size"), "source_size", "target", "times", (F.col("_size") * F.col("times")).cast("long").alias("taken"))
