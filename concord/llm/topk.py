@@ -17,10 +17,14 @@ _ENTRY = "query_id long, id long, score long"
 
 
 def quantised(vectors: DataFrame, *, id_col: str, vector_col: str, scale: int) -> DataFrame:
-    """id, v: floor(scale * component) as double; rows with a null id, vector or component, or one that is not finite, are left out."""
+    """id, v: floor(scale * component) as double; rows with a null id, vector or component, or one that is not finite, are left out.
+
+    So are those whose products may not fit 64 bits: the largest component times the root of the number of components is over 2**30.
+    """
     v = F.transform(vector_col, lambda x: x.cast("double"))
     fine = F.forall(v, lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False)))
     rows = vectors.where(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull() & F.coalesce(fine, F.lit(False)))
+    rows = rows.where(F.coalesce(F.array_max(F.transform(v, lambda x: F.abs(x * scale))), F.lit(0.0)) * F.sqrt(F.size(v)) < float(1 << 30))
     return rows.select(F.col(id_col).cast("long").alias("id"), F.transform(v, lambda x: F.floor(x * scale).cast("double")).alias("v"))
 
 
@@ -39,10 +43,7 @@ def exact_products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     most = max(1.0, np.abs(a).max(initial=0)) * max(1.0, np.abs(b).max(initial=0)) * max(1, a.shape[1])
     if most < 2**53:
         return (a @ b.T).astype(np.int64)
-    whole = np.array([[int(x) for x in r] for r in a], dtype=object).reshape(a.shape) @ np.array([[int(x) for x in r] for r in b], dtype=object).reshape(b.shape).T
-    if max((abs(int(x)) for x in whole.ravel()), default=0) >= 2**63:
-        raise OverflowError("an inner product does not fit 64 bits")
-    return whole.astype(np.int64)
+    return a.astype(np.int64) @ b.astype(np.int64).T
 
 
 def exact_top_k(
@@ -70,7 +71,8 @@ def exact_top_k(
     more blocks, each one's answers are written before the next begins.
 
     A query with fewer than k other rows has no cutoff and collects all.  Vectors
-    that are null or hold null or non-finite components take no part; where lengths
+    that are null or hold null or non-finite components, or components so large that
+    scores may not fit 64 bits (see quantised()), take no part; where lengths
     differ, missing components count 0.  Empty tables give an empty result.
     """
     spark = vectors.sparkSession
