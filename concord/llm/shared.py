@@ -66,6 +66,12 @@ def forget(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def at_exit(spark: SparkSession, path: str) -> None:
+    """Delete a table in the shared folder when the driver ends."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+
+
 def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """df as a table in the shared folder, read again, and its path: it stays until forget()."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
@@ -74,9 +80,14 @@ def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
 
 
 def written(df: DataFrame, name: str, *, keep: bool = False) -> DataFrame:
-    """df as a table in the shared folder, read again: later steps don't compute it anew, and lost executors take nothing with them. keep: see scratch()."""
+    """df as a table in the shared folder, read again: later steps don't compute it anew, and lost executors take nothing with them. keep: see scratch().
+
+    Outside of any scratch() the table may be what a lazy result reads, so it stays as long as the driver does.
+    """
     out, path = stored(df, name)
     scopes = _open[:-1] if keep else _open
     if scopes:
         scopes[-1].append(path)
+    else:
+        at_exit(df.sparkSession, path)
     return out

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from .exchange import text_total
 from .hashing import SEPARATOR, text_bytes
-from .shared import local, shared_folder
+from .shared import at_exit, local, shared_folder
 
 _PART = "part long, n_docs long, n_tokens long, path string"
 _BLOCK = 8 << 20
@@ -238,6 +238,7 @@ def read_tokens(parts: DataFrame, *, id_col: str = "doc_id", with_ids: bool = Fa
 
 
 def token_digest(docs: DataFrame, *, tokenizer: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Write the corpus to a new folder under the shared one, and digest it from there."""
+    """Write the corpus to a new folder under the shared one, and digest it from there; the folder goes, with what failed attempts left in it, when the driver ends."""
     folder = f"{shared_folder(docs.sparkSession)}/tokens-{uuid.uuid4().hex}"
+    at_exit(docs.sparkSession, folder)
     return read_tokens(write_tokens(docs, folder, tokenizer=tokenizer, end_id=end_id, id_col=id_col, text_col=text_col), id_col=id_col)

@@ -268,3 +268,55 @@ def test_registered_whitening_has_all_rows(spark):
     out = queries.op12_embedding_whitening(spark, SF)
     assert out.columns == ["vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error"]
     assert out.count() == 32 * spark.read.parquet(f"{SF}/embeddings.parquet").count()
+
+
+def test_mixing_spreads_equal_rows_and_rows_of_low_quality(spark):
+    """A third of all rows are equal, and half of the others hold no letters: the sample is that of one sort, and no cell holds many."""
+    from concord.llm import mixing
+
+    rng = random.Random(3)
+    texts = ["same words here"] * 600 + [" ".join(str(rng.randrange(100)) for _ in range(rng.randint(1, 9))) for _ in range(600)] + [" ".join(rng.choice(["ab", "cd", "ef"]) for _ in range(rng.randint(0, 9))) for _ in range(600)]
+    rows = [(None if i < 600 else i, t, ["a", "b", None][(i // 7) % 3] if i >= 600 else "a") for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(7)
+    key = F.concat_ws("|", F.col("doc_id").cast("string"), F.md5("text"))
+    cells = {}
+    for per_cell in (10, 10**6):
+        out = mixing.mixed_rows(df, size=mixing.n_words(F.col("text")), quality=mixing.letter_share(F.col("text")), key=key, rows_per_cell=per_cell, min_cells=1 if per_cell > 10 else 96)
+        cells[per_cell] = Counter((r["row"]["doc_id"], r["row"]["text"], r["size"], r["target"], r["times"]) for r in out.collect())
+    assert cells[10] == cells[10**6] and sum(cells[10].values()) == len(rows)
+    equal = Counter({k: n for k, n in cells[10].items() if k[0] is None})
+    assert sum(equal.values()) == 600 and len({k[-1] for k in equal}) <= 2
+
+
+def test_top_k_of_very_large_vectors(spark):
+    """Exact beyond the whole numbers that doubles hold; what may not fit 64 bits takes no part."""
+    from concord.llm import topk
+
+    rng = random.Random(2)
+    rows = [(i, [float(rng.randrange(-(2**28), 2**28)) for _ in range(3)], 0) for i in range(60)]
+    df = spark.createDataFrame([*rows, (200, [1e300, 1.0, 1.0], 0), (201, [float(2**30), float(2**29), 0.0], 0)], "vec_id long, embedding array<double>, label int")
+    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in topk.exact_top_k(df, k=4, scale=1, every=20).collect()}
+    want = {}
+    for q, v, _ in rows[::20]:
+        scored = sorted((-sum(int(a) * int(b) for a, b in zip(v, w, strict=True)), i) for i, w, _ in rows if i != q)
+        want |= {(q, r): (i, -s) for r, (s, i) in enumerate(scored[:4], 1)}
+    assert got == want
+
+
+def test_tables_of_a_result_are_deleted_with_the_driver(tmp_path):
+    """A session of its own leaves nothing behind in the shared folder."""
+    import os
+    import subprocess
+    import sys
+
+    code = f"""
+import sys; sys.path.insert(0, {os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))!r})
+from pyspark.sql import SparkSession
+from concord.llm import queries
+spark = SparkSession.builder.master('local[4]').config('spark.sql.shuffle.partitions', '2').config('spark.ui.enabled', 'false').config('spark.checkpoint.dir', 'file://{tmp_path}/shared').getOrCreate()
+for name in ('op3_sharding', 'op6_mixing', 'op13_hard_negatives'):
+    assert queries.QUERIES[name](spark, {SF!r}).count()
+"""
+    subprocess.run([sys.executable, "-c", code], check=True, timeout=200, cwd=tmp_path, capture_output=True)
+    left = [f for d, _, names in os.walk(tmp_path / "shared") for f in names]
+    assert left == []
