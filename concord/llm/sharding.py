@@ -82,7 +82,7 @@ def shard_uniformly(docs: DataFrame, *, n_shards: int, key: Column, seed: int =
     input are kept; shard and slot replace columns of those names.
 
     The driver holds one row of n_shards numbers for each rows_per_block rows: at 20 billion
-    rows and 24 shards 400,000 rows, under 100 MB.  Small tables are broadcast only
+    rows and 24 shards 400,000 rows, some 400 MB as Python's lists.  Small tables are broadcast only
     below a checked number of rows (see few()).
     """
     spark = docs.sparkSession
