@@ -22,11 +22,18 @@ class Ranges:
     before: tuple[int, ...]
 
     def place(self, df: DataFrame) -> Column:
-        """The number of a row's range."""
+        """The number of a row's range: how many cuts aren't above it, by halves, so a row takes as many comparisons as the number of ranges has bits."""
         types = [df.schema[c].dataType for c in self.order]
         cuts = [F.struct(*[F.lit(v).cast(kind).alias(c) for c, v, kind in zip(self.order, cut, types, strict=True)]) for cut in self.cuts]
         own = F.struct(*self.order)
-        return F.size(F.filter(F.array(*cuts), lambda c: c <= own)) if cuts else F.lit(0)
+
+        def among(low: int, high: int) -> Column:
+            if low == high:
+                return F.lit(low)
+            middle = (low + high) // 2
+            return F.when(cuts[middle] <= own, among(middle + 1, high)).otherwise(among(low, middle))
+
+        return among(0, len(cuts))
 
 
 def ranges(df: DataFrame, order: list[str], *, rows_per_range: int = 1_000_000, most: int = 256) -> Ranges:
