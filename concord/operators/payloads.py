@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import strip
@@ -18,15 +18,37 @@ def filled(text: Column) -> Column:
     return F.when(strip(text) != "", text)
 
 
+def listed_members(members: DataFrame, key: str = "key") -> DataFrame:
+    """key, refs and consumable (lists for create_bodies) and n_refs, n_resolved, n_distinct, n_consumable (counts of all), of each product that has members.
+
+    members: key, ref (resolved id, null if there is none), consumable (boolean; null: nothing is said, which is not consumable).
+    Of a product's distinct ids, in order, the first MAX_REFS + 1 are listed; ids are ranked and cut in tasks before lists are made, so no list grows with its product.
+    """
+    said = F.coalesce("consumable", F.lit(False))
+    ids = members.groupBy(key, "ref").agg(F.count(F.lit(1)).alias("_n"), F.bool_or(said).alias("_fit"), F.count_if(said).alias("_said"))
+    counts = ids.groupBy(key).agg(
+        F.sum("_n").alias("n_refs"), F.coalesce(F.sum(F.when(F.col("ref").isNotNull(), F.col("_n"))), F.lit(0)).alias("n_resolved"), F.count("ref").alias("n_distinct"), F.sum("_said").alias("n_consumable")
+    )
+    rank = F.row_number().over(Window.partitionBy(key).orderBy("ref"))
+    first = ids.where(F.col("ref").isNotNull()).select(key, "ref", "_fit").withColumn("_r", rank).where(F.col("_r") <= MAX_REFS + 1)
+    first = first.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_r", F.col("ref").cast("string").alias("ref"), "_fit"))).alias("_ids"))
+    none = F.array().cast("array<string>")
+    text = lambda c: F.coalesce(F.transform(c, lambda x: x["ref"]), none)
+    first = first.withColumnRenamed(key, "_key")
+    return counts.join(first, counts[key].eqNullSafe(first["_key"]), "left").select(key, text("_ids").alias("refs"), text(F.filter("_ids", lambda x: x["_fit"])).alias("consumable"), "n_refs", "n_resolved", "n_distinct", "n_consumable")
+
+
 def create_bodies(products: DataFrame, space: str, key: str = "key") -> DataFrame:
     """key, body (JSON), written (fields, sorted), skipped (field: why) for products that are to be created.
 
     products: name, description, documentation, tags (array of texts), refs (array of resolved ids), n_refs
     (members named), consumable (ids, null if nothing is said), contacts (array of struct), n_owners, placement.
     Optional keys are left out rather than sent empty.  At most MAX_REFS distinct references are sent, and
-    of the consumable ones only those that are sent.
+    of the consumable ones only those that are sent.  Where lists are cut already (see listed_members), n_resolved,
+    n_distinct and n_consumable say how many there are; without these columns the lists are taken to be whole.
     """
     refs = F.array_distinct("refs")
+    told_of = lambda name, c: F.coalesce(name, c) if name in products.columns else c
     sent = F.slice(refs, 1, MAX_REFS)
     consumable = F.filter(F.array_distinct("consumable"), lambda x: F.array_contains(sent, x))
     some = lambda c: F.when(F.size(c) > 0, c)
@@ -37,8 +59,8 @@ def create_bodies(products: DataFrame, space: str, key: str = "key") -> DataFram
     told = {"name": F.lit(True), "description": parts["description"].isNotNull(), "documentation": parts["readMe"].isNotNull(), "tags": F.size("tags") > 0, "dataset_refs": F.size(sent) > 0, "owners": F.size("contacts") > 0, "placement": F.col("placement") == space}
     fewer = lambda n, field, why: F.when(n > 0, F.concat(F.lit(f"{field}: "), n.cast("string"), F.lit(f" {why}")))
     skipped = F.array_compact(F.array(
-        fewer(F.col("n_refs") - F.size("refs"), "dataset_refs", "not resolved"), fewer(F.size(refs) - MAX_REFS, "dataset_refs", "beyond the cap"),
-        fewer(F.size("consumable") - F.size(consumable), "dataset_refs", "consumable but not sent"), fewer(F.col("n_owners") - F.size("contacts"), "owners", "not matched"),
+        fewer(F.col("n_refs") - told_of("n_resolved", F.size("refs")), "dataset_refs", "not resolved"), fewer(told_of("n_distinct", F.size(refs)) - MAX_REFS, "dataset_refs", "beyond the cap"),
+        fewer(F.when(F.col("consumable").isNotNull(), told_of("n_consumable", F.size("consumable"))) - F.size(consumable), "dataset_refs", "consumable but not sent"), fewer(F.col("n_owners") - F.size("contacts"), "owners", "not matched"),
         F.when(F.col("placement") != space, F.lit("placement: ignored")),
     ))
     return products.select(

@@ -84,14 +84,15 @@ SELECT c_custkey AS key, '{"name":"' || c_name || '","spaceId":"s1"' || CASE WHE
 """)
 def create_bodies(t: Tables) -> DataFrame:
     k = F.col("c_custkey")
-    text = lambda c: F.transform(c, lambda x: x.cast("string"))
-    refs = t.orders.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.array_sort(F.collect_set("o_orderkey")).alias("ids"), F.count(F.lit(1)).alias("n_refs"))  # one customer's orders
-    none = F.array().cast("array<bigint>")
-    joined = t.customer.join(refs, "c_custkey", "left").withColumn("ids", F.coalesce("ids", none))
+    order = F.col("o_orderkey")
+    members = t.orders.select(F.col("o_custkey").alias("c_custkey"), F.when(order % 4 != 0, order).alias("ref"), (order % 3 == 0).alias("consumable"))
+    none = F.array().cast("array<string>")
+    joined = t.customer.join(payloads.listed_members(members, "c_custkey"), "c_custkey", "left")
+    count = lambda n: F.coalesce(n, F.lit(0)).alias(n)
     products = joined.select(
         k.alias("key"), F.col("c_name").alias("name"), F.when(F.col("c_acctbal") > 0, F.col("c_mktsegment")).otherwise(" ").alias("description"), F.lit(None).cast("string").alias("documentation"),
-        F.when(F.col("c_mktsegment") != "BUILDING", F.array("c_mktsegment")).otherwise(F.array().cast("array<string>")).alias("tags"), text(F.filter("ids", lambda x: x % 4 != 0)).alias("refs"),
-        F.coalesce("n_refs", F.lit(0)).alias("n_refs"), F.when(k % 2 == 0, text(F.filter("ids", lambda x: x % 3 == 0))).alias("consumable"), F.array().cast("array<struct<userId:string,role:string>>").alias("contacts"),
+        F.when(F.col("c_mktsegment") != "BUILDING", F.array("c_mktsegment")).otherwise(F.array().cast("array<string>")).alias("tags"), F.coalesce("refs", none).alias("refs"),
+        count("n_refs"), count("n_resolved"), count("n_distinct"), count("n_consumable"), F.when(k % 2 == 0, F.coalesce("consumable", none)).alias("consumable"), F.array().cast("array<struct<userId:string,role:string>>").alias("contacts"),
         F.lit(0).alias("n_owners"), F.when(k % 3 == 0, "s1").when(k % 3 == 1, "s2").alias("placement"),
     )
     out = payloads.create_bodies(products, "s1")

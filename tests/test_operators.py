@@ -264,3 +264,18 @@ def test_policies_withhold(spark):
     readonly = manifest.withColumn("mode", F.lit("ro"))
     records, _ = plan_cycle(changes.withColumn("target", F.lit("none")), source, source.limit(0), source.limit(0), readonly, Options(create=True))
     assert tuple(records.select("outcome", "reason", "holds").first()) == ("skipped", "capability_refused", True)
+
+
+def test_members_are_cut_before_they_are_listed(spark):
+    rows = [("a", i, i % 2 == 0) for i in range(250)] + [("a", 3, None), ("a", None, True), ("b", None, False), ("c", 7, None), (None, 1, True)]
+    members = spark.createDataFrame(rows, "key string, ref long, consumable boolean")
+    got = {r["key"]: r for r in payloads.listed_members(members).collect()}
+    assert {k: (r["n_refs"], r["n_resolved"], r["n_distinct"], r["n_consumable"]) for k, r in got.items()} == {"a": (252, 251, 250, 126), "b": (1, 0, 0, 0), "c": (1, 1, 1, 0), None: (1, 1, 1, 1)}
+    assert got["a"]["refs"] == [str(i) for i in range(101)] and got["a"]["consumable"] == [str(i) for i in range(0, 101, 2)]
+    assert (got["b"]["refs"], got["c"]["refs"], got["c"]["consumable"], got[None]["consumable"]) == ([], ["7"], [], ["1"])
+    told = [c for c in ("name", "description", "documentation", "placement")]
+    products = payloads.listed_members(members).where("key = 'a'").select("*", *[F.lit("x").alias(c) for c in told], F.array().cast("array<string>").alias("tags"), F.array().cast("array<string>").alias("contacts"), F.lit(0).alias("n_owners"))
+    body = payloads.create_bodies(products, "x").first()
+    assert body["skipped"] == ["dataset_refs: 1 not resolved", "dataset_refs: 150 beyond the cap", "dataset_refs: 76 consumable but not sent"]
+    assert len(json.loads(body["body"])["datasetIds"]) == 100 and len(json.loads(body["body"])["apiConsumableDatasetIds"]) == 50
+    assert payloads.listed_members(members.limit(0)).isEmpty()
