@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import math
 import random
+from array import array
+from collections.abc import Iterable, Iterator
+from itertools import accumulate, islice
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .shared import few, nested, written
@@ -45,9 +48,9 @@ def hypergeometric(rng: random.Random, good: int, bad: int, draws: int) -> int:
     return mode
 
 
-def communication_matrix(blocks: list[int], shards: list[int], seed: int) -> list[list[int]]:
-    """matrix[b][s]: rows of block b that go to shard s, as a uniform shuffle of all rows would deal them; rows and columns add up exactly."""
-    rng, left, out = random.Random(seed), list(shards), []
+def drawn_rows(blocks: Iterable[int], shards: list[int], seed: int) -> Iterator[list[int]]:
+    """The rows of communication_matrix, one after the other."""
+    rng, left = random.Random(seed), list(shards)
     for size in blocks:
         rest, row, need = sum(left), [], size
         for s, room in enumerate(left):
@@ -56,11 +59,28 @@ def communication_matrix(blocks: list[int], shards: list[int], seed: int) -> lis
             row.append(took)
             left[s] -= took
             need -= took
-        out.append(row)
+        yield row
+
+
+def communication_matrix(blocks: Iterable[int], shards: list[int], seed: int) -> list[list[int]]:
+    """matrix[b][s]: rows of block b that go to shard s, as a uniform shuffle of all rows would deal them; rows and columns add up exactly."""
+    return list(drawn_rows(blocks, shards, seed))
+
+
+def _cuts(spark: SparkSession, sizes: Iterable[int], shards: list[int], seed: int, blocks_per_slice: int) -> DataFrame:
+    """_block, _cuts (running totals of the block's row of the matrix): drawn and handed on in slices, of which the driver holds one."""
+    rows = ((b, list(accumulate(row))) for b, row in enumerate(drawn_rows(sizes, shards, seed)))
+    slices = iter(lambda: list(islice(rows, blocks_per_slice)), [])
+    schema = "_block int, _cuts array<long>"
+    out = spark.createDataFrame(next(slices), schema)
+    for n, more in enumerate(slices):
+        # with a second slice the first is written as well, and none stays in the driver
+        out = written(out, "cuts", keep=True) if n == 0 else out
+        out = out.unionAll(written(spark.createDataFrame(more, schema), "cuts", keep=True))
     return out
 
 
-def shard_uniformly(docs: DataFrame, *, n_shards: int, key: Column, seed: int = 17, rows_per_block: int = 50_000, min_blocks: int = 96) -> DataFrame:
+def shard_uniformly(docs: DataFrame, *, n_shards: int, key: Column, seed: int = 17, rows_per_block: int = 50_000, min_blocks: int = 96, blocks_per_slice: int = 16_384) -> DataFrame:
     """Add shard (int, 0 to n_shards - 1) and slot (long, gapless from 0 in each shard) to every row.
 
     All orders of the rows are equally likely (as far as 64-bit hashes look random)
@@ -81,8 +101,8 @@ def shard_uniformly(docs: DataFrame, *, n_shards: int, key: Column, seed: int =
     A null key is a key.  An empty table gives an empty result.  Columns of the
     input are kept; shard and slot replace columns of those names.
 
-    The driver holds one row of n_shards numbers for each rows_per_block rows: at 20 billion
-    rows and 24 shards 400,000 rows, some 400 MB as Python's lists.  Small tables are broadcast only
+    The driver holds one number for each block (8 bytes, so 3 MB at 20 billion rows) and blocks_per_slice rows of the
+    matrix (16 MB at 24 shards), which it draws, writes and forgets slice by slice.  Small tables are broadcast only
     below a checked number of rows (see few()).
     """
     spark = docs.sparkSession
@@ -110,10 +130,11 @@ def shard_uniformly(docs: DataFrame, *, n_shards: int, key: Column, seed: int =
         numbered = numbered.withColumn("_number", F.col("_before") + F.col("_number"))
         rows = rows.join(few(hot, n_hot), "_h", "left_anti").unionByName(numbered.select(*rows.columns))
     rows = rows.withColumn("_block", F.when(F.col("_number").isNull(), block("_h")).otherwise(block("_h", "_number")))
-    counts = {r["_block"]: r["count"] for r in sums.groupBy("_block").agg(F.sum("count").alias("count")).collect()}  # n_blocks rows at most
-    sizes = [n // n_shards + (s < n % n_shards) for s in range(n_shards)]
-    matrix = communication_matrix([counts.get(b, 0) for b in range(n_blocks)], sizes, seed)
-    cuts = spark.createDataFrame([(b, [sum(row[: s + 1]) for s in range(n_shards)]) for b, row in enumerate(matrix)], "_block int, _cuts array<long>")
+    counts = array("q", bytes(8 * n_blocks))
+    for r in sums.groupBy("_block").agg(F.sum("count").alias("count")).toLocalIterator():  # n_blocks rows at most
+        counts[r["_block"]] = r["count"]
+    shards = [n // n_shards + (s < n % n_shards) for s in range(n_shards)]
+    cuts = _cuts(spark, counts, shards, seed, blocks_per_slice)
     same = Window.partitionBy("_block", "_h").orderBy("_h")
     local = Window.partitionBy("_block").orderBy("_mixed")
     placed = (

@@ -166,6 +166,12 @@ def test_hypergeometric_matrix_adds_up():
     assert abs(sum(draws) / len(draws) - 6) < 0.15 and abs(sum((d - 6) ** 2 for d in draws) / len(draws) - 20 * 0.3 * 0.7 * 80 / 99) < 0.3
 
 
+def test_the_matrix_in_slices_is_the_matrix(spark):
+    df = spark.range(700).select(F.col("id").alias("doc_id"))
+    whole, sliced = ({tuple(r) for r in sharding.shard_uniformly(df, n_shards=6, key=F.col("doc_id"), rows_per_block=40, min_blocks=20, blocks_per_slice=n).collect()} for n in (1000, 3))
+    assert whole == sliced and len(whole) == 700
+
+
 def test_token_files_hold_whole_texts(spark, docs):
     import public_tokenizers
     from tokenizers import Tokenizer
