@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StructField, StructType
 
 from .hashing import FIXED, mix64, words_of
-from .shared import nested
+from .shared import forget, hold, nested, stored, written
 
 _FIELDS = (("item_id", "bigint"), ("first_word", "bigint"), ("n_words", "bigint"), ("similarity", "double"), ("distance", "int"))
 _HITS = ArrayType(StructType([StructField(n, {"bigint": LongType(), "double": DoubleType(), "int": IntegerType()}[k]) for n, k in _FIELDS]))
@@ -42,30 +42,48 @@ def short_hashes(single: np.ndarray, n: int) -> np.ndarray:
     return mix64(FIXED.windows(single, n) ^ np.uint64(n % 8 << 61))
 
 
-def built_index(texts: list[str], size: int) -> dict[str, np.ndarray]:
-    """The index of a block of benchmark items as arrays, about five times the texts' bytes: built once, broadcast, and used as it is (see Index).
-
-    Items (those with words): item, its place among texts; words, its number of words; bags from cut[i]
-    to cut[i + 1], its shingles.  Shingles: all that occur, sorted; weights; for each the lengths of
-    the items that hold it.  prints: items' fingerprints; for each block of bits the items in order of
-    its value there, the distinct values, and where each begins.
-    """
+def bags_of(texts: list[str], size: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Places of the texts that have words, how many words each has, and its shingles."""
     words = words_of(pa.array(texts, pa.string()))
     counts, single = np.diff(words.first), words.hashes()
     rolling = mix64(FIXED.windows(single, size))
     item = np.flatnonzero(counts)
     bags = [rolling[a : a + n - size + 1] if n >= size else short_hashes(single[a : a + n], n) for a, n in zip(words.first[item].tolist(), counts[item].tolist(), strict=True)]
+    return item, counts[item], bags
+
+
+def common_shingles(bags: list[np.ndarray], times: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """Shingles that more than one item holds, sorted, how many items do, and how many items there are; bag i stands for times[i] items."""
+    each = [np.unique(b) for b in bags]
+    shingles, place = np.unique(np.concatenate([np.empty(0, np.uint64), *each]), return_inverse=True)
+    df = np.bincount(place, weights=np.repeat(times, list(map(len, each))), minlength=len(shingles)).astype(np.int64)
+    return shingles[df > 1], df[df > 1], int(times.sum())
+
+
+def built_index(texts: list[str], size: int, times: list[int] | None = None, common: tuple[np.ndarray, np.ndarray, int] | None = None) -> dict[str, np.ndarray]:
+    """The index of a block of benchmark items as arrays, about five times the texts' bytes: built once, broadcast, and used as it is (see Index).
+
+    times: how many items each text stands for (one, if not given); common: common_shingles of the whole benchmark, if these texts are a part of it.
+
+    Items (those with words): item, its place among texts; words, its number of words; bags from cut[i]
+    to cut[i + 1], its shingles.  Shingles: all that occur, sorted; for each the lengths of
+    the items that hold it.  common, common_df and n_items: see common_shingles; common is left out if it is given.
+    prints: items' fingerprints; for each block of bits the items in order of
+    its value there, the distinct values, and where each begins.
+    """
+    item, counts, bags = bags_of(texts, size)
     none = np.empty(0, np.uint64)
     bag, cut = np.concatenate([none, *bags]), np.cumsum([0, *map(len, bags)])
     owner = np.repeat(np.arange(len(item)), np.diff(cut))
     shingles, place = np.unique(bag, return_inverse=True)
-    held = np.unique(place * max(1, len(item)) + owner)
-    df = np.bincount(held // max(1, len(item)), minlength=len(shingles))
-    weights = np.log1p(max(1, len(item)) / np.maximum(df, 1))
     longest = int(counts.max(initial=0)) + 1
-    lengths = np.unique(place * longest + counts[item][owner])
-    out = {"item": item, "words": counts[item], "bags": bag, "cut": cut, "shingles": shingles, "weights": weights, "lengths": lengths % longest, "lengths_cut": np.searchsorted(lengths // longest, np.arange(len(shingles) + 1))}
-    prints = np.array([simhash((shingle_bits(b) * weights[place[a:z], None]).sum(0)[None, :])[0] for b, a, z in zip(bags, cut[:-1], cut[1:], strict=True)], dtype=np.uint64)
+    lengths = np.unique(place * longest + counts[owner])
+    out = {"item": item, "words": counts, "bags": bag, "cut": cut, "shingles": shingles, "lengths": lengths % longest, "lengths_cut": np.searchsorted(lengths // longest, np.arange(len(shingles) + 1))}
+    if common is None:
+        common = common_shingles(bags, (np.ones(len(texts), np.int64) if times is None else np.asarray(times, np.int64))[item])
+        out |= {"common": common[0], "common_df": common[1], "n_items": np.array(common[2])}
+    weights = Weights(*common)(bag)
+    prints = np.array([simhash((shingle_bits(b) * weights[a:z, None]).sum(0)[None, :])[0] for b, a, z in zip(bags, cut[:-1], cut[1:], strict=True)], dtype=np.uint64)
     out["prints"] = prints
     for b in range(_BLOCKS):
         part = (prints >> np.uint64(b * _WIDTH) & np.uint64((1 << _WIDTH) - 1)).astype(np.uint32)
@@ -75,16 +93,29 @@ def built_index(texts: list[str], size: int) -> dict[str, np.ndarray]:
     return out
 
 
+class Weights:
+    """ln(1 + items / items that hold it) of each shingle; one item or none: the most there is."""
+
+    def __init__(self, common: np.ndarray, df: np.ndarray, n_items: int):
+        self.common, self.weights, self.most = common, np.log1p(max(1, int(n_items)) / df), math.log1p(max(1, int(n_items)))
+
+    def __call__(self, hashes: np.ndarray) -> np.ndarray:
+        if not len(self.common):
+            return np.full(len(hashes), self.most)
+        at = np.minimum(np.searchsorted(self.common, hashes), len(self.common) - 1)
+        return np.where(self.common[at] == hashes, self.weights[at], self.most)
+
+
 class Index:
-    """Search in the arrays of built_index."""
+    """Search in the arrays of built_index; common: as it was given there."""
 
-    def __init__(self, arrays: dict[str, np.ndarray], size: int, radius: int):
+    def __init__(self, arrays: dict[str, np.ndarray], size: int, radius: int, common: tuple[np.ndarray, np.ndarray, int] | None = None):
         self.size, self.radius = size, radius
-        for name in ("item", "words", "bags", "cut", "shingles", "weights", "lengths", "lengths_cut", "prints"):
+        self.weigh = Weights(*(common or (arrays["common"], arrays["common_df"], arrays["n_items"])))
+        for name in ("item", "words", "bags", "cut", "shingles", "lengths", "lengths_cut", "prints"):
             setattr(self, name, arrays[name])
         self.blocks = [(arrays[f"order{b}"], arrays[f"values{b}"], arrays[f"first{b}"]) for b in range(_BLOCKS)]
         self.near = neighbours(_WIDTH, radius // _BLOCKS)
-        self.unseen = math.log1p(max(1, len(self.item)))
         self.tiny = {}
         for j in np.flatnonzero(self.words < size).tolist():
             self.tiny.setdefault(int(self.words[j]), {}).setdefault(int(self.bags[self.cut[j]]), []).append(j)
@@ -94,10 +125,6 @@ class Index:
         at = np.minimum(np.searchsorted(self.shingles, hashes), max(len(self.shingles) - 1, 0))
         return at, self.shingles[at] == hashes if len(self.shingles) else np.zeros(len(hashes), bool)
 
-    def weigh(self, hashes: np.ndarray) -> np.ndarray:
-        at, known = self.known(hashes)
-        return np.where(known, self.weights[at], self.unseen) if len(self.shingles) else np.full(len(hashes), self.unseen)
-
     def similarity(self, item: np.ndarray, window: np.ndarray) -> float:
         """Weighted Jaccard similarity of two bags of shingles."""
         a, n = np.unique(item, return_counts=True)
@@ -201,33 +228,66 @@ class Index:
         return found
 
 
+def _common_of(items: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """common_shingles of a table of distinct items (text, times)."""
+
+    def bags(batches):
+        for batch in batches:
+            times = batch.column("times").to_numpy(zero_copy_only=False)
+            item, _, found = bags_of(batch.column("text").to_pylist(), size)
+            each = [np.unique(b) for b in found]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, np.uint64), *each]).view(np.int64)), pa.array(np.repeat(times[item], list(map(len, each))).astype(np.int64))], ["shingle", "n"])
+
+    held = items.select("text", "times").mapInArrow(bags, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") > 1).toPandas()  # see contamination() for its size
+    common = held["shingle"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(common)
+    n_items = items.where(F.col("text").rlike(r"[^\x20\x09-\x0D]")).agg(F.coalesce(F.sum("times"), F.lit(0))).first()[0]
+    return common[order], held["n"].to_numpy(np.int64)[order], n_items
+
+
 def _with_hits(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str, item_text_col: str, shingle_words: int, threshold: float, radius: int, block_bytes: int) -> DataFrame:
     """row (the whole row of docs) and hits."""
     spark = docs.sparkSession
     items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.coalesce(F.col(item_text_col).cast("string"), F.lit("")).alias("text"))
+    items = items.groupBy("item", "text").agg(F.count(F.lit(1)).alias("times"))
     total = items.agg(F.coalesce(F.sum(F.octet_length("text") + 16), F.lit(0))).first()[0]
     n_blocks = max(1, math.ceil(total / block_bytes))
+    shared = None
+    if n_blocks > 1:
+        items = written(items, "items")
+        common = _common_of(items, shingle_words)
+        shared = spark.sparkContext.broadcast(common)
     marked = nested(docs, text=F.coalesce(F.col(text_col).cast("string"), F.lit("")), hits=F.array().cast(_HITS))
     names = [n for n, _ in _FIELDS]
     arrow = pa.struct([(n, {"bigint": pa.int64(), "double": pa.float64(), "int": pa.int32()}[k]) for n, k in _FIELDS])
+    sent = before = None
     for b in range(n_blocks):
+        if sent is not None:
+            # one block's index is with the executors at a time, and one table of rows and hits
+            marked, path = stored(marked, "marked")
+            hold(spark, path, keep=True)
+            sent.destroy()
+            if before:
+                forget(spark, before)
+            before = path
         part = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(n_blocks)) == b).orderBy("item", "text").collect()  # about block_bytes
-        sent = spark.sparkContext.broadcast(([r["item"] for r in part], built_index([r["text"] for r in part], shingle_words)))
+        arrays = built_index([r["text"] for r in part], shingle_words, [r["times"] for r in part], common if shared else None)
+        sent = spark.sparkContext.broadcast(([(r["item"], r["times"]) for r in part], arrays))
 
         def find(batches, sent=sent):
             ids, arrays = sent.value
-            index = Index(arrays, shingle_words, radius)
+            index = Index(arrays, shingle_words, radius, shared.value if shared else None)
             for batch in batches:
                 for a in range(0, batch.num_rows, 256):
                     cut = batch.slice(a, 256)
                     out = []
                     for found in index.search_all(cut.column("text"), threshold):
-                        hits = sorted(((ids[i], *f) for i, *f in found), key=lambda f: (f[0] is not None, f[0] or 0, *f[1:]))  # places, as ids may be null
+                        hits = sorted(((ids[i][0], *f) for i, *f in found for _ in range(ids[i][1])), key=lambda f: (f[0] is not None, f[0] or 0, *f[1:]))  # places, as ids may be null
                         out.append([dict(zip(names, f, strict=True)) for f in hits])
                     yield pa.RecordBatch.from_arrays([*cut.columns, pa.array(out, pa.list_(arrow))], [*cut.schema.names, "found"])
 
         marked = marked.mapInArrow(find, StructType([*marked.schema.fields, StructField("found", _HITS)]))
-        marked = marked.select("row", "text", F.concat("hits", "found").alias("hits"))
+        marked = marked.select("row", "text", F.array_sort(F.concat("hits", "found")).alias("hits"))  # by item, whatever its block
     return marked.select("row", "hits")
 
 
@@ -246,9 +306,11 @@ def contamination(
     fingerprints differ in about 9.5 bits, so 19 leaves out about one in a thousand.
 
     The benchmark goes to all tasks in blocks of items of about block_bytes of text,
-    one after the other, whatever its size: the driver builds each block's index, some five times
+    one after the other: the driver builds each block's index, some five times
     its texts' bytes, and broadcasts it.  Documents stay where they are, and are
-    read once for each block.  Null and empty texts, on either side, hold nothing.
+    read once for each block; with several blocks rows and hits are written between them, so executors hold the
+    index of one.  Weights count all items, however many blocks there are: shingles that several items
+    hold go to all tasks, 16 bytes each, which is 8 for each word of the benchmark at most, so hardly more than its text.  Null and empty texts, on either side, hold nothing.
     Items shorter than a shingle are one shingle of their words and match windows of as many words exactly.
     Items whose id is null are items, and item_id is null in their hits.  Repeated items are items.  Columns of docs are
     kept; contaminated and hits replace columns so named.

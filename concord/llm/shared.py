@@ -85,9 +85,14 @@ def written(df: DataFrame, name: str, *, keep: bool = False) -> DataFrame:
     Outside of any scratch() the table may be what a lazy result reads, so it stays as long as the driver does.
     """
     out, path = stored(df, name)
+    hold(df.sparkSession, path, keep=keep)
+    return out
+
+
+def hold(spark: SparkSession, path: str, *, keep: bool = False) -> None:
+    """Have a table that stored() made deleted when written() says."""
     scopes = _open[:-1] if keep else _open
     if scopes:
         scopes[-1].append(path)
     else:
-        at_exit(df.sparkSession, path)
-    return out
+        at_exit(spark, path)

@@ -13,7 +13,7 @@ from conftest import SF
 from pyspark.sql import functions as F
 
 from concord.llm import decontamination, mixing, near_dedup, pii, quality, queries, sharding, substring_dedup, suffix_dedup, token_files, topk
-from concord.llm.shared import shared_folder
+from concord.llm.shared import scratch, shared_folder
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -293,6 +293,27 @@ def test_items_of_null_id_are_found(spark):
     assert got == {0: (True, [None]), 1: (True, [None, 5]), 2: (False, []), 3: (False, [])}
 
 
+def test_blocks_of_the_benchmark_change_nothing(spark):
+    rng = random.Random(12)
+    stock = " ".join(f"s{rng.randrange(400)}" for _ in range(14))
+    items = [" ".join(f"t{rng.randrange(500)}" for _ in range(rng.randint(3, 30))) + (f" {stock}" if i % 3 == 0 else "") for i in range(60)]
+    bench = spark.createDataFrame([*enumerate(items), (5, items[5]), (5, items[5]), (70, items[0]), (None, items[1]), (71, None), (72, " ")], "item_id long, text string")
+    values = [f"a b {items[i]} c d {items[(i * 7) % 60]}" for i in range(60)] + ["", None, "nothing here"]
+    for i in range(0, 60, 4):
+        w = items[i].split()
+        w[len(w) // 2] = "zz"
+        values.append(" ".join(w))
+    df = frame(spark, values)
+    got = []
+    for size in (1 << 20, 1500):
+        with scratch(spark):
+            rows = decontamination.contamination(df, bench, block_bytes=size).collect()
+        got.append({r["doc_id"]: sorted((h["item_id"] is not None, h["item_id"] or 0, *h[1:3], round(h["similarity"], 9), h["distance"]) for h in r["hits"]) for r in rows})
+    assert got[0] == got[1] and sum(map(len, got[0].values())) > 60
+    fives = [h for hits in got[0].values() for h in hits if h[1] == 5]
+    assert fives and len(fives) % 3 == 0
+
+
 def test_quality_on_held_out_rows(spark):
     docs, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     scored = quality.quality_scores(docs, labels).join(labels, "doc_id").where("held_out").toPandas()
