@@ -26,6 +26,8 @@ _EDGES = r"(?s)\A[ \t\n\r\f\x0B]+|[ \t\n\r\f\x0B]+\z"
 _INSTANT = r"([0-9]{4}-[0-9]{2}-[0-9]{2})[Tt ]([0-9]{2}:[0-9]{2}:[0-9]{2}(?:\.[0-9]+)?)(?:[Zz]|([+-])([0-9]{2}):?([0-9]{2}))"
 _WHITE = " \t\n\r\f\v"
 MAX_DEPTH = 64
+#: Why a JSON text has no canonical form; see json_projections.
+FAULTS = ("not_json", "number_too_long", "not_finite", "too_deep", "keys_collide", "not_unicode")
 #: Fields whose arrays are sets; fixed values. All others keep their order.
 UNORDERED = ("asset_links", "classifications", "dataset_refs", "glossary_term_refs", "owners", "stewards", "tags", "term_relations")
 
@@ -126,9 +128,28 @@ def ordered(field: Column) -> Column:
     return ~F.lower(F.regexp_replace(field, r"(?<!\A)(?=[A-Z])", "_")).isin(*UNORDERED)
 
 
+class Refused(ValueError):
+    """A JSON text without a canonical form; reason is one of FAULTS."""
+
+    def __init__(self, reason: str, message: str):
+        super().__init__(message)
+        self.reason = reason
+
+
+def _read(text: str):
+    try:
+        return json.loads(text)
+    except json.JSONDecodeError as e:
+        raise Refused("not_json", str(e)) from None
+    except ValueError as e:  # integers beyond the digits that Python converts
+        raise Refused("number_too_long", str(e)) from None
+    except RecursionError:
+        raise Refused("too_deep", "nested too deeply") from None
+
+
 def _walk(value, sort: bool, depth: int, canonical: bool = True):
     if depth > MAX_DEPTH:
-        raise ValueError("nested too deeply")
+        raise Refused("too_deep", "nested too deeply")
     if isinstance(value, str):
         if not canonical:
             return value
@@ -136,14 +157,14 @@ def _walk(value, sort: bool, depth: int, canonical: bool = True):
         return _instant(text) or text
     if isinstance(value, float):
         if not math.isfinite(value):
-            raise ValueError("not a finite number")
+            raise Refused("not_finite", "not a finite number")
         return int(value) if canonical and value.is_integer() else value
     if isinstance(value, dict):
         out = {}
         for k, v in value.items():
             name = unicodedata.normalize("NFC", k).strip(_WHITE) if canonical else k
             if name in out:
-                raise ValueError(f"two keys become {name!r}")
+                raise Refused("keys_collide", f"two keys become {name!r}")
             out[name] = _walk(v, sort, depth + 1, canonical)
         return out
     if isinstance(value, list):
@@ -166,14 +187,34 @@ def _dump(value) -> str:
     return json.dumps(value, ensure_ascii=False, sort_keys=True, separators=(",", ":"))
 
 
+def _faithful(value) -> str:
+    return json.dumps(_walk(value, False, 0, canonical=False), ensure_ascii=False, separators=(",", ":"))
+
+
 def faithful_json_text(text: str | None) -> str | None:
     """JSON text as it is to be written: compact, everything else untouched; what canonical_json refuses is refused, but for keys that only become equal."""
-    return None if text is None else json.dumps(_walk(json.loads(text), False, 0, canonical=False), ensure_ascii=False, separators=(",", ":"))
+    return None if text is None else _faithful(_read(text))
 
 
 def canonical_json_text(text: str | None, sort_arrays: bool = False) -> str | None:
     """One JSON text in canonical form; see canonical_json."""
-    return None if text is None else _dump(_walk(json.loads(text), sort_arrays, 0))
+    return None if text is None else _dump(_walk(_read(text), sort_arrays, 0))
+
+
+def projected_json(text: str | None, sort_arrays: bool = False) -> tuple[str | None, str | None, str | None]:
+    """(faithful, canonical, fault) of one JSON text; see json_projections."""
+    if text is None:
+        return None, None, None
+    try:
+        value = _read(text)
+        both = _faithful(value), _dump(_walk(value, sort_arrays, 0))
+        for t in both:
+            t.encode()
+        return *both, None
+    except Refused as e:
+        return None, None, e.reason
+    except UnicodeEncodeError:  # half of a surrogate pair, which JSON can escape and UTF-8 can't hold
+        return None, None, "not_unicode"
 
 
 def faithful_json(text: Column) -> Column:
@@ -198,3 +239,16 @@ def canonical_json(text: Column, *, sort_arrays: bool = False) -> Column:
         return texts.map(lambda t: canonical_json_text(t, sort_arrays))
 
     return canonical(text)
+
+
+def json_projections(text: Column, *, sort_arrays: bool = False) -> Column:
+    """A struct of faithful and canonical JSON, read once, and of fault: why there are none, one of FAULTS, where the other functions raise.
+
+    Null text has three nulls.  One faulty text so costs its own row, not the whole query.
+    """
+
+    @F.pandas_udf("faithful string, canonical string, fault string")
+    def projections(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([projected_json(t, sort_arrays) for t in texts], columns=["faithful", "canonical", "fault"], dtype=object)
+
+    return projections(text)

@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.canonical import UNORDERED, canonical_json, checksum, faithful_json
+from ..functions.canonical import UNORDERED, canonical_json, checksum, faithful_json, json_projections
 
 
 def snapshot_changes(fresh: DataFrame, before: DataFrame, key: str, sum_col: str = "checksum") -> DataFrame:
@@ -46,6 +46,7 @@ def json_envelopes(entities: DataFrame, key: str, fields: dict[str, Column], **p
     """key, field, value (faithful JSON, what is written), canonical, checksum, and provenance columns: a row for each field given as JSON text.
 
     The order of arrays counts or not by the field's name.  Provenance: source_endpoint, revision, last_modified_at and the like.
+    A text without a canonical form raises; json_envelopes_or_faults keeps it to its object.
     """
     parts = F.array(*[
         F.struct(F.lit(name).alias("field"), faithful_json(text).alias("value"), canonical_json(text, sort_arrays=order_free(name)).alias("canonical")) for name, text in fields.items()
@@ -54,6 +55,27 @@ def json_envelopes(entities: DataFrame, key: str, fields: dict[str, Column], **p
     return rows.withColumn("checksum", checksum(F.col("canonical")))
 
 
+def json_envelopes_or_faults(entities: DataFrame, key: str, fields: dict[str, Column], **provenance: Column) -> DataFrame:
+    """json_envelopes, and fault (why a field's text has no canonical form; then it has no value, canonical text or checksum) and object_fault.
+
+    object_fault is the first fault of the object's fields in the given order, as field:fault, on all
+    its rows: an object with one is left out of a cycle whole (sound_envelopes), since fields that are merely
+    absent would be taken for unchanged.  No shuffle; each text is read once.
+    """
+    own = [f"_json{i}" for i in range(len(fields))]
+    read = entities.select(F.col(key).alias("_key"), *[c.alias(f"_of_{n}") for n, c in provenance.items()], *[json_projections(t, sort_arrays=order_free(n)).alias(c) for c, (n, t) in zip(own, fields.items(), strict=True)])
+    faults = [F.when(F.col(f"{c}.fault").isNotNull(), F.concat(F.lit(f"{n}:"), F.col(f"{c}.fault"))) for c, n in zip(own, fields, strict=True)]
+    whole = F.coalesce(*faults, F.lit(None)).alias("object_fault")  # a generated column: a filter on it isn't pushed below the generator, where it would read the texts again
+    parts = F.array(*[F.struct(F.lit(n).alias("field"), F.col(f"{c}.faithful").alias("value"), F.col(f"{c}.canonical").alias("canonical"), F.col(f"{c}.fault").alias("fault"), whole) for c, n in zip(own, fields, strict=True)])
+    rows = read.select(F.col("_key").alias(key), *[F.col(f"_of_{n}").alias(n) for n in provenance], F.inline(parts))
+    return rows.withColumn("checksum", F.when(F.col("fault").isNull(), checksum(F.col("canonical"))))  # null text has a checksum, a fault has none
+
+
+def sound_envelopes(rows: DataFrame) -> DataFrame:
+    """Rows of json_envelopes_or_faults of objects without a fault, as json_envelopes has them."""
+    return rows.where(F.col("object_fault").isNull()).drop("fault", "object_fault")
+
+
 def order_free(field: str) -> bool:
     """Whether a field's arrays are sets; see canonical.ordered for columns."""
     return re.sub(r"(?<!^)(?=[A-Z])", "_", field).lower() in UNORDERED

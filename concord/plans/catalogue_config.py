@@ -323,6 +323,49 @@ def envelopes_with_provenance(t: Tables) -> DataFrame:
     return out.select("c_custkey", "field", "value", "checksum", "source_endpoint")
 
 
+@query("""
+WITH x AS (SELECT e.event_id, e.event_type AS t, b.event_type AS p, e.props::JSON ->> 'k' AS k FROM events e LEFT JOIN events b ON b.event_id = e.event_id - 1),
+y AS (SELECT *, CASE WHEN p IS NULL THEN 'not_json' WHEN t = 'view' AND p = 'purchase' THEN 'not_finite' WHEN t = 'click' AND p = 'signup' THEN 'too_deep' WHEN t = p THEN 'keys_collide' WHEN t = 'signup' AND p = 'view' THEN 'not_unicode' END AS fault FROM x)
+SELECT event_id, fault, CASE WHEN fault IS NULL THEN '{"' || t || '":' || k || '," ' || p || ' ":[1.0]}' END AS faithful,
+CASE WHEN fault IS NULL THEN CASE WHEN t < p THEN '{"' || t || '":' || k || ',"' || p || '":[1]}' ELSE '{"' || p || '":[1],"' || t || '":' || k || '}' END END AS canonical FROM y
+""")
+def json_faults(t: Tables) -> DataFrame:
+    """JSON made of each event and the one before it: texts that are cut off, too deep, infinite, beyond UTF-8 or with keys that become equal have their fault, all others both projections."""
+    before = t.events.select((F.col("event_id") + 1).alias("event_id"), F.col("event_type").alias("before"))
+    kind, last = F.col("event_type"), F.col("before")
+    value = F.when((kind == "view") & (last == "purchase"), "1e999").when((kind == "click") & (last == "signup"), "[" * 70 + "]" * 70).when((kind == "signup") & (last == "view"), '"\\ud800"')
+    first = F.concat(F.lit('{"'), kind, F.lit('": '), F.coalesce(value, F.get_json_object("props", "$.k")))
+    text = F.concat(first, F.coalesce(F.concat(F.lit(', " '), last, F.lit(' ": [1.0]}')), F.lit("")))
+    return t.events.join(before, "event_id", "left").select("event_id", C.json_projections(text).alias("j")).select("event_id", "j.fault", "j.faithful", "j.canonical")
+
+
+_NATIONS = """
+WITH x AS (SELECT c_custkey, c_mktsegment AS m, c_nationkey::VARCHAR AS a, s_nationkey::VARCHAR AS b FROM customer LEFT JOIN supplier ON s_suppkey = c_custkey),
+y AS (SELECT *, CASE WHEN b IS NULL THEN 'not_json' WHEN a = b THEN 'keys_collide' END AS fault, CASE WHEN a < b THEN '{"' || a || '":1,"' || b || '":2}' ELSE '{"' || b || '":2,"' || a || '":1}' END AS c,
+CASE WHEN m < 'a' THEN '["' || m || '","a"]' ELSE '["a","' || m || '"]' END AS s FROM x),
+z AS (SELECT c_custkey, 'tags' AS field, '["' || m || '","a"]' AS value, s AS canonical, NULL AS fault, 'columns:' || fault AS object_fault FROM y
+UNION ALL SELECT c_custkey, 'columns', CASE WHEN fault IS NULL THEN '{"' || a || '":1," ' || b || '":2}' END, CASE WHEN fault IS NULL THEN c END, fault, 'columns:' || fault FROM y)
+"""
+
+
+def _nation_envelopes(t: Tables) -> DataFrame:
+    both = t.customer.join(t.supplier, F.col("c_custkey") == F.col("s_suppkey"), "left")
+    tags = F.concat(F.lit('["'), "c_mktsegment", F.lit('","a"]'))
+    columns = F.concat(F.lit('{"'), _s("c_nationkey"), F.lit('":1'), F.coalesce(F.concat(F.lit(', " '), _s("s_nationkey"), F.lit('": 2}')), F.lit("")))
+    return snapshots.json_envelopes_or_faults(both, "c_custkey", {"tags": tags, "columns": columns}, source_endpoint=F.lit("src"))
+
+
+@query(_NATIONS + "SELECT c_custkey, field, value, 'sha256:' || sha256(canonical) AS checksum, fault, object_fault FROM z WHERE object_fault IS NOT NULL")
+def objects_with_faults(t: Tables) -> DataFrame:
+    """All fields of objects one of whose texts has no canonical form."""
+    return _nation_envelopes(t).where(F.col("object_fault").isNotNull()).select("c_custkey", "field", "value", "checksum", "fault", "object_fault")
+
+
+@query(_NATIONS + "SELECT c_custkey, field, value, canonical, 'sha256:' || sha256(canonical) AS checksum, 'src' AS source_endpoint FROM z WHERE object_fault IS NULL")
+def sound_objects(t: Tables) -> DataFrame:
+    return snapshots.sound_envelopes(_nation_envelopes(t))
+
+
 @query("""SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN p_brand ELSE p_type END AS owner, p_type AS team, CASE WHEN p_size % 3 = 0 THEN NULL ELSE p_name END AS id FROM part""")
 def maps_merged(t: Tables) -> DataFrame:
     first = F.when(F.col("p_size") % 2 == 0, F.create_map(F.lit("owner"), "p_brand"))

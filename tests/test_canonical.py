@@ -155,3 +155,35 @@ def test_slugs_keys_and_cursors(spark):
     assert (got[6]["at"].microsecond, got[6]["key"], got[7], got[8]) == (500000, "k|1", 60.0, 5.0)
     with pytest.raises(Exception, match="letter or digit"):
         spark.range(1).select(T.endpoint_key(F.lit("--"))).collect()
+
+
+def test_json_faults_cost_their_own_row_only(spark):
+    given = {
+        '{"b":1.0,"a":" x"}': ('{"b":1.0,"a":" x"}', '{"a":"x","b":1}', None), "": (None, None, "not_json"), "{'a':1}": (None, None, "not_json"), "[1,]": (None, None, "not_json"), "NaN": (None, None, "not_finite"),
+        "[1e999]": (None, None, "not_finite"), "[" * 70 + "]" * 70: (None, None, "too_deep"), "[" * 200_000: (None, None, "too_deep"), '{"a":1," a":2}': (None, None, "keys_collide"),
+        '["\\ud800"]': (None, None, "not_unicode"), "1" * 5000: (None, None, "number_too_long"), None: (None, None, None),
+    }
+    texts = list(given)
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", C.json_projections(F.col("t")).alias("j")).select("i", "j.*")
+    assert {texts[r[0]]: tuple(r)[1:] for r in df.collect()} == given
+    assert {f for _, _, f in given.values()} - {None} == set(C.FAULTS)
+    empty = spark.createDataFrame([], "t string").select(C.json_projections(F.col("t"), sort_arrays=True).alias("j"))
+    assert empty.collect() == []
+    for text, (_, _, fault) in given.items():
+        if fault and fault != "not_unicode":
+            with pytest.raises(C.Refused):
+                C.canonical_json_text(text)
+
+
+def test_sound_envelopes(spark):
+    """One faulty field takes its object out, all others are as json_envelopes has them; clashing names."""
+    good = [(1, '["b","a"]', "{}"), (2, None, "[1.0]")]
+    rows = spark.createDataFrame([*good, (3, '["a"]', "{"), (4, "[NaN]", "{")], "id int, _json0 string, field string")
+    fields = {"tags": F.col("_json0"), "columns": F.col("field")}
+    got = snapshots.json_envelopes_or_faults(rows, "id", fields, src=F.lit("s"))
+    assert {(r["id"], r["object_fault"]) for r in got.collect()} == {(1, None), (2, None), (3, "columns:not_json"), (4, "tags:not_finite")}
+    sound = snapshots.sound_envelopes(got)
+    plain = snapshots.json_envelopes(spark.createDataFrame(good, "id int, _json0 string, field string"), "id", fields, src=F.lit("s")).select(sound.columns)
+    assert sorted(map(repr, sound.collect())) == sorted(map(repr, plain.collect()))
+    plan = sound._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "Exchange" not in plan
