@@ -58,6 +58,23 @@ def test_rules_as_a_table_decide_as_a_short_list_does(spark):
     assert {tuple(r) for r in none.select("decision", "decided_by").collect()} == {("exclude", "default")}
 
 
+def test_lists_of_undetermined_rules_are_told_once_not_for_each_object(spark):
+    df = spark.range(300).select(F.col("id").alias("object_id"), F.when(F.col("id") % 2 == 0, F.concat(F.lit("a.b"), F.col("id").cast("string"))).alias("name"))
+    df = df.withColumn("tags", F.lit(None).cast("array<struct<key:string,value:string>>")).withColumn("owners", F.array(F.lit("u@x.org")))
+    rules = spark.createDataFrame([(f"r{i}", i * 6000, "object", "include", "glob" if i % 3 else "tag", f"a.b{i}" if i % 3 else f"t{i}") for i in range(40)], rule_table.RULES)
+    calls = spark.sparkContext.accumulator(0)
+
+    def joined(ids):
+        calls.add(1)
+        return ",".join(ids)
+
+    cols = {"scope": "object", "name": F.col("name"), "tags": F.col("tags"), "owners": F.col("owners")}
+    out = rule_table.decide_by_table(df, rules, **cols, told=F.udf(joined, "string"))
+    tagged, all_ = (",".join(f"r{i}" for i in range(40) if i % 3 == 0), ",".join(f"r{i}" for i in range(40)))
+    assert {(r["object_id"] % 2, r["undetermined"]) for r in out.select("object_id", "undetermined").collect()} == {(0, tagged), (1, all_)}
+    assert 0 < calls.value <= 8
+
+
 def test_rules_as_a_table_are_equi_joins(spark):
     plan = plan_of(catalogue.QUERIES["rules_as_table"](spark, SF))
     assert "NestedLoop" not in plan and "Cartesian" not in plan
