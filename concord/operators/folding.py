@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .spread import dealt, parts
 
-def folded_fields(changes: DataFrame, stored: DataFrame, key: list[str], *, width: int = 10_000) -> DataFrame:
+
+def folded_fields(changes: DataFrame, stored: DataFrame, key: list[str], *, width: int = 10_000, n: int = 0) -> DataFrame:
     """Add previous, changed and written to the fields of changes (key, field, seq, value, checksum, writable).
 
     A field of a change is compared with what the target holds by then: the last earlier
@@ -17,27 +19,32 @@ def folded_fields(changes: DataFrame, stored: DataFrame, key: list[str], *, widt
     The value before a row is the last writable one, whether it was itself written or was there already,
     so no loop is needed.  An object with very many changes is cut by seq to pieces of `width`:
     each piece is a window of its own, and what it starts from is the last value of the pieces before, of which there is one row each.
+    There are n partitions, by default as many as the number of rows asks for.
     """
     on = [*key, "field"]
+    n = n or parts(changes, stored)
     tip = F.when(F.col("writable"), F.struct("value", "checksum"))
-    own = changes.withColumn("_piece", F.floor(F.col("seq") / width))
+    own = dealt(changes.withColumn("_piece", F.floor(F.col("seq") / width)), n, [*on, "_piece"])
     pieces = own.groupBy(*on, "_piece").agg(F.max_by(F.struct("value", "checksum"), F.when(F.col("writable"), F.col("seq"))).alias("_end"))
-    before = F.last("_end", ignorenulls=True).over(Window.partitionBy(*on).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1))
-    pieces = pieces.withColumn("_start", before).drop("_end")
-    held = stored.select(*on, F.struct("value", "checksum").alias("_held"))
+    # what is stored comes before all pieces
+    held = stored.select(*on, F.lit(None).cast("long").alias("_piece"), F.struct("value", "checksum").alias("_end"), F.lit(0).alias("_own"))
+    ends = dealt(held.unionByName(pieces.withColumn("_own", F.lit(1))), n, on)
+    before = F.last("_end", ignorenulls=True).over(Window.partitionBy(*on).orderBy("_own", "_piece").rowsBetween(Window.unboundedPreceding, -1))
+    starts = dealt(ends.withColumn("_start", before).where("_own = 1").drop("_end", "_own"), n, [*on, "_piece"])
     within = F.last(tip, ignorenulls=True).over(Window.partitionBy(*on, "_piece").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1))
-    out = own.withColumn("_within", within).join(pieces, [*on, "_piece"], "left").join(held, on, "left").withColumn("_was", F.coalesce("_within", "_start", "_held"))
+    out = own.withColumn("_within", within).join(starts, [*on, "_piece"], "left").withColumn("_was", F.coalesce("_within", "_start"))
     changed = F.col("_was").isNull() | ~F.col("_was.checksum").eqNullSafe(F.col("checksum"))
     out = out.withColumns({"previous": F.col("_was.value"), "changed": changed, "written": changed & F.col("writable")})
-    return out.drop("_piece", "_within", "_start", "_held", "_was")
-
-
-def folded_records(fields: DataFrame, stored: DataFrame, key: list[str]) -> DataFrame:
-    """key, seq, outcome, n_changes, n_writes of every change, from folded_fields(): the first write to an object of which nothing is stored creates it; others are written, unchanged, or skipped where nothing could be written."""
-    records = fields.groupBy(*key, "seq").agg(F.count_if("changed").alias("n_changes"), F.count_if("written").alias("n_writes"))
-    known = stored.select(*key).distinct().withColumn("_known", F.lit(True))
-    first = fields.where("written").groupBy(*key).agg(F.min("seq").alias("_first"))
-    out = records.join(first, key, "left").join(known, key, "left")
-    creates = F.col("_known").isNull() & (F.col("seq") == F.col("_first"))
-    outcome = F.when(creates, "created").when(F.col("n_writes") > 0, "written").when(F.col("n_changes") == 0, "unchanged").otherwise("skipped")
+    return out.drop("_piece", "_within", "_start", "_was")
+
+
+def folded_records(fields: DataFrame, stored: DataFrame, key: list[str], *, n: int = 0) -> DataFrame:
+    """key, seq, outcome, n_changes, n_writes of every change, from folded_fields(): the first write to an object of which nothing is stored creates it; others are written, unchanged, or skipped where nothing could be written. n: as in folded_fields(); counting fields folds them once more."""
+    n = n or parts(fields)
+    records = dealt(fields.select(*key, "seq", "changed", "written"), n, [*key, "seq"]).groupBy(*key, "seq").agg(F.count_if("changed").alias("n_changes"), F.count_if("written").alias("n_writes"))
+    first = fields.where("written").groupBy(*key).agg(F.min("seq").alias("seq"))
+    # one row for each object that is created, so an object with very many changes is not one key of a join
+    creates = first.join(stored.select(*key).distinct(), key, "left_anti").withColumn("_creates", F.lit(True))
+    out = records.join(dealt(creates, n, [*key, "seq"]), [*key, "seq"], "left")
+    outcome = F.when(F.col("_creates"), "created").when(F.col("n_writes") > 0, "written").when(F.col("n_changes") == 0, "unchanged").otherwise("skipped")
     return out.select(*key, "seq", outcome.alias("outcome"), "n_changes", "n_writes")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from concord.functions import canonical as C
 from concord.functions import text as T
-from concord.operators import diffs, folding, history, identity, payloads, ranks, rule_table, selection
+from concord.operators import diffs, folding, history, identity, payloads, ranks, rule_table, selection, spread
 from concord.plans import catalogue, catalogue_sync  # noqa: F401
 from concord.sources import reads
 
@@ -172,6 +172,20 @@ def test_changes_see_what_earlier_ones_wrote(spark):
     assert folding.folded_records(folding.folded_fields(df.limit(0), old, ["key"]), old, ["key"]).collect() == []
 
 
+def largest_part(df):
+    return df.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+
+
+def test_tasks_of_folded_changes_do_not_grow_with_the_table(spark, monkeypatch):
+    monkeypatch.setattr(spread, "ROWS", 100)
+    for rows in (1000, 4000):
+        changes = spark.range(rows).select((F.col("id") % (rows // 10)).alias("key"), F.lit("f").alias("field"), F.col("id").alias("seq"), F.col("id").cast("string").alias("value"), F.lit("c").alias("checksum"), F.lit(True).alias("writable"))
+        stored = changes.limit(5).select("key", "field", "value", "checksum")
+        fields = folding.folded_fields(changes, stored, ["key"])
+        assert fields.count() == rows and largest_part(fields) <= 250
+        assert largest_part(folding.folded_records(fields, stored, ["key"])) <= 250
+
+
 def test_one_recovery_of_a_conflict(spark):
     sent = spark.createDataFrame([("a", "f", "1"), ("a", "g", "2"), ("b", "f", "1"), ("c", "f", "1"), ("d", "f", None)], "key string, field string, checksum string")
     live = spark.createDataFrame([("a", "f", "1"), ("a", "g", "9"), ("b", "f", "1"), ("c", "f", "0"), ("a", "h", "x")], "key string, field string, checksum string")
