@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import strip
+from .spread import dealt, parts
 
 #: Where a field goes in a target's document; fixed values.
 PATHS = {"name": "/name", "description": "/description", "documentation": "/readMe", "tags": "/tags", "dataset_refs": "/datasetIds", "owners": "/keyContacts"}
@@ -122,15 +123,19 @@ def last_synced(envelopes: DataFrame, by: list[str]) -> DataFrame:
     return envelopes.groupBy(*by).agg(F.max("last_synced_at").alias("last_synced_at"))
 
 
-def after_conflict(sent: DataFrame, live: DataFrame, revisions: DataFrame, key: list[str]) -> DataFrame:
+def after_conflict(sent: DataFrame, live: DataFrame, revisions: DataFrame, key: list[str], *, n: int = 0) -> DataFrame:
     """Add action and revision to fields that were sent (key, field, value, checksum) and met a conflict.
 
     live: the target as read again (key, field, checksum); revisions: its new revision (key, revision).
     already: the target holds the value by now; resend: it doesn't, and goes again, guarded by the new revision;
     unguarded: there is no revision to guard it with, so the conflict stays.  No field is added, and which side is right isn't decided here.
+    There are n partitions, by default as many as the largest input's number of rows asks for.
     """
-    now = live.select(*key, "field", F.col("checksum").alias("_live"))
-    out = sent.join(now, [*key, "field"], "left").join(revisions.select(*key, "revision"), key, "left")
+    n = n or parts(sent, live, revisions)
+    on = [*key, "field"]
+    now = live.select(*on, F.col("checksum").alias("_live"))
+    out = dealt(sent, n, on).join(dealt(now, n, on), on, "left")
+    out = dealt(out, n, key).join(dealt(revisions.select(*key, "revision"), n, key), key, "left")
     action = F.when(F.col("revision").isNull(), "unguarded").when(F.col("_live").eqNullSafe(F.col("checksum")), "already").otherwise("resend")
     return out.withColumn("action", action).drop("_live")
 

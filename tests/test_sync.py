@@ -198,6 +198,14 @@ def test_one_recovery_of_a_conflict(spark):
         assert {(r["key"], r["outcome"]) for r in out.collect()} == {("a", a), ("b", "no_op"), ("c", "conflict_unresolved"), ("d", "conflict_unresolved"), ("e", "written"), ("g", "refused")}
 
 
+def test_tasks_after_a_conflict_do_not_grow_with_the_table(spark, monkeypatch):
+    monkeypatch.setattr(spread, "ROWS", 100)
+    for rows in (1000, 4000):
+        sent = spark.range(rows).select(F.col("id").alias("key"), F.lit("f").alias("field"), F.lit("v").alias("value"), F.lit("c").alias("checksum"))
+        fields = payloads.after_conflict(sent, sent, sent.select("key", F.lit("r").alias("revision")), ["key"])
+        assert fields.where("action = 'already'").count() == rows and largest_part(fields) <= 250
+
+
 def test_fields_of_two_entity_types_with_one_key(spark):
     schema = "key string, entity_type string, field string, value string, checksum string"
     source = spark.createDataFrame([("k", "dataset", "name", "a", "A"), ("k", "data_product", "name", "b", "B")], schema)
