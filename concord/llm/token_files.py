@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import json
 import os
 import uuid
@@ -147,6 +148,12 @@ class Encoder:
         return np.insert(ids, ends, self.end), ends + np.arange(1, len(ends) + 1)
 
 
+@functools.lru_cache(maxsize=1)
+def encoder_of(folder: str, path: str, end_id: int, most: int) -> Encoder:
+    """The encoder that tasks of one Python worker share while they write one folder, so a unit is encoded once a worker, not once a task; another folder starts anew."""
+    return Encoder(path, end_id, most)
+
+
 def write_tokens(
     docs: DataFrame, folder: str, *, tokenizer: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", bytes_per_part: int = 24 << 20, cache_units: int = 600_000
 ) -> DataFrame:
@@ -163,7 +170,7 @@ def write_tokens(
     part rows are sorted by id and text, so repeated ids have one order.  A part is
     written under a name of its own attempt, synced, and named in the returned table
     only by the attempt that counts, so lost or doubled attempts do no harm.  A tokenizer that
-    cuts texts as cut_units does encodes each distinct unit once (a table of at most cache_units,
+    cuts texts as cut_units does encodes each distinct unit once in each Python worker (a table of at most cache_units,
     emptied when full), and ids are laid out by array operations; any other encodes whole
     texts.  Null texts are empty; null ids come first, kept as the least 64-bit integer.
     """
@@ -176,7 +183,7 @@ def write_tokens(
     ranged = slim.repartitionByRange(n_parts, "id", F.xxhash64("text")).sortWithinPartitions("id", F.xxhash64("text"))
 
     def encode(batches):
-        encoder = Encoder(tokenizer, end_id, cache_units)
+        encoder = encoder_of(where, tokenizer, end_id, cache_units)
         path = None
         for batch in batches:
             sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False)

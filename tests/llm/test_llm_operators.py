@@ -172,6 +172,13 @@ def test_the_matrix_in_slices_is_the_matrix(spark):
     assert whole == sliced and len(whole) == 700
 
 
+def test_an_encoder_is_shared_by_tasks_of_one_folder_only(monkeypatch):
+    monkeypatch.setattr(token_files, "Encoder", lambda *args: [args])
+    first = token_files.encoder_of("a", "t.json", 1, 9)
+    assert token_files.encoder_of("a", "t.json", 1, 9) is first and token_files.encoder_of("b", "t.json", 1, 9) is not first
+    token_files.encoder_of.cache_clear()
+
+
 def test_token_files_hold_whole_texts(spark, docs):
     import public_tokenizers
     from tokenizers import Tokenizer
